@@ -109,6 +109,12 @@ BASE_INV = pow(BASE, -1, 1 << 64)
 BYTE_CODE = stream64(256, 0xB17E)
 
 
+def powers(x: int, m: int) -> np.ndarray:
+    out = np.full(m, x, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 class PowerTable:
     """Powers of BASE and of its inverse mod 2**64, grown when a longer text comes."""
 
@@ -119,8 +125,7 @@ class PowerTable:
         if len(self.up) < n:
             m = 1 << (n - 1).bit_length()
             with np.errstate(over="ignore"):
-                self.up = np.concatenate([[1], np.cumprod(np.full(m - 1, BASE, np.uint64), dtype=np.uint64)]).astype(np.uint64)
-                self.down = np.concatenate([[1], np.cumprod(np.full(m - 1, BASE_INV, np.uint64), dtype=np.uint64)]).astype(np.uint64)
+                self.up, self.down = (powers(x, m) for x in (BASE, BASE_INV))
         return self.up[:n], self.down[:n]
 
 

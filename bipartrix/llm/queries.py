@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import linerules, sharding, toxicity, urlfilter
+from bipartrix.llm import linerules, minhash, sharding, toxicity, urlfilter
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -37,6 +37,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, threshold_pct=80)
+
+
 def op9_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("alias_class")
 
