@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import linerules, minhash, sharding, toxicity, urlfilter
+from bipartrix.llm import linerules, minhash, sharding, suffix, toxicity, urlfilter
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -45,6 +45,10 @@ def op9_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("alias_class")
 
 
+def op10_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_digest(table(spark, sf_dir, "documents"), length=400, keep_first=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
