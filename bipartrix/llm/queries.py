@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import linerules, minhash, packing, sharding, suffix, toxicity, urlfilter
+from bipartrix.llm import decontam, linerules, minhash, packing, sharding, suffix, toxicity, urlfilter
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -30,6 +30,10 @@ def op3_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=0, capacity=1024, with_ids=False).drop("ids")
 
 
+def op4_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), similarity_pct=80)
+
+
 def op5_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
