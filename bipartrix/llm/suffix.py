@@ -21,9 +21,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from bipartrix.llm.common import materialise, partitions, prefix_hash, span_hash, text_or_empty
 
@@ -290,3 +292,25 @@ def removal_digest(docs: DataFrame, length: int = 400, anchor: int = 100, keep_f
     rest = found.where("n_removed = 0 OR n_removed = n_bytes")
     rest = rest.select("doc_id", "n_bytes", "n_removed", "n_spans", F.when(F.col("n_removed") == 0, F.col("sha256")).otherwise(F.sha2(F.lit("").cast("binary"), 256)).alias("kept_sha256"))
     return rest.unionByName(part)
+
+
+def cleaned(docs: DataFrame, length: int = 200, anchor: int = 100) -> DataFrame:
+    """``docs`` without the bytes that earlier documents, or earlier places, hold: the first copy stays.
+
+    Rows and columns stay as they are but for ``text`` (and ``n_chars``, where
+    there is one, which follows it) of documents that lose something; a text that
+    goes whole becomes empty. Characters cut in two are dropped.
+    """
+    found = materialise(repeated_spans(docs, length, anchor, keep_first=True).where("n_removed > 0"), "lpf-found")
+    kept = found.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
+    both = docs.withColumn("_th", F.xxhash64(text_or_empty("text"))).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    cut = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("spans"))))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts without their spans; most rows have none and pass unread."""
+    return pd.Series([None if s is None else cut_spans(t.encode(), s).decode("utf-8", "ignore") for t, s in zip(text, spans, strict=True)])

@@ -95,12 +95,12 @@ def with_features(docs: DataFrame, lexicon: list[str], keep: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Featuriser(lexicon)
         for b in batches:
-            rows = [make(t.as_py()) for t in b.column(len(keep))]
+            rows = [make(t.as_py()) for t in b.column(b.num_columns - 1)]
             flat = pa.array(np.array(rows, np.float64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)), flat)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], [*keep, "features"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, features array<double>")
+    return docs.select(*keep, F.col("text").alias("_scored_text")).mapInArrow(run, f"{kinds}, features array<double>")
 
 
 def learn_lexicon(train: DataFrame, size: int, min_docs: int) -> list[str]:
