@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import decontam, linerules, minhash, packing, sharding, suffix, toxicity, urlfilter
+from bipartrix.llm import decontam, linerules, minhash, packing, sharding, suffix, toxicity, urlfilter, warc
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    written = warc.archive_pages(pages, min_bytes=0)
+    # A file to a task; the names are few.
+    read = warc.read_warc(written.repartition(max(1, written.count())), with_data=False)
+    page = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast(pages.schema["page_id"].dataType)
+    return warc.record_summary(read).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op2_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linerules.clean_lines(table(spark, sf_dir, "documents"), with_text=False).drop("clean_text")
 
