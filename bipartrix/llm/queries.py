@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import decontam, linerules, minhash, packing, sharding, suffix, toxicity, urlfilter, warc
+from bipartrix.llm import decontam, linerules, minhash, packing, sharding, suffix, tokenfile, toxicity, urlfilter, warc
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -58,6 +58,10 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, threshold_pct=80)
 
 
+def op8_context_mixing_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.store_tokens(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=1, with_ids=False).drop("ids")
+
+
 def op9_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).drop("alias_class")
 
