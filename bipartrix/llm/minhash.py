@@ -119,7 +119,7 @@ def full_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
     return out.where("own_key = set_key").drop("own_key")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_pct: int = 80, band_rows: int = 6, pivot_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_pct: int = 80, band_rows: int = 6, pivot_rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     Two documents are linked when 100 * |A and B| >= threshold_pct * |A or B| for
@@ -155,12 +155,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_pct: int
             open_ = materialise(open_.join(mixed, "band", "left_semi"), "minhash-open")
         if is_empty(open_):
             break
-        if turn < pivot_rounds:  # every member against one pivot of its bucket
-            order = F.struct(F.col("node").alias("o")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)).alias("o"))
+        if turn < pivot_rounds:  # every member against one pivot of its bucket: the least node, later a random one for each bucket
+            order = F.struct(F.col("node").alias("o")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("o"))
             pivots = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("p")).select("band", "p.pivot", "p.pn", "p.pc")
             met = open_.join(pivots, "band")
-        else:  # exact: members of different components
-            met = open_.join(open_.select("band", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc")), "band").where("comp < pc")
+        else:  # exact: members of different components that are left, each pair in the first bucket that it shares
+            open_ = open_.join(found.select(F.col("uid").alias("node"), "bands"), "node")
+            other = open_.select("band", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("bands").alias("pb"))
+            shared = F.filter(F.zip_with("bands", "pb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+            met = open_.join(other, "band").where("comp < pc").where(fits).where(shared[0] == F.col("band"))
         pairs = materialise(met.where(fits & ((F.col("comp") != F.col("pc")) if comp is not None else F.lit(True))).select(*pair).distinct(), "minhash-pairs")
         if is_empty(pairs):
             continue
