@@ -31,8 +31,8 @@ from bipartrix.llm.common import materialise, partitions, prefix_hash, span_hash
 
 #: Positions that are scanned at once; longer texts are scanned in pieces.
 PIECE = 1 << 20
-#: Buckets with more classes than this are split by text instead of meeting in one task.
-LARGE_BUCKET = 256
+#: Buckets with more classes than this are split by text instead of meeting in one task; so many runs are 3 MB of text.
+LARGE_BUCKET = 4096
 
 ANCHOR = "struct<key:bigint,hull:bigint,s:bigint,n:int,o:int,c:bigint>"
 SPANS = "array<struct<s:bigint,e:bigint>>"
