@@ -1,0 +1,66 @@
+"""Where the fixed-point solvers run.
+
+Networks up to a checked number of edges are solved by a numpy kernel in one
+grouped task; many networks (years, communities, shuffles) are solved side by
+side, a task each. A single network beyond that is iterated as DataFrame joins
+and sums whose vectors are checkpointed every few turns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Edges that a single task may solve (some 100 MB there).
+KERNEL_EDGES = 2_000_000
+
+
+def fits_kernel(edges: DataFrame) -> bool:
+    return edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES
+
+
+class Sparse:
+    """A coordinate matrix with labels, for kernels."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.rows, self.i = np.unique(pdf["row_id"].to_numpy(object).astype(str), return_inverse=True)
+        self.cols, self.j = np.unique(pdf["col_id"].to_numpy(object).astype(str), return_inverse=True)
+        self.w = pdf["w"].to_numpy(float)
+        self.n, self.m = len(self.rows), len(self.cols)
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.i, self.w * v[self.j], self.n)
+
+    def tdot(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.j, self.w * u[self.i], self.m)
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((self.n, self.m))
+        np.add.at(out, (self.i, self.j), self.w)
+        return out
+
+
+def solve(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: list[str] | None = None) -> DataFrame:
+    """Run a kernel over each network of ``edges``; ``by`` names the columns that tell networks apart."""
+    by = by or []
+    keyed = edges.select(*by, "row_id", "col_id", "w")
+    if not by:
+        keyed = keyed.withColumn("_g", F.lit("all"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = kernel(pdf.sort_values(["row_id", "col_id"]))
+        for name, value in zip(by, key, strict=False):
+            out[name] = value
+        return out
+
+    kinds = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in by)
+    return keyed.groupBy(*(by or ["_g"])).applyInPandas(run, kinds + schema)
+
+
+def matvec(edges: DataFrame, vec: DataFrame, key: str, to: str) -> DataFrame:
+    """(to, x) = sum of w * x over the edges; vec: (key, x)."""
+    return edges.join(vec, key).groupBy(to).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
