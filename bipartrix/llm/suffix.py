@@ -303,11 +303,15 @@ def cleaned(docs: DataFrame, length: int = 200, anchor: int = 100) -> DataFrame:
     """
     found = materialise(repeated_spans(docs, length, anchor, keep_first=True).where("n_removed > 0"), "lpf-found")
     kept = found.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
-    both = docs.withColumn("_th", F.xxhash64(text_or_empty("text"))).join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    cut = both.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("spans"))))
+    # The row travels as one struct, so that no column's name can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty("text")).alias("_h"))
+    both = rows.join(kept.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    whole, row = F.col("spans").isNull(), F.col("row")
+    both = both.select("row", "spans", F.when(whole, row["text"]).otherwise(_without(row["text"], F.col("spans"))).alias("cut"))
+    out = {c: row[c] for c in docs.columns} | {"text": F.col("cut")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        out["n_chars"] = F.when(F.col("spans").isNull(), row["n_chars"]).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[x.alias(c) for c, x in out.items()])
 
 
 @F.pandas_udf(StringType())
