@@ -24,8 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labelled ones among them, scores below TOXIC_FROM."""
     model = toxicity.fit_toxicity(docs, _table(spark, sf_dir, "labels"))
-    scored = model.score(docs, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    # The row travels as one struct, so that no column's name can clash.
+    scored = model.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), keep=("row",))
+    return scored.where(F.col("score") < TOXIC_FROM).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
