@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import decontam, linerules, minhash, packing, sharding, suffix, tokenfile, toxicity, urlfilter, warc
+from bipartrix.llm import decontam, linerules, minhash, oracle, packing, sharding, suffix, tokenfile, toxicity, urlfilter, warc
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
