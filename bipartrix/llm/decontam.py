@@ -15,6 +15,7 @@ but the matches. Items are handled in blocks of bounded size.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from itertools import repeat
@@ -28,7 +29,8 @@ from bipartrix.llm.common import mix64
 
 #: ASCII marks become spaces; A-Z is lowered by str.lower before.
 _MARKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
-#: Bytes of a document that are split into words at once.
+_SPACE = re.compile(r"\s")
+#: Characters of a document that are split into words at once, up to the next space.
 SEGMENT = 1 << 20
 TABLES_AT_ONCE = 6
 #: Bytes of item texts in one block.
@@ -132,9 +134,8 @@ class Index:
             return []
         at, base, held = 0, 0, []
         while at < len(text):
-            end = at + SEGMENT
-            while end < len(text) and not text[end].isspace():
-                end += 1
+            gap = _SPACE.search(text, at + SEGMENT)
+            end = gap.start() if gap else len(text)
             held += words_of(text[at:end])
             self._search(held, base, best)
             drop = max(0, len(held) - 2 * self.span)

@@ -11,6 +11,7 @@ import array
 import functools
 import os
 import re
+from itertools import islice
 
 from tokenizers.pre_tokenizers import ByteLevel
 
@@ -29,6 +30,8 @@ MAX_PIECES = 300_000
 SEEN_BITS = 22
 #: Longer pieces aren't remembered.
 MAX_LENGTH = 60
+#: Characters from which on a text's pieces are encoded in parts.
+LONG_TEXT = 1 << 20
 
 
 class PieceEncoder(dict):
@@ -43,7 +46,8 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
         self.by_space = name.startswith("byte_bpe")
-        self.find = (WITH_SPACE if self.by_space else WORDS).findall
+        self.pattern = WITH_SPACE if self.by_space else WORDS
+        self.find = self.pattern.findall
         self.bpe = self.tokenizer.model.tokenize
         self.seen = bytearray(1 << SEEN_BITS)
         # Byte-level vocabularies spell a byte as a letter; the pre-tokenizer shows which.
@@ -73,7 +77,14 @@ class PieceEncoder(dict):
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text))) if text else b""
+        if not text:
+            return b""
+        if len(text) <= LONG_TEXT:
+            return b"".join(map(self.__getitem__, self.find(text)))
+        out, pieces = [], self.pattern.finditer(text)
+        while some := list(islice(pieces, 100_000)):  # a very long text's pieces are never all held
+            out.append(b"".join([self[m[0]] for m in some]))
+        return b"".join(out)
 
 
 def _spelling(level, b: int) -> str:
