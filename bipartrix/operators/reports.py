@@ -125,3 +125,25 @@ def ranked_barcodes(scores: DataFrame, margins: DataFrame, n: int = 30) -> DataF
     """(pos, id, score, degree) of the leading scores."""
     best = scores.where("score IS NOT NULL").orderBy(F.desc("score"), "id").limit(n)
     return ranked(best, name="pos").join(margins.select("id", "degree"), "id", "left").select("pos", "id", "score", "degree")
+
+
+def community_stats(labels: DataFrame, scores: DataFrame, margins: DataFrame, top: int = 3) -> DataFrame:
+    """(community, n, share, mean_degree, mean_score, leaders): leaders are the ids of the best scores, in order."""
+    own = labels.join(scores.select(F.col("id").alias("row_id"), "score"), "row_id", "left").join(margins.select(F.col("id").alias("row_id"), "degree"), "row_id", "left")
+    place = F.row_number().over(Window.partitionBy("community").orderBy(F.col("score").desc_nulls_last(), "row_id"))
+    best = F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "row_id"))))
+    out = own.withColumn("_r", place).groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.avg("degree").alias("mean_degree"), F.avg("score").alias("mean_score"), best.alias("_b"))
+    total = F.broadcast(out.agg(F.sum("n").alias("_t")))
+    return out.join(total).select("community", "n", (F.col("n") / F.col("_t")).alias("share"), "mean_degree", "mean_score", F.array_join(F.transform("_b", lambda x: x["row_id"]), ",").alias("leaders"))
+
+
+def collapse_check(scores: DataFrame, limit: float = 100.0) -> DataFrame:
+    """One row: largest and median score, their ratio, and whether the ratio says that few rows hold everything."""
+    s = scores.where("score IS NOT NULL").agg(F.max("score").alias("most"), F.percentile("score", F.lit(0.5)).alias("median"), F.avg((F.col("score") > 1e-10).cast("double")).alias("positive_share"))
+    ratio = F.when(F.col("median") > 0, F.col("most") / F.col("median"))
+    return s.select("most", "median", "positive_share", ratio.alias("ratio"), (F.coalesce(ratio, F.lit(float("inf"))) > limit).alias("collapsed"))
+
+
+def low_degree(margins: DataFrame, ids: DataFrame, below: int = 10) -> DataFrame:
+    """(id, degree) of the entities of ``ids`` with fewer edges than ``below``, those without any included."""
+    return ids.select("id").distinct().join(margins, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") < below)

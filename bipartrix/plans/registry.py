@@ -694,3 +694,43 @@ def perturb_remove_edges(spark, d):
 @query("generator_nested", "SELECT printf('r%04d', i) AS row_id, printf('c%04d', j) AS col_id, 1.0::DOUBLE AS w FROM range(20) a(i), range(30) b(j) WHERE j < least(30, floor((i + 1) * 30 / 20) + 5)")
 def generator_nested(spark, d):
     return rd.nested_network(spark, 20, 30)
+
+
+# --- further reports and generators ------------------------------------------------------
+
+
+@query("community_stats", f"""WITH RECURSIVE {m_sql()}, {fc_sql(N_FC)}, o AS (SELECT n_regionkey c, r, f, (SELECT count(*) FROM m WHERE m.r = fit.r) k, row_number() OVER (PARTITION BY n_regionkey ORDER BY f DESC, r) p FROM fit JOIN nation ON n_name = r)
+SELECT c AS community, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(avg(k), 6) AS mean_degree, round(avg(f), 6) AS mean_score, string_agg(r, ',' ORDER BY p) FILTER (p <= 3) AS leaders FROM o GROUP BY 1""")
+def community_stats(spark, d):
+    e = flagship(spark, d)
+    return rounded(rp.community_stats(region_labels(spark, d), side(ft.fitness_scores(e, N_FC, 0.0), "row", "score"), nw.margin(e, "row_id")))
+
+
+@query("collapse_check", f"WITH RECURSIVE {m_sql()}, {fc_sql(N_FC)} SELECT round(max(f), 6) AS most, round(quantile_cont(f, 0.5), 6) AS median, avg((f > 1e-10)::INT)::DOUBLE AS positive_share, round(max(f) / quantile_cont(f, 0.5), 6) AS ratio, max(f) / quantile_cont(f, 0.5) > 100 AS collapsed FROM fit")
+def collapse_check(spark, d):
+    return rounded(rp.collapse_check(side(ft.fitness_scores(flagship(spark, d), N_FC, 0.0), "row", "score")))
+
+
+@query("low_degree", f"WITH {m_sql('s_name')} SELECT s_name AS id, count(m.r) AS degree FROM (SELECT DISTINCT s_name FROM supplier) LEFT JOIN m ON m.r = s_name GROUP BY 1 HAVING count(m.r) < 11")
+def low_degree(spark, d):
+    return rp.low_degree(nw.margin(supplier_edges(spark, d), "row_id"), t(spark, d, "supplier").select(F.col("s_name").alias("id")), 11)
+
+
+def _u(seed: int, *keys: str) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || {" || '|' || ".join(keys)}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
+
+
+@query("synthetic_users", f"""WITH g AS (SELECT i, j FROM range(40) a(i), range(60) b(j)), k AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY {_u(43, "i", "j")}, j) k, 5 + floor({_u(42, "i")} * 25) take, 1 + floor(ln(1 - {_u(44, "i", "j")}) / ln(0.7)) w FROM g)
+SELECT 'user_' || i AS row_id, 'word_' || j AS col_id, w::DOUBLE AS w FROM k WHERE k <= take""")
+def synthetic_users(spark, d):
+    return rd.synthetic_users(spark, 40, 60)
+
+
+@query("kmeans_communities")
+def kmeans_communities(spark, d):
+    return cm.kmeans_communities(flagship(spark, d))
+
+
+@query("user_clusters")
+def user_clusters(spark, d):
+    return cm.kmeans_communities(flagship(spark, d), first=2, k=4, scale=True)

@@ -160,6 +160,27 @@ class CommentLoader:
         return bundle(mass_filter(edges, q.min_author_mass, q.min_word_mass), "comments", cache_path=str(self.cache_path), query=str(q))
 
 
+#: Codes of the usual indicators.
+INDICATORS = {"gdp_per_capita": "NY.GDP.PCAP.CD", "human_capital_index": "HD.HCI.OVRL", "life_expectancy": "SP.DYN.LE00.IN"}
+
+
+def load_indicator(spark: SparkSession, folder: str, name: str, countries: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """A series by name or code from ``folder/<code>.json``, whole on disk and cut to the asked range on reading."""
+    return select_series(read_indicator_json(spark, f"{folder}/{INDICATORS.get(name, name)}.json"), countries, start, end)
+
+
+def country_names(long: DataFrame, exclude_aggregates: bool = True) -> DataFrame:
+    """(country_code, country_name) of an indicator table, one name for each code."""
+    own = without_aggregates(long) if exclude_aggregates else long
+    return own.where("country_code IS NOT NULL").groupBy("country_code").agg(F.max_by("country_name", "year").alias("country_name"))
+
+
+def read_golden(spark: SparkSession, stem: str) -> DataFrame:
+    """Edges of a stored test matrix: ``<stem>_matrix.csv`` with row, col, value."""
+    m = read_csv(spark, f"{stem}_matrix.csv", "row int, col int, value double").where("value <> 0")
+    return m.select(F.format_string("r%04d", "row").alias("row_id"), F.format_string("c%04d", "col").alias("col_id"), F.col("value").alias("w"))
+
+
 # --- fixtures and generators -------------------------------------------------------
 
 
@@ -174,6 +195,19 @@ def uniform(*keys: str, seed: int = 42) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def synthetic_users(spark: SparkSession, users: int, words: int, seed: int = 42, binary: bool = False) -> DataFrame:
+    """Each user takes 5 to min(words, 30) - 1 different words, with geometric counts (0.3) or 1."""
+    grid = _grid(spark, users, words)
+    most = min(words, 30) - 5
+    take = 5 + F.floor(uniform("i", seed=seed) * most)
+    from pyspark.sql import Window
+
+    order = F.row_number().over(Window.partitionBy("i").orderBy(uniform("i", "j", seed=seed + 1), "j"))
+    count = F.lit(1.0) if binary else 1.0 + F.floor(F.log(1 - uniform("i", "j", seed=seed + 2)) / F.log(F.lit(0.7)))
+    picked = grid.select("i", "j", order.alias("k"), take.alias("take"), count.cast("double").alias("w")).where("k <= take")
+    return picked.select(F.format_string("user_%d", "i").alias("row_id"), F.format_string("word_%d", "j").alias("col_id"), "w")
+
+
 def _grid(spark: SparkSession, rows: int, cols: int) -> DataFrame:
     return spark.range(rows).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("j"))
 
