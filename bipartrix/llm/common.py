@@ -10,8 +10,10 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,29 @@ def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+# --- memory of Python workers, which live on from task to task and operator to operator ---
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(name: str, forget: Callable[[], None]) -> None:
+    """Say that this worker keeps something for later tasks of operator ``name``, and how to drop it."""
+    _held[name] = forget
+
+
+def only(name: str) -> None:
+    """Drop what other operators keep in this worker: an executor's memory then doesn't add up over a pipeline."""
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that a task never holds a large batch's rows as Python objects at once."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 # --- 64-bit mixing, the same on every executor -----------------------------------
 
 

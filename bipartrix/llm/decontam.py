@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.llm.common import mix64
+from bipartrix.llm.common import holds, mix64, only, slices
 
 #: ASCII marks become spaces; A-Z is lowered by str.lower before.
 _MARKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -230,8 +230,10 @@ def _searcher(rows: list[tuple], similarity_pct: int, min_words: int, walks: Wal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _last.get("name") != name:  # once for each Python worker, not for each task
             _last.update(name=name, index=Index(rows, similarity_pct, min_words, walks))
+        only("decontam")
+        holds("decontam", _last.clear)
         index = _last["index"]
-        for b in batches:
+        for b in slices(batches):
             found = [(i, *x) for i, t in enumerate(b.column(1)) for x in index.search(t.as_py())]
             cols = list(zip(*found, strict=True)) if found else [[]] * 5
             yield pa.RecordBatch.from_arrays(

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from bipartrix.llm.common import only, slices
+
 SPACES = "\t\n\x0b\x0c\r "  # \x09-\x0D and \x20
 SYMBOLS = "#*$%&|<>"
 
@@ -127,7 +129,8 @@ def clean_lines(docs: DataFrame, cleaner: LineCleaner | None = None, with_text:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.string()]
-        for batch in batches:
+        only("lines")
+        for batch in slices(batches):
             rows = [cleaner(t.as_py(), with_text) for t in batch.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.llm.common import is_empty, materialise, mix64
+from bipartrix.llm.common import is_empty, materialise, mix64, only, slices
 from bipartrix.llm.components import connected_components
 from bipartrix.llm.shingles import chunks, shingle_sets
 
@@ -83,7 +83,8 @@ def signatures(docs: DataFrame, shingle_words: int, band_rows: int) -> DataFrame
     n_bands = SLOTS // band_rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only("shingles")
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for part in chunks(texts):
                 own = texts[part]
@@ -106,7 +107,8 @@ def full_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
     """(node, set_key, shingles) of (node, set_key, text), where the text does have that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only("shingles")
+        for batch in slices(batches):
             raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
             for part in chunks(raw):
                 _, h, off = shingle_sets(raw[part], shingle_words)

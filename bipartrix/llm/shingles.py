@@ -11,8 +11,8 @@ import numpy as np
 
 from bipartrix.llm.common import mix64, prefix_hash, span_hash
 
-SEGMENT = 1 << 20
-CHUNK = 2 << 20
+SEGMENT = (1 << 20) - 4096
+CHUNK = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from bipartrix.llm.common import materialise, partitions, prefix_hash, span_hash, text_or_empty
+from bipartrix.llm.common import materialise, only, partitions, prefix_hash, slices, span_hash, text_or_empty
 
 #: Positions that are scanned at once; longer texts are scanned in pieces.
-PIECE = 1 << 20
+PIECE = (1 << 19) - 1024
 #: Buckets with more classes than this are split by text instead of meeting in one task; so many runs are 3 MB of text.
 LARGE_BUCKET = 4096
 
@@ -84,7 +84,8 @@ def scan(docs: DataFrame, length: int, k: int, keep_first: bool) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        only("suffix")
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in texts]
             todo = [(i, a) for i, t in enumerate(texts) if len(t) >= length for a in range(0, len(t) - length + 1, PIECE)]
@@ -170,8 +171,8 @@ def small_buckets(contexts: DataFrame, length: int, keep_first: bool) -> DataFra
             held = t if held is None else pa.concat_tables([held, t])
             key = held.column("key").to_numpy()
             done = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on in the next batch
-            for a in range(0, done, 2000):
-                lo, hi = (int(np.searchsorted(key, key[x])) if x < done else done for x in (a, min(a + 2000, done)))
+            for a in range(0, done, 500):
+                lo, hi = (int(np.searchsorted(key, key[x])) if x < done else done for x in (a, min(a + 500, done)))
                 if hi > lo:
                     yield solve(held.slice(lo, hi - lo))
             held = held.slice(done)

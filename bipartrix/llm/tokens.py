@@ -15,6 +15,8 @@ from itertools import islice
 
 from tokenizers.pre_tokenizers import ByteLevel
 
+from bipartrix.llm.common import holds, only
+
 #: Unicode White_Space, which the tokenizers' ``\\s`` means.
 WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: byte_bpe: a space goes with the word after it; other white space stands alone.
@@ -26,7 +28,7 @@ WORDS = re.compile(rf"[^{WS}]+")
 SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*]*)")
 
 #: Pieces remembered in a Python worker (tens of MB); the second half only takes pieces met before.
-MAX_PIECES = 300_000
+MAX_PIECES = 200_000
 SEEN_BITS = 22
 #: Longer pieces aren't remembered.
 MAX_LENGTH = 60
@@ -97,6 +99,12 @@ def _spelling(level, b: int) -> str:
 
 
 @functools.cache
-def encoder(name: str) -> PieceEncoder:
-    """One for each Python worker."""
+def _encoder(name: str) -> PieceEncoder:
     return PieceEncoder(name)
+
+
+def encoder(name: str) -> PieceEncoder:
+    """One for each Python worker, until the worker turns to another operator."""
+    only("tokens")
+    holds("tokens", _encoder.cache_clear)
+    return _encoder(name)

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.llm.common import materialise, release
+from bipartrix.llm.common import materialise, only, release, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters with a digit or symbol inside the word.
@@ -93,8 +93,9 @@ def with_features(docs: DataFrame, lexicon: list[str], keep: tuple[str, ...] = (
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         make = Featuriser(lexicon)
-        for b in batches:
+        for b in slices(batches):
             rows = [make(t.as_py()) for t in b.column(b.num_columns - 1)]
             flat = pa.array(np.array(rows, np.float64).reshape(-1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)), flat)
@@ -107,7 +108,8 @@ def learn_lexicon(train: DataFrame, size: int, min_docs: int) -> list[str]:
     """The stems whose document frequency speaks most for label 1; counted over all training rows in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        only("toxicity")
+        for b in slices(batches):
             names, labels = [], []
             for t, y in zip(b.column(0), b.column(1), strict=True):
                 own = {s for w in set(WORD.findall((t.as_py() or "").lower())) if len(w) > 2 for s in stems(w)}
