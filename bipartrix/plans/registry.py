@@ -436,9 +436,9 @@ def nestedness(spark, d):
     return rounded(nw.nestedness(flagship(spark, d)))
 
 
-def points(spark, d, n: int = 50):
-    """The first n embeddings: an affinity matrix is the feature here."""
-    return t(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+def points(spark, d):
+    """All embeddings."""
+    return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
 
 
 AFF = "pts AS (SELECT vec_id id, embedding::DOUBLE[] x FROM embeddings WHERE vec_id < 50), aff AS (SELECT a.id a, b.id b, exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2) w FROM pts a, pts b)"

@@ -1,0 +1,29 @@
+"""Queries that once did a part of their job now do all of it."""
+
+import duckdb
+import numpy as np
+
+from bipartrix.operators import community as cm
+from bipartrix.plans import registry
+
+
+def test_affinities_of_all_embeddings(spark, sf):
+    ids, x = zip(*duckdb.sql(f"SELECT vec_id, embedding::DOUBLE[] FROM '{sf}/embeddings.parquet' ORDER BY 1").fetchall(), strict=True)
+    x = np.array(x)
+    want = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2)
+    at = {v: i for i, v in enumerate(ids)}
+    got = registry.queries()["affinity_rbf"](spark, sf).toPandas()
+    assert len(got) == len(ids) ** 2 > 50**2
+    assert np.abs(got.w.to_numpy() - want[got.a.map(at), got.b.map(at)]).max() < 1e-6
+    s = 1 / np.sqrt(want.sum(1) + 1e-10)
+    got = registry.queries()["laplacian_normalised"](spark, sf).toPandas()
+    assert len(got) == len(ids) ** 2
+    assert np.abs(got.w.to_numpy() - (want * s * s[:, None])[got.a.map(at), got.b.map(at)]).max() < 1e-6
+
+
+def test_affinities_above_a_threshold(spark):
+    pts = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [9.0, 9.0]), (4, None), (5, [0.0])], "id int, features array<float>")
+    got = {(r.a, r.b): r.w for r in cm.affinity_rbf(pts, 1.0).collect()}
+    assert len(got) == 25 and got[4, 4] is None and got[1, 5] is None and got[5, 5] == 1.0
+    near = {(r.a, r.b) for r in cm.affinity_rbf(pts, 1.0, min_weight=0.5).collect()}
+    assert near == {k for k, w in got.items() if w is not None and w >= 0.5}
