@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.llm.common import holds, mix64, only, slices
+from bipartrix.llm.common import holds, materialise, mix64, only, slices
 
 #: ASCII marks become spaces; A-Z is lowered by str.lower before.
 _MARKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -245,5 +245,15 @@ def _searcher(rows: list[tuple], similarity_pct: int, min_words: int, walks: Wal
 
 
 def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
-    """The documents that hold no item; rows with a null doc_id stay."""
+    """The documents that hold no item, told by doc_id: all rows of a leaking id go, and rows with a null one stay.
+
+    Where ids repeat or are null, drop_leaking judges each row by its own text.
+    """
     return docs.join(leaks.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaking(docs: DataFrame, items: DataFrame, similarity_pct: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item; doc_id may repeat or be null."""
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
+    leaks = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), items, similarity_pct)
+    return rows.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)

@@ -30,10 +30,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 80 % of their five-word shingles: that with the least doc_id."""
-    found = minhash.near_duplicates(docs, shingle_words=5, threshold_pct=80)
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of texts that share 80 % of their five-word shingles: that with the least doc_id.
+
+    Rows are judged one by one: those that repeat a doc_id, or have none, too. Of
+    equal ids the first row stays, and a null id counts as the greatest.
+    """
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("_row").alias("row"))
+    found = minhash.near_duplicates(rows.select(name.alias("doc_id"), "text"), shingle_words=5, threshold_pct=80)
+    gone = found.where("NOT kept").select(F.col("doc_id.row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +49,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item within a fifth of its words."""
-    leaks = decontam.find_leaks(docs, _table(spark, sf_dir, "benchmark"), similarity_pct=80)
-    return decontam.without_leaks(docs, leaks)
+    """Rows whose text holds no benchmark item within a fifth of its words, whatever their doc_id."""
+    return decontam.drop_leaking(docs, _table(spark, sf_dir, "benchmark"), similarity_pct=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
