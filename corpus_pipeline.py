@@ -43,9 +43,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 200 bytes or more that an earlier text holds; documents left without a word go."""
-    cut = suffix.cleaned(docs, length=200, anchor=60)
-    return cut.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    """Texts without passages of 200 bytes or more that an earlier text holds; documents that this leaves without a word go.
+
+    Those that came without one (null, empty, blank) pass as they are.
+    """
+    has_word = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    cut = suffix.cleaned(docs.withColumn("_blank", ~has_word), length=200, anchor=60)
+    return cut.where(F.col("_blank") | has_word).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

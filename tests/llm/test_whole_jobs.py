@@ -23,3 +23,13 @@ def test_verdicts_are_by_row(spark, tmp_path):
     assert (1, same) in set(map(tuple, got.collect()))
     left = set(map(tuple, corpus_pipeline.drop_benchmark_leaks(spark, docs, str(tmp_path)).collect()))
     assert left == set(rows) - {(4, leak), (None, leak + " end")}
+
+
+def test_documents_that_come_blank_pass(spark, tmp_path):
+    rng = random.Random(9)
+    whole = prose(rng, 80)
+    rows = [(1, whole), (2, whole), (3, None), (4, ""), (5, " \n\t "), (6, prose(rng, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.cut_repeated_passages(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert set(map(tuple, got.collect())) == set(rows) - {(2, whole)}
