@@ -36,6 +36,8 @@ TABLES_AT_ONCE = 6
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 8 << 20
 PAD = -2
+#: Items of more words are embedded in pieces of at most as many.
+PIECE = 59
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,12 +48,24 @@ def allowed_edits(n: int, similarity_pct: int) -> int:
     return n * (100 - similarity_pct) // 100
 
 
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """(first word, end) of the pieces of an item of n words: as few equal ones as have at most PIECE words.
+
+    Of p pieces, one has at most a p-th of the item's edits, so it lies within
+    the same similarity bound as the whole.
+    """
+    p = max(1, -(-n // PIECE))
+    return [(n * j // p, n * (j + 1) // p) for j in range(p)]
+
+
 class Walks:
     """CGK walks with sampled steps.
 
     repeats tables of ``samples`` steps each. At the greatest distance allowed,
     a walk pair differs in about half its steps, so one table agrees with
-    probability of about 1/4 and all 24 fail with about 1e-3.
+    probability of about 1/4 and all 24 fail with about 1e-3. That holds for some
+    dozens of words; over longer windows walks that fell out of step rarely meet
+    again, so that longer items are embedded in pieces (see ``pieces_of``).
     """
 
     def __init__(self, repeats: int = 24, samples: int = 2, seed: int = 11):
@@ -124,7 +138,9 @@ class Index:
         pairs.sort()
         self.posted = np.array([i for _, i in pairs], np.int64)
         self.first = np.searchsorted(np.array([w for w, _ in pairs], np.int64), np.arange(len(self.vocab) + 1))
-        self.tables = [walks.keys(np.array(ws, np.int64), np.zeros(1, np.int64), len(ws))[:, 0] if self.need[i] else None for i, ws in enumerate(self.words)]
+        one = np.zeros(1, np.int64)
+        # (offset, words, keys) of each piece
+        self.pieces = [[(a, z - a, walks.keys(np.array(ws[a:z], np.int64), one, z - a)[:, 0]) for a, z in pieces_of(len(ws))] if self.need[i] else [] for i, ws in enumerate(self.words)]
         self.span = max((len(ws) + 2 * k for ws, k in zip(self.words, self.edits, strict=True)), default=0)
 
     def search(self, text: str | None) -> list[tuple]:
@@ -161,19 +177,29 @@ class Index:
             if not close.any():
                 continue
             # Windows that start from k before such a stretch to k after its first hit.
-            a, z = np.maximum(0, lo[close] - k), hi[close] + k + 1
-            mark = np.zeros(len(ids) + n + 2 * k + 2, np.int64)
-            np.add.at(mark, a, 1)
-            np.add.at(mark, np.minimum(z, len(mark) - 1), -1)
-            starts = np.flatnonzero(np.cumsum(mark)[: len(ids)] > 0)
+            # A later piece may lie up to k before its place in an item that starts at 0.
+            a, z = np.maximum(-k, lo[close] - k), hi[close] + k + 1
+            mark = np.zeros(len(ids) + n + 3 * k + 2, np.int64)
+            np.add.at(mark, a + k, 1)
+            np.add.at(mark, np.minimum(z + k, len(mark) - 1), -1)
+            starts = np.flatnonzero(np.cumsum(mark)[: len(ids) + k] > 0) - k
             for c in range(0, len(starts), 4096):
                 part = starts[c : c + 4096]
                 for t in range(0, len(self.walks.seeds), TABLES_AT_ONCE):
                     few = slice(t, t + TABLES_AT_ONCE)
-                    met = part[(self.walks.keys(ids, part, n, few) == self.tables[i][few, None]).any(axis=0)]
-                    if self._verify(i, ids, met, base, best):
+                    if self._verify(i, ids, self._meet(i, ids, part, few), base, best):
                         break
 
+    def _meet(self, i: int, ids: np.ndarray, starts: np.ndarray, tables: slice) -> np.ndarray:
+        """The starts at which a piece of the item agrees with the document in one of the tables."""
+        met = np.zeros(len(starts), bool)
+        for offset, n, keys in self.pieces[i]:
+            at = starts + offset
+            own = np.flatnonzero((at >= 0) & (at < len(ids)))
+            if len(own):
+                met[own] |= (self.walks.keys(ids, at[own], n, tables) == keys[tables, None]).any(axis=0)
+        return starts[met]
+
     def _verify(self, i: int, ids: np.ndarray, met: np.ndarray, base: int, best: dict[int, tuple[int, int]]) -> bool:
         """Whether the item as it is was found; then no better place is to come."""
         n, k = len(self.words[i]), self.edits[i]

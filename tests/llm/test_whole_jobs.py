@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
+from bipartrix.llm import decontam
 
 
 def prose(rng, n):
@@ -33,3 +36,18 @@ def test_documents_that_come_blank_pass(spark, tmp_path):
     got = corpus_pipeline.cut_repeated_passages(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     assert set(map(tuple, got.collect())) == set(rows) - {(2, whole)}
+
+
+@pytest.mark.parametrize(("n", "kind", "trials"), [(100, "delete", 12), (200, "delete", 12), (200, "insert", 6), (400, "delete", 8), (400, "insert", 8), (400, "replace", 6)])
+def test_long_items_are_found_at_the_limit(n, kind, trials):
+    rng = random.Random(n)
+    lex = [f"w{i}" for i in range(5000)]
+    found = 0
+    for _ in range(trials):
+        item = rng.choices(lex, k=n)
+        v = list(item)
+        for p in sorted(rng.sample(range(1, n), n // 5), reverse=True):
+            v[p : p + (kind != "insert")] = [] if kind == "delete" else [rng.choice(lex)]
+        doc = rng.choices(lex, k=100) + v + rng.choices(lex, k=100)
+        found += bool(decontam.Index([(0, " ".join(item))], 80, 5, decontam.Walks()).search(" ".join(doc)))
+    assert found == trials
