@@ -271,7 +271,7 @@ h AS (SELECT y, r, p FROM (SELECT *, (v / sum(v) OVER (PARTITION BY y, r)) / (su
 SELECT y AS year, p AS id, round(q, 6) AS complexity FROM it WHERE i = 20""")
 def fc_by_year(spark, d):
     """Each year's network is solved in a task of its own."""
-    s = sales(spark, d).withColumn("year", F.year("l_shipdate")).where(F.col("year").isin(1995, 2000))
+    s = sales(spark, d).withColumn("year", F.year("l_shipdate"))
     v = s.groupBy("year", F.col("n_name").alias("row_id"), F.col("p_brand").alias("col_id")).agg(F.sum("value").alias("w"))
     rows, cols = v.groupBy("year", "row_id").agg(F.sum("w").alias("wr")), v.groupBy("year", "col_id").agg(F.sum("w").alias("wc"))
     whole = rows.groupBy("year").agg(F.sum("wr").alias("wa"))
@@ -394,7 +394,7 @@ def effective_rank(spark, d):
 
 @query("null_model_pvalue")
 def null_model_pvalue(spark, d):
-    return rounded(cm.eigengap_null_model(flagship(spark, d), 20))
+    return rounded(cm.eigengap_null_model(flagship(spark, d)))
 
 
 @query("community_labels")
@@ -589,7 +589,8 @@ def missing_codes(spark, d):
 
 @query("exclude_aggregates", "SELECT c AS country_code FROM (VALUES ('FRA'), ('EUU'), ('WLD'), ('LIE')) v(c) WHERE c NOT IN ('EUU', 'WLD')")
 def exclude_aggregates(spark, d):
-    return rd.without_aggregates(spark.createDataFrame([("FRA",), ("EUU",), ("WLD",), ("LIE",)], "country_code string"))
+    """The codes of the whole indicator table but for aggregates."""
+    return rd.without_aggregates(indicator(spark, d)).select("country_code").distinct()
 
 
 @query("json_props_flatten", "SELECT event_id, (props::JSON ->> '$.k')::INT AS k FROM events WHERE (props::JSON ->> '$.k') IS NOT NULL")

@@ -27,3 +27,36 @@ def test_affinities_above_a_threshold(spark):
     assert len(got) == 25 and got[4, 4] is None and got[1, 5] is None and got[5, 5] == 1.0
     near = {(r.a, r.b) for r in cm.affinity_rbf(pts, 1.0, min_weight=0.5).collect()}
     assert near == {k for k, w in got.items() if w is not None and w >= 0.5}
+
+
+def test_every_year_is_solved(spark, sf):
+    got = registry.queries()["fc_by_year"](spark, sf).toPandas()
+    sold = duckdb.sql(f"""SELECT year(l_shipdate)::INT y, n_name r, p_brand p, sum(l_extendedprice * (1 - l_discount))::DOUBLE v FROM '{sf}/lineitem.parquet'
+      JOIN '{sf}/supplier.parquet' ON l_suppkey = s_suppkey JOIN '{sf}/nation.parquet' ON s_nationkey = n_nationkey JOIN '{sf}/part.parquet' ON l_partkey = p_partkey GROUP BY 1, 2, 3""").df()
+    assert set(got.year) == set(sold.y) and len(set(sold.y)) > 2
+    for year, own in sold.groupby("y"):
+        w = own.pivot(index="r", columns="p", values="v").fillna(0.0)
+        x = w.to_numpy()
+        m = ((x / x.sum(1, keepdims=True)) / (x.sum(0) / x.sum()) >= 1).astype(float)
+        brands = w.columns[m.any(0)]
+        m = m[m.any(1)][:, m.any(0)]
+        q = np.ones(m.shape[1])
+        for _ in range(20):
+            f = np.maximum(m @ q, 1e-12)
+            q = 1 / np.maximum((1 / (f / f.mean())) @ m, 1e-12)
+            q = q / q.mean()
+        mine = got[got.year == year].set_index("id").complexity
+        assert sorted(mine.index) == sorted(brands)
+        assert np.allclose(mine[brands].to_numpy(float), q, atol=2e-6, rtol=1e-6)
+
+
+def test_null_model_takes_its_default_of_shuffles(spark, sf):
+    p = registry.queries()["null_model_pvalue"](spark, sf).first()
+    own = cm.eigengap_null_model(registry.flagship(spark, sf), 100).first()
+    assert (p.observed, p.p_value) == (round(own.observed, 6), round(own.p_value, 6))
+
+
+def test_aggregates_are_excluded_from_the_indicator_table(spark, sf):
+    got = [r.country_code for r in registry.queries()["exclude_aggregates"](spark, sf).collect()]
+    sql = f"SELECT DISTINCT n_name FROM '{sf}/orders.parquet' JOIN '{sf}/customer.parquet' ON o_custkey = c_custkey JOIN '{sf}/nation.parquet' ON c_nationkey = n_nationkey ORDER BY 1"
+    assert sorted(got) == [r[0] for r in duckdb.sql(sql).fetchall()]
