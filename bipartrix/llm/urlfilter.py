@@ -56,30 +56,71 @@ def joined_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(best, ["host", "path"], "left").withColumn("own", F.when(F.col("_b").isNotNull(), F.struct("_b.rule", "_b.verdict"))).drop("_b")
 
 
-def absolute(link: Column, url: Column) -> Column:
-    """``link`` resolved against the page's url, without fragment (plain forms only: absolute, ``//host``, ``/path``, sibling)."""
-    scheme, origin = F.regexp_extract(url, r"^([^:/?#]+)://", 1), F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*(?:/[^?#]*)?/)", 1)
-    link = F.regexp_replace(F.trim(link), "#.*$", "")
+def node_key(url: Column) -> Column:
+    """The url as a node of the alias graph: without fragment, A-Z of scheme and host lower-cased as in rules."""
+    url = F.regexp_replace(url, "(?s)#.*$", "")
+    head = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
+    return F.concat(F.translate(head, UPPER, LOWER), F.substring(url, F.length(head) + 1, F.length(url)))
+
+
+def unescaped(value: Column) -> Column:
+    """An attribute's value with its numeric character references and those of markup decoded, each once."""
+    token = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);"
+
+    def char(t: Column) -> Column:
+        number = F.when(t.rlike("^&#[xX]"), F.conv(F.regexp_extract(t, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(t, "^&#([0-9]+)", 1)).try_cast("int")
+        real = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number < 0x110000))
+        out = F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(t.startswith("&#"), t)
+        for name, c in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            out = out.when(t == f"&{name};", c)
+        return out
+
+    parts = F.zip_with(F.split(value, token), F.regexp_extract_all(value, F.lit(token), F.lit(0)), lambda p, t: F.concat(p, F.when(t.isNull(), "").otherwise(char(t))))
+    return F.when(value.contains("&"), F.array_join(parts, "")).otherwise(value)
+
+
+def without_dots(path: Column) -> Column:
+    """A path from ``/`` on without ``.`` and ``..`` segments (RFC 3986, 5.2.4)."""
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    parts = F.split(F.concat(path, F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")), "/")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array().cast("array<string>"), step)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolved(links: DataFrame) -> DataFrame:
+    """(u, v) of (u, _l): each link resolved against the page's url u as RFC 3986 (5.2) says, as a node.
+
+    Links that are empty or name a scheme without a host are left out. Steps are
+    columns of their own, for an expression that repeats them would grow without bound.
+    """
+    d = links.withColumn("_l", unescaped(F.col("_l"))).withColumn("_l", F.regexp_replace(F.trim("_l"), "(?s)#.*$", ""))
+    d = d.withColumn("_o", F.regexp_extract("u", r"^([^:/?#]+://[^/?#]*)", 1)).withColumn("_p", F.regexp_extract("u", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1))
+    link, origin = F.col("_l"), F.col("_o")
     whole = (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+        .when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("//"), F.concat(F.regexp_extract("u", r"^([^:/?#]+)://", 1), F.lit(":"), link))
         .when(link.startswith("/"), F.concat(origin, link))
-        .otherwise(F.concat(F.when(folder == "", F.concat(origin, F.lit("/"))).otherwise(folder), link))
+        .when(link.startswith("?"), F.concat(origin, "_p", link))
+        .otherwise(F.concat(origin, F.when(F.col("_p") == "", "/").otherwise(F.regexp_extract("_p", "(?s)^(.*/)", 1)), link))
     )
-    return F.when((link != "") & (origin != ""), whole)
+    d = d.where((link != "") & (origin != "")).select("u", whole.alias("_w")).where("_w IS NOT NULL")
+    d = d.withColumn("_h", F.regexp_extract("_w", r"^([^:/?#]+://[^/?#]*)", 1)).withColumn("_p", F.regexp_extract("_w", r"^[^:/?#]+://[^/?#]*([^?#]*)", 1))
+    rest = F.substring(F.col("_w"), F.length("_h") + F.length("_p") + 1, F.length("_w"))
+    return d.select("u", F.concat(F.translate("_h", UPPER, LOWER), without_dots(F.col("_p")), rest).alias("v"))
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
     """(u, v): edges from the pages' html: ``<link rel=canonical href>`` and ``<meta http-equiv=refresh>``."""
-    html, url = text_or_empty("html"), F.regexp_replace(text_or_empty("url"), "#.*$", "")
+    html, url = text_or_empty("html"), node_key(text_or_empty("url"))
     pick = lambda tags, want, value: F.transform(F.filter(tags, lambda t: t.rlike(want)), lambda t: F.regexp_extract(t, value, 1))
-    links = F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]{0,4000}>"), F.lit(0))
-    metas = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]{0,4000}>"), F.lit(0))
+    links = F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0))
+    metas = F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
     canonical = pick(links, r"(?i)\brel\s*=\s*[\"']?canonical\b", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
     refresh = pick(metas, r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
     may = F.lower(html).rlike("canonical|refresh")
-    return pages.where(may).select(url.alias("u"), F.explode(F.concat(canonical, refresh)).alias("_l")).select("u", absolute(F.col("_l"), F.col("u")).alias("v")).where("v IS NOT NULL AND u <> ''")
+    found = pages.where(may).select(url.alias("u"), F.explode(F.concat(canonical, refresh)).alias("_l"))
+    return resolved(found.where("u <> ''"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -98,10 +139,9 @@ def judge_urls(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataF
         base = joined_rule(base, table)
     edges = alias_links(pages)
     if redirects is not None:
-        clean = lambda c: F.regexp_replace(F.col(c), "#.*$", "")
-        edges = edges.unionByName(redirects.select(clean("source").alias("u"), clean("target").alias("v")))
+        edges = edges.unionByName(redirects.select(node_key(F.col("source")).alias("u"), node_key(F.col("target")).alias("v")))
     classes = connected_components(edges)
-    base = base.withColumn("_u", F.regexp_replace(F.col("url"), "#.*$", ""))
+    base = base.withColumn("_u", node_key(F.col("url")))
     members = base.join(classes.select(F.col("node").alias("_u"), "root"), "_u", "left")
     # A class's decision also counts aliases that were never crawled: they are judged by their own url.
     urls = classes.select(F.col("node"), "root", url_host(F.col("node")).alias("host"), url_path(F.col("node")).alias("path"))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from bipartrix.llm import decontam
+from bipartrix.llm import decontam, urlfilter
 
 
 def prose(rng, n):
@@ -51,3 +51,25 @@ def test_long_items_are_found_at_the_limit(n, kind, trials):
         doc = rng.choices(lex, k=100) + v + rng.choices(lex, k=100)
         found += bool(decontam.Index([(0, " ".join(item))], 80, 5, decontam.Walks()).search(" ".join(doc)))
     assert found == trials
+
+
+def test_alias_links_resolve(spark):
+    tag = '<link rel=canonical href="{}">'.format
+    cases = [  # page, html, its alias
+        ("HTTP://Example.com/A", tag("b"), "http://example.com/b"),
+        ("http://x.org/a/b/c", tag("../d"), "http://x.org/a/d"),
+        ("http://x.org/a/b/c", tag("./d"), "http://x.org/a/b/d"),
+        ("http://x.org/a/b/c", tag("../../../d/."), "http://x.org/d/"),
+        ("http://x.org/a/b?y", tag("?x=1"), "http://x.org/a/b?x=1"),
+        ("http://x.org/a", tag("?x=1&amp;y=&#50;&#x33;&amp;amp;"), "http://x.org/a?x=1&y=23&amp;"),
+        ("http://x.org", tag("d#e"), "http://x.org/d"),
+        ("http://x.org/a", tag("HTTPS://Y.org/./Q?../z"), "https://y.org/Q?../z"),
+        ("http://x.org/a", "<link " + "data-x='" + "x" * 5000 + "' rel=canonical href=/long>", "http://x.org/long"),
+        ("http://x.org/a", tag("mailto:me"), None),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = sorted((r.u, r.v) for r in urlfilter.alias_links(pages).collect())
+    assert got == sorted((u.replace("HTTP://Example", "http://example"), v) for u, _, v in cases if v)
+    rows = [(1, "HTTP://B.org/p/../a", '<link rel=canonical href="../A.html">'), (2, "http://b.org/x/y", tag("//X.net/es/1")), (3, "http://B.org/x/y", "")]
+    out = {r.page_id: r.verdict for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), [("net", "/es/", "block")]).collect()}
+    assert out == {1: "allow", 2: "block", 3: "block"}
