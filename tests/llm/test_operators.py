@@ -263,6 +263,42 @@ def test_near_duplicates(spark, k):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_minhash_crowded_group(spark):
+    """Near copies that share bands but often no link: the same components as all pairs give."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    out = []
+    for _ in range(500):
+        w = list(base)
+        for _ in range(rng.choice([0, 2, 6, 9, 12, 16, 20, 24])):
+            kind, at = rng.random(), rng.randrange(len(w))
+            if kind < 0.4:
+                w[at] = f"w{rng.randrange(500)}"
+            elif kind < 0.7:
+                del w[at]
+            else:
+                w.insert(at, rng.choice(base))
+        out.append(" ".join(w))
+    sets = [set(zip(t.split(), t.split()[1:], strict=False)) for t in out]
+    root = list(range(len(out)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(out)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    d = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    want = {i: find(i) for i in range(len(out))}
+    assert len(set(want.values())) > 50  # many are alone
+    for rounds in (0, 2):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(d, 2, 80, pivot_rounds=rounds).collect()} == want
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(3)
     for n in (4, 100, 1000):
