@@ -7,7 +7,9 @@ recomputation, and no data stay on one machine only.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -99,15 +101,28 @@ def holds(name: str, forget: Callable[[], None]) -> None:
 
 def only(name: str) -> None:
     """Drop what other operators keep in this worker: an executor's memory then doesn't add up over a pipeline."""
+    pa.set_memory_pool(pa.system_memory_pool())  # one heap, which trim() can shrink
     for other in [x for x in _held if x != name]:
         _held.pop(other)()
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, more of them than run at a time."""
+    POWERS.reset()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its heap stays as it is
+        pass
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in pieces, so that a task never holds a large batch's rows as Python objects at once."""
     for b in batches:
         for a in range(0, b.num_rows, rows):
             yield b.slice(a, rows)
+        del b
+    trim()
 
 
 # --- 64-bit mixing, the same on every executor -----------------------------------
@@ -144,6 +159,9 @@ class PowerTable:
     """Powers of BASE and of its inverse mod 2**64, grown when a longer text comes."""
 
     def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -54,5 +54,5 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v") -> Da
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     release(e)
     if labels is None:
-        return edges.sparkSession.createDataFrame([], edges.select(F.col(src).alias("node"), F.col(src).alias("root")).schema)
+        return edges.sparkSession.range(0).select(F.lit(None).cast(kind).alias("node"), F.lit(None).cast(kind).alias("root"))
     return labels

@@ -15,6 +15,7 @@ but the matches. Items are handled in blocks of bounded size.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -91,8 +92,11 @@ class Walks:
         return key
 
 
-def infix_distance(item: list[int], text: list[int]) -> tuple[int, int]:
-    """Least edit distance of ``item`` to a stretch of ``text``, and the first end of such a stretch (Myers' bit vectors)."""
+def infix_distance(item: list[int], text: list[int], from_start: bool = False) -> tuple[int, int]:
+    """Least edit distance of ``item`` to a stretch of ``text``, and the first end of such a stretch (Myers' bit vectors).
+
+    With ``from_start`` the stretch begins where the text does.
+    """
     n = len(item)
     top, mask = 1 << (n - 1), (1 << n) - 1
     where: dict[int, int] = {}
@@ -105,7 +109,7 @@ def infix_distance(item: list[int], text: list[int]) -> tuple[int, int]:
         zero = (((eq & up) + up) ^ up) | eq | down
         plus, minus = down | ~(zero | up) & mask, up & zero
         score += bool(plus & top) - bool(minus & top)
-        plus, minus = plus << 1 & mask, minus << 1 & mask
+        plus, minus = (plus << 1 | from_start) & mask, minus << 1 & mask
         up, down = minus | ~(zero | plus) & mask, plus & zero
         if score < best:
             best, end = score, j + 1
@@ -208,10 +212,13 @@ class Index:
             if p <= done:
                 continue
             a, z = max(0, p - 2 * k), min(len(ids), p + n + 3 * k)
-            d, end = infix_distance(self.words[i], ids[a:z].tolist())
+            near = ids[a:z].tolist()
+            d, end = infix_distance(self.words[i], near)
             done = p + k  # later windows up to here lie in the stretch just read
             if d <= k:
-                found = (d, base + max(0, a + end - n))
+                # Backwards from its end, the shortest stretch at that distance says where it starts.
+                back = infix_distance(self.words[i][::-1], near[:end][::-1], from_start=True)[1]
+                found = (d, base + a + end - back)
                 best[i] = min(best.get(i, found), found)
         return i in best and best[i][0] == 0
 
@@ -237,12 +244,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity_pct: int = 80, min_
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     schema = f"doc_id {kind}, item_id {item_kind}, {RESULT}"
-    out = spark.createDataFrame([], schema)
+    found = []
     for n in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
         rows = [tuple(r) for r in mine.orderBy("item_id", "text").collect()]  # about BLOCK_BYTES
         if rows:
-            out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_searcher(rows, similarity_pct, min_words, walks, items.schema["item_id"].dataType), schema))
+            found.append(docs.select("doc_id", "text").mapInArrow(_searcher(rows, similarity_pct, min_words, walks, items.schema["item_id"].dataType), schema))
+    # Without any item there is no leak: an empty table of the same columns.
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    none = docs.limit(0).select("doc_id").crossJoin(items.limit(0).select("item_id")).select("*", *[F.lit(0).cast(k).alias(c) for c, k in (x.strip().split(" ") for x in RESULT.split(","))]) if not found else None
+    out = functools.reduce(DataFrame.unionByName, found) if found else none.select(*names)
     return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bipartrix.llm import tokens
-from bipartrix.llm.common import materialise, running_totals
+from bipartrix.llm.common import materialise, running_totals, slices
 
 #: (times, [(length, how many in the window)])
 Plan = tuple[int, list[tuple[int, int]]]
@@ -86,33 +86,31 @@ def places(plans: list[Plan]) -> dict[str, np.ndarray]:
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool) -> DataFrame:
     """Pieces of the documents: whole windows, then the rest; rank counts pieces of equal length in a partition."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                b = whole.slice(a, 1000)
-                row, start, length, crc, total, rank, ids = [], [], [], [], [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    raw = memoryview(encode(t) + end)
-                    n = len(raw) // 4
-                    for s in range(0, n, capacity):
-                        m = min(capacity, n - s)
-                        piece = raw[4 * s : 4 * (s + m)]
-                        row.append(i)
-                        start.append(s)
-                        length.append(m)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        rank.append(seen.get(m, 0))
-                        seen[m] = rank[-1] + 1
-                        ids.append(bytes(piece) if with_ids else None)
-                nums = [pa.array(x, pa.int64()) for x in (start, length, crc, total, rank)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(row, pa.int64())), *nums, pa.array([part] * len(row), pa.int32()), pa.array(ids, pa.binary())],
-                    ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "pid", "ids"],
-                )
+        encode, part, seen = tokens.encoder(tokenizer).encode_all, TaskContext.get().partitionId(), {}
+        for b in slices(batches):
+            row, start, length, crc, total, rank, ids = [], [], [], [], [], [], []
+            flat, counts = encode(b.column(1).cast(pa.binary()).to_pylist(), end_id)
+            raw, at = memoryview(flat.astype("<u4").tobytes()), 0
+            for i, n in enumerate(counts.tolist()):
+                for s in range(0, n, capacity):
+                    m = min(capacity, n - s)
+                    piece = raw[4 * (at + s) : 4 * (at + s + m)]
+                    row.append(i)
+                    start.append(s)
+                    length.append(m)
+                    crc.append(zlib.crc32(piece))
+                    total.append(n)
+                    rank.append(seen.get(m, 0))
+                    seen[m] = rank[-1] + 1
+                    ids.append(bytes(piece) if with_ids else None)
+                at += n
+            nums = [pa.array(x, pa.int64()) for x in (start, length, crc, total, rank)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(row, pa.int64())), *nums, pa.array([part] * len(row), pa.int32()), pa.array(ids, pa.binary())],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank", "pid", "ids"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, pid int, ids binary")
 

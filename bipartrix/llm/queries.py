@@ -27,7 +27,8 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = warc.archive_pages(pages, min_bytes=0)
     # A file to a task; the names are few.
     read = warc.read_warc(written.repartition(max(1, written.count())), with_data=False)
-    page = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast(pages.schema["page_id"].dataType)
+    # A row without page_id is named "null", which is no number.
+    page = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast(pages.schema["page_id"].dataType)
     return warc.record_summary(read).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 

@@ -1,89 +1,175 @@
 """An adaptive range coder for token ids that codes many independent blocks in step.
 
-Each block starts from the same empty model and is a lane of numpy vectors; a
-step codes one id of every block. The model predicts the id from the last two
-ids, from the last one, and from the block's counts (orders 2, 1 and 0). What
-each order's record says of its own prediction is mixed in the logistic domain
-with weights that each block learns; the mix is the frequency of "order 2 is
-right", and orders 1 and 0 share what is left, then comes a literal. All of it
-is integer arithmetic, so any machine decodes what another wrote.
+A block is a lane of numpy vectors; a step codes one id of every block. The
+model predicts the id from the last two ids, from the last one, and from the
+id counts of the group of blocks (orders 2, 1 and 0). Orders 2 and 1 start
+empty in each block and name the id that followed their context before; what
+their records say of these guesses is mixed in the logistic domain with weights
+that each block learns. The mix is the chance of order 2's guess; orders 1 and
+0 share what is left. Order 0 gives every id its share of the group's counts,
+which the group's head carries, so a block needs no other block to be read.
+All of it is integer arithmetic, so any machine decodes what another wrote.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Ids in a block, and slots of its prediction tables.
-BLOCK = 2048
-SLOTS = 2048
-#: Blocks coded in step; bounds the coder's memory (about 45 kB each).
+#: Ids in a block, and the cells of its prediction table: one for an id as last, three for what came before it.
+BLOCK = 1024
+CELLS, CELL = 128, 4
+#: Blocks coded in step; bounds the coder's memory (about 10 kB each).
 LANES = 4096
+#: Bits of order 0's shares, and of those of the three orders.
+SHARE_BITS, MIX_BITS = 20, 12
+#: Different ids that a group may hold.
+MOST_IDS = 1 << (SHARE_BITS - 1)
 
 U = np.uint64
-TOP, BOTTOM, UNIT = U(1 << 48), U(1 << 32), U(16)
+TOP, BOTTOM, UNIT, SCALE, TOP_SHIFT = U(1 << 48), U(1 << 32), U(16), U(SHARE_BITS + MIX_BITS), U(48)
+WHOLE, LITERAL = 1 << MIX_BITS, U(SHARE_BITS)
 
 _p = (np.arange(4096) + 0.5) / 4096
 STRETCH = np.round(np.log(_p / (1 - _p)) * 256).astype(np.int32)  # fixed values: ln(p / (1 - p)), 8 fractional bits
 SQUASH = np.round(4095 / (1 + np.exp(-(np.arange(-2048, 2048) / 256)))).astype(np.int32).clip(1, 4094)
+#: Chances in 4096 that a guess of some confidence starts with.
+FIRST = np.array([64, 512, 1024, 1536, 2048, 2560, 3072, 3584], np.int32)
+#: Weights are held in bounds once in so many steps; in between they can't leave 32 bits.
+BOUND_EVERY = 16
+
+
+class Shares:
+    """Order 0: ids by rank in ascending order, with their shares of 1 << SHARE_BITS."""
+
+    def __init__(self, ids: np.ndarray, share: np.ndarray):
+        self.ids, self.share = ids, share.astype(U)
+        self.first = np.cumsum(self.share, dtype=U) - self.share
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Shares:
+        """From the number of times that each id from 0 on occurs: every id that does gets 1 at least."""
+        ids = np.flatnonzero(counts)
+        if len(ids) > MOST_IDS:
+            raise ValueError(f"more than {MOST_IDS} different ids in a group")
+        n = counts[ids].astype(np.int64)
+        share = np.maximum(1, n * ((1 << SHARE_BITS) - len(ids)) // max(1, int(n.sum())))
+        if len(ids):
+            share[int(n.argmax())] += (1 << SHARE_BITS) - int(share.sum())
+        return cls(ids, share)
+
+    def by_place(self) -> np.ndarray:
+        """The rank at each place of 1 << SHARE_BITS."""
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.share.astype(np.int64))
 
 
 class Model:
-    """Predictions and adaptive statistics of n lanes."""
+    """Guesses and adaptive statistics of n lanes; axis 0 is order 2, then order 1."""
 
     def __init__(self, n: int):
-        self.row = np.arange(n, dtype=np.int64) * SLOTS
-        self.guess1, self.guess2 = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)
-        self.sure1, self.sure2 = np.zeros(n * SLOTS, np.int8), np.zeros(n * SLOTS, np.int8)
-        self.count = np.zeros(n * SLOTS, np.int16)
-        self.best, self.most = np.zeros(n, np.int32), np.zeros(n, np.int16)
-        # 12-bit chances by confidence, one set for each order and lane.
-        self.right = [np.full(n * 8, 1024, np.int32) for _ in range(3)]
-        self.lane8 = np.arange(n, dtype=np.int64) * 8
+        two = np.arange(2, dtype=np.int64)[:, None] * n + np.arange(n)
+        # An entry is a guess above 3 bits of confidence. Both orders' entries lie in one cell, so in one cache line.
+        self.table, self.base = np.zeros(n * CELLS * CELL, np.int32), np.arange(n, dtype=np.int64) * (CELLS * CELL)
+        self.right, self.rbase = np.tile(FIRST, 2 * n), two * 8  # 12-bit chances by confidence
         self.weight = np.full((2, n), 1 << 15, np.int32)
-        self.last, self.before = np.zeros(n, np.int32), np.zeros(n, np.int32)
-
-    def predict(self, k: int) -> tuple[np.ndarray, ...]:
-        """Candidate ids of orders 2, 1, 0 of the first k lanes, and the ends of their shares of 65536."""
-        last = self.last[:k].astype(np.int64)
-        self.at1 = self.row[:k] + (last * 40503 >> 4 & SLOTS - 1)
-        self.at2 = self.row[:k] + ((last * 30011 + self.before[:k] * 51787) >> 3 & SLOTS - 1)
-        g2, g1, g0 = self.guess2[self.at2], self.guess1[self.at1], self.best[:k]
-        self.c = [self.lane8[:k] + self.sure2[self.at2], self.lane8[:k] + self.sure1[self.at1], self.lane8[:k] + np.minimum(self.most[:k] >> 3, 7)]
-        chance2, chance1, chance0 = (r[c] for r, c in zip(self.right, self.c, strict=True))
-        # If orders 2 and 1 agree, order 1's record speaks for the same id; else against it.
-        self.agree = g1 == g2
-        s2, s1 = STRETCH[chance2], np.where(self.agree, STRETCH[chance1], 0)
-        self.inputs = s2, s1
-        dot = (self.weight[0, :k] * s2 + self.weight[1, :k] * s1) >> 16
-        self.mixed = SQUASH[np.clip(dot, -2047, 2047) + 2048]
-        f2 = self.mixed << 4
-        rest = 65536 - f2
-        # Whatever can be coded has a share of at least 1: rest is 32 or more.
-        f1 = np.where(self.agree, 0, 1 + ((rest - 3) * chance1 >> 12))
-        f0 = np.where((g0 == g2) | (g0 == g1), 0, 1 + ((rest - f1 - 2) * chance0 >> 13))
-        return g2, g1, g0, f2, f2 + f1, f2 + f1 + f0
-
-    def update(self, k: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> None:
-        for r, c, hit in zip(self.right, self.c, (hit2, hit1, hit0), strict=True):
-            r[c] = (r[c] + ((hit.astype(np.int32) * 4095 - r[c]) >> 4)).clip(1, 4094)
-        err = hit2.astype(np.int32) * 4095 - self.mixed
-        for i in (0, 1):
-            self.weight[i, :k] = (self.weight[i, :k] + (self.inputs[i] * err >> 10)).clip(-(1 << 17), 1 << 17)
-        for guess, sure, at, hit in ((self.guess2, self.sure2, self.at2, hit2), (self.guess1, self.sure1, self.at1, hit1)):
-            s = sure[at]
-            guess[at] = np.where(hit | (s > 1), guess[at], ids)
-            sure[at] = np.where(hit, np.minimum(s + 1, 7), s >> 1)
-        at = self.row[:k] + (ids * np.int64(40503) >> 2 & SLOTS - 1)
-        n = self.count[at] + 1
-        self.count[at] = n
-        new = n >= self.most[:k]
-        self.best[:k] = np.where(new, ids, self.best[:k])
-        self.most[:k] = np.where(new, n, self.most[:k])
-        self.before[:k], self.last[:k] = self.last[:k].copy(), ids
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """A string of 16-bit little-endian words for each block of up to BLOCK ids below 65536; the longest blocks first."""
+        self.context, self.last = np.zeros((2, n), np.int32), np.ones(n, np.int32)
+        self.step = 0
+
+    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Guesses (2, k) of the first k lanes, and the shares of order 2 and of order 1 in WHOLE, and what they leave."""
+        self.at = self.base[:k] + self.context[:, :k]
+        self.entry = self.table.take(self.at)
+        self.sure = self.entry & 7
+        guess = self.entry >> 3
+        self.c = self.rbase[:, :k] + self.sure
+        self.chance = self.right.take(self.c)
+        s = self.inputs = STRETCH.take(self.chance)
+        # If the guesses agree, order 1's record speaks for the same id.
+        apart = guess[0] != guess[1]
+        s[1] *= apart
+        w = self.weight
+        dot = w[0, :k] * s[0]
+        dot += w[1, :k] * s[1]
+        dot >>= 16
+        dot += 2048
+        self.mixed = SQUASH.take(dot, mode="clip")
+        rest = WHOLE - self.mixed
+        # Whatever can be coded has a share of at least 1: rest is 2 or more.
+        f1 = rest - 2
+        f1 *= self.chance[1]
+        f1 >>= 12
+        f1 += 1
+        f1 *= apart
+        rest -= f1
+        return guess, self.mixed, f1, rest
+
+    def update(self, k: int, x: np.ndarray, hit: np.ndarray) -> None:
+        goal = hit * np.int32(4095)
+        err = goal[0] - self.mixed
+        goal -= self.chance
+        goal >>= 4
+        goal += self.chance
+        self.right[self.c] = goal
+        w, pull = self.weight[:, :k], self.inputs
+        pull *= err
+        pull >>= 10
+        w += pull
+        self.step += 1
+        if self.step % BOUND_EVERY == 0:
+            np.clip(w, -(1 << 17), 1 << 17, out=w)
+        # A hit adds confidence, a miss halves it; a guess of little confidence gives way.
+        sure, new = self.sure, self.entry
+        less = sure >> 1
+        up = np.where(hit, sure < 7, less - sure)
+        new += up
+        np.copyto(new, (x << 3) | less, where=~(hit | (sure > 1)))
+        self.table[self.at] = new
+        context, last = self.context[:, :k], self.last[:k]
+        np.right_shift(x * np.int32(40503), 2, out=context[1])
+        context[1] &= (CELLS - 1) * CELL
+        np.add(context[1], last, out=context[0])
+        last[:] = x
+        last *= np.int32(30011)
+        last >>= 5
+        last &= 255
+        last *= 3
+        last >>= 8
+        last += 1
+
+
+def span(x: np.ndarray, hit: np.ndarray, f2: np.ndarray, f1: np.ndarray, f0: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of what codes the ids of rank x, in 1 << SCALE."""
+    u0, u1, u2 = f0.astype(U), f1.astype(U) << LITERAL, f2.astype(U) << LITERAL
+    start, size = u0 * shares.first.take(x), u0 * shares.share.take(x)
+    start += u1
+    start += u2
+    second = hit[1] & ~hit[0]
+    np.copyto(start, u2, where=second)
+    np.copyto(size, u1, where=second)
+    np.copyto(start, U(0), where=hit[0])
+    np.copyto(size, u2, where=hit[0])
+    return start, size
+
+
+def settled(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Which lanes have their upper 16 bits settled."""
+    end = low + wide
+    end ^= low
+    return end < TOP
+
+
+def too_narrow(low: np.ndarray, wide: np.ndarray) -> np.ndarray | None:
+    """Which lanes must give up 16 bits before the next id, if any is too narrow; such a one ends its range at the next border."""
+    short = wide < BOTTOM
+    if not short.any():
+        return None
+    same = settled(low, wide)
+    short &= ~same
+    wide[short] = (~low[short] + U(1)) & (BOTTOM - U(1))
+    return same | short
+
+
+def encode(blocks: list[np.ndarray], shares: Shares) -> list[bytes]:
+    """A string of 16-bit little-endian words for each block of up to BLOCK ranks; the longest blocks first."""
     n, size = len(blocks), [len(b) for b in blocks]
     ids = np.zeros((max(size, default=0), n), np.int32)
     for i, b in enumerate(blocks):
@@ -92,104 +178,73 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     model, low, wide = Model(n), np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U)
     cap = 2 * len(ids) + 8
     out, pos = np.zeros(n * cap, np.uint16), np.arange(n, dtype=np.int64) * cap
-
-    def emit(low: np.ndarray, wide: np.ndarray, lanes: np.ndarray) -> None:
-        while True:
-            same = (low ^ (low + wide)) < TOP
-            short = wide < BOTTOM
-            if short.any():
-                short &= ~same
-                wide[short] = (~low[short] + U(1)) & (BOTTOM - U(1))
-                same |= short
-            at = np.flatnonzero(same)
-            if not len(at):
-                return
-            to = pos[lanes[at]]
-            out[to] = (low[at] >> U(48)).astype(np.uint16)
-            pos[lanes[at]] = to + 1
-            low[at] <<= UNIT
-            wide[at] <<= UNIT
-
-    every = np.arange(n)
     with np.errstate(over="ignore"):
         for t in range(len(ids)):
             k = int(alive[t])
             x = ids[t, :k]
-            g2, g1, g0, e2, e1, e0 = model.predict(k)
-            hit2, hit1, hit0 = x == g2, x == g1, x == g0
-            start = np.where(hit2, 0, np.where(hit1, e2, np.where(hit0, e1, e0)))
-            end = np.where(hit2, e2, np.where(hit1, e1, np.where(hit0, e0, 65536)))
-            lo, wi = low[:k], wide[:k]
-            unit = wi >> UNIT
-            lo += unit * start.astype(U)
-            wi[:] = unit * (end - start).astype(U)
-            emit(lo, wi, every)
-            lit = np.flatnonzero(start == e0)
-            if len(lit):
-                lo2, unit = lo[lit], wi[lit] >> UNIT
-                lo2 += unit * x[lit].astype(U)
-                emit(lo2, unit, lit)
-                lo[lit], wi[lit] = lo2, unit
-            model.update(k, x, hit2, hit1, hit0)
+            guess, f2, f1, f0 = model.predict(k)
+            hit = guess == x
+            start, size_ = span(x, hit, f2, f1, f0, shares)
+            lo, wi, at = low[:k], wide[:k], pos[:k]
+            unit = wi >> SCALE
+            start *= unit
+            lo += start
+            np.multiply(unit, size_, out=wi)
+            same = settled(lo, wi)
+            while same is not None:
+                out[at] = lo >> TOP_SHIFT  # where nothing is settled, the next word takes the place
+                at += same
+                shift = same.astype(U)
+                shift <<= U(4)
+                lo <<= shift
+                wi <<= shift
+                same = too_narrow(lo, wi)
+            model.update(k, x, hit)
         for _ in range(4):
-            out[pos] = (low >> U(48)).astype(np.uint16)
+            out[pos] = low >> TOP_SHIFT
             pos += 1
             low <<= UNIT
     return [out[i * cap : p].astype("<u2").tobytes() for i, p in enumerate(pos.tolist())]
 
 
-def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode(coded: list[bytes], sizes: list[int], shares: Shares) -> list[np.ndarray]:
     """The blocks again, from their strings and numbers of ids; longest first."""
     n, steps = len(coded), max(sizes, default=0)
-    words = np.concatenate([np.frombuffer(c, "<u2") for c in coded] + [np.zeros(8, np.uint16)]).astype(U) if n else np.zeros(8, U)
+    words = np.concatenate([np.frombuffer(c, "<u2") for c in coded] + [np.zeros(8, np.uint16)]) if n else np.zeros(8, np.uint16)
     pos = np.cumsum([0, *[len(c) // 2 for c in coded]])[:-1].astype(np.int64)
     alive = np.searchsorted(-np.array(sizes), -np.arange(steps), side="left")
     model, low, wide, code = Model(n), np.zeros(n, U), np.full(n, 0xFFFFFFFFFFFFFFFF, U), np.zeros(n, U)
-    ids = np.zeros((steps, n), np.int32)
+    ids, by_place, most = np.zeros((steps, n), np.int32), shares.by_place(), U((1 << SHARE_BITS) - 1)
     for _ in range(4):
         code = code << UNIT | words[pos]
         pos += 1
-
-    def take(low: np.ndarray, wide: np.ndarray, code: np.ndarray, lanes: np.ndarray) -> None:
-        while True:
-            same = (low ^ (low + wide)) < TOP
-            short = wide < BOTTOM
-            if short.any():
-                short &= ~same
-                wide[short] = (~low[short] + U(1)) & (BOTTOM - U(1))
-                same |= short
-            at = np.flatnonzero(same)
-            if not len(at):
-                return
-            p = pos[lanes[at]]
-            code[at] = code[at] << UNIT | words[p]
-            pos[lanes[at]] = p + 1
-            low[at] <<= UNIT
-            wide[at] <<= UNIT
-
-    every = np.arange(n)
     with np.errstate(over="ignore"):
         for t in range(steps):
             k = int(alive[t])
-            g2, g1, g0, e2, e1, e0 = model.predict(k)
-            lo, wi, co = low[:k], wide[:k], code[:k]
-            unit = wi >> UNIT
-            v = np.minimum((co - lo) // unit, U(65535)).astype(np.int32)
-            is2, is1, is0 = v < e2, v < e1, v < e0
-            start = np.where(is2, 0, np.where(is1, e2, np.where(is0, e1, e0)))
-            end = np.where(is2, e2, np.where(is1, e1, np.where(is0, e0, 65536)))
-            x = np.where(is2, g2, np.where(is1, g1, g0))
-            lo += unit * start.astype(U)
-            wi[:] = unit * (end - start).astype(U)
-            take(lo, wi, co, every)
-            lit = np.flatnonzero(~is0)
-            if len(lit):
-                lo2, co2, unit = lo[lit], co[lit], wi[lit] >> UNIT
-                got = np.minimum((co2 - lo2) // unit, U(65535))
-                x[lit] = got.astype(np.int32)
-                lo2 += unit * got
-                take(lo2, unit, co2, lit)
-                lo[lit], wi[lit], co[lit] = lo2, unit, co2
+            guess, f2, f1, f0 = model.predict(k)
+            lo, wi, co, at = low[:k], wide[:k], code[:k], pos[:k]
+            unit = wi >> SCALE
+            v = np.minimum((co - lo) // unit, U((1 << 32) - 1))
+            part = (v >> LITERAL).astype(np.int32)
+            e1 = f2 + f1
+            place = np.minimum((v - (e1.astype(U) << LITERAL)) // f0.astype(U), most)
+            x = np.where(part < f2, guess[0], np.where(part < e1, guess[1], by_place[place]))
+            hit = guess == x
+            start, size_ = span(x, hit, f2, f1, f0, shares)
+            start *= unit
+            lo += start
+            np.multiply(unit, size_, out=wi)
+            same = settled(lo, wi)
+            while same is not None:
+                shift = same.astype(U)
+                next_ = words.take(at) * shift
+                at += same
+                shift <<= U(4)
+                co <<= shift
+                co |= next_
+                lo <<= shift
+                wi <<= shift
+                same = too_narrow(lo, wi)
             ids[t, :k] = x
-            model.update(k, x, x == g2, x == g1, x == g0)
+            model.update(k, x, hit)
     return [ids[:s, i].copy() for i, s in enumerate(sizes)]

@@ -1,11 +1,13 @@
 """Token-id files in ascending doc_id order, in range-coded, checksummed blocks.
 
 A file is a row of groups. A group holds whole documents: a zlib'd JSON list of
-their doc_ids and id counts, then the blocks of their joined ids, each with its
-number of ids, its length and the CRC-32 of its ids, and each coded from an
-empty model. The range partitions of the doc_ids become one file each.
+their doc_ids and id counts, the different ids with their shares of the group,
+then the blocks of the joined ids, each with its number of ids, its length and
+the CRC-32 of its ids, and each coded from an empty model. The range partitions
+of the doc_ids become one file each.
 
-    group:  b"BXTG", uint32 bytes of index, uint32 number of blocks, index,
+    group:  b"BXT2", uint32 bytes of index, uint32 bytes of shares, uint32 number of blocks,
+            index, shares (zlib'd: the ids, then their shares, both uint32),
             then (uint32 ids, uint32 bytes, uint32 crc32) per block, then the blocks
 """
 
@@ -23,43 +25,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bipartrix.llm import files, rangecoder, tokens
-from bipartrix.llm.common import materialise, new_path, partitions, running_totals
-
-MAGIC = b"BXTG"
-#: Ids after which a group is closed: what the coder takes in one go.
-GROUP_IDS = rangecoder.BLOCK * rangecoder.LANES // 2
-
-
-def write_group(out, doc_ids: list, texts: list[bytes]) -> None:
-    index = zlib.compress(json.dumps([doc_ids, [len(t) // 4 for t in texts]]).encode(), 1)
-    ids = np.frombuffer(b"".join(texts), "<u4")
-    if len(ids) and ids.max() > 65535:
-        raise ValueError("ids must be below 65536")
-    # Small groups have shorter blocks: the coder is quick where many go in step.
-    size = min(rangecoder.BLOCK, max(256, len(ids) // 1024))
-    cut = [ids[a : a + size] for a in range(0, len(ids), size)]
+from bipartrix.llm.common import materialise, new_path, partitions, running_totals, slices
+
+MAGIC = b"BXT2"
+#: Ids that a group holds at most, unless a single document has more: what the coder takes in one go.
+GROUP_IDS = rangecoder.BLOCK * rangecoder.LANES
+#: Ids lie below this (the shares of a group's different ids need room beside each other).
+ID_LIMIT = rangecoder.MOST_IDS
+
+
+def write_group(out, doc_ids: list, counts: list[int], ids: np.ndarray) -> None:
+    if len(ids) and int(ids.max()) >= ID_LIMIT:
+        raise ValueError(f"ids must be below {ID_LIMIT}")
+    index = zlib.compress(json.dumps([doc_ids, counts]).encode(), 1)
+    shares = rangecoder.Shares.of(np.bincount(ids))
+    named = zlib.compress(shares.ids.astype("<u4").tobytes() + shares.share.astype("<u4").tobytes(), 6)
+    rank = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
+    rank[shares.ids] = np.arange(len(shares.ids))
+    cut = [ids[a : a + rangecoder.BLOCK] for a in range(0, len(ids), rangecoder.BLOCK)]
     coded: list[bytes] = []
     for a in range(0, len(cut), rangecoder.LANES):
-        coded += rangecoder.encode(cut[a : a + rangecoder.LANES])
-    out.write(MAGIC + struct.pack("<II", len(index), len(cut)) + index)
-    out.write(b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.tobytes())) for b, c in zip(cut, coded, strict=True)))
+        coded += rangecoder.encode([rank[x] for x in cut[a : a + rangecoder.LANES]], shares)
+    out.write(MAGIC + struct.pack("<III", len(index), len(named), len(cut)) + index + named)
+    out.write(b"".join(struct.pack("<III", len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(cut, coded, strict=True)))
     for c in coded:
         out.write(c)
 
 
 def read_groups(raw) -> Iterator[tuple[list, list[int], np.ndarray]]:
     """(doc_ids, counts, ids) of each group; a wrong checksum is an error."""
-    while head := raw.read(12):
+    while head := raw.read(16):
         if head[:4] != MAGIC:
             raise ValueError("not a group of token ids")
-        size, n = struct.unpack("<II", head[4:])
+        size, named, n = struct.unpack("<III", head[4:])
         doc_ids, counts = json.loads(zlib.decompress(raw.read(size)))
+        ids, share = np.frombuffer(zlib.decompress(raw.read(named)), "<u4").reshape(2, -1)
+        shares = rangecoder.Shares(ids.astype(np.int64), share)
         blocks = np.frombuffer(raw.read(12 * n), "<u4").reshape(n, 3)
         got: list[np.ndarray] = []
         for a in range(0, n, rangecoder.LANES):
             part = blocks[a : a + rangecoder.LANES]
-            got += rangecoder.decode([raw.read(int(x)) for x in part[:, 1]], part[:, 0].tolist())
-        got = [x.astype("<u4") for x in got]
+            got += [ids[x] for x in rangecoder.decode([raw.read(int(x)) for x in part[:, 1]], part[:, 0].tolist(), shares)]
         if any(zlib.crc32(x.tobytes()) != c for x, c in zip(got, blocks[:, 2].tolist(), strict=True)):
             raise ValueError("a block's ids don't have its checksum")
         yield doc_ids, counts, np.concatenate(got) if got else np.zeros(0, "<u4")
@@ -67,30 +73,41 @@ def read_groups(raw) -> Iterator[tuple[list, list[int], np.ndarray]]:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, n_files: int) -> DataFrame:
     """Encode and write; (file_no, path) in ascending order of doc_id, nulls first."""
-    end = int(end_id).to_bytes(4, "little")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = tokens.encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = tokens.encoder(tokenizer).encode_all, TaskContext.get().partitionId()
         path = out = None
-        ids, texts, size = [], [], 0
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if out is None:
-                    path, out = files.create(folder, f"part-{part:05d}", ".tokens")
-                ids.append(i)
-                texts.append(encode(t.as_py()) + end)
-                size += len(texts[-1]) // 4
-                if size >= GROUP_IDS:
-                    write_group(out, ids, texts)
-                    ids, texts, size = [], [], 0
+        doc_ids, counts, ids, size = [], [], [], 0
+
+        def close_group() -> None:
+            write_group(out, doc_ids, counts, np.concatenate(ids))
+            for x in (doc_ids, counts, ids):
+                x.clear()
+
+        for b in slices(batches):
+            if out is None:
+                path, out = files.create(folder, f"part-{part:05d}", ".tokens")
+            flat, n = encode(b.column(1).cast(pa.binary()).to_pylist(), end_id)
+            names, ends, row, at = b.column(0).to_pylist(), np.cumsum(n), 0, 0
+            while row < len(n):
+                room = int(np.searchsorted(ends, at + GROUP_IDS - size, side="right"))
+                if room == row and size:  # the next document doesn't fit
+                    close_group()
+                    size = 0
+                    continue
+                to = max(room, row + 1)
+                doc_ids += names[row:to]
+                counts += n[row:to].tolist()
+                ids.append(flat[at : ends[to - 1]])
+                size += int(ends[to - 1]) - at
+                row, at = to, int(ends[to - 1])
         if out is not None:
-            if ids:
-                write_group(out, ids, texts)
+            close_group()
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path])], ["file_no", "path"])
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(n_files, *order).sortWithinPartitions(*order)
+    # The text itself stays out of the range key, of which the driver gets samples.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = docs.select("doc_id", "text").repartitionByRange(n_files, *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     return ranged.mapInArrow(run, "file_no int, path string")
 
 
@@ -119,8 +136,9 @@ def store_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id:
 
     A document's ids are its text's and ``end_id``; null texts count as empty.
     start counts the ids of all documents before it by doc_id (nulls first, ties
-    by text). doc_ids are integers or strings. Each row of ``docs`` is stored;
-    other columns are ignored; an empty table writes no file.
+    by a hash of the text, then the text). doc_ids are integers or strings, ids
+    lie below ID_LIMIT. Each row of ``docs`` is stored; other columns are ignored;
+    an empty table writes no file.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
