@@ -6,9 +6,11 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bipartrix.session import cut_lineage
+
 EDGES = "row_id string, col_id string, w double"
 
 
@@ -36,21 +38,38 @@ def edges_of(df: DataFrame, row: str, col: str, weight: str | None = None) -> Da
     return out.where("w <> 0")
 
 
-def dimension(df: DataFrame, label: str, name: str = "id") -> DataFrame:
-    """(idx, name): distinct labels, numbered from 0 in their order.
+def _in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Range partitions of a table with their number ``_p``; written out, as numbers taken from them must fit each other."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return cut_lineage(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def row_numbers(df: DataFrame, order: list[Column], name: str, first: int = 1) -> DataFrame:
+    """df with ``name``, the row's number in an order, from ``first`` on.
 
     Numbers come from a range partitioning: each partition counts on its own, and
     only the partitions' totals, a row each, are summed in one place.
     """
-    from pyspark.sql import Window
-
-    labels = df.select(F.col(label).alias(name)).where(F.col(name).isNotNull()).distinct()
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = labels.repartitionByRange(parts, name).withColumn("_p", F.spark_partition_id())
+    own = _in_order(df, order)
     totals = own.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = totals.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(name)) - 1
-    return own.join(F.broadcast(before), "_p").select((F.col("_b") + rank).cast("int").alias("idx"), name)
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + (first - 1)
+    return own.join(F.broadcast(before), "_p").withColumn(name, (F.col("_b") + rank).cast("int")).drop("_p", "_b")
+
+
+def sums_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """df with ``name``, the sum of ``value`` over the rows before it in an order; the same way."""
+    own = _in_order(df, order)
+    totals = own.groupBy("_p").agg(F.sum(value).alias("_n"))
+    before = totals.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    here = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return own.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + here).drop("_p", "_b")
+
+
+def dimension(df: DataFrame, label: str, name: str = "id") -> DataFrame:
+    """(idx, name): distinct labels, numbered from 0 in their order."""
+    labels = df.select(F.col(label).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return row_numbers(labels, [F.col(name)], "idx", 0).select("idx", name)
 
 
 def bundle(edges: DataFrame, source: str, **metadata: str) -> Bundle:

@@ -2,30 +2,90 @@
 
 With B = D_r^-1/2 M D_c^-1/2, the walk's second eigenvector is D_r^-1/2 times
 B's second left singular vector, and its eigenvalues are B's squared singular
-values; B is never multiplied out.
+values. A single network's spectrum comes from MLlib's distributed SVD of B's
+sparse rows; B is never made dense nor multiplied out.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.mllib.linalg import Vectors
+from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.operators.iterate import Sparse, fits_kernel, matvec, solve
+from bipartrix.model import dimension, transposed
+from bipartrix.operators.iterate import Alternation, Sparse, empty, matvec, relative_change, solve
+from bipartrix.operators.network import pearson
 from bipartrix.session import cut_lineage
 
 SCORES = "side string, id string, score double, lambda2 double, degenerate boolean"
 
+#: Ids of the smaller side up to which its singular vectors are held by the driver, as MLlib's SVD does.
+DRIVER_IDS = 2_000_000
+#: Ids of the smaller side up to which all eigenvalues can be asked for.
+WHOLE_SPECTRUM_IDS = 15_000
+
 
 def _scaled(pdf: pd.DataFrame) -> tuple[Sparse, np.ndarray, np.ndarray, np.ndarray]:
+    """For kernels of many small networks: the matrix, its margins and dense B."""
     m = Sparse(pdf)
     kr, kc = m.dot(np.ones(m.m)), m.tdot(np.ones(m.n))
     return m, kr, kc, m.dense() / np.sqrt(np.outer(kr, kc))
 
 
+@dataclass
+class Spectrum:
+    """Eigenvalues of the row walk, largest first, and B's singular vectors (id, k, vector) of either side; k is the id's degree."""
+
+    eigenvalues: list[float]
+    rows: DataFrame | None
+    cols: DataFrame | None
+
+
+def spectrum(edges: DataFrame, k: int, vectors: bool = False) -> Spectrum:
+    """The k leading eigenvalues (fewer where the smaller side is) and, if asked, singular vectors.
+
+    The sparse rows of B, oriented so that the smaller side gives the columns,
+    stay spread over the cluster; the driver holds vectors over the smaller side,
+    up to DRIVER_IDS ids. All eigenvalues of a side of over WHOLE_SPECTRUM_IDS
+    ids can't be asked for.
+    """
+    e = cut_lineage(edges.select("row_id", "col_id", "w"))
+    small, large = (cut_lineage(dimension(e, side)) for side in ("col_id", "row_id"))
+    m, n = small.count(), large.count()
+    flipped = n < m
+    if flipped:
+        e, small, large, m, n = transposed(e), large, small, n, m
+    if m == 0:
+        return Spectrum([], None, None)
+    k = min(k, m)
+    if m > DRIVER_IDS or (k > m // 2 and m > WHOLE_SPECTRUM_IDS):
+        raise ValueError(f"the smaller side has {m} ids: at most {DRIVER_IDS}, or {WHOLE_SPECTRUM_IDS} for over half of its eigenvalues")
+    kr, kc = (e.groupBy(side).agg(F.sum("w").alias(name)) for side, name in (("row_id", "kr"), ("col_id", "kc")))
+    own = kc.join(small.select(F.col("idx").alias("j"), F.col("id").alias("col_id")), "col_id")
+    cells = e.join(own, "col_id").join(kr, "row_id").join(large.select(F.col("idx").alias("i"), F.col("id").alias("row_id")), "row_id")
+    b = cells.select("i", F.struct("j", (F.col("w") / F.sqrt(F.col("kr") * F.col("kc"))).alias("x")).alias("c"))
+    lines = cut_lineage(b.groupBy("i").agg(F.array_sort(F.collect_list("c")).alias("c")))  # a line has as many cells as the smaller side has ids at most
+    matrix = IndexedRowMatrix(lines.rdd.map(lambda r: IndexedRow(r["i"], Vectors.sparse(m, [x["j"] for x in r["c"]], [x["x"] for x in r["c"]]))), n, m)
+    svd = matrix.computeSVD(k, computeU=vectors)
+    s = svd.s.toArray()
+    values = [*(s * s).tolist(), *[0.0] * (k - len(s))]  # those that are nought are left out there
+    if not vectors:
+        return Spectrum(values, None, None)
+    spark = edges.sparkSession
+    u = svd.U.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())).toDF("idx long, vector array<double>")
+    v = spark.createDataFrame([(i, x) for i, x in enumerate(svd.V.toArray().tolist())], "idx long, vector array<double>")
+    sides = [x.join(ids, "idx").join(deg, "id").select("id", "k", "vector") for x, ids, deg in ((u, large, kr.toDF("id", "k")), (v, small, kc.toDF("id", "k")))]
+    sides = [cut_lineage(x) for x in sides]
+    return Spectrum(values, *(sides[::-1] if flipped else sides))
+
+
 def standardised(x: np.ndarray) -> np.ndarray:
     return (x - x.mean()) / (x.std() + 1e-12)
 
@@ -42,15 +102,50 @@ def eci_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"side": ["row"] * m.n + ["col"] * m.m, "id": [*m.rows, *m.cols], "score": [*standardised(eci), *standardised(pci)], "lambda2": s[1] ** 2, "degenerate": degenerate})
 
 
-def eci_scores(edges: DataFrame, by: list[str] | None = None, n_iter: int = 300) -> DataFrame:
+def eci_scores(edges: DataFrame, by: list[str] | None = None, rows: DataFrame | None = None, cols: DataFrame | None = None) -> DataFrame:
     """(by..., side, id, score, lambda2, degenerate): ECI of rows and PCI of columns, each with mean 0 and deviation 1.
 
-    The sign makes ECI go with the rows' degrees. A single network beyond the
-    kernel's size is iterated instead.
+    The sign makes ECI go with the rows' degrees. rows and cols: optional (id)
+    tables of entities that may have no edge; those have a null score, of which a
+    warning tells. Where the smaller side has over DRIVER_IDS ids, the second
+    eigenvector is iterated by joins.
     """
-    if by or fits_kernel(edges):
+    if by:
         return solve(edges, eci_kernel, SCORES, by)
-    return eci_by_joins(edges, n_iter)
+    edges = cut_lineage(edges.select("row_id", "col_id", "w"))
+    n, m = (edges.select(side).distinct().count() for side in ("row_id", "col_id"))
+    if min(n, m) < 2:
+        raise ValueError("Not enough dimensions")
+    out = _spectral_scores(edges) if min(n, m) <= DRIVER_IDS else eci_by_joins(edges, 300)
+    return _with_lone(out, edges, rows, cols, "ECI")
+
+
+def _spectral_scores(edges: DataFrame) -> DataFrame:
+    found = spectrum(edges, 3, vectors=True)
+    lam = [*found.eigenvalues, 0.0, 0.0][:3]
+    degenerate = 1 - lam[1] < 1e-6 or (len(found.eigenvalues) > 2 and abs(lam[1] - lam[2]) < 1e-9)
+    sides = []
+    for name, side in (("row", found.rows), ("col", found.cols)):
+        x = side.select(F.lit(name).alias("side"), "id", "k", (F.col("vector")[1] / F.sqrt("k")).alias("x"))
+        sides.append((x, x.agg(F.avg("x").alias("_a"), F.stddev_pop("x").alias("_s"), pearson("x", "k").alias("_c"))))
+    # Both vectors of a pair turn together.
+    sign = F.broadcast(sides[0][1].select(F.when(F.col("_c") < 0, -1.0).otherwise(1.0).alias("_sign")))
+    scores = [x.join(F.broadcast(stats.select("_a", "_s"))).join(sign).select("side", "id", (F.col("_sign") * (F.col("x") - F.col("_a")) / (F.col("_s") + 1e-12)).alias("score")) for x, stats in sides]
+    return scores[0].unionByName(scores[1]).withColumn("lambda2", F.lit(float(lam[1]))).withColumn("degenerate", F.lit(bool(degenerate)))
+
+
+def _with_lone(scores: DataFrame, edges: DataFrame, rows: DataFrame | None, cols: DataFrame | None, what: str) -> DataFrame:
+    """The scores, and null ones for ids of ``rows`` and ``cols`` that have no edge."""
+    out = scores
+    for ids, name, side in ((rows, "row", "row_id"), (cols, "col", "col_id")):
+        if ids is None:
+            continue
+        lone = cut_lineage(ids.select("id").distinct().join(edges.select(F.col(side).alias("id")).distinct(), "id", "left_anti"))
+        if n := lone.count():
+            warnings.warn(f"{what}: {n} ids without an edge ({side}) have no score", UserWarning, stacklevel=3)
+            rest = {c: F.lit(None).cast(scores.schema[c].dataType) for c in scores.columns} | {"side": F.lit(name), "id": F.col("id")}
+            out = out.unionByName(lone.select(*[x.alias(c) for c, x in rest.items()]))
+    return out
 
 
 def eci_by_joins(edges: DataFrame, n_iter: int) -> DataFrame:
@@ -67,7 +162,7 @@ def eci_by_joins(edges: DataFrame, n_iter: int) -> DataFrame:
         norm = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
         lam, c = norm, cut_lineage(new.select("row_id", (F.col("x") / norm).alias("x")))
     p = matvec(e, c, "row_id", "col_id").join(kc, "col_id").select("col_id", (F.col("x") / F.col("k")).alias("x"))
-    sign = -1.0 if (c.join(kr, "row_id").agg(F.corr("x", "k")).first()[0] or 0) < 0 else 1.0
+    sign = -1.0 if (c.join(kr, "row_id").agg(pearson("x", "k")).first()[0] or 0) < 0 else 1.0
     sides = []
     for v, key in ((c, "row_id"), (p, "col_id")):
         stats = F.broadcast(v.agg(F.avg("x").alias("_a"), F.stddev_pop("x").alias("_s")))
@@ -75,34 +170,51 @@ def eci_by_joins(edges: DataFrame, n_iter: int) -> DataFrame:
     return sides[0].unionByName(sides[1]).withColumn("lambda2", F.lit(lam)).withColumn("degenerate", F.lit(1 - lam < 1e-6))
 
 
-def reflections_kernel(pdf: pd.DataFrame, n_iter: int, tol: float | None) -> pd.DataFrame:
-    m = Sparse(pdf)
-    kr, kc = m.dot(np.ones(m.m)), m.tdot(np.ones(m.n))
-    c, p, turn, settled = kr, kc, 0, False
-    for turn in range(1, n_iter + 1):
-        c1 = m.dot(p) / kr
-        p1 = m.tdot(c1) / kc
-        d = [np.linalg.norm(x - y) / (np.linalg.norm(x) + 1e-12) for x, y in ((c1, c), (p1, p))]
-        c, p = c1, p1
-        if tol is not None and max(d) < tol:
-            settled = True
-            break
-    return pd.DataFrame({"side": ["row"] * m.n + ["col"] * m.m, "id": [*m.rows, *m.cols], "k_n": [*c, *p], "n_iter": turn, "converged": settled})
-
-
-def reflections(edges: DataFrame, n_iter: int = 200, tol: float | None = 1e-6) -> DataFrame:
-    """(side, id, k_n, n_iter, converged): Method of Reflections, k_row from k_col and then k_col from the new k_row.
-
-    The vectors tend to constants; their direction tends to ECI only slowly, so
-    eci_scores() is the solver to use. A null ``tol`` runs all turns.
+REFLECTED = "side string, id string, k_n double, score double, n_iter int, converged boolean"
+
+
+def reflections(edges: DataFrame, n_iter: int = 200, tol: float | None = 1e-6, check_gap: bool = True, rows: DataFrame | None = None, cols: DataFrame | None = None, history: list | None = None) -> DataFrame:
+    """(side, id, k_n, score, n_iter, converged): Method of Reflections, k_row from k_col and then k_col from the new k_row.
+
+    score is k_n with mean 0 and deviation 1, turned so that the rows' goes with
+    their degrees. The vectors tend to constants, their direction only slowly to
+    ECI, so eci_scores() is the solver to use. A null ``tol`` runs all turns.
+    With ``check_gap`` a degenerate spectrum is an error, and one that needs more
+    turns than n_iter a warning, as are turns that ran out. ``history`` gets
+    (turn, relative change of rows, of columns). Ids of ``rows`` and ``cols``
+    without an edge have nulls.
     """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    return solve(edges, lambda p: reflections_kernel(p, n_iter, tol), "side string, id string, k_n double, n_iter int, converged boolean")
+    if check_gap:
+        a, b = _leading(edges)
+        if a - b < 1e-6:
+            raise ValueError(f"the gap of the leading eigenvalues is {a - b:.2e}: reflections are undefined, use eci_scores()")
+        if (need := _turns(b / a, 0.01)) > n_iter:
+            warnings.warn(f"the gap of the leading eigenvalues is {a - b:.4f}: about {need:.0f} turns are needed, {n_iter} are allowed", RuntimeWarning, stacklevel=2)
+    turns = Alternation(edges)
+    if not turns.n_edges:
+        return empty(edges, REFLECTED)
+    kr, kc = turns.ids("row_id"), turns.ids("col_id")
+    by_degree = lambda sums, k, side: sums.join(k, side).select(side, (F.col("x") / F.col("k")).alias("x"))
+    start = kc.select("col_id", F.col("k").alias("x"))
+    out = turns.run(start, lambda s: by_degree(s, kr, "row_id"), lambda r: by_degree(turns.sums(r, "row_id", "col_id"), kc, "col_id"), relative_change, n_iter, tol, log=history is not None)
+    if history is not None:
+        history += out.changes[: out.n_iter]
+    if tol and not out.converged:
+        warnings.warn(f"reflections did not settle in {n_iter} turns; last changes {out.changes[-1][1]:.2e} and {out.changes[-1][2]:.2e}", RuntimeWarning, stacklevel=2)
+    table = out.table("k_n")
+    corr = out.rows.join(kr, "row_id").agg(F.when(pearson("x", "k") < 0, -1.0).otherwise(1.0).alias("_sign"))
+    stats = table.groupBy("side").agg(F.avg("k_n").alias("_a"), F.stddev_pop("k_n").alias("_s"))
+    score = F.col("_sign") * (F.col("k_n") - F.col("_a")) / (F.col("_s") + 1e-12)
+    scored = table.join(F.broadcast(stats), "side").join(F.broadcast(corr)).select("side", "id", "k_n", score.alias("score"), "n_iter", "converged")
+    return _with_lone(scored, turns.edges, rows, cols, "Reflections")
 
 
 def eigenvalues(edges: DataFrame, n: int = 15, by: list[str] | None = None) -> DataFrame:
     """(by..., idx, eigenvalue) of the row walk, largest first."""
+    if not by:
+        return edges.sparkSession.createDataFrame(list(enumerate(spectrum(edges, n).eigenvalues)), "idx int, eigenvalue double")  # n rows
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.linalg.svd(_scaled(pdf)[3], compute_uv=False)[:n] ** 2
@@ -115,22 +227,74 @@ def _turns(ratio: float, left: float) -> float:
     return float(int(math.log(left) / math.log(ratio))) if 0 < ratio < 0.999 else math.inf
 
 
+def _leading(edges: DataFrame) -> tuple[float, float]:
+    a, b = [*spectrum(edges, 2).eigenvalues, 0.0, 0.0][:2]
+    return a, b
+
+
+GAP = ["eigenvalue_0", "eigenvalue_1", "eigengap", "ratio", "iterations_99pct", "iterations_999pct", "is_degenerate"]
+
+
 def eigengap(edges: DataFrame) -> DataFrame:
     """One row: the two leading eigenvalues, their gap and ratio, reflections to 99 and 99.9 per cent, degenerate."""
+    a, b = _leading(edges)
+    r = b / a if a else 0.0
+    kinds = ", ".join(f"{c} {'boolean' if c == 'is_degenerate' else 'double'}" for c in GAP)
+    return edges.sparkSession.createDataFrame([(a, b, a - b, r, _turns(r, 0.01), _turns(r, 0.001), a - b < 1e-6)], kinds)
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.linalg.svd(_scaled(pdf)[3], compute_uv=False) ** 2
-        a, b = float(s[0]), float(s[1]) if len(s) > 1 else 0.0
-        r = b / a
-        return pd.DataFrame([(a, b, a - b, r, _turns(r, 0.01), _turns(r, 0.001), a - b < 1e-6)])
 
-    def named(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kernel(pdf).set_axis(GAP, axis=1)
+def spectrum_report(edges: DataFrame, n: int = 15, share: float = 0.2) -> DataFrame:
+    """(idx, eigenvalue, over_second, significant, lambda2_over_lambda3, n_significant): which eigenvalues exceed ``share`` of the second."""
+    from pyspark.sql import Window
 
-    return solve(edges, named, ", ".join(f"{c} {'boolean' if c == 'is_degenerate' else 'double'}" for c in GAP))
+    ev = eigenvalues(edges, n)  # n rows
+    every = Window.partitionBy(F.lit(1).cast("int"))
+    at = lambda i: F.max(F.when(F.col("idx") == i, F.col("eigenvalue"))).over(every)
+    big = F.col("eigenvalue") > share * F.coalesce(at(1), F.lit(0.0))
+    out = ev.select("idx", "eigenvalue", (F.col("eigenvalue") / at(1)).alias("over_second"), big.alias("significant"), (at(1) / at(2)).alias("lambda2_over_lambda3"))
+    return out.withColumn("n_significant", F.sum(F.col("significant").cast("int")).over(every).cast("int"))
+
+
+def laplacian_gap(edges: DataFrame, n: int = 10) -> DataFrame:
+    """One row of gap measures over Laplacian eigenvalues l = 1 - lambda: that of the third over the second, absolute and relative."""
+    lam = spectrum(edges, n).eigenvalues
+    if len(lam) < 3:
+        raise ValueError("three eigenvalues are needed")
+    low = [1 - x for x in lam]
+    gaps = [y - x for x, y in zip(low[1:5], low[2:5], strict=False)]
+    gap = low[2] - low[1]
+    row = (low[1], low[2], gap, low[2] / (low[1] + 1e-10), gap / (low[1] + 1e-10), gap / (max(low) - min(low) + 1e-10), gap / (sum(gaps) / len(gaps) + 1e-10))
+    return edges.sparkSession.createDataFrame([row], "lambda2_l double, lambda3_l double, absolute_gap double, ratio double, relative_gap double, gap_over_range double, gap_over_average double")
+
+
+def principled_diagnosis(edges: DataFrame, persistent: float = 0.8, one_dimensional: float = 0.3) -> DataFrame:
+    """One row: leading eigenvalues and whether one persistent mode rules, with the two plainer rules beside it.
+
+    ``diagnosis`` asks for both lambda2 > persistent and lambda2 - lambda3 >
+    one_dimensional; ``by_gap`` for a gap over 0.1 and ``by_persistence`` for
+    lambda2 over 0.8 alone.
+    """
+    a, b, c = [*spectrum(edges, 3).eigenvalues, 0.0, 0.0, 0.0][:3]
+    name = lambda nested: "1D nested hierarchy" if nested else "Multi-dimensional structure"
+    row = (a, b, c, 1 - b, b - c, 1 - b, b > persistent, b - c > one_dimensional, name(b > persistent and b - c > one_dimensional), name(b - c > 0.1), name(b > 0.8))
+    kinds = "lambda1 double, lambda2 double, lambda3 double, lambda2_l double, eigengap double, spectral_gap double, is_persistent boolean, is_1d boolean, diagnosis string, by_gap string, by_persistence string"
+    return edges.sparkSession.createDataFrame([row], kinds)
 
 
-GAP = ["eigenvalue_0", "eigenvalue_1", "eigengap", "ratio", "iterations_99pct", "iterations_999pct", "is_degenerate"]
+def both_sides(edges: DataFrame, n: int = 10) -> DataFrame:
+    """(side, idx, eigenvalue, gap_ratio): leading eigenvalues of the walks over rows and over columns, which share all that aren't nought.
+
+    A side has one value less than ids at most. gap_ratio is (1 - lambda3) /
+    (1 - lambda2 + 1e-10), 0 with fewer than three values.
+    """
+    sizes = {"row": edges.select("row_id").distinct().count(), "col": edges.select("col_id").distinct().count()}
+    lam = spectrum(edges, n).eigenvalues
+    out = []
+    for side, size in sizes.items():
+        own = [*lam, *[0.0] * n][: min(n, size - 1)] if size > 2 else [1.0, 0.0]
+        ratio = (1 - own[2]) / (1 - own[1] + 1e-10) if len(own) > 2 else 0.0
+        out += [(side, i, float(x), float(ratio)) for i, x in enumerate(own)]
+    return edges.sparkSession.createDataFrame(out, "side string, idx int, eigenvalue double, gap_ratio double")
 
 
 def gap_measures(edges: DataFrame) -> DataFrame:
@@ -154,7 +318,7 @@ def cheeger_diagnosis(edges: DataFrame) -> DataFrame:
 
 
 def effective_rank(edges: DataFrame, t_max: int = 10) -> DataFrame:
-    """(t, rank): exp of the entropy of p_i ~ exp(-(1 - lambda_i) t), t from 0 to t_max."""
-    ev = eigenvalues(edges, 1 << 20).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(t_max))))
+    """(t, rank): exp of the entropy of p_i ~ exp(-(1 - lambda_i) t), t from 0 to t_max, over the smaller side's eigenvalues."""
+    ev = eigenvalues(edges, WHOLE_SPECTRUM_IDS).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(t_max))))
     z = ev.withColumn("e", F.exp(-(1 - F.col("eigenvalue")) * F.col("t"))).groupBy("t").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.log("e")).alias("s"))
     return z.select("t", F.exp(F.log("z") - F.col("s") / F.col("z")).alias("rank"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.operators.iterate import Sparse, fits_kernel, matvec, solve
+from bipartrix.operators.iterate import Alternation, Sparse, Turns, empty, largest_change, solve
 from bipartrix.operators.network import binarise, degree_filter
 from bipartrix.session import cut_lineage
 
@@ -38,38 +38,39 @@ def fitness_kernel(pdf: pd.DataFrame, n_iter: int, tol: float, history: bool = F
 
 
 def fitness_scores(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10, by: list[str] | None = None) -> DataFrame:
-    """(by..., side, id, score, n_iter, converged): fitness of rows, complexity of columns."""
+    """(by..., side, id, score, n_iter, converged): fitness of rows, complexity of columns.
+
+    With ``by``, which names the columns that tell networks apart, each network
+    is solved in a task of its own; a single one is spread over the cluster.
+    """
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    if by or fits_kernel(edges):
+    if by:
         return solve(edges, lambda pdf: fitness_kernel(pdf, n_iter, tol), SCORES, by)
-    return fitness_by_joins(edges, n_iter, tol)
+    out = fitness_turns(edges, n_iter, tol)
+    return out.table("score") if out.n_iter else empty(edges, SCORES)
 
 
-def fitness_by_joins(edges: DataFrame, n_iter: int, tol: float, check_every: int = 5) -> DataFrame:
-    """The same for a network of any size, as joins and sums; it stops at a check, so up to check_every - 1 turns later."""
-    scaled = lambda v: v.join(F.broadcast(v.agg(F.avg("x").alias("_m")))).withColumn("x", F.col("x") / F.col("_m")).drop("_m")  # noqa: E731  one row
-    edges = cut_lineage(edges.select("row_id", "col_id", "w"))
-    q, f, settled, turn = edges.select("col_id").distinct().withColumn("x", F.lit(1.0)), None, False, 0
-    for turn in range(1, n_iter + 1):
-        f_old, q_old = f, q
-        f = scaled(matvec(edges, q, "col_id", "row_id").withColumn("x", F.greatest("x", F.lit(FLOOR))))
-        f = cut_lineage(f)
-        q = scaled(matvec(edges, f.withColumn("x", 1 / F.col("x")), "row_id", "col_id").withColumn("x", 1 / F.greatest("x", F.lit(FLOOR))))
-        q = cut_lineage(q)
-        if f_old is not None and (turn % check_every == 0 or turn == n_iter):
-            gap = lambda a, b, k: a.join(b.withColumnRenamed("x", "y"), k).agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0]
-            if max(gap(f, f_old, "row_id"), gap(q, q_old, "col_id")) < tol:
-                settled = True
-                break
-    out = f.select(F.lit("row").alias("side"), F.col("row_id").alias("id"), F.col("x").alias("score"))
-    out = out.unionByName(q.select(F.lit("col").alias("side"), F.col("col_id").alias("id"), F.col("x").alias("score")))
-    return out.withColumn("n_iter", F.lit(turn)).withColumn("converged", F.lit(settled))
+def fitness_turns(edges: DataFrame, n_iter: int, tol: float, log: bool = False) -> Turns:
+    turns = Alternation(edges)
+    if not turns.n_edges:
+        return Turns()
+
+    def rows(sums: DataFrame) -> DataFrame:
+        return turns.over_mean(sums.withColumn("x", F.greatest("x", F.lit(FLOOR))))
+
+    def cols(rows: DataFrame) -> DataFrame:
+        back = turns.sums(rows.withColumn("x", 1 / F.col("x")), "row_id", "col_id")
+        return turns.over_mean(back.withColumn("x", 1 / F.greatest("x", F.lit(FLOOR))))
+
+    start = turns.ids("col_id").select("col_id", F.lit(1.0).alias("x"))
+    return turns.run(start, rows, cols, largest_change, n_iter, tol, log)
 
 
 def fitness_history(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10) -> DataFrame:
     """(iter, d_row, d_col): the largest change of each turn."""
-    return solve(edges, lambda pdf: fitness_kernel(pdf, n_iter, tol, history=True), "iter int, d_row double, d_col double")
+    out = fitness_turns(edges, n_iter, tol, log=True)
+    return edges.sparkSession.createDataFrame(out.changes[: out.n_iter], "iter int, d_row double, d_col double")  # a row for each turn
 
 
 @dataclass

@@ -1,9 +1,10 @@
-"""Where the fixed-point solvers run.
+"""How the fixed-point solvers run.
 
-Networks up to a checked number of edges are solved by a numpy kernel in one
-grouped task; many networks (years, communities, shuffles) are solved side by
-side, a task each. A single network beyond that is iterated as DataFrame joins
-and sums whose vectors are checkpointed every few turns.
+A single network is iterated as DataFrame joins and sums; the values of each
+turn are checkpointed. Only the number of partitions follows its size: a small
+one lies in a single partition, where Spark joins and sums without an exchange.
+Many networks (years, communities, shuffles) are solved side by side by numpy
+kernels, a task each.
 """
 
 from __future__ import annotations
@@ -12,15 +13,15 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edges that a single task may solve (some 100 MB there).
-KERNEL_EDGES = 2_000_000
+from bipartrix.session import cut_lineage
 
-
-def fits_kernel(edges: DataFrame) -> bool:
-    return edges.limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES
+#: Edges up to which a network lies in one partition.
+EDGES_PER_PARTITION = 500_000
+#: Turns whose changes are looked at together, in one job.
+CHECK_EVERY = 5
 
 
 class Sparse:
@@ -64,3 +65,104 @@ def solve(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], sche
 def matvec(edges: DataFrame, vec: DataFrame, key: str, to: str) -> DataFrame:
     """(to, x) = sum of w * x over the edges; vec: (key, x)."""
     return edges.join(vec, key).groupBy(to).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+
+
+#: From (key, x) the values of a side.
+Step = Callable[[DataFrame], DataFrame]
+#: One row (d_row, d_col) from the tables (id, x, prev) of both sides.
+Change = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+class Alternation:
+    """Turns of a fixed point on one network: values of rows from those of columns, and of columns from those of rows again."""
+
+    def __init__(self, edges: DataFrame):
+        e = cut_lineage(edges.select("row_id", "col_id", "w"))
+        self.n_edges = e.count()
+        self.single = self.n_edges <= EDGES_PER_PARTITION
+        self.edges = self.few(cut_lineage(e.repartition(1))) if self.single else e
+
+    def few(self, df: DataFrame) -> DataFrame:
+        return df.coalesce(1) if self.single else df
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        return self.few(cut_lineage(df))
+
+    def ids(self, side: str) -> DataFrame:
+        """(side, k): the ids of a side with the sums of their weights."""
+        return self.cut(self.edges.groupBy(side).agg(F.sum("w").alias("k")))
+
+    def sums(self, vec: DataFrame, key: str, to: str) -> DataFrame:
+        return matvec(self.edges, vec.select(key, "x"), key, to)
+
+    def over_mean(self, v: DataFrame) -> DataFrame:
+        """x divided by its mean."""
+        if self.single:  # a window over the one partition needs no exchange
+            return v.withColumn("x", F.col("x") / F.avg("x").over(Window.partitionBy()))
+        mean = F.broadcast(v.agg(F.avg("x").alias("_m")))  # one row
+        return v.join(mean).withColumn("x", F.col("x") / F.col("_m")).drop("_m")
+
+    def after(self, v: DataFrame, before: DataFrame | None, key: str) -> DataFrame:
+        """With ``prev``, the value of the turn before (1 at the start)."""
+        if before is None:
+            return self.cut(v.withColumn("prev", F.lit(1.0)))
+        return self.cut(v.join(before.select(key, F.col("x").alias("prev")), key))
+
+    def run(self, start: DataFrame, row_step: Step, col_step: Step, change: Change, n_iter: int, tol: float | None, log: bool = False) -> Turns:
+        """Until both changes are below ``tol`` (null or 0: never) or n_iter turns are done; ``start``: (col_id, x).
+
+        With ``log`` the changes of every turn are looked at even where nothing stops at them.
+        """
+        rows, cols, recent, out = None, start, [], Turns()
+        for turn in range(1, n_iter + 1):
+            rows = self.after(row_step(self.sums(cols, "col_id", "row_id")), rows, "row_id")
+            cols = self.after(col_step(rows), cols, "col_id")
+            recent.append((turn, rows, cols))
+            if len(recent) == CHECK_EVERY or turn == n_iter:
+                if tol or log:
+                    out.look(recent, change)
+                for t, r, c in recent:
+                    out.rows, out.cols, out.n_iter = r, c, t
+                    if tol and max(out.changes[t - 1][1:]) < tol:
+                        out.converged = True
+                        return out
+                recent = []
+        return out
+
+
+class Turns:
+    """The last turn's tables (id, x, prev) of either side, and the changes (turn, d_row, d_col) that were looked at."""
+
+    def __init__(self) -> None:
+        self.rows = self.cols = None
+        self.n_iter, self.converged = 0, False
+        self.changes: list[tuple[int, float, float]] = []
+
+    def look(self, recent: list, change: Change) -> None:
+        each = [change(r, c).select(F.lit(t).alias("turn"), "d_row", "d_col") for t, r, c in recent]
+        whole = each[0]
+        for x in each[1:]:
+            whole = whole.unionByName(x)
+        self.changes += sorted((r["turn"], r["d_row"], r["d_col"]) for r in whole.collect())  # a row for each turn
+
+    def table(self, value: str) -> DataFrame:
+        """(side, id, value, n_iter, converged)."""
+        sides = [v.select(F.lit(k[:3]).alias("side"), F.col(k).alias("id"), F.col("x").alias(value)) for v, k in ((self.rows, "row_id"), (self.cols, "col_id"))]
+        return sides[0].unionByName(sides[1]).withColumn("n_iter", F.lit(self.n_iter)).withColumn("converged", F.lit(self.converged))
+
+
+def largest_change(rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """The largest absolute change of either side."""
+    most = F.max(F.abs(F.col("x") - F.col("prev")))
+    return rows.agg(most.alias("d_row")).join(cols.agg(most.alias("d_col")))
+
+
+def relative_change(rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """The length of the change over that of the values."""
+    d = F.col("x") - F.col("prev")
+    part = F.sqrt(F.sum(d * d)) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) + 1e-12)
+    return rows.agg(part.alias("d_row")).join(cols.agg(part.alias("d_col")))
+
+
+def empty(edges: DataFrame, schema: str) -> DataFrame:
+    return edges.limit(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in schema.split(", "))])

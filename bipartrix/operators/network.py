@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bipartrix.model import row_numbers
 from bipartrix.session import cut_lineage
 
 
@@ -26,6 +27,11 @@ def rca_edges(facts: DataFrame, threshold: float = 1.0) -> DataFrame:
     return rca(facts).where(F.col("rca") >= threshold).select("row_id", "col_id", F.lit(1.0).alias("w"))
 
 
+def pearson(x: str | F.Column, y: str | F.Column) -> F.Column:
+    """Pearson's correlation as an aggregate; null where one side doesn't vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def binarise(edges: DataFrame) -> DataFrame:
     return edges.where("w <> 0").select("row_id", "col_id", F.lit(1.0).alias("w"))
 
@@ -92,10 +98,8 @@ def nestedness(edges: DataFrame) -> DataFrame:
     A violation is a zero below a one, in a matrix whose rows and columns are
     sorted by falling degree (ties by id): rows after the one's that lack it.
     """
-    from pyspark.sql import Window
-
     k = margin(edges, "row_id")
-    order = k.select(F.col("id").alias("row_id"), (F.row_number().over(Window.orderBy(F.desc("degree"), "id"))).alias("pos"))  # one line for each row entity
+    order = row_numbers(k.select("id", "degree"), [F.desc("degree"), F.col("id").asc()], "pos").select(F.col("id").alias("row_id"), "pos")
     n = F.broadcast(k.agg(F.count(F.lit(1)).alias("n")))
     at = edges.join(order, "row_id")
     w = Window.partitionBy("col_id")

@@ -7,10 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bipartrix.model import row_numbers, sums_before
+from bipartrix.operators.network import pearson
+
 
 def ranked(scores: DataFrame, score: str = "score", by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """1-based rank by falling score, nulls last, ties by id."""
-    w = Window.partitionBy(*(by or [])).orderBy(F.col(score).desc_nulls_last(), "id")
+    """1-based rank by falling score, nulls last, ties by id; within ``by``, or over the whole table by range partitions."""
+    if not by:
+        return row_numbers(scores, [F.col(score).desc_nulls_last(), F.col("id").asc()], name)
+    w = Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), "id")
     return scores.withColumn(name, F.row_number().over(w))
 
 
@@ -23,22 +28,33 @@ def compared(old: DataFrame, new: DataFrame, score: str = "score", missing_rank:
     return out.select("id", "old_score", "new_score", "old_rank", "new_rank", (F.col("old_rank") - F.col("new_rank")).alias("rank_change"), change.alias("change"), F.when(F.col("old_score") != 0, 100 * change / F.col("old_score")).alias("change_pct"))
 
 
-def average_rank(c: str) -> Column:
-    """Rank by rising value, ties sharing their mean rank."""
-    return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
+def average_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
+    """df with the rank by rising value of a column, ties sharing their mean rank.
+
+    Values are counted first; the counts before each come from range partitions.
+    """
+    n = df.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
+    ranks = sums_before(n, [F.col(c).asc()], "_k", "_before").select(F.col(c).alias("_v"), (F.col("_before") + (F.col("_k") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(c) == F.col("_v")).drop("_v")
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n, pearson, spearman of the rows where neither is null. Ranks need the table in one order: for per-entity tables."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    both = both.select("*", average_rank(a).alias("_ra"), average_rank(b).alias("_rb"))
-    return both.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("pearson"), F.corr("_ra", "_rb").alias("spearman"))
+    """One row: n, pearson, spearman of the rows where neither is null; null where a side doesn't vary."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_c"))
+    both = average_ranks(average_ranks(both, "_a", "_ra"), "_c", "_rb")
+    return both.agg(F.count(F.lit(1)).alias("n"), pearson("_a", "_c").alias("pearson"), pearson("_ra", "_rb").alias("spearman"))
+
+
+def _pair(a: str, b: str) -> Column:
+    """Pearson's correlation of the rows where neither is null."""
+    there = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return pearson(F.when(there, F.col(a)), F.when(there, F.col(b)))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of all pairs of the named columns in one pass, nulls left out pairwise."""
     pairs = [(a, b) for a in columns for b in columns]
-    one = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[_pair(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
     return one.select(F.inline(F.array(*cells)))
 
@@ -100,25 +116,67 @@ def top_edges(edges: DataFrame, n: int = 200, min_mass: float = 0.0) -> DataFram
 
 def circle_positions(ids: DataFrame, start: float, end: float) -> DataFrame:
     """(id, x, y) of ids, in their order, on an arc of the unit circle."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0).cast("string")))
-    at = F.lit(start) + (F.row_number().over(Window.orderBy("id")) - 0.5) / n * (end - start)
-    return ids.select("id", at.alias("_a")).select("id", F.cos("_a").alias("x"), F.sin("_a").alias("y"))
+    n = F.broadcast(ids.agg(F.count(F.lit(1)).alias("_n")))  # one row
+    at = F.lit(start) + (F.col("_i") - 0.5) / F.col("_n") * (end - start)
+    return row_numbers(ids.select("id"), [F.col("id").asc()], "_i").join(n).select("id", at.alias("_a")).select("id", F.cos("_a").alias("x"), F.sin("_a").alias("y"))
 
 
 def alluvial_spans(edges: DataFrame, side: str, pad: float = 0.01) -> DataFrame:
     """(id, mass, lo, hi): one side's nodes stacked in [0, 1] by falling mass with padding between; for displayed edges."""
     m = edges.groupBy(F.col(side).alias("id")).agg(F.sum("w").alias("mass"))
     total = F.broadcast(m.agg(F.sum("mass").alias("_t"), F.count(F.lit(1)).alias("_n")))
-    w = Window.orderBy(F.desc("mass"), "id")
-    before = F.coalesce(F.sum(F.col("mass") / F.col("_t")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    lo, scale = before + pad * (F.row_number().over(w) - 1), 1 + pad * (F.col("_n") - 1)
-    return m.join(total).select("id", "mass", (lo / scale).alias("lo"), ((lo + F.col("mass") / F.col("_t")) / scale).alias("hi"))
+    # A node takes its share and the padding after it.
+    each = m.join(total).withColumn("_x", F.col("mass") / F.col("_t") + pad)
+    each = sums_before(each, [F.desc("mass"), F.col("id").asc()], "_x", "_lo")
+    scale = 1 + pad * (F.col("_n") - 1)
+    return each.select("id", "mass", (F.col("_lo") / scale).alias("lo"), ((F.col("_lo") + F.col("mass") / F.col("_t")) / scale).alias("hi"))
+
+
+def alluvial_bands(edges: DataFrame, pad: float = 0.01) -> DataFrame:
+    """(row_id, col_id, w, row_lo, row_hi, col_lo, col_hi): where each displayed edge leaves its row's span and enters its column's.
+
+    Within a node, edges follow each other by falling weight (ties by the other
+    end), each as thick as its share of the node's mass.
+    """
+    out = edges.select("row_id", "col_id", "w")
+    for side, other, name in (("row_id", "col_id", "row"), ("col_id", "row_id", "col")):
+        span = alluvial_spans(edges, side, pad).select(F.col("id").alias(side), "mass", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        w = Window.partitionBy(side).orderBy(F.desc("w"), other).rowsBetween(Window.unboundedPreceding, -1)
+        part = (F.col("_hi") - F.col("_lo")) / F.col("mass")
+        before = F.coalesce(F.sum("w").over(w), F.lit(0.0))
+        out = out.join(span, side).withColumn(f"{name}_lo", F.col("_lo") + before * part).withColumn(f"{name}_hi", F.col(f"{name}_lo") + F.col("w") * part).drop("mass", "_lo", "_hi")
+    return out.select("row_id", "col_id", "w", "row_lo", "row_hi", "col_lo", "col_hi")
+
+
+def circular_flow(edges: DataFrame, n: int = 200, min_mass: float = 0.0) -> DataFrame:
+    """(row_id, col_id, w, width, row_x, row_y, col_x, col_y): the heaviest edges, rows on the right half circle, columns on the left."""
+    best = top_edges(edges, n, min_mass)
+    at = []
+    for side, name, start in (("row_id", "row", -math.pi / 2), ("col_id", "col", math.pi / 2)):
+        ids = best.select(F.col(side).alias("id")).distinct()
+        at.append(circle_positions(ids, start, start + math.pi).toDF(side, f"{name}_x", f"{name}_y"))
+    return best.join(at[0], "row_id").join(at[1], "col_id")
+
+
+def sorted_by_scores(edges: DataFrame, row_scores: DataFrame, col_scores: DataFrame) -> DataFrame:
+    """(row_pos, col_pos, row_id, col_id, w): the matrix with both axes by falling score (id, score), positions from 0."""
+    pos = lambda s, side, name: row_numbers(s.select("id", "score"), [F.col("score").desc_nulls_last(), F.col("id").asc()], name, 0).select(F.col("id").alias(side), name)
+    return edges.join(pos(row_scores, "row_id", "row_pos"), "row_id").join(pos(col_scores, "col_id", "col_pos"), "col_id").select("row_pos", "col_pos", "row_id", "col_id", "w")
+
+
+def cluster_purity(labels: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: n, clusters, purity. Of each cluster (id, label), the share of its most frequent class (id, class), weighed by size."""
+    each = labels.join(truth, "id").groupBy("label", "class").agg(F.count(F.lit(1)).alias("k"))
+    per = each.groupBy("label").agg(F.sum("k").alias("n"), F.max("k").alias("most"))
+    return per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"), F.try_divide(F.sum("most"), F.sum("n")).alias("purity"))
 
 
 def dual_potentials(scales: DataFrame) -> DataFrame:
     """(side, id, potential = ln(scale + 1e-30), pos): order of the potentials on each side."""
     phi = F.log(F.col("scale") + 1e-30)
-    return scales.select("side", "id", phi.alias("potential")).withColumn("pos", F.row_number().over(Window.partitionBy("side").orderBy(F.desc("potential"), "id")))
+    each = scales.select("side", "id", phi.alias("potential"))
+    sides = [row_numbers(each.where(F.col("side") == s), [F.desc("potential"), F.col("id").asc()], "pos") for s in ("row", "col")]
+    return sides[0].unionByName(sides[1])
 
 
 def ranked_barcodes(scores: DataFrame, margins: DataFrame, n: int = 30) -> DataFrame:

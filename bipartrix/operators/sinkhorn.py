@@ -4,60 +4,80 @@ from __future__ import annotations
 
 import warnings
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.operators.iterate import Sparse, fits_kernel, matvec, solve
+from bipartrix.operators.iterate import CHECK_EVERY, Alternation, Turns, empty
 from bipartrix.session import cut_lineage
 
 SCALES = "side string, id string, scale double, target double, n_iter int, converged boolean"
 
+#: Masses by id, as a dict or as a table (id, mass).
+Masses = dict[str, float] | DataFrame | None
 
-def _targets(ids: np.ndarray, given: dict[str, float] | None, strength: np.ndarray, mode: str) -> np.ndarray:
-    if given is not None:
-        return np.array([given.get(x, 0.0) for x in ids])
-    return np.full(len(ids), 1 / len(ids)) if mode == "uniform" else strength / strength.sum()
 
+def _given(edges: DataFrame, masses: dict[str, float] | DataFrame) -> DataFrame:
+    table = masses if isinstance(masses, DataFrame) else edges.sparkSession.createDataFrame(list(masses.items()), "id string, mass double")
+    return table.groupBy("id").agg(F.sum("mass").alias("m"))
 
-def sinkhorn_kernel(pdf: pd.DataFrame, n_iter: int, tol: float, eps: float, margins: str, row_mass: dict | None, col_mass: dict | None) -> pd.DataFrame:
-    k = Sparse(pdf)
-    r = _targets(k.rows, row_mass, k.dot(np.ones(k.m)), margins)
-    c = _targets(k.cols, col_mass, k.tdot(np.ones(k.n)), margins)
-    c = c * (r.sum() / c.sum())
-    u, v, settled, turn = np.ones(k.n), np.ones(k.m), False, 0
-    for turn in range(1, n_iter + 1):
-        u = r / np.maximum(k.dot(v), eps)
-        v = c / np.maximum(k.tdot(u), eps)
-        if np.abs(u * k.dot(v) - r).max() < tol and np.abs(v * k.tdot(u) - c).max() < tol:
-            settled = True
-            break
-    return pd.DataFrame({"side": ["row"] * k.n + ["col"] * k.m, "id": [*k.rows, *k.cols], "scale": [*u, *v], "target": [*r, *c], "n_iter": turn, "converged": settled})
+
+def _targets(turns: Alternation, side: str, masses: Masses, mode: str) -> DataFrame:
+    """(side, t): what each id with an edge should hold; masses of other ids are left out with a warning."""
+    ids = turns.ids(side)
+    if masses is None:
+        total = F.broadcast(ids.agg(F.sum("k").alias("_s"), F.count(F.lit(1)).alias("_n")))  # one row
+        return turns.cut(ids.join(total).select(side, (1 / F.col("_n") if mode == "uniform" else F.col("k") / F.col("_s")).alias("t")))
+    given = cut_lineage(_given(turns.edges, masses))
+    there = given.join(ids.select(F.col(side).alias("id"), F.lit(1).alias("_e")), "id", "left")
+    x = there.agg(F.sum("m"), F.min("m"), F.count_if(F.col("_e").isNull() & (F.col("m") > 0)), F.sum(F.when(F.col("_e") == 1, F.col("m")))).first()
+    if (x[0] or 0) <= 0 or x[1] < 0:
+        raise ValueError("masses must be non-negative with a positive sum")
+    if x[2]:
+        warnings.warn(f"{x[2]} ids of {side} have mass but no edge; their mass is dropped", UserWarning, stacklevel=4)
+    if (x[3] or 0) <= 0:
+        raise ValueError("no mass is left on ids with an edge")
+    return turns.cut(ids.join(given.withColumnRenamed("id", side), side, "left").select(side, F.coalesce("m", F.lit(0.0)).alias("t")))
 
 
-def sinkhorn_by_joins(edges: DataFrame, n_iter: int, tol: float, eps: float, margins: str, check_every: int = 5) -> DataFrame:
-    """Any size, uniform or degree margins: joins and sums, checkpointed each turn."""
-    e = cut_lineage(edges.select("row_id", "col_id", "w"))
+def sinkhorn_turns(edges: DataFrame, n_iter: int, tol: float, eps: float, margins: str, row_mass: Masses = None, col_mass: Masses = None, log: bool = False) -> tuple[Turns, DataFrame, DataFrame]:
+    """(turns, row targets, column targets): u = r / K v, then v = c / K^T u, until the margins of diag(u) K diag(v) are within ``tol``.
 
-    def target(side: str) -> DataFrame:
-        s = e.groupBy(side).agg(F.sum("w").alias("s"))
-        total = F.broadcast(s.agg(F.sum("s").alias("_s"), F.count(F.lit(1)).alias("_n")))
-        return cut_lineage(s.join(total).select(side, (1 / F.col("_n") if margins == "uniform" else F.col("s") / F.col("_s")).alias("t")))
+    Column masses are scaled to the rows' total. After v's half of a turn, column
+    margins are off by rounding only, and those of the rows come with K v, which
+    the next turn needs anyway.
+    """
+    turns = Alternation(edges)
+    out = Turns()
+    r, c = _targets(turns, "row_id", row_mass, margins), _targets(turns, "col_id", col_mass, margins)
+    if not turns.n_edges:
+        return out, r, c
+    sums = r.agg(F.sum("t").alias("_r")).join(c.agg(F.sum("t").alias("_c"))).first()
+    c = c.withColumn("t", F.col("t") * (sums[0] / sums[1]))
+    over = lambda t, x: F.col(t) / F.greatest(x, F.lit(eps))
+    v = c.select("col_id", F.lit(1.0).alias("x"))
+    kv, recent = turns.cut(turns.sums(v, "col_id", "row_id").withColumnRenamed("x", "kv")), []
+
+    def off(rows: DataFrame, cols: DataFrame) -> DataFrame:
+        most = lambda s: F.max(F.abs(F.col("x") * F.col(s) - F.col("t")))
+        return rows.agg(most("kv").alias("d_row")).join(cols.agg(most("ku").alias("d_col")))
 
-    r, c = target("row_id"), target("col_id")
-    v, u, settled, turn = c.select("col_id", F.lit(1.0).alias("x")), None, False, 0
     for turn in range(1, n_iter + 1):
-        kv = matvec(e, v, "col_id", "row_id")
-        if u is not None and turn % check_every == 0:
-            off = u.withColumnRenamed("x", "u").join(kv, "row_id").join(r, "row_id").agg(F.max(F.abs(F.col("u") * F.col("x") - F.col("t")))).first()[0]
-            if off < tol:
-                settled = True
-                break
-        u = cut_lineage(kv.join(r, "row_id").select("row_id", (F.col("t") / F.greatest("x", F.lit(eps))).alias("x")))
-        v = cut_lineage(matvec(e, u, "row_id", "col_id").join(c, "col_id").select("col_id", (F.col("t") / F.greatest("x", F.lit(eps))).alias("x")))
-    sides = [x.join(t, k).select(F.lit(k[:3]).alias("side"), F.col(k).alias("id"), F.col("x").alias("scale"), F.col("t").alias("target")) for x, t, k in ((u, r, "row_id"), (v, c, "col_id"))]
-    return sides[0].unionByName(sides[1]).withColumn("n_iter", F.lit(turn)).withColumn("converged", F.lit(settled))
+        u = kv.join(r, "row_id").select("row_id", "t", over("t", "kv").alias("x"))
+        ku = turns.sums(u, "row_id", "col_id").withColumnRenamed("x", "ku")
+        v = turns.cut(ku.join(c, "col_id").select("col_id", "t", "ku", over("t", "ku").alias("x")))
+        rows = turns.cut(turns.sums(v, "col_id", "row_id").withColumnRenamed("x", "kv").join(u, "row_id"))
+        kv = rows.select("row_id", "kv")
+        recent.append((turn, rows, v))
+        if len(recent) == CHECK_EVERY or turn == n_iter:
+            if tol or log:
+                out.look(recent, off)
+            for t, own, cols in recent:
+                out.rows, out.cols, out.n_iter = own, cols, t
+                if tol and max(out.changes[t - 1][1:]) < tol:
+                    out.converged = True
+                    return out, r, c
+            recent = []
+    return out, r, c
 
 
 class SinkhornScaler:
@@ -65,30 +85,29 @@ class SinkhornScaler:
 
     margins: "uniform" or "degree", where no masses are given. Masses of ids
     without an edge can't be placed: they are dropped with a warning, and column
-    masses are rescaled to the rows' total.
+    masses are rescaled to the rows' total. ``history`` has (turn, largest error
+    of a row margin, of a column margin) of every turn that was looked at: all
+    with a ``tol`` or with ``log``.
     """
 
-    def __init__(self, n_iter: int = 2000, tol: float = 1e-12, eps: float = 1e-30, margins: str = "uniform"):
+    def __init__(self, n_iter: int = 2000, tol: float = 1e-12, eps: float = 1e-30, margins: str = "uniform", log: bool = False):
         if margins not in ("uniform", "degree"):
             raise ValueError("margins must be uniform or degree")
-        self.n_iter, self.tol, self.eps, self.margins = n_iter, tol, eps, margins
+        if n_iter < 1:
+            raise ValueError("n_iter must be at least 1")
+        self.n_iter, self.tol, self.eps, self.margins, self.log = n_iter, tol, eps, margins, log
         self.scales: DataFrame | None = None
-
-    def fit(self, edges: DataFrame, row_mass: dict[str, float] | None = None, col_mass: dict[str, float] | None = None) -> SinkhornScaler:
-        for mass, side in ((row_mass, "row_id"), (col_mass, "col_id")):
-            if mass is None:
-                continue
-            if sum(mass.values()) <= 0 or min(mass.values()) < 0:
-                raise ValueError("masses must be non-negative with a positive sum")
-            there = {x[0] for x in edges.where(F.col(side).isin(list(mass))).select(side).distinct().collect()}  # of the given ids only
-            if lone := [x for x, m in mass.items() if m > 0 and x not in there]:
-                warnings.warn(f"{len(lone)} ids of {side} have mass but no edge; their mass is dropped", UserWarning, stacklevel=2)
-            if not any(m > 0 for x, m in mass.items() if x in there):
-                raise ValueError("no mass is left on ids with an edge")
-        if row_mass is None and col_mass is None and not fits_kernel(edges):
-            self.scales = sinkhorn_by_joins(edges, self.n_iter, self.tol, self.eps, self.margins)
-        else:
-            self.scales = solve(edges, lambda p: sinkhorn_kernel(p, self.n_iter, self.tol, self.eps, self.margins, row_mass, col_mass), SCALES)
+        self.n_iter_, self.converged, self.history = 0, False, []
+
+    def fit(self, edges: DataFrame, row_mass: Masses = None, col_mass: Masses = None) -> SinkhornScaler:
+        """row_mass and col_mass: masses by id, of which those left out are 0."""
+        out, r, c = sinkhorn_turns(edges, self.n_iter, self.tol, self.eps, self.margins, row_mass, col_mass, self.log)
+        self.n_iter_, self.converged, self.history = out.n_iter, out.converged, out.changes[: out.n_iter]
+        if not out.n_iter:
+            self.scales = empty(edges, SCALES)
+            return self
+        targets = r.select(F.lit("row").alias("side"), F.col("row_id").alias("id"), F.col("t").alias("target")).unionByName(c.select(F.lit("col").alias("side"), F.col("col_id").alias("id"), F.col("t").alias("target")))
+        self.scales = out.table("scale").join(targets, ["side", "id"]).select("side", "id", "scale", "target", "n_iter", "converged")
         return self
 
     def transform(self, edges: DataFrame) -> DataFrame:
@@ -106,8 +125,7 @@ class SinkhornScaler:
 def scale_with_fallback(edges: DataFrame, n_iter: int = 2000, tol: float = 1e-12) -> SinkhornScaler:
     """Uniform margins; degree margins if those don't converge."""
     out = SinkhornScaler(n_iter, tol).fit(edges)
-    out.scales = cut_lineage(out.scales)
-    return out if out.scales.select("converged").first()[0] else SinkhornScaler(n_iter, tol, margins="degree").fit(edges)
+    return out if out.converged else SinkhornScaler(n_iter, tol, margins="degree").fit(edges)
 
 
 def fitness_flow(edges: DataFrame, scores: DataFrame) -> DataFrame:

@@ -247,8 +247,8 @@ def fc_supplier_fitness(spark, d):
 
 @query("fc_by_joins", f"WITH RECURSIVE {m_sql()}, {fc_sql(5)} SELECT r AS id, round(f, 6) AS fitness FROM fit")
 def fc_by_joins(spark, d):
-    """The form for networks of any size, five iterations."""
-    return rounded(side(ft.fitness_by_joins(flagship(spark, d), 5, 0.0), "row", "fitness"))
+    """Five iterations."""
+    return rounded(side(ft.fitness_scores(flagship(spark, d), 5, 0.0), "row", "fitness"))
 
 
 @query("fc_history", f"WITH RECURSIVE {m_sql()}, {fc_sql(20)} SELECT i::INT AS iter, round(max(abs(q - o)), 6) AS d_col FROM (SELECT i, q, lag(q) OVER (PARTITION BY p ORDER BY i) o FROM it) WHERE i > 0 GROUP BY 1")
@@ -307,8 +307,8 @@ def sinkhorn_degree(spark, d):
 
 @query("sinkhorn_by_joins", f"WITH RECURSIVE {m_sql()}, {sk_sql(4, *UNIFORM)} SELECT p AS id, round(v, 6) AS scale FROM it WHERE i = 4")
 def sinkhorn_by_joins(spark, d):
-    """The form for networks of any size, four iterations."""
-    return rounded(side(sk.sinkhorn_by_joins(flagship(spark, d), 4, 0.0, 1e-30, "uniform"), "col", "scale", "scale"))
+    """Four iterations."""
+    return rounded(side(sk.SinkhornScaler(4, 0.0).fit(flagship(spark, d)).scales, "col", "scale", "scale"))
 
 
 @query("sinkhorn_marginals", f"WITH RECURSIVE {m_sql()}, {sk_sql(200, *UNIFORM)} SELECT r AS id, round(sum(us.u * it.v), 6) AS mass FROM m JOIN us USING (r) JOIN it ON it.p = m.p WHERE it.i = 200 GROUP BY 1")
@@ -351,7 +351,7 @@ SELECT p AS id, round(k, 6) AS k_n FROM it WHERE i = {n}"""
 
     @query(f"eci_reflections_{n}", sql)
     def run(spark, d):
-        return rounded(side(ec.reflections(flagship(spark, d), n, None), "col", "k_n", "k_n"))
+        return rounded(side(ec.reflections(flagship(spark, d), n, None, check_gap=False), "col", "k_n", "k_n"))
 
 
 _reflections(2)
@@ -734,4 +734,4 @@ def kmeans_communities(spark, d):
 
 @query("user_clusters")
 def user_clusters(spark, d):
-    return cm.kmeans_communities(flagship(spark, d), first=2, k=4, scale=True)
+    return cm.user_clusters(flagship(spark, d))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import math
+import warnings
+import zipfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bipartrix.functions import text as tx
-from bipartrix.model import EDGES, Bundle, bundle
+from bipartrix.model import EDGES, Bundle, bundle, row_numbers
 from bipartrix.operators.network import mass_filter, rca_edges
 
 #: Other names of the trade columns.
@@ -20,7 +25,9 @@ ALIASES = {
 }
 
 #: World Bank codes of regions and income groups, which are not countries.
-AGGREGATES = "AFE AFW ARB CEB CSS EAP EAR EAS ECA ECS EMU EUU FCS HIC HPC IBD IBT IDA IDB IDX LAC LCN LDC LIC LMC LMY LTE MEA MIC MNA NAC OED OSS PRE PSS PST SAS SSA SSF SST TEA TEC TLA TMN TSA TSS UMC WLD".split()
+AGGREGATES = "AFE AFW ARB CEB CSS EAP EAR EAS ECA ECS EMU EUU FCS HIC HPC IBD IBT IDA IDB IDX INX LAC LCN LDC LIC LMC LMY LTE MEA MIC MNA NAC NOC OEC OED OSS PRE PSS PST SAS SSA SSF SST TEA TEC TLA TMN TSA TSS UMC WLD".split()
+#: Countries that older exclusion lists leave out too.
+COMPAT_EXCLUDED = ["LIE", "MAF", "MCO"]
 
 
 def resolve(df: DataFrame, *names: str) -> DataFrame:
@@ -100,8 +107,10 @@ def indicator_long(wide: DataFrame) -> DataFrame:
 
 
 def select_series(long: DataFrame, countries: list[str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """A range of years of some countries; unknown countries are simply absent (see missing_codes)."""
+    """A range of years of some countries; a warning names unknown ones, and if none is known the table is empty."""
     if countries is not None:
+        if lost := [r[0] for r in missing_codes(long, countries).collect()]:  # of the codes asked for
+            warnings.warn(f"no data for {', '.join(sorted(lost))}", UserWarning, stacklevel=2)
         long = long.where(F.col("country_code").isin(countries))
     if start is not None:
         long = long.where(F.col("year") >= start)
@@ -113,8 +122,43 @@ def missing_codes(long: DataFrame, codes: list[str]) -> DataFrame:
     return asked.join(long.select("country_code").distinct(), "country_code", "left_anti")
 
 
-def without_aggregates(long: DataFrame) -> DataFrame:
-    return long.where(~F.col("country_code").isin(AGGREGATES))
+def without_aggregates(long: DataFrame, compat: bool = False) -> DataFrame:
+    """Rows of countries; ``compat`` also leaves out those that older lists did."""
+    return long.where(~F.col("country_code").isin([*AGGREGATES, *(COMPAT_EXCLUDED if compat else [])]))
+
+
+def available_countries(long: DataFrame, exclude_aggregates: bool = False, compat: bool = False) -> list[str]:
+    """Codes with a value, sorted."""
+    own = long.where("country_code IS NOT NULL AND value IS NOT NULL")
+    own = without_aggregates(own, compat) if exclude_aggregates else own
+    return [r[0] for r in own.select("country_code").distinct().orderBy("country_code").collect()]  # a few hundred codes
+
+
+def read_product_names(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name) of a classification's products from a CSV file, or from the first one in a zip file.
+
+    Codes stay strings. The file is a few hundred kilobytes; Spark reads it, and
+    the driver unpacks a zip's member.
+    """
+    text = spark.read.text(path, wholetext=True) if not path.endswith(".zip") else None
+    if text is not None:
+        lines = text.select(F.explode(F.split("value", "\r?\n")).alias("value"))
+    else:
+        raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+            members = [n for n in z.namelist() if n.endswith(".csv")]
+            if not members:
+                raise ValueError(f"no CSV file in {path}")
+            own = z.read(members[0]).decode("utf-8-sig").splitlines()
+        lines = spark.createDataFrame([(x,) for x in own], "value string")
+    lines = [r[0] for r in lines.where("value <> ''").collect()]  # some thousand short lines
+    out = list(csv.DictReader(lines))
+    if not out:
+        raise ValueError(f"no products in {path}")
+    code, name = (next((c for c in out[0] if c.endswith(end)), None) for end in ("_product_code", "_name_short_en"))
+    if code is None or name is None:
+        raise ValueError(f"no code and name columns; there are {list(out[0])}")
+    return spark.createDataFrame([(r[code], r[name]) for r in out], "id string, name string")
 
 
 @dataclass(frozen=True)
@@ -176,17 +220,24 @@ def country_names(long: DataFrame, exclude_aggregates: bool = True) -> DataFrame
 
 
 def read_golden(spark: SparkSession, stem: str) -> DataFrame:
-    """Edges of a stored test matrix: ``<stem>_matrix.csv`` with row, col, value."""
+    """Edges of a stored test matrix: ``<stem>_matrix.csv`` with row, col, value; ids as in read_golden_scores()."""
     m = read_csv(spark, f"{stem}_matrix.csv", "row int, col int, value double").where("value <> 0")
     return m.select(F.format_string("r%04d", "row").alias("row_id"), F.format_string("c%04d", "col").alias("col_id"), F.col("value").alias("w"))
 
 
+def read_golden_scores(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """(id, score) of a stored result: a CSV file whose first two columns are a 0-based index and the score; ids start with ``prefix``."""
+    t = read_csv(spark, path, "i int, score double, more double")
+    return t.select(F.concat(F.lit(prefix), F.format_string("%04d", "i")).alias("id"), "score")
+
+
 # --- fixtures and generators -------------------------------------------------------
 
 
 def small_fixture(spark: SparkSession) -> Bundle:
-    """A tiny author-word network with a component of its own."""
-    cells = [("ann", "map", 3.0), ("ann", "tree", 2.0), ("ben", "map", 1.0), ("ben", "river", 4.0), ("cat", "tree", 1.0), ("cat", "river", 1.0), ("cat", "stone", 2.0), ("dan", "cloud", 5.0), ("eve", "map", 1.0), ("eve", "stone", 1.0)]
+    """A tiny author-word network: 5 authors, 8 words, 12 edges, one author with a word of their own."""
+    words = {"ann": "map 5 tree 3 river 2", "ben": "map 9 road 7", "cat": "tree 4 river 6 stone 3", "dan": "road 2 cloud 8 rain 5", "eve": "snow 1"}
+    cells = [(a, x[i], float(x[i + 1])) for a, x in ((a, t.split()) for a, t in words.items()) for i in range(0, len(x), 2)]
     return bundle(spark.createDataFrame(cells, EDGES), "fixture")
 
 
@@ -200,8 +251,6 @@ def synthetic_users(spark: SparkSession, users: int, words: int, seed: int = 42,
     grid = _grid(spark, users, words)
     most = min(words, 30) - 5
     take = 5 + F.floor(uniform("i", seed=seed) * most)
-    from pyspark.sql import Window
-
     order = F.row_number().over(Window.partitionBy("i").orderBy(uniform("i", "j", seed=seed + 1), "j"))
     count = F.lit(1.0) if binary else 1.0 + F.floor(F.log(1 - uniform("i", "j", seed=seed + 2)) / F.log(F.lit(0.7)))
     picked = grid.select("i", "j", order.alias("k"), take.alias("take"), count.cast("double").alias("w")).where("k <= take")
@@ -241,25 +290,54 @@ def path_network(spark: SparkSession, n: int, width: int = 2) -> DataFrame:
     return _named(_grid(spark, n, n + width - 1).where((F.col("j") >= F.col("i")) & (F.col("j") < F.col("i") + width)))
 
 
+def multi_scale_network(spark: SparkSession, rows: int, cols: int, blocks: int = 3, p_out: float = 0.05, seed: int = 42) -> DataFrame:
+    """Diagonal blocks, each nested inside: a block's later rows have more of its columns; a few edges leave the blocks."""
+    bi, bj = F.floor(F.col("i") * blocks / rows), F.floor(F.col("j") * blocks / cols)
+    at_i, at_j = F.col("i") * blocks / rows - bi, F.col("j") * blocks / cols - bj
+    inside = (bi == bj) & (at_j <= at_i + 0.2)
+    return _named(_grid(spark, rows, cols).where(inside | (uniform("i", "j", seed=seed) < p_out)))
+
+
+def smooth_network(spark: SparkSession, rows: int, cols: int, width: float = 0.15, seed: int = 42) -> DataFrame:
+    """Edges with a chance that falls as a bell curve of ``width`` with the distance of row and column along one gradient."""
+    d = F.col("i") / max(rows - 1, 1) - F.col("j") / max(cols - 1, 1)
+    return _named(_grid(spark, rows, cols).where(uniform("i", "j", seed=seed) < F.exp(-d * d / (2 * width * width))))
+
+
+def circle_points(spark: SparkSession, per_circle: int = 100, circles: int = 3, noise: float = 0.1, seed: int = 42) -> DataFrame:
+    """(id, features, class): points on circles of radius 1, 2, ... with noise, evenly spread in angle."""
+    n = spark.range(per_circle * circles).select("id", F.floor(F.col("id") / per_circle).cast("int").alias("class"))
+    # Box and Muller: a normal number from two uniform ones.
+    normal = F.sqrt(-2 * F.log(1 - uniform("id", seed=seed))) * F.cos(2 * math.pi * uniform("id", seed=seed + 1))
+    r, a = F.col("class") + 1 + noise * normal, 2 * math.pi * (F.col("id") % per_circle) / per_circle
+    return n.select("id", F.array(r * F.cos(a), r * F.sin(a)).alias("features"), "class")
+
+
 def remove_edges(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """Without each edge with chance ``share``."""
     return edges.where(uniform("row_id", "col_id", seed=seed) >= share)
 
 
-def add_shortcuts(edges: DataFrame, chance: float, seed: int = 42) -> DataFrame:
-    """Rows of the lowest 30 per cent of degrees get, with a chance, one of the 30 per cent rarest columns."""
-    k = edges.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"))
-    cut = F.broadcast(k.agg(F.percentile("k", F.lit(0.3)).alias("_p")))
-    poor = k.join(cut).where("k <= _p").where(uniform("row_id", seed=seed) < chance).select("row_id")
-    c = edges.groupBy("col_id").agg(F.count(F.lit(1)).alias("k"))
-    rare = c.join(F.broadcast(c.agg(F.percentile("k", F.lit(0.3)).alias("_p")))).where("k <= _p").select("col_id")
-    numbered = rare.withColumn("_i", F.row_number().over(_by("col_id")) - 1)
-    size = F.broadcast(rare.agg(F.count(F.lit(1)).alias("_n")))
-    pick = poor.join(size).withColumn("_i", F.floor(uniform("row_id", seed=seed + 1) * F.col("_n")).cast("int"))
-    new = pick.join(numbered, "_i").select("row_id", "col_id", F.lit(1.0).alias("w"))
-    return edges.unionByName(new.join(edges, ["row_id", "col_id"], "left_anti"))
+def remove_share(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:
+    """Without exactly floor(share * edges) of them, those of least hash."""
+    n = int(share * edges.count())
+    order = [uniform("row_id", "col_id", seed=seed).asc(), F.col("row_id").asc(), F.col("col_id").asc()]
+    return row_numbers(edges, order, "_i").where(F.col("_i") > n).drop("_i")
 
 
-def _by(c: str):
-    from pyspark.sql import Window
+def add_shortcuts(edges: DataFrame, chance: float, seed: int = 42, most: int = 3) -> DataFrame:
+    """Rows of the lowest 30 per cent of degrees get, with a chance, 1 to ``most`` of the 30 per cent last columns that they lack.
 
-    return Window.orderBy(c)
+    Columns are taken by falling degree, ties by id, so that the last ones are the rarest.
+    """
+    k = edges.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"))
+    cut = F.broadcast(k.agg(F.percentile("k", F.lit(0.3)).alias("_p")))  # one row
+    poor = k.join(cut).where("k <= _p").where(uniform("row_id", seed=seed) < chance)
+    poor = poor.select("row_id", (1 + F.floor(uniform("row_id", seed=seed + 1) * most)).alias("_take"))
+    c = row_numbers(edges.groupBy("col_id").agg(F.count(F.lit(1)).alias("k")), [F.desc("k"), F.col("col_id").asc()], "_i", 0)
+    n = F.broadcast(c.agg(F.count(F.lit(1)).alias("_n")))
+    rare = c.join(n).where(F.col("_i") >= F.floor(0.7 * F.col("_n"))).select("col_id")
+    free = poor.join(rare).join(edges.select("row_id", "col_id"), ["row_id", "col_id"], "left_anti")
+    order = F.row_number().over(Window.partitionBy("row_id").orderBy(uniform("row_id", "col_id", seed=seed + 2), "col_id"))
+    new = free.withColumn("_o", order).where(F.col("_o") <= F.col("_take")).select("row_id", "col_id", F.lit(1.0).alias("w"))
+    return edges.select("row_id", "col_id", "w").unionByName(new)

@@ -34,7 +34,7 @@ BANDED = [[1, 1, 1, 0], [1, 1, 0, 1], [1, 0, 1, 1], [1, 1, 1, 1], [1, 0, 0, 0]]
 
 def test_fitness_forms_agree(spark):
     e = matrix(spark, BANDED)
-    kernel, joins = ft.fitness_scores(e, 12, 0.0), ft.fitness_by_joins(e, 12, 0.0)
+    kernel, joins = ft.fitness_scores(e.withColumn("g", F.lit(1)), 12, 0.0, by=["g"]), ft.fitness_scores(e, 12, 0.0)
     for which in ("row", "col"):
         a, b = scores(kernel, which), scores(joins, which)
         assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
@@ -82,6 +82,8 @@ def test_eci_by_joins_agrees(spark):
     for i in range(6):
         m[i, : i + 3] = 1
     a, b = ec.eci_scores(matrix(spark, m)), ec.eci_by_joins(matrix(spark, m), 12)
+    one = ec.eci_scores(matrix(spark, m).withColumn("g", F.lit(1)), by=["g"])
+    assert all(abs(scores(a, w)[k] - x) < 1e-9 for w in ("row", "col") for k, x in scores(one, w).items())
     for which in ("row", "col"):
         x, y = scores(a, which), scores(b, which)
         assert all(abs(x[k] - y[k]) < 1e-4 for k in x)
@@ -102,9 +104,15 @@ def test_sinkhorn(spark):
         mass = {r[0]: r[1] for r in w.groupBy(key).agg(F.sum("w_scaled")).collect()}
         assert np.allclose([mass[k] for k in sorted(mass)], np.array(BANDED).sum(axis) / n, atol=1e-9)
     assert w.count() == n
-    a = {(r.side, r.id): r.scale for r in sk.SinkhornScaler(7, 0.0).fit(e).scales.collect()}
-    b = {(r.side, r.id): r.scale for r in sk.sinkhorn_by_joins(e, 7, 0.0, 1e-30, "uniform").collect()}
-    assert a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
+    k = np.array(BANDED, float)
+    u, v = np.ones(5), np.ones(4)
+    for _ in range(7):
+        u = 0.2 / (k @ v)
+        v = 0.25 / (u @ k)
+    seven = sk.SinkhornScaler(7, 0.0, log=True).fit(e)
+    a = {r.id: r.scale for r in seven.scales.collect()}
+    assert np.allclose([a[f"r{i:02d}"] for i in range(5)], u, rtol=1e-9) and np.allclose([a[f"c{i:02d}"] for i in range(4)], v, rtol=1e-9)
+    assert [t for t, _, _ in seven.history] == list(range(1, 8)) and math.isclose(seven.history[-1][1], np.abs(u * (k @ v) - 0.2).max(), rel_tol=1e-6)
     with pytest.raises(ValueError):
         sk.SinkhornScaler().transform(e)
     with pytest.raises(ValueError):
