@@ -20,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bipartrix.model import dimension, transposed
-from bipartrix.operators.iterate import Alternation, Sparse, empty, matvec, relative_change, solve
+from bipartrix.operators.fitness import Scores
+from bipartrix.operators.iterate import DRIVER_IDS, Alternation, Blocks, Sparse, Turns, empty, matvec, relative_change, solve
 from bipartrix.operators.network import pearson
 from bipartrix.session import cut_lineage
 
 SCORES = "side string, id string, score double, lambda2 double, degenerate boolean"
 
-#: Ids of the smaller side up to which its singular vectors are held by the driver, as MLlib's SVD does.
-DRIVER_IDS = 2_000_000
 #: Ids of the smaller side up to which all eigenvalues can be asked for.
 WHOLE_SPECTRUM_IDS = 15_000
 
@@ -170,6 +169,28 @@ def eci_by_joins(edges: DataFrame, n_iter: int) -> DataFrame:
     return sides[0].unionByName(sides[1]).withColumn("lambda2", F.lit(lam)).withColumn("degenerate", F.lit(1 - lam < 1e-6))
 
 
+def reflections_loop(m: Blocks, n_iter: int, tol: float | None) -> Scores:
+    kr, kc = m.dot(np.ones(m.m)), m.tdot(np.ones(m.n))
+    c, p, log = np.ones(m.n), kc, []
+    for turn in range(1, n_iter + 1):
+        c1 = m.dot(p) / kr
+        p1 = m.tdot(c1) / kc
+        log.append((turn, *(float(np.linalg.norm(x - y) / (np.linalg.norm(x) + 1e-12)) for x, y in ((c1, c), (p1, p)))))
+        c, p = c1, p1
+        if tol and max(log[-1][1:]) < tol:
+            return Scores(c, p, turn, True, log)
+    return Scores(c, p, n_iter, False, log)
+
+
+def reflections_turns(edges: DataFrame, n_iter: int, tol: float | None, log: bool = False) -> Turns:
+    """The same turns as joins and sums, for any number of ids."""
+    turns = Alternation(edges)
+    kr, kc = turns.ids("row_id"), turns.ids("col_id")
+    by_degree = lambda sums, k, side: sums.join(k, side).select(side, (F.col("x") / F.col("k")).alias("x"))
+    start = kc.select("col_id", F.col("k").alias("x"))
+    return turns.run(start, lambda s: by_degree(s, kr, "row_id"), lambda r: by_degree(turns.sums(r, "row_id", "col_id"), kc, "col_id"), relative_change, n_iter, tol, log)
+
+
 REFLECTED = "side string, id string, k_n double, score double, n_iter int, converged boolean"
 
 
@@ -192,23 +213,22 @@ def reflections(edges: DataFrame, n_iter: int = 200, tol: float | None = 1e-6, c
             raise ValueError(f"the gap of the leading eigenvalues is {a - b:.2e}: reflections are undefined, use eci_scores()")
         if (need := _turns(b / a, 0.01)) > n_iter:
             warnings.warn(f"the gap of the leading eigenvalues is {a - b:.4f}: about {need:.0f} turns are needed, {n_iter} are allowed", RuntimeWarning, stacklevel=2)
-    turns = Alternation(edges)
-    if not turns.n_edges:
+    m = Blocks(edges)
+    if not m.n_edges:
         return empty(edges, REFLECTED)
-    kr, kc = turns.ids("row_id"), turns.ids("col_id")
-    by_degree = lambda sums, k, side: sums.join(k, side).select(side, (F.col("x") / F.col("k")).alias("x"))
-    start = kc.select("col_id", F.col("k").alias("x"))
-    out = turns.run(start, lambda s: by_degree(s, kr, "row_id"), lambda r: by_degree(turns.sums(r, "row_id", "col_id"), kc, "col_id"), relative_change, n_iter, tol, log=history is not None)
+    out = reflections_loop(m, n_iter, tol) if m.fits else reflections_turns(m.edges, n_iter, tol, log=history is not None)
+    m.done()
     if history is not None:
         history += out.changes[: out.n_iter]
     if tol and not out.converged:
         warnings.warn(f"reflections did not settle in {n_iter} turns; last changes {out.changes[-1][1]:.2e} and {out.changes[-1][2]:.2e}", RuntimeWarning, stacklevel=2)
-    table = out.table("k_n")
-    corr = out.rows.join(kr, "row_id").agg(F.when(pearson("x", "k") < 0, -1.0).otherwise(1.0).alias("_sign"))
+    table = out.table("k_n") if isinstance(out, Turns) else m.table({"k_n": out.rows}, {"k_n": out.cols}).withColumn("n_iter", F.lit(out.n_iter)).withColumn("converged", F.lit(out.converged))
+    degree = edges.groupBy(F.col("row_id").alias("id")).agg(F.sum("w").alias("k"))
+    corr = table.where("side = 'row'").join(degree, "id").agg(F.when(pearson("k_n", "k") < 0, -1.0).otherwise(1.0).alias("_sign"))
     stats = table.groupBy("side").agg(F.avg("k_n").alias("_a"), F.stddev_pop("k_n").alias("_s"))
     score = F.col("_sign") * (F.col("k_n") - F.col("_a")) / (F.col("_s") + 1e-12)
     scored = table.join(F.broadcast(stats), "side").join(F.broadcast(corr)).select("side", "id", "k_n", score.alias("score"), "n_iter", "converged")
-    return _with_lone(scored, turns.edges, rows, cols, "Reflections")
+    return _with_lone(scored, edges, rows, cols, "Reflections")
 
 
 def eigenvalues(edges: DataFrame, n: int = 15, by: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.operators.iterate import Alternation, Sparse, Turns, empty, largest_change, solve
+from bipartrix.operators.iterate import Alternation, Blocks, Sparse, Turns, empty, largest_change, solve
 from bipartrix.operators.network import binarise, degree_filter
 from bipartrix.session import cut_lineage
 
@@ -18,23 +18,35 @@ FLOOR = 1e-12
 SCORES = "side string, id string, score double, n_iter int, converged boolean"
 
 
-def fitness_kernel(pdf: pd.DataFrame, n_iter: int, tol: float, history: bool = False) -> pd.DataFrame:
-    m = Sparse(pdf)
-    f, q, log, settled, turn = np.ones(m.n), np.ones(m.m), [], False, 0
+@dataclass
+class Scores:
+    """Values of rows and columns, the turns taken, whether they settled, and (turn, d_row, d_col) of each."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    n_iter: int
+    converged: bool
+    changes: list[tuple[int, float, float]]
+
+
+def fitness_loop(m: Sparse | Blocks, n_iter: int, tol: float) -> Scores:
+    f, q, log = np.ones(m.n), np.ones(m.m), []
     for turn in range(1, n_iter + 1):
         f1 = np.maximum(m.dot(q), FLOOR)
         f1 /= f1.mean()
         q1 = 1 / np.maximum(m.tdot(1 / f1), FLOOR)
         q1 /= q1.mean()
-        df, dq = np.abs(f1 - f).max(), np.abs(q1 - q).max()
+        log.append((turn, float(np.abs(f1 - f).max()), float(np.abs(q1 - q).max())))
         f, q = f1, q1
-        log.append((turn, df, dq))
-        if max(df, dq) < tol:
-            settled = True
-            break
-    if history:
-        return pd.DataFrame(log, columns=["iter", "d_row", "d_col"])
-    return pd.DataFrame({"side": ["row"] * m.n + ["col"] * m.m, "id": [*m.rows, *m.cols], "score": [*f, *q], "n_iter": turn, "converged": settled})
+        if max(log[-1][1:]) < tol:
+            return Scores(f, q, turn, True, log)
+    return Scores(f, q, n_iter, False, log)
+
+
+def fitness_kernel(pdf: pd.DataFrame, n_iter: int, tol: float) -> pd.DataFrame:
+    m = Sparse(pdf)
+    out = fitness_loop(m, n_iter, tol)
+    return pd.DataFrame({"side": ["row"] * m.n + ["col"] * m.m, "id": [*m.rows, *m.cols], "score": [*out.rows, *out.cols], "n_iter": out.n_iter, "converged": out.converged})
 
 
 def fitness_scores(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10, by: list[str] | None = None) -> DataFrame:
@@ -47,14 +59,19 @@ def fitness_scores(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10, by:
         raise ValueError("n_iter must be at least 1")
     if by:
         return solve(edges, lambda pdf: fitness_kernel(pdf, n_iter, tol), SCORES, by)
-    out = fitness_turns(edges, n_iter, tol)
-    return out.table("score") if out.n_iter else empty(edges, SCORES)
+    m = Blocks(edges)
+    if not m.n_edges:
+        return empty(edges, SCORES)
+    if not m.fits:
+        return fitness_turns(m.edges, n_iter, tol).table("score")
+    out = fitness_loop(m, n_iter, tol)
+    m.done()
+    return m.table({"score": out.rows}, {"score": out.cols}).withColumn("n_iter", F.lit(out.n_iter)).withColumn("converged", F.lit(out.converged))
 
 
 def fitness_turns(edges: DataFrame, n_iter: int, tol: float, log: bool = False) -> Turns:
+    """The same turns as joins and sums, for any number of ids."""
     turns = Alternation(edges)
-    if not turns.n_edges:
-        return Turns()
 
     def rows(sums: DataFrame) -> DataFrame:
         return turns.over_mean(sums.withColumn("x", F.greatest("x", F.lit(FLOOR))))
@@ -69,7 +86,9 @@ def fitness_turns(edges: DataFrame, n_iter: int, tol: float, log: bool = False)
 
 def fitness_history(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10) -> DataFrame:
     """(iter, d_row, d_col): the largest change of each turn."""
-    out = fitness_turns(edges, n_iter, tol, log=True)
+    m = Blocks(edges)
+    out = (fitness_loop(m, n_iter, tol) if m.fits else fitness_turns(m.edges, n_iter, tol, log=True)) if m.n_edges else Turns()
+    m.done()
     return edges.sparkSession.createDataFrame(out.changes[: out.n_iter], "iter int, d_row double, d_col double")  # a row for each turn
 
 

@@ -1,24 +1,30 @@
 """How the fixed-point solvers run.
 
-A single network is iterated as DataFrame joins and sums; the values of each
-turn are checkpointed. Only the number of partitions follows its size: a small
-one lies in a single partition, where Spark joins and sums without an exchange.
-Many networks (years, communities, shuffles) are solved side by side by numpy
-kernels, a task each.
+A solver is a loop over a network's products with vectors. The edges of a single
+network stay spread over the cluster as blocks of arrays, and each product is a
+job that sums the blocks' parts; the vectors, a number for each id, are held by
+the driver, up to DRIVER_IDS ids in all. Beyond that the same turns run as
+DataFrame joins and sums, whose values are checkpointed. Many networks (years,
+communities, shuffles) are solved side by side, a task each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bipartrix.model import dimension
 from bipartrix.session import cut_lineage
 
-#: Edges up to which a network lies in one partition.
+#: Ids of both sides together up to which the driver holds vectors (16 MB each).
+DRIVER_IDS = 2_000_000
+#: Edges in a partition; a network of no more lies in one.
 EDGES_PER_PARTITION = 500_000
 #: Turns whose changes are looked at together, in one job.
 CHECK_EVERY = 5
@@ -45,6 +51,70 @@ class Sparse:
         return out
 
 
+class Blocks:
+    """A network of any number of edges with the same products as Sparse: blocks of edges, a job for each product."""
+
+    def __init__(self, edges: DataFrame):
+        e = cut_lineage(edges.select("row_id", "col_id", "w"))
+        self.row_ids, self.col_ids = (cut_lineage(dimension(e, side)) for side in ("row_id", "col_id"))
+        self.n, self.m, self.n_edges = self.row_ids.count(), self.col_ids.count(), e.count()
+        self.spark = edges.sparkSession
+        if not self.fits:
+            self.edges = e
+            return
+        at = [ids.select(F.col("idx").alias(i), F.col("id").alias(side)) for ids, i, side in ((self.row_ids, "i", "row_id"), (self.col_ids, "j", "col_id"))]
+        cells = e.join(at[0], "row_id").join(at[1], "col_id").select("i", "j", "w")
+        packed = cells.repartition(1 + self.n_edges // EDGES_PER_PARTITION).mapInArrow(_pack, "i binary, j binary, w binary")
+        self.blocks = cut_lineage(packed).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+
+    @property
+    def fits(self) -> bool:
+        return self.n + self.m <= DRIVER_IDS
+
+    def _sum(self, v: np.ndarray, of: int, to: int, size: int) -> np.ndarray:
+        sent = self.spark.sparkContext.broadcast(v)
+
+        def part(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
+            out, x = np.zeros(size), sent.value
+            for b in blocks:
+                out += np.bincount(np.frombuffer(b[to], np.int32), np.frombuffer(b[2]) * x[np.frombuffer(b[of], np.int32)], size)
+            yield out
+
+        total = self.blocks.mapPartitions(part).treeReduce(np.add)
+        sent.destroy()
+        return total
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        return self._sum(v, 1, 0, self.n)
+
+    def tdot(self, u: np.ndarray) -> np.ndarray:
+        return self._sum(u, 0, 1, self.m)
+
+    def table(self, rows: dict[str, np.ndarray], cols: dict[str, np.ndarray]) -> DataFrame:
+        """(side, id, the named doubles) of both sides."""
+        kinds = "idx int, " + ", ".join(f"{c} double" for c in rows)
+        sides = []
+        for name, ids, values in (("row", self.row_ids, rows), ("col", self.col_ids, cols)):
+            own = self.spark.createDataFrame(list(enumerate_rows(values)), kinds)
+            sides.append(ids.join(own, "idx").select(F.lit(name).alias("side"), "id", *values))
+        return sides[0].unionByName(sides[1])
+
+    def done(self) -> None:
+        if self.fits:
+            self.blocks.unpersist()
+
+
+def enumerate_rows(values: dict[str, np.ndarray]) -> Iterator[tuple]:
+    return ((i, *x) for i, x in enumerate(zip(*(v.tolist() for v in values.values()), strict=True)))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns i, j, w of each batch as the bytes of their arrays."""
+    for b in batches:
+        raw = [b.column(c).to_numpy().astype(k).tobytes() for c, k in ((0, np.int32), (1, np.int32), (2, np.float64))]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["i", "j", "w"])
+
+
 def solve(edges: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, by: list[str] | None = None) -> DataFrame:
     """Run a kernel over each network of ``edges``; ``by`` names the columns that tell networks apart."""
     by = by or []

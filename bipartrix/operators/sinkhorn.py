@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.operators.iterate import CHECK_EVERY, Alternation, Turns, empty
+from bipartrix.operators.fitness import Scores
+from bipartrix.operators.iterate import CHECK_EVERY, Alternation, Blocks, Turns, empty
 from bipartrix.session import cut_lineage
 
 SCALES = "side string, id string, scale double, target double, n_iter int, converged boolean"
@@ -16,41 +18,51 @@ SCALES = "side string, id string, scale double, target double, n_iter int, conve
 Masses = dict[str, float] | DataFrame | None
 
 
-def _given(edges: DataFrame, masses: dict[str, float] | DataFrame) -> DataFrame:
-    table = masses if isinstance(masses, DataFrame) else edges.sparkSession.createDataFrame(list(masses.items()), "id string, mass double")
+def _given(ids: DataFrame, masses: dict[str, float] | DataFrame) -> DataFrame:
+    table = masses if isinstance(masses, DataFrame) else ids.sparkSession.createDataFrame(list(masses.items()), "id string, mass double")
     return table.groupBy("id").agg(F.sum("mass").alias("m"))
 
 
-def _targets(turns: Alternation, side: str, masses: Masses, mode: str) -> DataFrame:
-    """(side, t): what each id with an edge should hold; masses of other ids are left out with a warning."""
-    ids = turns.ids(side)
+def _targets(ids: DataFrame, masses: Masses, mode: str, side: str) -> DataFrame:
+    """(id, t) of ids (id, k): what each id with an edge should hold; masses of other ids are left out with a warning."""
     if masses is None:
         total = F.broadcast(ids.agg(F.sum("k").alias("_s"), F.count(F.lit(1)).alias("_n")))  # one row
-        return turns.cut(ids.join(total).select(side, (1 / F.col("_n") if mode == "uniform" else F.col("k") / F.col("_s")).alias("t")))
-    given = cut_lineage(_given(turns.edges, masses))
-    there = given.join(ids.select(F.col(side).alias("id"), F.lit(1).alias("_e")), "id", "left")
+        return cut_lineage(ids.join(total).select("id", (1 / F.col("_n") if mode == "uniform" else F.col("k") / F.col("_s")).alias("t")))
+    given = cut_lineage(_given(ids, masses))
+    there = given.join(ids.select("id", F.lit(1).alias("_e")), "id", "left")
     x = there.agg(F.sum("m"), F.min("m"), F.count_if(F.col("_e").isNull() & (F.col("m") > 0)), F.sum(F.when(F.col("_e") == 1, F.col("m")))).first()
     if (x[0] or 0) <= 0 or x[1] < 0:
         raise ValueError("masses must be non-negative with a positive sum")
     if x[2]:
-        warnings.warn(f"{x[2]} ids of {side} have mass but no edge; their mass is dropped", UserWarning, stacklevel=4)
+        warnings.warn(f"{x[2]} ids of the {side}s have mass but no edge; their mass is dropped", UserWarning, stacklevel=4)
     if (x[3] or 0) <= 0:
         raise ValueError("no mass is left on ids with an edge")
-    return turns.cut(ids.join(given.withColumnRenamed("id", side), side, "left").select(side, F.coalesce("m", F.lit(0.0)).alias("t")))
+    return cut_lineage(ids.join(given, "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("t")))
 
 
-def sinkhorn_turns(edges: DataFrame, n_iter: int, tol: float, eps: float, margins: str, row_mass: Masses = None, col_mass: Masses = None, log: bool = False) -> tuple[Turns, DataFrame, DataFrame]:
-    """(turns, row targets, column targets): u = r / K v, then v = c / K^T u, until the margins of diag(u) K diag(v) are within ``tol``.
+def sinkhorn_loop(k: Blocks, r: np.ndarray, c: np.ndarray, n_iter: int, tol: float, eps: float) -> Scores:
+    c = c * (r.sum() / c.sum())
+    u, v, kv, log = np.ones(k.n), np.ones(k.m), k.dot(np.ones(k.m)), []
+    for turn in range(1, n_iter + 1):
+        u = r / np.maximum(kv, eps)
+        ku = k.tdot(u)
+        v = c / np.maximum(ku, eps)
+        kv = k.dot(v)
+        log.append((turn, float(np.abs(u * kv - r).max()), float(np.abs(v * ku - c).max())))
+        if max(log[-1][1:]) < tol:
+            return Scores(u, v, turn, True, log)
+    return Scores(u, v, n_iter, False, log)
+
+
+def sinkhorn_turns(edges: DataFrame, r: DataFrame, c: DataFrame, n_iter: int, tol: float, eps: float, log: bool = False) -> Turns:
+    """The turns as joins and sums, for any number of ids: u = r / K v, then v = c / K^T u, until the margins of diag(u) K diag(v) are within ``tol``.
 
     Column masses are scaled to the rows' total. After v's half of a turn, column
     margins are off by rounding only, and those of the rows come with K v, which
     the next turn needs anyway.
     """
-    turns = Alternation(edges)
-    out = Turns()
-    r, c = _targets(turns, "row_id", row_mass, margins), _targets(turns, "col_id", col_mass, margins)
-    if not turns.n_edges:
-        return out, r, c
+    turns, out = Alternation(edges), Turns()
+    r, c = turns.few(r.withColumnRenamed("id", "row_id")), turns.few(c.withColumnRenamed("id", "col_id"))
     sums = r.agg(F.sum("t").alias("_r")).join(c.agg(F.sum("t").alias("_c"))).first()
     c = c.withColumn("t", F.col("t") * (sums[0] / sums[1]))
     over = lambda t, x: F.col(t) / F.greatest(x, F.lit(eps))
@@ -75,9 +87,9 @@ def sinkhorn_turns(edges: DataFrame, n_iter: int, tol: float, eps: float, margin
                 out.rows, out.cols, out.n_iter = own, cols, t
                 if tol and max(out.changes[t - 1][1:]) < tol:
                     out.converged = True
-                    return out, r, c
+                    return out
             recent = []
-    return out, r, c
+    return out
 
 
 class SinkhornScaler:
@@ -86,7 +98,7 @@ class SinkhornScaler:
     margins: "uniform" or "degree", where no masses are given. Masses of ids
     without an edge can't be placed: they are dropped with a warning, and column
     masses are rescaled to the rows' total. ``history`` has (turn, largest error
-    of a row margin, of a column margin) of every turn that was looked at: all
+    of a row margin, of a column margin) of every turn; beyond DRIVER_IDS ids only
     with a ``tol`` or with ``log``.
     """
 
@@ -101,13 +113,25 @@ class SinkhornScaler:
 
     def fit(self, edges: DataFrame, row_mass: Masses = None, col_mass: Masses = None) -> SinkhornScaler:
         """row_mass and col_mass: masses by id, of which those left out are 0."""
-        out, r, c = sinkhorn_turns(edges, self.n_iter, self.tol, self.eps, self.margins, row_mass, col_mass, self.log)
-        self.n_iter_, self.converged, self.history = out.n_iter, out.converged, out.changes[: out.n_iter]
-        if not out.n_iter:
-            self.scales = empty(edges, SCALES)
+        k = Blocks(edges)
+        if not k.n_edges:
+            self.scales, self.n_iter_, self.converged, self.history = empty(edges, SCALES), 0, False, []
             return self
-        targets = r.select(F.lit("row").alias("side"), F.col("row_id").alias("id"), F.col("t").alias("target")).unionByName(c.select(F.lit("col").alias("side"), F.col("col_id").alias("id"), F.col("t").alias("target")))
-        self.scales = out.table("scale").join(targets, ["side", "id"]).select("side", "id", "scale", "target", "n_iter", "converged")
+        degree = lambda side: edges.groupBy(F.col(side).alias("id")).agg(F.sum("w").alias("k"))
+        r, c = _targets(degree("row_id"), row_mass, self.margins, "row"), _targets(degree("col_id"), col_mass, self.margins, "column")
+        if k.fits:
+            at = lambda ids, t: np.array([x[0] for x in ids.join(t, "id").orderBy("idx").select("t").collect()])  # noqa: E731  DRIVER_IDS at most
+            out = sinkhorn_loop(k, at(k.row_ids, r), at(k.col_ids, c), self.n_iter, self.tol, self.eps)
+            k.done()
+            table = k.table({"scale": out.rows}, {"scale": out.cols}).withColumn("n_iter", F.lit(out.n_iter)).withColumn("converged", F.lit(out.converged))
+        else:
+            out = sinkhorn_turns(k.edges, r, c, self.n_iter, self.tol, self.eps, self.log)
+            table = out.table("scale")
+        self.n_iter_, self.converged, self.history = out.n_iter, out.converged, out.changes[: out.n_iter]
+        total = F.broadcast(r.agg(F.sum("t").alias("_r")).join(c.agg(F.sum("t").alias("_c"))))  # one row
+        scaled = c.join(total).select(F.lit("col").alias("side"), "id", (F.col("t") * (F.col("_r") / F.col("_c"))).alias("target"))
+        targets = r.select(F.lit("row").alias("side"), "id", F.col("t").alias("target")).unionByName(scaled)
+        self.scales = table.join(targets, ["side", "id"]).select("side", "id", "scale", "target", "n_iter", "converged")
         return self
 
     def transform(self, edges: DataFrame) -> DataFrame:
