@@ -26,6 +26,8 @@ from bipartrix.session import cut_lineage
 DRIVER_IDS = 2_000_000
 #: Edges in a partition; a network of no more lies in one.
 EDGES_PER_PARTITION = 500_000
+#: Bytes of a vector that travel with a task.
+SENT_WITH_TASK = 1 << 16
 #: Turns whose changes are looked at together, in one job.
 CHECK_EVERY = 5
 
@@ -64,7 +66,8 @@ class Blocks:
             return
         at = [ids.select(F.col("idx").alias(i), F.col("id").alias(side)) for ids, i, side in ((self.row_ids, "i", "row_id"), (self.col_ids, "j", "col_id"))]
         cells = e.join(at[0], "row_id").join(at[1], "col_id").select("i", "j", "w")
-        packed = cells.repartition(1 + self.n_edges // EDGES_PER_PARTITION).mapInArrow(_pack, "i binary, j binary, w binary")
+        self.n_blocks = 1 + self.n_edges // EDGES_PER_PARTITION
+        packed = cells.repartition(self.n_blocks).mapInArrow(_pack, "i binary, j binary, w binary")
         self.blocks = cut_lineage(packed).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
@@ -72,16 +75,20 @@ class Blocks:
         return self.n + self.m <= DRIVER_IDS
 
     def _sum(self, v: np.ndarray, of: int, to: int, size: int) -> np.ndarray:
-        sent = self.spark.sparkContext.broadcast(v)
+        # A short vector goes with the task, a long one once to each executor.
+        sent = self.spark.sparkContext.broadcast(v) if v.nbytes > SENT_WITH_TASK else None
+        own = None if sent else v
 
         def part(blocks: Iterable[tuple]) -> Iterator[np.ndarray]:
-            out, x = np.zeros(size), sent.value
+            out, x = np.zeros(size), own if sent is None else sent.value
             for b in blocks:
                 out += np.bincount(np.frombuffer(b[to], np.int32), np.frombuffer(b[2]) * x[np.frombuffer(b[of], np.int32)], size)
             yield out
 
-        total = self.blocks.mapPartitions(part).treeReduce(np.add)
-        sent.destroy()
+        parts = self.blocks.mapPartitions(part)
+        total = parts.treeReduce(np.add) if self.n_blocks > 1 else parts.collect()[0]
+        if sent:
+            sent.destroy()
         return total
 
     def dot(self, v: np.ndarray) -> np.ndarray:

@@ -211,10 +211,19 @@ def unique_columns(spark, d):
     return nw.unique_cols(edges_of(sales(spark, d), "s_name", "p_partkey"))
 
 
-@query("edges_equal", "SELECT true AS equal")
+def _same(cond: str) -> str:
+    g = f"SELECT DISTINCT s_name r, p_brand p FROM {SALES} WHERE {cond}"
+    return f"(NOT EXISTS ({g.format(y=1995)} EXCEPT {g.format(y=2000)}) AND NOT EXISTS ({g.format(y=2000)} EXCEPT {g.format(y=1995)}))"
+
+
+@query("edges_equal", f"SELECT 'suppliers' AS network, {_same('year(l_shipdate) = {y}')} AS equal UNION ALL SELECT 'turned twice', {_same('{y} > 0')}")
 def edges_equal(spark, d):
-    e = flagship(spark, d)
-    return same_edges(e, transposed(transposed(e)))
+    """Whether two years' supplier-brand pairs are the same, and those of all years and their transpose's transpose."""
+    s = sales(spark, d).withColumn("year", F.year("l_shipdate"))
+    pairs = lambda df: nw.binarise(edges_of(df, "s_name", "p_brand"))
+    every = pairs(s)
+    two = same_edges(pairs(s.where("year = 1995")), pairs(s.where("year = 2000"))).select(F.lit("suppliers").alias("network"), "equal")
+    return two.unionByName(same_edges(every, transposed(transposed(every))).select(F.lit("turned twice").alias("network"), "equal"))
 
 
 # --- fixed-point solvers --------------------------------------------------------------
@@ -261,7 +270,7 @@ def fc_filtered_with_nulls(spark, d):
     return rounded(ft.FitnessComplexity(N_FC, 0.0, 20, 11).fit(supplier_edges(spark, d)).fitness)
 
 
-PANEL_M = f"""g AS (SELECT year(l_shipdate)::INT y, n_name r, p_brand p, sum({VALUE}) v FROM {SALES} WHERE year(l_shipdate) IN (1995, 2000) GROUP BY 1, 2, 3),
+PANEL_M = f"""g AS (SELECT year(l_shipdate)::INT y, n_name r, p_brand p, sum({VALUE}) v FROM {SALES} GROUP BY 1, 2, 3),
 h AS (SELECT y, r, p FROM (SELECT *, (v / sum(v) OVER (PARTITION BY y, r)) / (sum(v) OVER (PARTITION BY y, p) / sum(v) OVER (PARTITION BY y)) x FROM g) WHERE x >= 1)"""
 
 
@@ -297,12 +306,12 @@ FLOW = "SELECT m.r AS row_id, m.p AS col_id, round(us.u * it.v, 9) AS w_scaled F
 
 @query("sinkhorn_uniform", f"WITH RECURSIVE {m_sql()}, {sk_sql(200, *UNIFORM)} {FLOW}")
 def sinkhorn_uniform(spark, d):
-    return rounded(sk.SinkhornScaler(200, 0.0).fit_transform(flagship(spark, d)).select("row_id", "col_id", "w_scaled"), 9)
+    return rounded(sk.SinkhornScaler().fit_transform(flagship(spark, d)).select("row_id", "col_id", "w_scaled"), 9)
 
 
 @query("sinkhorn_degree", f"WITH RECURSIVE {m_sql()}, {sk_sql(200, *DEGREE)} {FLOW}")
 def sinkhorn_degree(spark, d):
-    return rounded(sk.SinkhornScaler(200, 0.0, margins="degree").fit_transform(flagship(spark, d)).select("row_id", "col_id", "w_scaled"), 9)
+    return rounded(sk.SinkhornScaler(margins="degree").fit_transform(flagship(spark, d)).select("row_id", "col_id", "w_scaled"), 9)
 
 
 @query("sinkhorn_by_joins", f"WITH RECURSIVE {m_sql()}, {sk_sql(4, *UNIFORM)} SELECT p AS id, round(v, 6) AS scale FROM it WHERE i = 4")
@@ -313,7 +322,7 @@ def sinkhorn_by_joins(spark, d):
 
 @query("sinkhorn_marginals", f"WITH RECURSIVE {m_sql()}, {sk_sql(200, *UNIFORM)} SELECT r AS id, round(sum(us.u * it.v), 6) AS mass FROM m JOIN us USING (r) JOIN it ON it.p = m.p WHERE it.i = 200 GROUP BY 1")
 def sinkhorn_marginals(spark, d):
-    w = sk.SinkhornScaler(200, 0.0).fit_transform(flagship(spark, d))
+    w = sk.SinkhornScaler().fit_transform(flagship(spark, d))
     return rounded(w.groupBy(F.col("row_id").alias("id")).agg(F.sum("w_scaled").alias("mass")))
 
 
@@ -366,7 +375,22 @@ def projection_matrix(spark, d):
     return rounded(nw.projection(flagship(spark, d)))
 
 
-@query("eigengap")
+def lambda_sql(n: int = 300) -> str:
+    """CTEs after eci_sql(): l2 and l3, lengths that the walk leaves of its second and third direction."""
+    step = "SELECT m.r, any_value(kc.k) k, sum(s.d) / any_value(kc.k) c FROM m JOIN (SELECT m.p, sum({v}.c) / any_value(kp.k) d FROM m JOIN {v} USING (r) JOIN kp USING (p) GROUP BY 1) s USING (p) JOIN kc USING (r) GROUP BY 1"
+    return f"""v2 AS (SELECT r, c, k FROM it JOIN kc USING (r) WHERE i = {n}), w2 AS ({step.format(v="v2")}), l2 AS (SELECT sqrt(sum(c * c)) x FROM w2),
+jt AS (SELECT 0 i, r, sin(row_number() OVER (ORDER BY r)) c FROM kc UNION ALL
+ SELECT i + 1, r, c / sqrt(sum(c * c) OVER ()) c FROM (SELECT i, q.r, q.c - sum(q.k * q.c) OVER () / sum(q.k) OVER () - v2.c * sum(q.k * q.c * v2.c) OVER () / sum(q.k * v2.c * v2.c) OVER () c FROM (
+  SELECT s.i, m.r, any_value(kc.k) k, sum(s.d) / any_value(kc.k) c FROM m JOIN (
+   SELECT jt.i, m.p, sum(jt.c) / any_value(kp.k) d FROM m JOIN jt USING (r) JOIN kp USING (p) WHERE jt.i < {n} GROUP BY 1, 2) s USING (p)
+  JOIN kc USING (r) GROUP BY 1, 2) q JOIN v2 USING (r))),
+v3 AS (SELECT r, c FROM jt WHERE i = {n}), w3 AS ({step.format(v="v3")}), l3 AS (SELECT sqrt(sum(c * c)) x FROM w3), l AS (SELECT l2.x AS l2, l3.x AS l3 FROM l2, l3)"""
+
+
+SPECTRA = f"WITH RECURSIVE {m_sql()}, {eci_sql()}, {lambda_sql()}"
+
+
+@query("eigengap", f"{SPECTRA} SELECT 1.0::DOUBLE AS eigenvalue_0, round(l2, 6) AS eigenvalue_1, round(1 - l2, 6) AS eigengap, round(l2, 6) AS ratio, trunc(ln(0.01) / ln(l2))::DOUBLE AS iterations_99pct, trunc(ln(0.001) / ln(l2))::DOUBLE AS iterations_999pct, 1 - l2 < 1e-6 AS is_degenerate FROM l")
 def eigengap(spark, d):
     return rounded(ec.eigengap(flagship(spark, d)))
 
@@ -382,11 +406,37 @@ def gap_measures(spark, d):
     return rounded(ec.gap_measures(flagship(spark, d)))
 
 
-@query("cheeger_diagnosis")
+@query("cheeger_diagnosis", f"{SPECTRA} SELECT round(l2, 6) AS lambda2, round(l3, 6) AS lambda3, round((1 - l3) / (1 - l2 + 1e-10), 6) AS gap_ratio, CASE WHEN l2 > 0.8 AND l2 - l3 > 0.3 THEN 'one-dimensional nested' WHEN l2 > 0.8 THEN 'communities' WHEN l2 - l3 > 0.1 THEN 'weak gradient' ELSE 'no structure' END AS diagnosis FROM l")
 def cheeger_diagnosis(spark, d):
     return rounded(ec.cheeger_diagnosis(flagship(spark, d)))
 
 
+@query("principled_diagnosis", f"""{SPECTRA} SELECT 1.0::DOUBLE AS lambda1, round(l2, 6) AS lambda2, round(l3, 6) AS lambda3, round(1 - l2, 6) AS lambda2_l, round(l2 - l3, 6) AS eigengap, round(1 - l2, 6) AS spectral_gap, l2 > 0.8 AS is_persistent, l2 - l3 > 0.3 AS is_1d,
+ CASE WHEN l2 > 0.8 AND l2 - l3 > 0.3 THEN '1D nested hierarchy' ELSE 'Multi-dimensional structure' END AS diagnosis, CASE WHEN l2 - l3 > 0.1 THEN '1D nested hierarchy' ELSE 'Multi-dimensional structure' END AS by_gap, CASE WHEN l2 > 0.8 THEN '1D nested hierarchy' ELSE 'Multi-dimensional structure' END AS by_persistence FROM l""")
+def principled_diagnosis(spark, d):
+    return rounded(ec.principled_diagnosis(flagship(spark, d)))
+
+
+@query("spectrum_report")
+def spectrum_report(spark, d):
+    return rounded(ec.spectrum_report(flagship(spark, d)))
+
+
+@query("laplacian_gap")
+def laplacian_gap(spark, d):
+    return rounded(ec.laplacian_gap(flagship(spark, d)))
+
+
+@query("both_sides_spectra")
+def both_sides_spectra(spark, d):
+    return rounded(ec.both_sides(supplier_edges(spark, d)))
+
+
+@query("network_report")
+def network_report(spark, d):
+    return rounded(cm.network_report(flagship(spark, d)))
+
+
 @query("effective_rank")
 def effective_rank(spark, d):
     return rounded(ec.effective_rank(flagship(spark, d)))
@@ -441,7 +491,7 @@ def points(spark, d):
     return t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
 
 
-AFF = "pts AS (SELECT vec_id id, embedding::DOUBLE[] x FROM embeddings WHERE vec_id < 50), aff AS (SELECT a.id a, b.id b, exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2) w FROM pts a, pts b)"
+AFF = "pts AS (SELECT vec_id id, embedding::DOUBLE[] x FROM embeddings), aff AS (SELECT a.id a, b.id b, exp(-list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2) w FROM pts a, pts b)"
 
 
 @query("affinity_rbf", f"WITH {AFF} SELECT a, b, round(w, 6) AS w FROM aff")
@@ -575,6 +625,20 @@ def indicator_dedupe_last(spark, d):
     return t(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", "o_orderkey").alias("last_price"))
 
 
+@query("fitness_with_indicator", f"WITH RECURSIVE {m_sql()}, {fc_sql(N_FC)}, {IND} SELECT r AS id, year, round(f, 6) AS fitness, value FROM fit JOIN i ON country_code = r")
+def fitness_with_indicator(spark, d):
+    fit = side(ft.fitness_scores(flagship(spark, d), N_FC, 0.0), "row", "fitness")
+    return rounded(fit.join(indicator(spark, d).withColumnRenamed("country_code", "id"), "id").select("id", "year", "fitness", "value"))
+
+
+@query("indicators_joined", f"WITH {IND}, a AS (SELECT country_code, year, value v FROM i), b AS (SELECT n_name country_code, year(l_shipdate)::INT AS year, count(*) n FROM {SALES} GROUP BY 1, 2), c AS (SELECT n_name country_code, count(*) s FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) SELECT country_code, year, v AS value, n AS items, s AS suppliers FROM a JOIN b USING (country_code, year) JOIN c USING (country_code)")
+def indicators_joined(spark, d):
+    """Three indicators by country, two of them by year."""
+    items = sales(spark, d).groupBy(F.col("n_name").alias("country_code"), F.year("l_shipdate").alias("year")).agg(F.count(F.lit(1)).alias("items"))
+    n = t(spark, d, "nation").join(t(spark, d, "supplier"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.col("n_name").alias("country_code")).agg(F.count(F.lit(1)).alias("suppliers"))
+    return indicator(spark, d).join(items, ["country_code", "year"]).join(n, "country_code")
+
+
 @query("name_lookup_default", "SELECT n_name, coalesce(CASE WHEN r_regionkey <= 2 THEN r_name END, 'Unknown') AS region, coalesce(CASE WHEN r_regionkey <= 2 THEN r_name END, n_name) AS label FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
 def name_lookup_default(spark, d):
     names = t(spark, d, "region").where("r_regionkey <= 2")
@@ -587,7 +651,7 @@ def missing_codes(spark, d):
     return rd.missing_codes(t(spark, d, "nation").select(F.col("n_name").alias("country_code")), ["NATION_1", "NATION_99", "XXX"])
 
 
-@query("exclude_aggregates", "SELECT c AS country_code FROM (VALUES ('FRA'), ('EUU'), ('WLD'), ('LIE')) v(c) WHERE c NOT IN ('EUU', 'WLD')")
+@query("exclude_aggregates", f"WITH {IND} SELECT DISTINCT country_code FROM i WHERE country_code NOT IN ({', '.join(repr(c) for c in rd.AGGREGATES)})")
 def exclude_aggregates(spark, d):
     """The codes of the whole indicator table but for aggregates."""
     return rd.without_aggregates(indicator(spark, d)).select("country_code").distinct()
@@ -672,9 +736,42 @@ def alluvial_spans(spark, d):
     return rounded(rp.alluvial_spans(trade(spark, d), "row_id"), 6, mass=4)
 
 
+@query("alluvial_bands", f"""WITH f AS ({facts_sql()}), {', '.join(f"""{x}g AS (SELECT {x}, sum(v) m FROM f GROUP BY 1), {x}h AS (SELECT {x}, m, m / sum(m) OVER () x, row_number() OVER (ORDER BY m DESC, {x}) k, count(*) OVER () n FROM {x}g),
+{x}s AS (SELECT {x}, m, x / (1 + 0.01 * (n - 1)) high, (coalesce(sum(x) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 0.01 * (k - 1)) / (1 + 0.01 * (n - 1)) lo FROM {x}h)""" for x in "rp")},
+b AS (SELECT r, p, v, rs.lo + coalesce(sum(v) OVER (PARTITION BY r ORDER BY v DESC, p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * rs.high / rs.m a, rs.high / rs.m ra,
+ ps.lo + coalesce(sum(v) OVER (PARTITION BY p ORDER BY v DESC, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * ps.high / ps.m c, ps.high / ps.m pa FROM f JOIN rs USING (r) JOIN ps USING (p))
+SELECT r AS row_id, p AS col_id, round(v, 4) AS w, round(a, 6) AS row_lo, round(a + v * ra, 6) AS row_hi, round(c, 6) AS col_lo, round(c + v * pa, 6) AS col_hi FROM b""")
+def alluvial_bands(spark, d):
+    return rounded(rp.alluvial_bands(trade(spark, d)), 6, w=4)
+
+
+ARC = "SELECT {x} id, row_number() OVER (ORDER BY {x}) i, count(*) OVER () n FROM (SELECT DISTINCT {x} FROM b)"
+
+
+@query("circular_flow", f"""WITH f AS ({facts_sql()}), b AS (SELECT * FROM f ORDER BY v DESC, r, p LIMIT 40), x AS ({ARC.format(x="r")}), y AS ({ARC.format(x="p")})
+SELECT r AS row_id, p AS col_id, round(v, 4) AS w, round(0.2 + 6 * power(v / max(v) OVER (), 0.75), 6) AS width, round(cos(-pi() / 2 + (x.i - 0.5) / x.n * pi()), 6) + 0.0 AS row_x, round(sin(-pi() / 2 + (x.i - 0.5) / x.n * pi()), 6) + 0.0 AS row_y,
+ round(cos(pi() / 2 + (y.i - 0.5) / y.n * pi()), 6) + 0.0 AS col_x, round(sin(pi() / 2 + (y.i - 0.5) / y.n * pi()), 6) + 0.0 AS col_y FROM b JOIN x ON x.id = r JOIN y ON y.id = p""")
+def circular_flow(spark, d):
+    return rounded(rp.circular_flow(trade(spark, d), 40), 6, w=4)
+
+
+@query("sorted_matrix", f"""WITH f AS ({facts_sql()}), x AS (SELECT r, row_number() OVER (ORDER BY sum(v) DESC, r) - 1 k FROM f GROUP BY 1), y AS (SELECT p, row_number() OVER (ORDER BY sum(v) DESC, p) - 1 k FROM f GROUP BY 1)
+SELECT x.k::INT AS row_pos, y.k::INT AS col_pos, r AS row_id, p AS col_id, round(v, 4) AS w FROM f JOIN x USING (r) JOIN y USING (p)""")
+def sorted_matrix(spark, d):
+    e = trade(spark, d)
+    total = lambda side: e.groupBy(F.col(side).alias("id")).agg(F.sum("w").alias("score"))
+    return rounded(rp.sorted_by_scores(e, total("row_id"), total("col_id")), 4)
+
+
+@query("cluster_purity", "WITH e AS (SELECT o_custkey % 7 label, o_orderpriority AS class, count(*) k FROM orders GROUP BY 1, 2), g AS (SELECT label, sum(k) n, max(k) most FROM e GROUP BY 1) SELECT sum(n)::BIGINT AS n, count(*) AS clusters, round(sum(most) / sum(n), 6) AS purity FROM g")
+def cluster_purity(spark, d):
+    o = t(spark, d, "orders")
+    return rounded(rp.cluster_purity(o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("label")), o.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("class"))))
+
+
 @query("dual_potentials", f"WITH RECURSIVE {m_sql()}, {sk_sql(200, *UNIFORM)} SELECT r AS id, round(ln(u + 1e-30), 6) AS potential, (row_number() OVER (ORDER BY u DESC, r))::INT AS pos FROM us")
 def dual_potentials(spark, d):
-    scales = sk.SinkhornScaler(200, 0.0).fit(flagship(spark, d)).scales
+    scales = sk.SinkhornScaler().fit(flagship(spark, d)).scales
     return rounded(rp.dual_potentials(scales).where("side = 'row'").select("id", "potential", "pos"))
 
 
