@@ -175,6 +175,15 @@ def test_circles_and_elongated_kmeans(spark):
     x = np.vstack([(r + noise)[:, None] * np.c_[np.cos(a), np.sin(a)] for r in (1, 2, 3)])
     label = cm.cluster_points(x, math.sqrt(0.05))
     assert len(set(label)) == 3 and all(len(set(label[100 * k : 100 * k + 100])) == 1 for k in range(3))
+    sampled = np.r_[0:300:5]
+    circles = spark.createDataFrame([(int(i), x[i].tolist(), int(i) // 100) for i in sampled], "id int, features array<double>, class int")
+    own = cm.SpectralCluster(math.sqrt(0.05)).fit_predict(circles)
+    few = cm.cluster_points(x[sampled], math.sqrt(0.05)).tolist()
+    order = {v: i for i, v in enumerate(dict.fromkeys(few))}
+    assert {r.id: r.community for r in own.collect()} == {int(i): order[v] for i, v in zip(sampled, few, strict=True)}
+    rays = [(i, [math.cos(0.5 * (i % 3)) * (1 + i / 30), math.sin(0.5 * (i % 3)) * (1 + i / 30), 0.01 * i]) for i in range(30)]
+    there = cm.origin_detector(np.array([v for _, v in rays]), max_k=3).tolist()
+    assert [r.label for r in cm.origin_labels(spark.createDataFrame(rays, "id int, features array<double>"), 3, max_k=3).orderBy("id").collect()] == there
     pts = spark.createDataFrame([(i, [float(i % 2) * 3 + 1, 0.1 * (i % 5)]) for i in range(40)], "id int, features array<double>")
     km = cm.ElongatedKMeans([[1.0, 0.0], [4.0, 0.1]]).fit(pts)
     assert {(r.id % 2, r.label) for r in km.predict(pts).collect()} == {(0, 0), (1, 1)}
