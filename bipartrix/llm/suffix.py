@@ -1,18 +1,19 @@
 """Repeated passages by longest-previous-factor tests in a partitioned suffix order.
 
 A byte goes when a string of ``length`` bytes that covers it also starts
-elsewhere. For a position that is the test LPF >= length (an earlier copy) or
-its mirror image (a later one): among the suffixes that share the position's
-first ``length`` bytes, and so are neighbours in suffix order, the nearest
-smaller or larger position exists.
+elsewhere. For a position that is the test LPF >= length, of the longest
+previous factor array, or its mirror image for later copies. LPF is the larger
+common prefix with the previous or next suffix, in suffix order, that starts at
+a smaller position (Crochemore and Ilie 2008).
 
 No task ever sorts the suffixes of the whole corpus. Each suffix is sent to a
 bucket that its first ``length`` bytes alone decide: the k-gram of least hash in
 them (winnowing, Schleimer et al. 2003). Suffixes that agree on ``length`` bytes
-share a bucket and the k-gram's offset, so bucket-wise order decides every test.
+share a bucket, so the suffix order of each bucket decides every test: values of
+LPF below ``length`` only say that, for shorter matches may lie in other buckets.
 Neighbouring positions with the same anchor travel as one row, a run; runs with
-equal text are one class, counted before the shuffle. Only buckets that hold
-different classes are looked into position by position.
+equal text (by two 64-bit hashes) are one class, counted before the shuffle.
+Only buckets that hold different classes are put in suffix order.
 """
 
 from __future__ import annotations
@@ -137,26 +138,101 @@ def windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray,
     return row, j, span_hash(h, at, at + length)
 
 
+def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(m, rank of each position's first m bytes in lexicographic order) for m = 1, 2, 4, ... 8, 16, ... and length.
+
+    Rank doubling: a string of 2 m bytes is the pair of its halves' ranks. Only
+    positions with m bytes left have a rank that means something.
+    """
+    n = len(data)
+    word = np.zeros(n, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    m = min(8, length)
+    for i in range(m):
+        word |= padded[i : i + n] << np.uint64(8 * (7 - i))
+    out = [(m, np.unique(word, return_inverse=True)[1])]
+    while m < length:
+        step = min(m, length - m)  # the last pair overlaps
+        rank = out[-1][1]
+        second = np.concatenate([rank[step:], np.zeros(step, rank.dtype)])
+        m += step
+        out.append((m, np.unique(rank * (int(rank.max(initial=0)) + 1) + second, return_inverse=True)[1]))
+    return out
+
+
+def common_prefix(data: np.ndarray, ranks: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that the suffixes at a and b share, up to the longest length ranked."""
+    length = ranks[-1][0]
+    out = np.where(ranks[-1][1][a] == ranks[-1][1][b], length, 0)
+    some = np.flatnonzero(out == 0)
+    at = np.zeros(len(some), np.int64)
+    for m, rank in ranks[-2::-1]:
+        same = rank[a[some] + at] == rank[b[some] + at]
+        at[same] += m
+    for _ in range(min(7, length)):  # within the 8 bytes that differ
+        same = data[a[some] + at] == data[b[some] + at]
+        at[same] += 1
+        if not same.any():
+            break
+    out[some] = np.minimum(at, length - 1)
+    return out
+
+
+def nearest_smaller(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each suffix in suffix order, the common prefix with the nearest one before it whose place is smaller; 0 if there is none.
+
+    lcp[i] is that of suffixes i - 1 and i. All suffixes jump at once: past one
+    with a larger place lie only larger ones, up to where that one has got.
+    """
+    n = len(place)
+    at, least = np.arange(-1, n - 1), lcp.copy()
+    while True:
+        go = np.flatnonzero((at >= 0) & (least > 0))
+        go = go[place[at[go]] > place[go]]
+        if not len(go):
+            break
+        to = at[go]
+        at[go], least[go] = at[to], np.minimum(least[go], least[to])
+    least[at < 0] = 0
+    return least
+
+
+def longest_previous_factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """LPF of suffixes in suffix order: the longer of the matches with the previous and the next smaller place."""
+    after = np.concatenate([lcp[1:], [0]])[::-1]
+    return np.maximum(nearest_smaller(place, lcp), nearest_smaller(place[::-1], after)[::-1])
+
+
 def small_buckets(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """(doc_id, th, s, e) to remove, from the runs of whole buckets; a bucket's runs meet in one task, LARGE_BUCKET at most.
 
-    The suffixes of a bucket are put in an order in which those that share their
-    first ``length`` bytes are neighbours, ties by position. Previous and next in
-    such a run are the nearest smaller and larger positions: LPF >= length holds
-    for all but its first, the mirror image for all but its last.
+    A bucket's suffixes are put in suffix order by rank doubling on their bytes,
+    and LPF follows from common prefixes and nearest smaller positions.
     """
     kind = contexts.schema["doc_id"].dataType.simpleString()
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         b = t.combine_chunks().to_batches()[0]
-        key, o, s = (b.column(c).to_numpy() for c in ("key", "o", "s"))
-        row, j, h = windows(b, length)
-        g, off = key[row], o[row] + j
-        order = np.lexsort((row, h, off, g))
-        same = (g[order][1:] == g[order][:-1]) & (off[order][1:] == off[order][:-1]) & (h[order][1:] == h[order][:-1])
-        earlier, later = np.concatenate([[False], same]), np.concatenate([same, [False]])
+        key, o, s, n = (b.column(c).to_numpy() for c in ("key", "o", "s", "n"))
+        raw = b.column("ctx").to_pylist()
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        off = np.cumsum([0, *[len(x) for x in raw]])[:-1]
+        row = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        at = off[row] + j
+        ranks = prefix_ranks(data, length)
+        # Runs come by document and place; of one document, a suffix's place grows with its anchor's and its offset from it.
+        document = np.cumsum(np.concatenate([[False], _changes(b, ("doc_id", "th"))]))[row]
+        place = np.empty(len(row), np.int64)
+        place[np.lexsort((s[row] + j, document))] = np.arange(len(row))
+        order = np.lexsort((place, ranks[-1][1][at], key[row]))
+        lcp = np.zeros(len(row), np.int64)
+        same = key[row[order]][1:] == key[row[order]][:-1]
+        lcp[1:][same] = common_prefix(data, ranks, at[order][:-1][same], at[order][1:][same])
         gone = np.empty(len(row), bool)
-        gone[order] = earlier if keep_first else earlier | later
+        gone[order] = longest_previous_factors(place[order], lcp) >= length
+        if not keep_first:  # later copies count too
+            gone[order] |= longest_previous_factors(-place[order], lcp) >= length
         edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
         cut = np.concatenate([[False], (row[1:] != row[:-1]) & gone[1:] & gone[:-1], [False]]) if len(row) else np.zeros(1, bool)
         a, z = np.flatnonzero((edge == 1) | cut), np.flatnonzero((edge == -1) | cut) - 1
@@ -183,6 +259,16 @@ def small_buckets(contexts: DataFrame, length: int, keep_first: bool) -> DataFra
     return ordered.mapInArrow(run, f"doc_id {kind}, th long, s long, e long")
 
 
+def _changes(b: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
+    """Whether each row but the first differs from the one before in any of the columns."""
+    out = np.zeros(max(0, b.num_rows - 1), bool)
+    for c in names:
+        x = b.column(c)
+        code = x.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        out |= code[1:] != code[:-1]
+    return out
+
+
 def large_buckets(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """The same by text: each suffix goes to its own 64-bit class in its bucket, and only counts and least positions are gathered."""
     kind = contexts.schema["doc_id"].dataType.simpleString()

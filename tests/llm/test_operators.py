@@ -413,3 +413,24 @@ def test_repeated_passages(spark, monkeypatch, keep_first, large):
     if keep_first:
         cut = suffix.cleaned(d, 40, 12)
         assert cut.columns == d.columns and cut.count() == d.count()
+
+
+def test_longest_previous_factors():
+    """LPF from suffix order, common prefixes and nearest smaller positions against its definition."""
+    rng = np.random.default_rng(4)
+    for alphabet, size in ((2, 60), (3, 200), (26, 80)):
+        for length in (1, 5, 8, 13, 40):
+            data = rng.integers(0, alphabet, size).astype(np.uint8)
+            at = np.arange(size - length + 1)
+            ranks = suffix.prefix_ranks(data, length)
+            order = np.lexsort((at, ranks[-1][1][at]))
+            raw = data.tobytes()
+            assert [raw[i : i + length] for i in order] == sorted(raw[i : i + length] for i in at)
+            lcp = np.concatenate([[0], suffix.common_prefix(data, ranks, order[:-1], order[1:])])
+            lpf = np.empty(len(at), int)
+            lpf[order] = suffix.longest_previous_factors(order, lcp)
+
+            def shared(i, j):
+                return next((m for m in range(length) if raw[i + m] != raw[j + m]), length)
+
+            assert lpf.tolist() == [max((shared(i, j) for j in range(i)), default=0) for i in at]
