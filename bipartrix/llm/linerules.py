@@ -120,8 +120,11 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def clean_lines(docs: DataFrame, cleaner: LineCleaner | None = None, with_text: bool = True) -> DataFrame:
     """doc_id, the base measures, the verdict, what was removed, and the cleaned text (null without ``with_text``).
 
-    One row for each row of ``docs``; null texts count as empty and fail for
-    want of words; columns other than doc_id and text are ignored.
+    One row for each row of ``docs``, also where doc_ids or texts repeat or are
+    null; each is judged by its own text alone, so that ties can't matter. Null
+    texts count as empty and fail for want of words. Very long texts are read
+    whole, line by line. Columns other than doc_id and text are ignored, and an
+    empty table gives no rows.
     """
     cleaner = cleaner or LineCleaner()
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from bipartrix.llm.common import materialise, only, partitions, prefix_hash, slices, span_hash, text_or_empty
+from bipartrix.llm.common import materialise, only, partitions, prefix_hash, release, slices, span_hash, text_or_empty
 
 #: Positions that are scanned at once; longer texts are scanned in pieces.
 PIECE = (1 << 19) - 1024
@@ -331,9 +331,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 100, keep_f
     per_doc = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("more"))
     per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "more")
     all_spans = found.drop("anchors").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    return all_spans.select("doc_id", "th", "n_bytes", "sha256", F.concat("own", F.coalesce("more", F.array().cast(SPANS))).alias("spans")).mapInArrow(
+    whole = all_spans.select("doc_id", "th", "n_bytes", "sha256", F.concat("own", F.coalesce("more", F.array().cast(SPANS))).alias("spans")).mapInArrow(
         merge_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_bytes long, sha256 string, spans {SPANS}, n_removed long, n_spans long"
     )
+    out = materialise(whole, "lpf-found")
+    release(found, runs, classes, contexts)
+    return out
 
 
 def merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,9 +367,15 @@ def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def removal_digest(docs: DataFrame, length: int = 400, anchor: int = 100, keep_first: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
+
+    Spans are those of repeated_spans(). Null texts count as empty, and an empty
+    text has the digest of no bytes; null and repeated doc_ids each give their
+    row; very long texts are scanned in pieces; other columns are ignored; an
+    empty table gives no rows.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = materialise(repeated_spans(docs, length, anchor, keep_first), "lpf-found")
+    found = repeated_spans(docs, length, anchor, keep_first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -388,7 +397,7 @@ def cleaned(docs: DataFrame, length: int = 200, anchor: int = 100) -> DataFrame:
     there is one, which follows it) of documents that lose something; a text that
     goes whole becomes empty. Characters cut in two are dropped.
     """
-    found = materialise(repeated_spans(docs, length, anchor, keep_first=True).where("n_removed > 0"), "lpf-found")
+    found = repeated_spans(docs, length, anchor, keep_first=True).where("n_removed > 0")
     kept = found.dropDuplicates(["doc_id", "th"]).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
     # The row travels as one struct, so that no column's name can clash.
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.xxhash64(text_or_empty("text")).alias("_h"))

@@ -166,8 +166,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, lex
         return ToxicityModel([], None, None, a / n if n else 0.0)
     fit_rows = sample.where("part <> 0")
     lexicon = learn_lexicon(fit_rows, lexicon_size, min_docs)
-    dense = materialise(with_features(sample.select("text", F.col("label").cast("double").alias("label"), "part"), lexicon, ("label", "part")).coalesce(2), "toxicity-features")
-    dense = dense.withColumn("features", array_to_vector("features"))
+    dense = materialise(with_features(sample.select("text", F.col("label").cast("double").alias("label"), "part"), lexicon, ("label", "part")), "toxicity-features")
+    # Some thousand short rows: each turn of boosting is a few jobs over them.
+    dense = dense.coalesce(2).withColumn("features", array_to_vector("features"))
     boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, maxBins=64).fit(dense.where("part <> 0"))
     raw = boosted.transform(dense.where("part = 0")).select("label", vector_to_array("probability")[1].alias("raw"))
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(raw)

@@ -142,11 +142,47 @@ def test_packing(spark, docs):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_piecewise_tokens(name):
+def test_piecewise_tokens(name, monkeypatch):
     enc = tokens.PieceEncoder(name)
     cases = [*[t or "" for t in texts(3, 60)], "don't I'LL we've he 's", "日本語 テスト　空白", "é ́a İI ΑΣ ς", "<|endoftext|> a", "\x1c\x1d a\x1eb\x85c", "1234 5,6 $$$!!   x", " Ünï, ÀÉ; ß."]
     for t in cases * 2:
         assert enc.encode(t) == np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    rng = random.Random(6)
+    marks = ["a", "B", "é", "I", "\u0307", "\u0338", " ", "  ", "\n", "\t", "\u00a0", "\u2003", ".", ",", "'s", "1", "23", "日", "$", "_", "À", "ß"]
+    many = ["".join(rng.choices(marks, k=rng.randint(0, 25))) for _ in range(600)]
+    for chunk, most in ((tokens.CHUNK, tokens.MAX_PIECES), (37, 64)):  # in parts, and with a memory that runs full
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        monkeypatch.setattr(tokens, "MAX_PIECES", most)
+        ids, counts = tokens.PieceEncoder(name).encode_all([x.encode() for x in many] + [None], 7)
+        for x, got in zip([*many, ""], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert got.tolist() == [*enc.tokenizer.encode(x, add_special_tokens=False).ids, 7]
+
+
+def test_texts_over_a_megabyte(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(230_000)]
+    item = [f"q{i}" for i in range(30)]
+    leaky = [*words[:229_000], *item[:20], "other", *item[21:], *words[229_000:]]
+    edited = list(words)
+    edited[1000] = edited[200_000] = "changed"
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(leaky)), (4, "short text")], "doc_id long, text string")
+    assert len(" ".join(words)) > 1 << 20
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(d, 2, 80).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    leak = decontam.find_leaks(d, spark.createDataFrame([("x", " ".join(item))], "item_id string, text string")).collect()
+    assert [(r.doc_id, r.distance, r.first_word) for r in leak] == [(3, 1, 229_000)]
+    enc = tokens.PieceEncoder("byte_bpe_50k.json")
+    assert enc.encode(" ".join(words)) == np.array(enc.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_toxicity_features():
+    lexicon = ["=bad", "awfu"]
+    make = toxicity.Featuriser(lexicon)
+    got = dict(zip(toxicity.FEATURES, make("You are BAD, awful! b4d loooong"), strict=True))
+    # Words: you are bad awful b d loooong; hits: bad (whole), awful (prefix); near you or not by five words.
+    assert got["word_density"] == 1 / 7 and got["prefix_density"] == 1 / 7 and got["near_second_person"] == 2 / 7
+    assert got["hidden_hits"] == 1 and got["obfuscated"] == 1 / 7 and got["stretched"] == 1 / 7
+    assert got["capitals"] == 4 / 31 and got["exclamations"] == 1 / 31 and got["distinct_hits"] == 2
+    assert make(None) == make("") == [0.0] * len(toxicity.FEATURES)
 
 
 def word_distance(a, text):
