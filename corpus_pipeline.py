@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), judges all that the stage before it
 kept, and returns a DataFrame; run() writes each one's result to the shared
 folder as Parquet, for the next to read.
+
+Each stage judges rows one by one, whatever their doc_id: ids may repeat or be
+null. Null and empty texts pass all of them (as one end token at last); very
+long texts are worked on in parts; columns beyond doc_id and text are carried
+along under any name; an empty table gives an empty one.
 """
 
 from __future__ import annotations
