@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bipartrix.session import cut_lineage
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 #: A short list of English function words.
@@ -42,8 +44,8 @@ def vocabulary(counts: DataFrame, min_df: int = 1, max_features: int | None = No
 
 
 def user_word_edges(docs: DataFrame, author: str, text: str, min_df: int = 1, max_features: int | None = None, binary: bool = False, stop_words: list[str] | None = None) -> DataFrame:
-    """Bag-of-words edges of authors and words."""
-    counts = word_counts(docs, author, text, stop_words)
+    """Bag-of-words edges of authors and words; texts are cut into words once, and their counts read twice."""
+    counts = cut_lineage(word_counts(docs, author, text, stop_words))
     kept = counts.join(vocabulary(counts, min_df, max_features).select("word"), "word", "left_semi")
     return kept.select(F.col("author").alias("row_id"), F.col("word").alias("col_id"), (F.lit(1.0) if binary else F.col("n").cast("double")).alias("w"))
 
