@@ -19,7 +19,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bipartrix.model import dimension
 from bipartrix.session import cut_lineage
 
 #: Ids of both sides together up to which the driver holds vectors (16 MB each).
@@ -58,13 +57,15 @@ class Blocks:
 
     def __init__(self, edges: DataFrame):
         e = cut_lineage(edges.select("row_id", "col_id", "w"))
-        self.row_ids, self.col_ids = (cut_lineage(dimension(e, side)) for side in ("row_id", "col_id"))
-        self.n, self.m, self.n_edges = self.row_ids.count(), self.col_ids.count(), e.count()
+        ids = [cut_lineage(e.select(side).distinct()) for side in ("row_id", "col_id")]
+        self.n, self.m, self.n_edges = *(x.count() for x in ids), e.count()
         self.spark = edges.sparkSession
         if not self.fits:
             self.edges = e
             return
-        at = [ids.select(F.col("idx").alias(i), F.col("id").alias(side)) for ids, i, side in ((self.row_ids, "i", "row_id"), (self.col_ids, "j", "col_id"))]
+        # The order of vectors: ids by their bytes, which is that of code points.
+        self.rows, self.cols = (sorted(r[0] for r in x.collect()) for x in ids)  # DRIVER_IDS at most
+        at = [self.spark.createDataFrame(list(enumerate(own)), f"{i} int, {side} string") for own, i, side in ((self.rows, "i", "row_id"), (self.cols, "j", "col_id"))]
         cells = e.join(at[0], "row_id").join(at[1], "col_id").select("i", "j", "w")
         self.n_blocks = 1 + self.n_edges // EDGES_PER_PARTITION
         packed = cells.repartition(self.n_blocks).mapInArrow(_pack, "i binary, j binary, w binary")
@@ -99,22 +100,14 @@ class Blocks:
 
     def table(self, rows: dict[str, np.ndarray], cols: dict[str, np.ndarray]) -> DataFrame:
         """(side, id, the named doubles) of both sides."""
-        kinds = "idx int, " + ", ".join(f"{c} double" for c in rows)
-        sides = []
-        for name, ids, values in (("row", self.row_ids, rows), ("col", self.col_ids, cols)):
-            own = self.spark.createDataFrame(list(enumerate_rows(values)), kinds)
-            sides.append(ids.join(own, "idx").select(F.lit(name).alias("side"), "id", *values))
-        return sides[0].unionByName(sides[1])
+        out = [(side, i, *x) for side, ids, own in (("row", self.rows, rows), ("col", self.cols, cols)) for i, *x in zip(ids, *(v.tolist() for v in own.values()), strict=True)]
+        return self.spark.createDataFrame(out, "side string, id string, " + ", ".join(f"{c} double" for c in rows))
 
     def done(self) -> None:
         if self.fits:
             self.blocks.unpersist()
 
 
-def enumerate_rows(values: dict[str, np.ndarray]) -> Iterator[tuple]:
-    return ((i, *x) for i, x in enumerate(zip(*(v.tolist() for v in values.values()), strict=True)))
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns i, j, w of each batch as the bytes of their arrays."""
     for b in batches:

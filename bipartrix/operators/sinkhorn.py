@@ -120,8 +120,8 @@ class SinkhornScaler:
         degree = lambda side: edges.groupBy(F.col(side).alias("id")).agg(F.sum("w").alias("k"))
         r, c = _targets(degree("row_id"), row_mass, self.margins, "row"), _targets(degree("col_id"), col_mass, self.margins, "column")
         if k.fits:
-            at = lambda ids, t: np.array([x[0] for x in ids.join(t, "id").orderBy("idx").select("t").collect()])  # noqa: E731  DRIVER_IDS at most
-            out = sinkhorn_loop(k, at(k.row_ids, r), at(k.col_ids, c), self.n_iter, self.tol, self.eps)
+            at = lambda ids, t: np.array(list(map(dict(t.select("id", "t").collect()).get, ids)))  # noqa: E731  DRIVER_IDS at most
+            out = sinkhorn_loop(k, at(k.rows, r), at(k.cols, c), self.n_iter, self.tol, self.eps)
             k.done()
             table = k.table({"scale": out.rows}, {"scale": out.cols}).withColumn("n_iter", F.lit(out.n_iter)).withColumn("converged", F.lit(out.converged))
         else:
