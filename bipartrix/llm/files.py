@@ -24,3 +24,9 @@ def create(folder: str, stem: str, suffix: str):
 def open_input(path: str):
     where, inner = fs.FileSystem.from_uri(path)
     return where.open_input_stream(inner, compression=None)
+
+
+def open_file(path: str):
+    """For readers that seek, as Parquet's."""
+    where, inner = fs.FileSystem.from_uri(path)
+    return where.open_input_file(inner)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import decontam, linerules, minhash, oracle, packing, sharding, suffix, tokenfile, toxicity, urlfilter, warc
+from bipartrix.llm import alignment, decontam, linerules, minhash, oracle, packing, sharding, suffix, tokenfile, toxicity, urlfilter, warc
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -71,6 +71,10 @@ def op10_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_digest(table(spark, sf_dir, "documents"), length=400, keep_first=False)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model", with_groups=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

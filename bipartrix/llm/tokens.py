@@ -2,8 +2,9 @@
 
 Both vocabularies used here split a text at white space before anything else,
 so the ids of a text are the ids of its pieces in order. Pieces repeat far more
-than texts do: many texts are cut into pieces at once with numpy, told apart by
-64-bit hashes, and only pieces that the task's memory lacks go to the library.
+than texts do: many texts are cut into pieces at once with numpy, found by 64-bit
+keys and told apart by their bytes, and only pieces that the task's memory lacks
+go to the library.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers.pre_tokenizers import ByteLevel
 
-from bipartrix.llm.common import holds, only, prefix_hash, span_hash
+from bipartrix.llm.common import holds, mix64, only
 
 #: Unicode White_Space, which the tokenizers' ``\s`` means.
 WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,7 +30,7 @@ OTHER_WS = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\
 
 #: Pieces remembered in a Python worker (about 40 MB with their ids).
 MAX_PIECES = 1 << 20
-#: Longer pieces (bytes) aren't remembered.
+#: Longer pieces (bytes) aren't remembered, nor told apart.
 MAX_LENGTH = 60
 #: Bytes of texts that are cut at once; longer texts go in parts, cut where white space starts.
 CHUNK = 1 << 19
@@ -66,14 +67,44 @@ def latin(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return data, letter
 
 
+class Spans:
+    """Short pieces of a byte string as 64-bit words: word j of a piece has its bytes from 8 j on, zeros after its end."""
+
+    def __init__(self, raw: bytes, start: np.ndarray, end: np.ndarray):
+        self.words = np.ndarray((len(raw) + 1,), ">u8", raw + bytes(8), strides=(1,))
+        self.start, self.size = start, end - start
+
+    def take(self, at: np.ndarray) -> Spans:
+        out = object.__new__(Spans)
+        out.words, out.start, out.size = self.words, self.start[at], self.size[at]
+        return out
+
+    def word(self, j: int, at: np.ndarray) -> np.ndarray:
+        """Word j of some pieces, which have more than 8 j bytes."""
+        left = np.minimum(self.size[at] - 8 * j, 8).astype(np.uint64)
+        return self.words[self.start[at] + 8 * j].astype(np.uint64) & (np.uint64(0xFFFFFFFFFFFFFFFF) << (np.uint64(64) - np.uint64(8) * left))
+
+    def keys(self) -> np.ndarray:
+        """64-bit keys, never 0; one-to-one for pieces of equal length up to 8 bytes, but for that."""
+        out = self.size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at, j = np.arange(len(out)), 0
+        while len(at):
+            out[at] = mix64(out[at] ^ self.word(j, at))
+            j += 1
+            at = at[self.size[at] > 8 * j]
+        return np.maximum(out, np.uint64(1))
+
+
 class Memory:
-    """Keys of pieces in an open-addressing table, and their ids one after another."""
+    """Keys of pieces in an open-addressing table, their bytes, and their ids one after another."""
 
     def __init__(self, most: int):
         self.most, self.mask, self.n, self.end = most, 2 * most - 1, 0, 0
         self.key, self.at = np.zeros(2 * most, np.uint64), np.zeros(2 * most, np.int32)
         self.first, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.ids = np.zeros(1 << 14, np.uint32)
+        #: Where the words of an entry's bytes lie, and how many bytes it has (0: without a key).
+        self.word_at, self.length, self.words, self.n_words = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.uint64), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The entry of each key, -1 where there is none."""
@@ -87,11 +118,21 @@ class Memory:
             left, slot = left[on], slot[on] + 1 & self.mask
         return out
 
+    def same_bytes(self, entries: np.ndarray, pieces: Spans) -> np.ndarray:
+        """Whether each piece has the bytes that its entry was named for."""
+        out = self.length[entries] == pieces.size
+        at, j = np.flatnonzero(out), 0
+        while len(at):
+            out[at] = self.words[self.word_at[entries[at]] + j] == pieces.word(j, at)
+            j += 1
+            at = at[out[at] & (pieces.size[at] > 8 * j)]
+        return out
+
     def add(self, ids: list[int], sizes: list[int]) -> np.ndarray:
         """Entries for pieces with so many of these ids each, without keys."""
         n, size, flat = len(sizes), np.array(sizes, np.int32), np.array(ids, np.uint32)
         while self.n + n > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.word_at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.word_at, self.length))
         while self.end + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.first[self.n : self.n + n] = self.end + np.cumsum(size) - size
@@ -100,8 +141,19 @@ class Memory:
         self.n, self.end = self.n + n, self.end + len(flat)
         return np.arange(self.n - n, self.n, dtype=np.int32)
 
-    def name(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        """Give entries their keys, all of which are new."""
+    def name(self, keys: np.ndarray, entries: np.ndarray, pieces: Spans) -> None:
+        """Give entries their keys, all of which are new, and the bytes they stand for."""
+        self.length[entries] = pieces.size
+        many = (pieces.size + 7) // 8
+        self.word_at[entries] = self.n_words + np.cumsum(many) - many
+        while self.n_words + int(many.sum()) > len(self.words):
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)])
+        at, j = np.flatnonzero(many), 0
+        while len(at):
+            self.words[self.word_at[entries[at]] + j] = pieces.word(j, at)
+            j += 1
+            at = at[many[at] > j]
+        self.n_words += int(many.sum())
         left, slot = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
         while len(left):
             free = np.flatnonzero(self.key[slot] == 0)
@@ -122,6 +174,8 @@ class Memory:
 class PieceEncoder:
     """encode() gives a text's ids as little-endian unsigned 32-bit bytes, encode_all() those of many texts."""
 
+    breaks = SPACE_STARTS
+
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
@@ -186,28 +240,48 @@ class PieceEncoder:
         lower = not self.by_space and not COMBINING.search(raw)
         data, letter = latin(np.frombuffer(raw, np.uint8), lower)
         start, end = self.bounds(data, letter, begin[size > 0])
-        keys = span_hash(prefix_hash(data), start, end) | np.uint64(1)
-        entry = self.memory.find(keys)
-        miss = np.flatnonzero(entry < 0)
-        n0, end0 = self.memory.n, self.memory.end
-        if len(miss):
-            new, at, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-            at = miss[at]
-            keep = end[at] - start[at] <= MAX_LENGTH
-            room = np.cumsum(keep) <= self.memory.most - n0
-            order = np.argsort(~(keep & room), kind="stable")  # those to remember come first
-            entries = np.empty(len(new), np.int32)
-            entries[order] = self.memory.add(*self.pieces(data, letter & (lower or self.by_space), start[at[order]], end[at[order]]))
-            entry[miss] = entries[back]
-            held = int((keep & room).sum())
-            self.memory.name(new[order[:held]], entries[order[:held]])
-            n0, end0 = n0 + held, int(self.memory.first[n0 + held]) if n0 + held < self.memory.n else self.memory.end
+        entry, n0, end0 = self._entries(raw if not lower else data.tobytes(), data, letter & (lower or self.by_space), start, end)
         ids = self.memory.gather(entry)
         self.memory.n, self.memory.end = n0, end0  # the rest is forgotten
         piece_of = np.searchsorted(start, begin)
         total = np.concatenate([[0], np.cumsum(self.memory.size[entry], dtype=np.int64)])
         return ids, total[np.append(piece_of[1:], len(start))] - total[piece_of]
 
+    def _entries(self, raw: bytes, data: np.ndarray, letter: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """(entry of each piece, number of entries and of ids that are to be kept after this chunk).
+
+        Pieces over MAX_LENGTH bytes, those beyond the memory's bounds, and those
+        whose key another piece has, are encoded for this chunk alone.
+        """
+        memory = self.memory
+        entry = np.full(len(start), -1, np.int32)
+        short = np.flatnonzero(end - start <= MAX_LENGTH)
+        spans = Spans(raw, start[short], end[short])
+        keys = spans.keys()
+        found = memory.find(keys)
+        known = np.flatnonzero(found >= 0)
+        right = memory.same_bytes(found[known], spans.take(known))
+        entry[short[known[right]]] = found[known[right]]
+        miss = np.flatnonzero(found < 0)
+        n0, end0 = memory.n, memory.end
+        _, at, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+        first = miss[at]  # one piece for each new key
+        held = min(len(first), memory.most - n0)
+        new = memory.add(*self.pieces(data, letter, start[short[first]], end[short[first]]))
+        memory.name(keys[first[:held]], new[:held], spans.take(first[:held]))
+        if held:
+            n0, end0 = n0 + held, int(memory.first[n0 + held]) if n0 + held < memory.n else memory.end
+        same = _same(spans, miss, first[back])
+        entry[short[miss[same]]] = new[back[same]]
+        rest = np.flatnonzero(entry < 0)
+        if len(rest):
+            entry[rest] = memory.add(*self.pieces(data, letter, start[rest], end[rest]))
+        return entry, n0, end0
+
+    def whole(self, raw: bytes) -> bool:
+        """Whether a text is cut by the pattern instead: it has white space beyond ASCII."""
+        return any(x in raw for x in WS_LEADS) and OTHER_WS.search(raw) is not None
+
     def encode_all(self, texts: list[bytes | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, joined; number of ids of each), each text's with ``end_id`` after them."""
         owner, parts, size, out = [], [], 0, []
@@ -219,14 +293,14 @@ class PieceEncoder:
             parts.clear()
 
         for i, t in enumerate(texts):
-            if t and any(x in t for x in WS_LEADS) and OTHER_WS.search(t):
+            if t and self.whole(t):
                 if parts:
                     done()
                     size = 0
                 ids = np.array([x for m in self.pattern.finditer(t.decode()) for x in self.piece(m[0])], np.uint32)
                 out.append(([i], np.array([len(ids)]), ids))
             else:
-                for p in _segments(t or b""):
+                for p in _segments(t or b"", self.breaks):
                     if parts and size + len(p) > CHUNK:
                         done()
                         size = 0
@@ -247,11 +321,22 @@ class PieceEncoder:
         return self.encode_all([(text or "").encode()])[0].tobytes()
 
 
-def _segments(raw: bytes) -> Iterator[bytes]:
+def _same(spans: Spans, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pieces a[i] and b[i] have the same bytes."""
+    out = spans.size[a] == spans.size[b]
+    at, j = np.flatnonzero(out & (a != b)), 0
+    while len(at):
+        out[at] = spans.word(j, a[at]) == spans.word(j, b[at])
+        j += 1
+        at = at[out[at] & (spans.size[a[at]] > 8 * j)]
+    return out
+
+
+def _segments(raw: bytes, breaks: re.Pattern) -> Iterator[bytes]:
     """Parts of about CHUNK bytes that end before white space."""
     a = 0
     while len(raw) - a > CHUNK:
-        z = SPACE_STARTS.search(raw, a + CHUNK)
+        z = breaks.search(raw, a + CHUNK)
         if z is None:
             break
         yield raw[a : z.start() + 1]

@@ -470,3 +470,20 @@ def test_longest_previous_factors():
                 return next((m for m in range(length) if raw[i + m] != raw[j + m]), length)
 
             assert lpf.tolist() == [max((shared(i, j) for j in range(i)), default=0) for i in at]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_that_share_a_key_are_told_apart(name, monkeypatch):
+    """Thue-Morse words and their complements, which polynomial hashes mod 2**64 can't tell apart, and keys that all clash."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    cases = [word, other, word[:32] + " " + other[:32], *(t or "" for t in texts(12, 30))]
+    enc = tokens.PieceEncoder(name)
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(tokens.Spans, "keys", lambda self: np.full(len(self.size), 5, np.uint64))
+        ids, counts = tokens.PieceEncoder(name).encode_all([x.encode() for x in cases])
+        for x, got in zip(cases, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            assert got.tolist() == enc.tokenizer.encode(x, add_special_tokens=False).ids
