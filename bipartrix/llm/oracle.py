@@ -40,4 +40,41 @@ B32 = "list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMN
 OP1 = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, {B32} AS digest FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM p)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
-SQL = {"op1_warc_chunks": OP1, "op5_prefix_sum_shards": OP5, "op9_redirect_equivalence": OP9}
+
+
+def _field(c: str) -> str:
+    """``-`` for null, else the UTF-8 byte count, a colon and the value."""
+    return f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: CRC-32 of the digits of doc_id, bit by bit.
+CRC_OF_ID = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(8 * len(doc_id::VARCHAR)), lambda i: ((ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::INT, 1)) >> (i % 8)::INT) & 1)::UBIGINT)), lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END), 4294967295::UBIGINT)"
+
+
+def _tree(name: str, nodes: str) -> str:
+    """Levels of the trees over ``nodes`` (g, pos, n, h), and the walk from each node (id, start) up: its siblings joined, what it folds to, the root."""
+    return f"""{name}_level AS (SELECT 0 AS l, g, pos, n, h FROM {nodes} UNION ALL
+  SELECT l + 1, g, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name}_level WHERE n > 1 GROUP BY l, g, pos // 2),
+{name}_walk AS (SELECT 0 AS l, id, g, pos, n, '' AS proof, start AS fold FROM {nodes} UNION ALL
+  SELECT w.l + 1, w.id, w.g, w.pos // 2, (w.n + 1) // 2, w.proof || coalesce(s.h, ''), sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || w.fold ELSE w.fold || coalesce(s.h, '') END)
+  FROM {name}_walk w LEFT JOIN {name}_level s ON s.l = w.l AND s.g = w.g AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+{name}_root AS (SELECT g, h AS root FROM {name}_level WHERE n = 1)"""
+
+
+#: The outer walk starts from what each row's inner walk folds to.
+OP13 = f"""WITH RECURSIVE leaves AS (SELECT row_number() OVER () AS id, doc_id, coalesce('1' || lang, '0') AS g, {_leaf("n_chars")} AS h, CASE WHEN {CRC_OF_ID} % 7 = 0 THEN {_leaf("n_chars + 1")} END AS bad FROM documents),
+nodes AS (SELECT *, coalesce(bad, h) AS start, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM leaves),
+{_tree("inner", "nodes")},
+groups AS (SELECT '' AS g, g AS id, root AS h, root AS start, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM inner_root),
+{_tree("outer", "groups")},
+rows_up AS (SELECT w.id, g.g, g.pos, g.n, w.fold AS start FROM inner_walk w JOIN (SELECT id AS own, '' AS g, pos, n FROM groups) g ON g.own = w.g WHERE w.n = 1),
+fold AS (SELECT 0 AS l, id, pos, n, start AS h FROM rows_up UNION ALL
+  SELECT f.l + 1, f.id, f.pos // 2, (f.n + 1) // 2, sha256(CASE WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || coalesce(s.h, '') END) FROM fold f LEFT JOIN outer_level s ON s.l = f.l AND s.pos = xor(f.pos, 1) WHERE f.n > 1)
+SELECT v.doc_id, v.h AS leaf, i.root AS subroot, o.root AS root, sha256(w.proof || u.proof) AS proof_sha256, f.h AS folded_root, f.h = o.root AS verified
+FROM nodes v JOIN inner_root i USING (g) JOIN inner_walk w ON w.id = v.id AND w.n = 1 JOIN outer_walk u ON u.id = v.g AND u.n = 1 JOIN fold f ON f.id = v.id AND f.n = 1 CROSS JOIN outer_root o"""
+
+SQL = {"op1_warc_chunks": OP1, "op5_prefix_sum_shards": OP5, "op9_redirect_equivalence": OP9, "op13_merkle_manifest": OP13}
