@@ -5,28 +5,18 @@ signature's slots; its j-th value, j plus a uniform number, goes to its j-th
 slot. Levels run over all elements of many documents at once, and a document
 leaves as soon as all its slots are filled, for later levels can't lower any.
 
-Documents with equal shingle sets are one class from the start. Signatures of
-class representatives are cut into bands; members of a bucket are compared with
-a few pivots of it first. What then still shares a bucket with another component
-is compared by its rarest shingles: sets that are similar enough share one of
-them, and where they first do bounds what they can share at all (prefix and
-position filters, Xiao et al. 2008), so that no link is lost and members of a
-large bucket that can't be linked never meet. No bucket is capped.
+Signatures are cut into bands, whose keys are buckets; what meets in one is
+compared on full sets in groups.py.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.llm.common import is_empty, materialise, mix64, only, release, slices
-from bipartrix.llm.components import connected_components
-from bipartrix.llm.shingles import chunks, shingle_sets
+from bipartrix.llm.common import mix64
+from bipartrix.llm.groups import similar_groups
 
 SLOTS = 256
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -72,167 +62,21 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
-
-
-def _set_key(h: np.ndarray) -> bytes:
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
-
-
-def signatures(docs: DataFrame, shingle_words: int, band_rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set), bands; the last two null for an empty set."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    n_bands = SLOTS // band_rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("shingles")
-        for batch in slices(batches):
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for part in chunks(texts):
-                own = texts[part]
-                d, h, off = shingle_sets(own, shingle_words)
-                sizes = np.diff(off)
-                some = sizes > 0
-                rank = np.cumsum(some) - 1  # documents with a set, numbered
-                keys = band_keys(superminhash(rank[d], h, int(some.sum())), band_rows)
-                set_keys = [_set_key(h[a:b]) if b > a else None for a, b in zip(off[:-1], off[1:], strict=True)]
-                ends = np.concatenate([[0], np.cumsum(np.where(some, n_bands, 0))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[part.start : part.stop], pa.array(sizes.astype(np.int64)), pa.array(set_keys, pa.binary()), _lists(keys.reshape(-1), ends)],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>")
-
-
-def full_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, set_key, shingles) of (node, set_key, text), where the text does have that set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only("shingles")
-        for batch in slices(batches):
-            raw = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            for part in chunks(raw):
-                _, h, off = shingle_sets(raw[part], shingle_words)
-                yield pa.RecordBatch.from_arrays(
-                    [*[c[part.start : part.stop] for c in batch.columns[:2]], _lists(h, off), pa.array([_set_key(h[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())],
-                    ["node", "set_key", "shingles", "own_key"],
-                )
-
-    out = texts.select("node", "set_key", "text").mapInArrow(run, "node long, set_key binary, shingles array<long>, own_key binary")
-    return out.where("own_key = set_key").drop("own_key")
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold_pct: int = 80, band_rows: int = 6, pivot_rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
-    Two documents are linked when 100 * |A and B| >= threshold_pct * |A or B| for
-    their shingle sets; component_id is the least doc_id that links reach, and
-    ``kept`` says whether it is the row's own. Texts that are null or without a
-    word have an empty set and no link. Rows with a null doc_id can't be named:
-    they take no part in linking, have a null component_id and stay. Rows that
-    repeat a doc_id each get a row. Columns other than doc_id and text are
-    ignored.
-
+    Links, components and odd rows are as in groups.similar_groups(); ``kept`` says
+    whether component_id is the row's own doc_id, so rows with a null doc_id stay.
     With bands of ``band_rows`` = 6 of 256 slots, a pair at similarity 0.8 meets
     in none of 42 bands with probability 3e-6.
     """
-    found = materialise(signatures(docs, shingle_words, band_rows).withColumn("uid", F.monotonically_increasing_id()), "minhash-signatures")
-    first = F.min(F.struct(F.col("doc_id").alias("d"), F.col("uid").alias("u")))
-    classes = materialise(
-        found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(first.alias("f"), F.first("n_shingles").alias("n")).select("set_key", F.col("f.d").alias("rep"), F.col("f.u").alias("node"), "n"),
-        "minhash-classes",
-    )
-    bands = found.select(F.col("uid").alias("node"), "bands", "n_shingles").join(classes.select("node"), "node", "left_semi")
-    postings = bands.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
-    crowded = postings.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    postings = materialise(postings.join(crowded, "band", "left_semi"), "minhash-buckets")
-    sets = materialise(sets_of(docs, classes, postings.select("node").distinct(), shingle_words), "minhash-sets")
-
-    fits = (100 * F.least("n", "pn") >= threshold_pct * F.greatest("n", "pn")) & (F.col("node") != F.col("pivot"))
-    pair = [F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")]
-    links, comp, done = None, None, [postings, sets]
-    for turn in range(pivot_rounds + 1):
-        open_ = postings.withColumn("comp", F.col("node"))
-        if comp is not None:
-            open_ = postings.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-            mixed = open_.groupBy("band").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band")
-            open_ = materialise(open_.join(mixed, "band", "left_semi"), "minhash-open")
-            done.append(open_)
-        if is_empty(open_):
-            break
-        if turn < pivot_rounds:  # every member against one pivot of its bucket: the least node, later a random one for each bucket
-            order = F.struct(F.col("node").alias("o")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("o"))
-            pivots = open_.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("p")).select("band", "p.pivot", "p.pn", "p.pc")
-            met = open_.join(pivots, "band").where(fits)
-            met = met.where("comp <> pc") if comp is not None else met
-        else:
-            rare = rare_shingles(sets.join(open_.select("node", "comp").distinct(), "node"), threshold_pct)
-            done.append(rare)
-            met = first_shared(rare, threshold_pct)
-        pairs = materialise(met.select(*pair).distinct(), "minhash-pairs")
-        done.append(pairs)
-        if is_empty(pairs):
-            continue
-        new = materialise(verified(sets, pairs, threshold_pct), "minhash-links")
-        done.append(new)
-        links = new if links is None else links.unionByName(new)
-        if comp is not None:
-            release(comp)
-        comp = connected_components(links, "a", "b")
-    if comp is None:
-        named = classes.select("set_key", F.col("rep").alias("component_id"))
-    else:
-        joined = classes.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-        named = joined.select("set_key", "root").join(least, "root").drop("root")
-    release(*done)
-    out = found.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, shingles): the full sets of some classes."""
-    wanted = classes.join(nodes, "node", "left_semi").select("node", "set_key", F.col("rep").alias("_rep"))
-    texts = docs.select(F.col("doc_id").alias("_rep"), "text").join(wanted, "_rep")
-    return full_sets(texts, shingle_words).select("node", "shingles").dropDuplicates(["node"])
-
-
-def rare_shingles(sets: DataFrame, threshold_pct: int) -> DataFrame:
-    """(token, node, n, comp, pos) of (node, shingles, comp): the shingles, from the rarest on, of which similar sets share one.
-
-    Sets of n shingles that are similar enough share at least t * n, so one of
-    the first n - ceil(t * n) + 1 in an order common to all. Shingles that no
-    other set here holds count as places but can't be shared.
-    """
-    each = sets.select("node", "comp", F.explode("shingles").alias("token"))
-    often = materialise(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-often")
-    ranked = each.join(often, "token", "left").select("node", "comp", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token").alias("x"))
-    ranked = ranked.groupBy("node").agg(F.first("comp").alias("comp"), F.array_sort(F.collect_list("x")).alias("t"))
-    ranked = ranked.select("node", "comp", "t", F.size("t").cast("long").alias("n"))
-    head = F.slice("t", F.lit(1), (F.col("n") - F.expr(f"({threshold_pct} * n + 99) div 100") + 1).cast("int"))
-    out = materialise(ranked.select("node", "comp", "n", F.posexplode(head).alias("pos", "x")).where("x.df > 1").select("x.token", "node", "n", "comp", "pos"), "minhash-rare")
-    release(often)
-    return out
-
-
-def first_shared(rare: DataFrame, threshold_pct: int) -> DataFrame:
-    """(node, pivot) of different components that may be similar enough.
-
-    Where two sets first share a shingle, at places i and j of their common
-    order, they share n - i and pn - j at most.
-    """
-    other = rare.select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("pos").alias("pp"))
-    need = threshold_pct * (F.col("n") + F.col("pn"))  # 100 |A and B| >= t |A or B|, with |A or B| = n + pn - |A and B|
-    may = ((100 + threshold_pct) * (F.col("n") - F.col("pos")) >= need) & ((100 + threshold_pct) * (F.col("pn") - F.col("pp")) >= need)
-    return rare.join(other, "token").where((F.col("comp") < F.col("pc")) & may).select("node", "pivot")
-
-
-def verified(sets: DataFrame, pairs: DataFrame, threshold_pct: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - common
-    return pairs.join(a, "a").join(b, "b").where(100 * common >= threshold_pct * union).select("a", "b")
+    n_bands = SLOTS // band_rows
+
+    def bands(d: np.ndarray, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = np.diff(off) > 0
+        rank = np.cumsum(some) - 1  # documents with a set, numbered
+        keys = band_keys(superminhash(rank[d], h, int(some.sum())), band_rows)
+        return keys.reshape(-1), np.concatenate([[0], np.cumsum(np.where(some, n_bands, 0))])
+
+    out = similar_groups(docs, shingle_words, threshold_pct, bands, pivot_rounds=pivot_rounds)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bipartrix.llm import alignment, decontam, linerules, merkle, minhash, oracle, packing, sharding, suffix, tokenfile, toxicity, urlfilter, warc
+from bipartrix.llm import alignment, decontam, linerules, merkle, minhash, occurrence, oracle, packing, sharding, suffix, tokenfile, toxicity, urlfilter, warc
 
 URL_RULES: list[urlfilter.Rule] = [
     ("com", "/", "allow"),
@@ -75,6 +75,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_alignment(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model", with_groups=False)
 
 
+def op12_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrence.jaccard_groups(table(spark, sf_dir, "documents"), shingle_words=3, threshold_pct=90)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 

@@ -1,83 +1,157 @@
-"""Word shingles of whole texts as 64-bit hashes, many documents at a time.
+"""Word shingles of whole texts, many documents at a time.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. Texts are hashed in
-segments cut at spaces, so memory depends on the segment and the number of
-words, not on the longest text's bytes times some factor.
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, which is what
+``bytes.lower().split()`` gives. A word's key is a keyed BLAKE2b digest of 128
+bits, remembered for the words that a worker meets again; a shingle's key mixes
+its words' keys. exact_sets() numbers the words themselves instead, so that sets
+of the texts it is given are compared without any hash.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 
-from bipartrix.llm.common import mix64, prefix_hash, span_hash
+from bipartrix.llm.common import mix64
 
-SEGMENT = (1 << 20) - 4096
+#: Bytes of a text that are cut into words at once.
+SEGMENT = 1 << 20
 CHUNK = 1 << 20
+#: Words that a worker remembers (some 150 bytes each), and the longest of them.
+MAX_WORDS, MAX_LENGTH = 1 << 18, 40
+
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordKeys(dict):
+    """128-bit keys of words; those not remembered are digested again."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        key = blake2b(word, digest_size=16, key=b"words").digest()
+        if len(word) <= MAX_LENGTH and len(self) < MAX_WORDS:
+            self[word] = key
+        return key
+
+
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+KEYS = WordKeys()
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK):
-    """Slices of the list with about ``limit`` bytes each, one text at least."""
+def forget() -> None:
+    KEYS.clear()
+
+
+def cuts(sizes: list[int], limit: int) -> Iterator[slice]:
+    """Slices of so many bytes together or a little more, one item at least."""
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > limit:
+    for i, n in enumerate(sizes):
+        if i > start and size + n > limit:
             yield slice(start, i)
             start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, hash) of every word, in order."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    at, out, a = [], [], 0
-    while a < len(data):
-        b = min(len(data), a + SEGMENT)
-        while b < len(data) and not _SPACE[data[b - 1]]:  # up to the next space
-            tail = np.flatnonzero(_SPACE[data[b : b + SEGMENT]])
-            b = b + int(tail[0]) + 1 if len(tail) else min(len(data), b + SEGMENT)
-        part = _LOWER[data[a:b]]
-        word = np.concatenate([[False], ~_SPACE[part], [False]])
-        edge = np.flatnonzero(word[1:] != word[:-1])
-        s, e = edge[::2], edge[1::2]
-        out.append(span_hash(prefix_hash(part), s, e))
-        at.append(s + a)
-        a = b
-    starts = np.concatenate(at) if at else np.zeros(0, np.int64)
-    return np.searchsorted(ends, starts, side="right"), np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, hash) of each distinct shingle, sorted by both, and offsets of the texts in them.
+        size += n + 1
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[slice]:
+    return cuts([len(t) for t in texts], limit)
+
+
+def words_of(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, a segment at a time."""
+    a = 0
+    while len(text) - a > SEGMENT:
+        z = SPACE.search(text, a + SEGMENT)
+        if z is None:
+            break
+        yield text[a : z.end()].lower().split()
+        a = z.end()
+    yield (text[a:] if a else text).lower().split()
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, two 64-bit halves of the key) of every word, in order."""
+    counts, out = [], []
+    for t in texts:
+        n = 0
+        for words in words_of(t):
+            out.append(b"".join(map(KEYS.__getitem__, words)))
+            n += len(words)
+        counts.append(n)
+    return np.repeat(np.arange(len(texts)), counts), np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+
+
+def _whole(doc: np.ndarray, k: int) -> np.ndarray:
+    """Where a window of k words starts that lies in one text."""
+    n = max(0, len(doc) - k + 1)
+    return np.flatnonzero(doc[:n] == doc[k - 1 : k - 1 + n])
+
+
+def _distinct(d: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by both, each pair once; with the first place of each and the texts' offsets."""
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    if len(d):
+        new = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
+        d, h, order = d[new], h[new], order[new]
+    return d, h, order, np.searchsorted(d, np.arange(n + 1))
+
+
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, 64-bit key) of each different shingle, sorted by both, a second 64-bit key of each, and offsets of the texts in them.
 
     A text with fewer than k words, but one, has the whole sequence as its only shingle.
     """
-    doc, w = word_hashes(texts)
+    doc, w = word_keys(texts)
     n = len(texts)
     counts = np.bincount(doc, minlength=n)
+    at, keys = _whole(doc, k), []
+    first = np.cumsum(counts) - counts
+    few = np.flatnonzero((counts > 0) & (counts < k))
     with np.errstate(over="ignore"):
-        h = w.copy()[: max(0, len(w) - k + 1)]
-        for i in range(1, k):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(h)])
-        full = doc[: len(h)] == doc[k - 1 : k - 1 + len(h)]
-        d, h = doc[: len(h)][full], h[full]
-        few = np.flatnonzero((counts > 0) & (counts < k))
-        if len(few):
-            first = np.concatenate([[0], np.cumsum(counts)])
-            own = [mix64(np.array([w[first[i]]]) + np.uint64(counts[i])) for i in few]
-            for j, i in enumerate(few):
-                for x in w[first[i] + 1 : first[i] + counts[i]]:
-                    own[j] = mix64(own[j] * np.uint64(0x9E3779B97F4A7C15) + x)
-            d, h = np.concatenate([d, few]), np.concatenate([h, np.concatenate(own)])
-    order = np.lexsort((h, d))
-    d, h = d[order], h[order]
-    if len(d):
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])
-        d, h = d[new], h[new]
-    return d, h, np.searchsorted(d, np.arange(n + 1))
+        for half in (0, 1):
+            x = w[:, half]
+            h = mix64(x[at] + np.uint64(k))
+            for i in range(1, k):
+                h = mix64(h * GOLDEN + x[at + i])
+            short = mix64(x[first[few]] + counts[few].astype(np.uint64)) if len(few) else x[:0].copy()
+            for i in range(1, k - 1):
+                on = counts[few] > i
+                short[on] = mix64(short[on] * GOLDEN + x[first[few[on]] + i])
+            keys.append(np.concatenate([h, short]))
+    d, h, order, offsets = _distinct(np.concatenate([doc[at], few]), keys[0], n)
+    return d, h, keys[1][order], offsets
+
+
+def exact_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number of the shingle) of each different shingle, sorted by both, and offsets; equal shingles of these texts have one number, different ones two."""
+    numbers, counts, parts = Numbers(), [], []
+    for t in texts:
+        own = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in words_of(t)]
+        parts += own
+        counts.append(sum(map(len, own)))
+    counts = np.array(counts, np.int64)
+    doc, w = np.repeat(np.arange(len(texts)), counts), np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    at, size = _whole(doc, k), len(numbers) + 1
+    code, top = w[at], size
+    for i in range(1, k):
+        if top > (1 << 62) // size:  # number them anew
+            _, code = np.unique(code, return_inverse=True)
+            top = len(code) + 1
+        code, top = code * size + w[at + i], top * size
+    few, first = np.flatnonzero((counts > 0) & (counts < k)), np.cumsum(counts) - counts
+    whole: dict[tuple, int] = {}
+    short = np.array([-1 - whole.setdefault(tuple(w[first[i] : first[i] + counts[i]].tolist()), len(whole)) for i in few], np.int64)
+    d, h, _, offsets = _distinct(np.concatenate([doc[at], few]), np.concatenate([code, short]), len(texts))
+    return d, h, offsets
