@@ -2,135 +2,61 @@
 
 With B = D_r^-1/2 M D_c^-1/2, the walk's second eigenvector is D_r^-1/2 times
 B's second left singular vector, and its eigenvalues are B's squared singular
-values. A single network's spectrum comes from MLlib's distributed SVD of B's
-sparse rows; B is never made dense nor multiplied out.
+values, which spectra.py finds. B is never made dense nor multiplied out.
 """
 
 from __future__ import annotations
 
 import math
 import warnings
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.model import dimension, transposed
-from bipartrix.operators.fitness import Scores
-from bipartrix.operators.iterate import DRIVER_IDS, Alternation, Blocks, Sparse, Turns, empty, matvec, relative_change, solve
+from bipartrix.operators.grid import Program, Scalars, State, solve
 from bipartrix.operators.network import pearson
+from bipartrix.operators.spectra import MOST_TURNS, MOST_VECTORS, SETTLED, Subspace, spectrum, width_for
 from bipartrix.session import cut_lineage
 
-SCORES = "side string, id string, score double, lambda2 double, degenerate boolean"
-
-#: Ids of the smaller side up to which all eigenvalues can be asked for.
-WHOLE_SPECTRUM_IDS = 15_000
-
-
-def _scaled(pdf: pd.DataFrame) -> tuple[Sparse, np.ndarray, np.ndarray, np.ndarray]:
-    """For kernels of many small networks: the matrix, its margins and dense B."""
-    m = Sparse(pdf)
-    kr, kc = m.dot(np.ones(m.m)), m.tdot(np.ones(m.n))
-    return m, kr, kc, m.dense() / np.sqrt(np.outer(kr, kc))
-
-
-@dataclass
-class Spectrum:
-    """Eigenvalues of the row walk, largest first, and B's singular vectors (id, k, vector) of either side; k is the id's degree."""
-
-    eigenvalues: list[float]
-    rows: DataFrame | None
-    cols: DataFrame | None
-
-
-def spectrum(edges: DataFrame, k: int, vectors: bool = False) -> Spectrum:
-    """The k leading eigenvalues (fewer where the smaller side is) and, if asked, singular vectors.
-
-    The sparse rows of B, oriented so that the smaller side gives the columns,
-    stay spread over the cluster; the driver holds vectors over the smaller side,
-    up to DRIVER_IDS ids. All eigenvalues of a side of over WHOLE_SPECTRUM_IDS
-    ids can't be asked for.
-    """
-    e = cut_lineage(edges.select("row_id", "col_id", "w"))
-    small, large = (cut_lineage(dimension(e, side)) for side in ("col_id", "row_id"))
-    m, n = small.count(), large.count()
-    flipped = n < m
-    if flipped:
-        e, small, large, m, n = transposed(e), large, small, n, m
-    if m == 0:
-        return Spectrum([], None, None)
-    k = min(k, m)
-    if m > DRIVER_IDS or (k > m // 2 and m > WHOLE_SPECTRUM_IDS):
-        raise ValueError(f"the smaller side has {m} ids: at most {DRIVER_IDS}, or {WHOLE_SPECTRUM_IDS} for over half of its eigenvalues")
-    kr, kc = (e.groupBy(side).agg(F.sum("w").alias(name)) for side, name in (("row_id", "kr"), ("col_id", "kc")))
-    own = kc.join(small.select(F.col("idx").alias("j"), F.col("id").alias("col_id")), "col_id")
-    cells = e.join(own, "col_id").join(kr, "row_id").join(large.select(F.col("idx").alias("i"), F.col("id").alias("row_id")), "row_id")
-    b = cells.select("i", F.struct("j", (F.col("w") / F.sqrt(F.col("kr") * F.col("kc"))).alias("x")).alias("c"))
-    lines = cut_lineage(b.groupBy("i").agg(F.array_sort(F.collect_list("c")).alias("c")))  # a line has as many cells as the smaller side has ids at most
-    matrix = IndexedRowMatrix(lines.rdd.map(lambda r: IndexedRow(r["i"], Vectors.sparse(m, [x["j"] for x in r["c"]], [x["x"] for x in r["c"]]))), n, m)
-    svd = matrix.computeSVD(k, computeU=vectors)
-    s = svd.s.toArray()
-    values = [*(s * s).tolist(), *[0.0] * (k - len(s))]  # those that are nought are left out there
-    if not vectors:
-        return Spectrum(values, None, None)
-    spark = edges.sparkSession
-    u = svd.U.rows.map(lambda r: (int(r.index), r.vector.toArray().tolist())).toDF("idx long, vector array<double>")
-    v = spark.createDataFrame([(i, x) for i, x in enumerate(svd.V.toArray().tolist())], "idx long, vector array<double>")
-    sides = [x.join(ids, "idx").join(deg, "id").select("id", "k", "vector") for x, ids, deg in ((u, large, kr.toDF("id", "k")), (v, small, kc.toDF("id", "k")))]
-    sides = [cut_lineage(x) for x in sides]
-    return Spectrum(values, *(sides[::-1] if flipped else sides))
-
-
-def standardised(x: np.ndarray) -> np.ndarray:
-    return (x - x.mean()) / (x.std() + 1e-12)
-
-
-def eci_kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-    m, kr, kc, b = _scaled(pdf)
-    if min(m.n, m.m) < 2:
-        raise ValueError("Not enough dimensions")
-    u, s, vt = np.linalg.svd(b, full_matrices=False)
-    eci, pci = u[:, 1] / np.sqrt(kr), vt[1] / np.sqrt(kc)
-    if np.std(kr) > 0 and np.corrcoef(eci, kr)[0, 1] < 0:
-        eci, pci = -eci, -pci
-    degenerate = bool(1 - s[1] ** 2 < 1e-6 or (len(s) > 2 and abs(s[1] ** 2 - s[2] ** 2) < 1e-9))
-    return pd.DataFrame({"side": ["row"] * m.n + ["col"] * m.m, "id": [*m.rows, *m.cols], "score": [*standardised(eci), *standardised(pci)], "lambda2": s[1] ** 2, "degenerate": degenerate})
-
 
 def eci_scores(edges: DataFrame, by: list[str] | None = None, rows: DataFrame | None = None, cols: DataFrame | None = None) -> DataFrame:
     """(by..., side, id, score, lambda2, degenerate): ECI of rows and PCI of columns, each with mean 0 and deviation 1.
 
-    The sign makes ECI go with the rows' degrees. rows and cols: optional (id)
-    tables of entities that may have no edge; those have a null score, of which a
-    warning tells. Where the smaller side has over DRIVER_IDS ids, the second
-    eigenvector is iterated by joins.
+    The sign makes ECI go with the rows' degrees. ``degenerate``: the second
+    eigenvalue is 1 or the third one, so that its vector isn't unique. rows and
+    cols: optional (id) tables of entities that may have no edge; those have a
+    null score, of which a warning tells. With ``by``, networks are solved side by
+    side; those with under two rows or columns have no score and no row.
     """
-    if by:
-        return solve(edges, eci_kernel, SCORES, by)
-    edges = cut_lineage(edges.select("row_id", "col_id", "w"))
-    n, m = (edges.select(side).distinct().count() for side in ("row_id", "col_id"))
-    if min(n, m) < 2:
-        raise ValueError("Not enough dimensions")
-    out = _spectral_scores(edges) if min(n, m) <= DRIVER_IDS else eci_by_joins(edges, 300)
-    return _with_lone(out, edges, rows, cols, "ECI")
-
-
-def _spectral_scores(edges: DataFrame) -> DataFrame:
-    found = spectrum(edges, 3, vectors=True)
-    lam = [*found.eigenvalues, 0.0, 0.0][:3]
-    degenerate = 1 - lam[1] < 1e-6 or (len(found.eigenvalues) > 2 and abs(lam[1] - lam[2]) < 1e-9)
-    sides = []
-    for name, side in (("row", found.rows), ("col", found.cols)):
-        x = side.select(F.lit(name).alias("side"), "id", "k", (F.col("vector")[1] / F.sqrt("k")).alias("x"))
-        sides.append((x, x.agg(F.avg("x").alias("_a"), F.stddev_pop("x").alias("_s"), pearson("x", "k").alias("_c"))))
+    if not by:
+        edges = cut_lineage(edges.select("row_id", "col_id", "w"))
+        n, m = edges.agg(F.countDistinct("row_id"), F.countDistinct("col_id")).first()
+        if min(n, m) < 2:
+            raise ValueError("Not enough dimensions")
+        return _with_lone(_standardised(_leading_vectors(edges, [], min(n, m)), []), edges, rows, cols, "ECI")
+    sizes = edges.groupBy(*by).agg(F.countDistinct("row_id").alias("_n"), F.countDistinct("col_id").alias("_m")).where("_n > 1 AND _m > 1")
+    many = sizes.select(*[F.col(c).alias(f"_{c}") for c in by])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return _standardised(_leading_vectors(edges.join(many, same, "left_semi"), by, None), by)
+
+
+def _leading_vectors(edges: DataFrame, by: list[str], ids: int | None) -> DataFrame:
+    """(by..., RESULT) with the three leading vectors; ids: those of the smaller side, where it is known."""
+    width = width_for(3, ids) if ids else 64
+    return cut_lineage(solve(edges, lambda: Subspace(3, width), MOST_TURNS, SETTLED, by).where("side <> 'log'"))
+
+
+def _standardised(found: DataFrame, by: list[str]) -> DataFrame:
+    second = lambda i: F.coalesce(F.get("notes", F.lit(i)), F.lit(0.0))
+    degenerate = (1 - second(1) < 1e-6) | (F.abs(second(1) - second(2)) < 1e-9)
+    x = found.select(*by, "side", "id", "k", (F.get("x", F.lit(1)) / F.sqrt("k")).alias("x"), second(1).alias("lambda2"), degenerate.alias("degenerate"))
+    stats = x.groupBy(*by, "side").agg(F.avg("x").alias("_a"), F.stddev_pop("x").alias("_s"), pearson("x", "k").alias("_c"))
     # Both vectors of a pair turn together.
-    sign = F.broadcast(sides[0][1].select(F.when(F.col("_c") < 0, -1.0).otherwise(1.0).alias("_sign")))
-    scores = [x.join(F.broadcast(stats.select("_a", "_s"))).join(sign).select("side", "id", (F.col("_sign") * (F.col("x") - F.col("_a")) / (F.col("_s") + 1e-12)).alias("score")) for x, stats in sides]
-    return scores[0].unionByName(scores[1]).withColumn("lambda2", F.lit(float(lam[1]))).withColumn("degenerate", F.lit(bool(degenerate)))
+    sign = stats.where("side = 'row'").select(*[F.col(c).alias(f"_{c}") for c in by], F.when(F.col("_c") < 0, -1.0).otherwise(1.0).alias("_sign"))
+    stats = stats.join(sign, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or None).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("side").alias("_side"), "_a", "_s", "_sign")
+    both = x.join(stats, [F.col("side") == F.col("_side"), *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]])
+    return both.select(*by, "side", "id", (F.col("_sign") * (F.col("x") - F.col("_a")) / (F.col("_s") + 1e-12)).alias("score"), "lambda2", "degenerate")
 
 
 def _with_lone(scores: DataFrame, edges: DataFrame, rows: DataFrame | None, cols: DataFrame | None, what: str) -> DataFrame:
@@ -147,51 +73,24 @@ def _with_lone(scores: DataFrame, edges: DataFrame, rows: DataFrame | None, cols
     return out
 
 
-def eci_by_joins(edges: DataFrame, n_iter: int) -> DataFrame:
-    """Deflated power iteration with joins and sums: subtract the degree-weighted mean, scale to length 1."""
-    e = cut_lineage(edges.select("row_id", "col_id", "w"))
-    kr, kc = (cut_lineage(e.groupBy(s).agg(F.sum("w").alias("k"))) for s in ("row_id", "col_id"))
-    c, lam = kr.select("row_id", F.col("k").alias("x")), None
-    for _ in range(n_iter):
-        p = matvec(e, c, "row_id", "col_id").join(kc, "col_id").select("col_id", (F.col("x") / F.col("k")).alias("x"))
-        new = matvec(e, p, "col_id", "row_id").join(kr, "row_id").select("row_id", "k", (F.col("x") / F.col("k")).alias("x"))
-        new = cut_lineage(new)
-        mean = F.broadcast(new.agg((F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("_m")))
-        new = new.join(mean).select("row_id", (F.col("x") - F.col("_m")).alias("x"))
-        norm = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
-        lam, c = norm, cut_lineage(new.select("row_id", (F.col("x") / norm).alias("x")))
-    p = matvec(e, c, "row_id", "col_id").join(kc, "col_id").select("col_id", (F.col("x") / F.col("k")).alias("x"))
-    sign = -1.0 if (c.join(kr, "row_id").agg(pearson("x", "k")).first()[0] or 0) < 0 else 1.0
-    sides = []
-    for v, key in ((c, "row_id"), (p, "col_id")):
-        stats = F.broadcast(v.agg(F.avg("x").alias("_a"), F.stddev_pop("x").alias("_s")))
-        sides.append(v.join(stats).select(F.lit(key[:3]).alias("side"), F.col(key).alias("id"), (sign * (F.col("x") - F.col("_a")) / (F.col("_s") + 1e-12)).alias("score")))
-    return sides[0].unionByName(sides[1]).withColumn("lambda2", F.lit(lam)).withColumn("degenerate", F.lit(1 - lam < 1e-6))
-
-
-def reflections_loop(m: Blocks, n_iter: int, tol: float | None) -> Scores:
-    kr, kc = m.dot(np.ones(m.m)), m.tdot(np.ones(m.n))
-    c, p, log = np.ones(m.n), kc, []
-    for turn in range(1, n_iter + 1):
-        c1 = m.dot(p) / kr
-        p1 = m.tdot(c1) / kc
-        log.append((turn, *(float(np.linalg.norm(x - y) / (np.linalg.norm(x) + 1e-12)) for x, y in ((c1, c), (p1, p)))))
-        c, p = c1, p1
-        if tol and max(log[-1][1:]) < tol:
-            return Scores(c, p, turn, True, log)
-    return Scores(c, p, n_iter, False, log)
-
-
-def reflections_turns(edges: DataFrame, n_iter: int, tol: float | None, log: bool = False) -> Turns:
-    """The same turns as joins and sums, for any number of ids."""
-    turns = Alternation(edges)
-    kr, kc = turns.ids("row_id"), turns.ids("col_id")
-    by_degree = lambda sums, k, side: sums.join(k, side).select(side, (F.col("x") / F.col("k")).alias("x"))
-    start = kc.select("col_id", F.col("k").alias("x"))
-    return turns.run(start, lambda s: by_degree(s, kr, "row_id"), lambda r: by_degree(turns.sums(r, "row_id", "col_id"), kc, "col_id"), relative_change, n_iter, tol, log)
-
-
-REFLECTED = "side string, id string, k_n double, score double, n_iter int, converged boolean"
+class Reflections(Program):
+    """k_row from k_col, and then k_col from the new k_row; prev is the one of the turn before."""
+
+    def start(self, side: str, k: np.ndarray, extra: np.ndarray | None, first: int) -> State:
+        return {"k": k, "x": np.ones(len(k)) if side == "row" else k}
+
+    def send(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        return state["x"]
+
+    def update(self, side: str, sums: np.ndarray, state: State, scalars: Scalars) -> tuple[State, Scalars]:
+        x = sums / state["k"]
+        return state | {"x": x}, {"moved": float(((x - state["x"]) ** 2).sum()), "length": float((x * x).sum())}
+
+    def changes(self, stats: dict[str, Scalars], scalars: Scalars) -> tuple[float, float]:
+        return tuple(math.sqrt(stats[s]["moved"]) / (math.sqrt(stats[s]["length"]) + 1e-12) for s in ("row", "col"))
+
+    def value(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        return state["x"]
 
 
 def reflections(edges: DataFrame, n_iter: int = 200, tol: float | None = 1e-6, check_gap: bool = True, rows: DataFrame | None = None, cols: DataFrame | None = None, history: list | None = None) -> DataFrame:
@@ -213,16 +112,13 @@ def reflections(edges: DataFrame, n_iter: int = 200, tol: float | None = 1e-6, c
             raise ValueError(f"the gap of the leading eigenvalues is {a - b:.2e}: reflections are undefined, use eci_scores()")
         if (need := _turns(b / a, 0.01)) > n_iter:
             warnings.warn(f"the gap of the leading eigenvalues is {a - b:.4f}: about {need:.0f} turns are needed, {n_iter} are allowed", RuntimeWarning, stacklevel=2)
-    m = Blocks(edges)
-    if not m.n_edges:
-        return empty(edges, REFLECTED)
-    out = reflections_loop(m, n_iter, tol) if m.fits else reflections_turns(m.edges, n_iter, tol, log=history is not None)
-    m.done()
+    found = cut_lineage(solve(edges, Reflections, n_iter, tol))
+    log = sorted((int(r.id), *r.x) for r in found.where("side = 'log'").select("id", "x").collect())  # a row for each turn
     if history is not None:
-        history += out.changes[: out.n_iter]
-    if tol and not out.converged:
-        warnings.warn(f"reflections did not settle in {n_iter} turns; last changes {out.changes[-1][1]:.2e} and {out.changes[-1][2]:.2e}", RuntimeWarning, stacklevel=2)
-    table = out.table("k_n") if isinstance(out, Turns) else m.table({"k_n": out.rows}, {"k_n": out.cols}).withColumn("n_iter", F.lit(out.n_iter)).withColumn("converged", F.lit(out.converged))
+        history += log
+    if tol and log and max(log[-1][1:]) >= tol:
+        warnings.warn(f"reflections did not settle in {n_iter} turns; last changes {log[-1][1]:.2e} and {log[-1][2]:.2e}", RuntimeWarning, stacklevel=2)
+    table = found.where("side <> 'log'").select("side", "id", F.col("x")[0].alias("k_n"), "n_iter", "converged")
     degree = edges.groupBy(F.col("row_id").alias("id")).agg(F.sum("w").alias("k"))
     corr = table.where("side = 'row'").join(degree, "id").agg(F.when(pearson("k_n", "k") < 0, -1.0).otherwise(1.0).alias("_sign"))
     stats = table.groupBy("side").agg(F.avg("k_n").alias("_a"), F.stddev_pop("k_n").alias("_s"))
@@ -236,11 +132,8 @@ def eigenvalues(edges: DataFrame, n: int = 15, by: list[str] | None = None) -> D
     if not by:
         return edges.sparkSession.createDataFrame(list(enumerate(spectrum(edges, n).eigenvalues)), "idx int, eigenvalue double")  # n rows
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.linalg.svd(_scaled(pdf)[3], compute_uv=False)[:n] ** 2
-        return pd.DataFrame({"idx": range(len(s)), "eigenvalue": s})
-
-    return solve(edges, kernel, "idx int, eigenvalue double", by)
+    found = solve(edges, lambda: Subspace(n, max(64, 2 * n)), MOST_TURNS, SETTLED, by).where("side = 'log' AND id = '1'")
+    return found.select(*by, F.posexplode("notes").alias("idx", "eigenvalue"))
 
 
 def _turns(ratio: float, left: float) -> float:
@@ -339,6 +232,6 @@ def cheeger_diagnosis(edges: DataFrame) -> DataFrame:
 
 def effective_rank(edges: DataFrame, t_max: int = 10) -> DataFrame:
     """(t, rank): exp of the entropy of p_i ~ exp(-(1 - lambda_i) t), t from 0 to t_max, over the smaller side's eigenvalues."""
-    ev = eigenvalues(edges, WHOLE_SPECTRUM_IDS).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(t_max))))
+    ev = eigenvalues(edges, MOST_VECTORS).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(t_max))))
     z = ev.withColumn("e", F.exp(-(1 - F.col("eigenvalue")) * F.col("t"))).groupBy("t").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.log("e")).alias("s"))
     return z.select("t", F.exp(F.log("z") - F.col("s") / F.col("z")).alias("rank"))

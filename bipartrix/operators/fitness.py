@@ -6,90 +6,64 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.operators.iterate import Alternation, Blocks, Sparse, Turns, empty, largest_change, solve
+from bipartrix.operators.grid import Program, Scalars, State, solve
 from bipartrix.operators.network import binarise, degree_filter
 from bipartrix.session import cut_lineage
 
 FLOOR = 1e-12
-SCORES = "side string, id string, score double, n_iter int, converged boolean"
 
 
-@dataclass
-class Scores:
-    """Values of rows and columns, the turns taken, whether they settled, and (turn, d_row, d_col) of each."""
+class Fitness(Program):
+    """x is the value before it is divided by its side's mean, prev the one of the turn before, divided."""
 
-    rows: np.ndarray
-    cols: np.ndarray
-    n_iter: int
-    converged: bool
-    changes: list[tuple[int, float, float]]
+    def start(self, side: str, k: np.ndarray, extra: np.ndarray | None, first: int) -> State:
+        return {"x": np.ones(len(k)), "prev": np.ones(len(k))}
 
+    def value(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        return state["x"] / scalars.get(side, 1.0)
 
-def fitness_loop(m: Sparse | Blocks, n_iter: int, tol: float) -> Scores:
-    f, q, log = np.ones(m.n), np.ones(m.m), []
-    for turn in range(1, n_iter + 1):
-        f1 = np.maximum(m.dot(q), FLOOR)
-        f1 /= f1.mean()
-        q1 = 1 / np.maximum(m.tdot(1 / f1), FLOOR)
-        q1 /= q1.mean()
-        log.append((turn, float(np.abs(f1 - f).max()), float(np.abs(q1 - q).max())))
-        f, q = f1, q1
-        if max(log[-1][1:]) < tol:
-            return Scores(f, q, turn, True, log)
-    return Scores(f, q, n_iter, False, log)
+    def send(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        x = self.value(side, state, scalars)
+        return 1 / x if side == "row" else x
 
+    def update(self, side: str, sums: np.ndarray, state: State, scalars: Scalars) -> tuple[State, Scalars]:
+        x = np.maximum(sums, FLOOR)
+        x = x if side == "row" else 1 / x
+        return {"x": x, "prev": self.value(side, state, scalars)}, {"sum": x.sum(), "n": len(x)}
 
-def fitness_kernel(pdf: pd.DataFrame, n_iter: int, tol: float) -> pd.DataFrame:
-    m = Sparse(pdf)
-    out = fitness_loop(m, n_iter, tol)
-    return pd.DataFrame({"side": ["row"] * m.n + ["col"] * m.m, "id": [*m.rows, *m.cols], "score": [*out.rows, *out.cols], "n_iter": out.n_iter, "converged": out.converged})
+    def gather(self, side: str, stats: Scalars, scalars: Scalars) -> None:
+        scalars[side] = stats["sum"] / stats["n"]
 
+    def settle(self, side: str, state: State, scalars: Scalars) -> Scalars:
+        return {"max_change": float(np.abs(self.value(side, state, scalars) - state["prev"]).max(initial=0))}
 
-def fitness_scores(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10, by: list[str] | None = None) -> DataFrame:
-    """(by..., side, id, score, n_iter, converged): fitness of rows, complexity of columns.
+    def changes(self, stats: dict[str, Scalars], scalars: Scalars) -> tuple[float, float]:
+        return stats["row"]["max_change"], stats["col"]["max_change"]
 
-    With ``by``, which names the columns that tell networks apart, each network
-    is solved in a task of its own; a single one is spread over the cluster.
-    """
+
+def _solved(edges: DataFrame, n_iter: int, tol: float, by: list[str] | None = None, log: bool = False) -> DataFrame:
     if n_iter < 1:
         raise ValueError("n_iter must be at least 1")
-    if by:
-        return solve(edges, lambda pdf: fitness_kernel(pdf, n_iter, tol), SCORES, by)
-    m = Blocks(edges)
-    if not m.n_edges:
-        return empty(edges, SCORES)
-    if not m.fits:
-        return fitness_turns(m.edges, n_iter, tol).table("score")
-    out = fitness_loop(m, n_iter, tol)
-    m.done()
-    return m.table({"score": out.rows}, {"score": out.cols}).withColumn("n_iter", F.lit(out.n_iter)).withColumn("converged", F.lit(out.converged))
-
-
-def fitness_turns(edges: DataFrame, n_iter: int, tol: float, log: bool = False) -> Turns:
-    """The same turns as joins and sums, for any number of ids."""
-    turns = Alternation(edges)
+    return solve(edges, Fitness, n_iter, tol, by or [], log=log)
 
-    def rows(sums: DataFrame) -> DataFrame:
-        return turns.over_mean(sums.withColumn("x", F.greatest("x", F.lit(FLOOR))))
 
-    def cols(rows: DataFrame) -> DataFrame:
-        back = turns.sums(rows.withColumn("x", 1 / F.col("x")), "row_id", "col_id")
-        return turns.over_mean(back.withColumn("x", 1 / F.greatest("x", F.lit(FLOOR))))
+def fitness_scores(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10, by: list[str] | None = None) -> DataFrame:
+    """(by..., side, id, score, n_iter, converged): fitness of rows, complexity of columns.
 
-    start = turns.ids("col_id").select("col_id", F.lit(1.0).alias("x"))
-    return turns.run(start, rows, cols, largest_change, n_iter, tol, log)
+    ``by`` names the columns that tell networks apart; all of them are solved side
+    by side, and each stops on its own.
+    """
+    found = _solved(edges, n_iter, tol, by).where("side <> 'log'")
+    return found.select(*(by or []), "side", "id", F.col("x")[0].alias("score"), "n_iter", "converged")
 
 
 def fitness_history(edges: DataFrame, n_iter: int = 200, tol: float = 1e-10) -> DataFrame:
     """(iter, d_row, d_col): the largest change of each turn."""
-    m = Blocks(edges)
-    out = (fitness_loop(m, n_iter, tol) if m.fits else fitness_turns(m.edges, n_iter, tol, log=True)) if m.n_edges else Turns()
-    m.done()
-    return edges.sparkSession.createDataFrame(out.changes[: out.n_iter], "iter int, d_row double, d_col double")  # a row for each turn
+    log = _solved(edges, n_iter, tol, log=True).where("side = 'log'")
+    return log.select(F.col("id").cast("int").alias("iter"), F.col("x")[0].alias("d_row"), F.col("x")[1].alias("d_col"))
 
 
 @dataclass

@@ -8,8 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.operators.fitness import Scores
-from bipartrix.operators.iterate import CHECK_EVERY, Alternation, Blocks, Turns, empty
+from bipartrix.operators.grid import Program, Scalars, State, solve
 from bipartrix.session import cut_lineage
 
 SCALES = "side string, id string, scale double, target double, n_iter int, converged boolean"
@@ -40,56 +39,34 @@ def _targets(ids: DataFrame, masses: Masses, mode: str, side: str) -> DataFrame:
     return cut_lineage(ids.join(given, "id", "left").select("id", F.coalesce("m", F.lit(0.0)).alias("t")))
 
 
-def sinkhorn_loop(k: Blocks, r: np.ndarray, c: np.ndarray, n_iter: int, tol: float, eps: float) -> Scores:
-    c = c * (r.sum() / c.sum())
-    u, v, kv, log = np.ones(k.n), np.ones(k.m), k.dot(np.ones(k.m)), []
-    for turn in range(1, n_iter + 1):
-        u = r / np.maximum(kv, eps)
-        ku = k.tdot(u)
-        v = c / np.maximum(ku, eps)
-        kv = k.dot(v)
-        log.append((turn, float(np.abs(u * kv - r).max()), float(np.abs(v * ku - c).max())))
-        if max(log[-1][1:]) < tol:
-            return Scores(u, v, turn, True, log)
-    return Scores(u, v, n_iter, False, log)
+class Sinkhorn(Program):
+    """Columns hold v = t / K^T u. Rows hold the turn's u (x), K v (kv), and the u that this gives for the next turn.
 
+    After v's half of a turn, column margins are off by rounding only, and those of
+    the rows come with K v, which the next turn needs anyway.
+    """
 
-def sinkhorn_turns(edges: DataFrame, r: DataFrame, c: DataFrame, n_iter: int, tol: float, eps: float, log: bool = False) -> Turns:
-    """The turns as joins and sums, for any number of ids: u = r / K v, then v = c / K^T u, until the margins of diag(u) K diag(v) are within ``tol``.
+    order, opening = ("col", "row"), ("row",)
 
-    Column masses are scaled to the rows' total. After v's half of a turn, column
-    margins are off by rounding only, and those of the rows come with K v, which
-    the next turn needs anyway.
-    """
-    turns, out = Alternation(edges), Turns()
-    r, c = turns.few(r.withColumnRenamed("id", "row_id")), turns.few(c.withColumnRenamed("id", "col_id"))
-    sums = r.agg(F.sum("t").alias("_r")).join(c.agg(F.sum("t").alias("_c"))).first()
-    c = c.withColumn("t", F.col("t") * (sums[0] / sums[1]))
-    over = lambda t, x: F.col(t) / F.greatest(x, F.lit(eps))
-    v = c.select("col_id", F.lit(1.0).alias("x"))
-    kv, recent = turns.cut(turns.sums(v, "col_id", "row_id").withColumnRenamed("x", "kv")), []
-
-    def off(rows: DataFrame, cols: DataFrame) -> DataFrame:
-        most = lambda s: F.max(F.abs(F.col("x") * F.col(s) - F.col("t")))
-        return rows.agg(most("kv").alias("d_row")).join(cols.agg(most("ku").alias("d_col")))
-
-    for turn in range(1, n_iter + 1):
-        u = kv.join(r, "row_id").select("row_id", "t", over("t", "kv").alias("x"))
-        ku = turns.sums(u, "row_id", "col_id").withColumnRenamed("x", "ku")
-        v = turns.cut(ku.join(c, "col_id").select("col_id", "t", "ku", over("t", "ku").alias("x")))
-        rows = turns.cut(turns.sums(v, "col_id", "row_id").withColumnRenamed("x", "kv").join(u, "row_id"))
-        kv = rows.select("row_id", "kv")
-        recent.append((turn, rows, v))
-        if len(recent) == CHECK_EVERY or turn == n_iter:
-            if tol or log:
-                out.look(recent, off)
-            for t, own, cols in recent:
-                out.rows, out.cols, out.n_iter = own, cols, t
-                if tol and max(out.changes[t - 1][1:]) < tol:
-                    out.converged = True
-                    return out
-            recent = []
-    return out
+    def __init__(self, eps: float):
+        self.eps = eps
+
+    def start(self, side: str, k: np.ndarray, extra: np.ndarray | None, first: int) -> State:
+        return {"t": np.nan_to_num(extra) if extra is not None else np.zeros(len(k)), "x": np.ones(len(k)), "next": np.ones(len(k))}
+
+    def send(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        return state["next" if side == "row" else "x"]
+
+    def update(self, side: str, sums: np.ndarray, state: State, scalars: Scalars) -> tuple[State, Scalars]:
+        x = state["t"] / np.maximum(sums, self.eps)
+        own = {"t": state["t"], "x": state["next"], "next": x} if side == "row" else state | {"x": x}
+        return own, {"max_error": float(np.abs(own["x"] * sums - own["t"]).max(initial=0))}
+
+    def changes(self, stats: dict[str, Scalars], scalars: Scalars) -> tuple[float, float]:
+        return stats["row"]["max_error"], stats["col"]["max_error"]
+
+    def value(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        return state["x"]
 
 
 class SinkhornScaler:
@@ -98,40 +75,36 @@ class SinkhornScaler:
     margins: "uniform" or "degree", where no masses are given. Masses of ids
     without an edge can't be placed: they are dropped with a warning, and column
     masses are rescaled to the rows' total. ``history`` has (turn, largest error
-    of a row margin, of a column margin) of every turn; beyond DRIVER_IDS ids only
-    with a ``tol`` or with ``log``.
+    of a row margin, of a column margin) of every turn.
     """
 
-    def __init__(self, n_iter: int = 2000, tol: float = 1e-12, eps: float = 1e-30, margins: str = "uniform", log: bool = False):
+    def __init__(self, n_iter: int = 2000, tol: float = 1e-12, eps: float = 1e-30, margins: str = "uniform"):
         if margins not in ("uniform", "degree"):
             raise ValueError("margins must be uniform or degree")
         if n_iter < 1:
             raise ValueError("n_iter must be at least 1")
-        self.n_iter, self.tol, self.eps, self.margins, self.log = n_iter, tol, eps, margins, log
+        self.n_iter, self.tol, self.eps, self.margins = n_iter, tol, eps, margins
         self.scales: DataFrame | None = None
         self.n_iter_, self.converged, self.history = 0, False, []
 
     def fit(self, edges: DataFrame, row_mass: Masses = None, col_mass: Masses = None) -> SinkhornScaler:
         """row_mass and col_mass: masses by id, of which those left out are 0."""
-        k = Blocks(edges)
-        if not k.n_edges:
-            self.scales, self.n_iter_, self.converged, self.history = empty(edges, SCALES), 0, False, []
-            return self
         degree = lambda side: edges.groupBy(F.col(side).alias("id")).agg(F.sum("w").alias("k"))
+        if edges.isEmpty():
+            self.scales = edges.limit(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in SCALES.split(", "))])
+            self.n_iter_, self.converged, self.history = 0, False, []
+            return self
         r, c = _targets(degree("row_id"), row_mass, self.margins, "row"), _targets(degree("col_id"), col_mass, self.margins, "column")
-        if k.fits:
-            at = lambda ids, t: np.array(list(map(dict(t.select("id", "t").collect()).get, ids)))  # noqa: E731  DRIVER_IDS at most
-            out = sinkhorn_loop(k, at(k.rows, r), at(k.cols, c), self.n_iter, self.tol, self.eps)
-            k.done()
-            table = k.table({"scale": out.rows}, {"scale": out.cols}).withColumn("n_iter", F.lit(out.n_iter)).withColumn("converged", F.lit(out.converged))
-        else:
-            out = sinkhorn_turns(k.edges, r, c, self.n_iter, self.tol, self.eps, self.log)
-            table = out.table("scale")
-        self.n_iter_, self.converged, self.history = out.n_iter, out.converged, out.changes[: out.n_iter]
         total = F.broadcast(r.agg(F.sum("t").alias("_r")).join(c.agg(F.sum("t").alias("_c"))))  # one row
-        scaled = c.join(total).select(F.lit("col").alias("side"), "id", (F.col("t") * (F.col("_r") / F.col("_c"))).alias("target"))
-        targets = r.select(F.lit("row").alias("side"), "id", F.col("t").alias("target")).unionByName(scaled)
-        self.scales = table.join(targets, ["side", "id"]).select("side", "id", "scale", "target", "n_iter", "converged")
+        scaled = c.join(total).select(F.lit("col").alias("side"), "id", (F.col("t") * (F.col("_r") / F.col("_c"))).alias("t"))
+        targets = cut_lineage(r.select(F.lit("row").alias("side"), "id", "t").unionByName(scaled))
+        eps = self.eps
+        found = cut_lineage(solve(edges, lambda: Sinkhorn(eps), self.n_iter, self.tol, extra=targets))
+        self.history = sorted((int(x.id), *x.x) for x in found.where("side = 'log'").select("id", "x").collect())  # a row for each turn
+        state = found.select("n_iter", "converged").first()
+        self.n_iter_, self.converged = state[0], state[1]
+        table = found.where("side <> 'log'").select("side", "id", F.col("x")[0].alias("scale"), "n_iter", "converged")
+        self.scales = table.join(targets.withColumnRenamed("t", "target"), ["side", "id"]).select("side", "id", "scale", "target", "n_iter", "converged")
         return self
 
     def transform(self, edges: DataFrame) -> DataFrame:

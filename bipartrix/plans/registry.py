@@ -12,6 +12,7 @@ from bipartrix.model import dimension, edges_of, same_edges, transposed
 from bipartrix.operators import community as cm
 from bipartrix.operators import eci as ec
 from bipartrix.operators import fitness as ft
+from bipartrix.operators import grid as gr
 from bipartrix.operators import network as nw
 from bipartrix.operators import reports as rp
 from bipartrix.operators import sinkhorn as sk
@@ -254,10 +255,11 @@ def fc_supplier_fitness(spark, d):
     return rounded(side(ft.fitness_scores(supplier_edges(spark, d), N_FC, 0.0), "row", "fitness"))
 
 
-@query("fc_by_joins", f"WITH RECURSIVE {m_sql()}, {fc_sql(5)} SELECT r AS id, round(f, 6) AS fitness FROM fit")
+@query("fc_by_joins", f"WITH RECURSIVE {m_sql()}, {fc_sql(N_FC)} SELECT r AS id, round(f, 6) AS fitness FROM fit")
 def fc_by_joins(spark, d):
-    """Five iterations."""
-    return rounded(side(ft.fitness_scores(flagship(spark, d), 5, 0.0), "row", "fitness"))
+    """The network laid out as cells that half-turns ship blocks to, as if it were a large one."""
+    with gr.spread_out():
+        return rounded(side(ft.fitness_scores(flagship(spark, d), N_FC, 0.0), "row", "fitness"))
 
 
 @query("fc_history", f"WITH RECURSIVE {m_sql()}, {fc_sql(20)} SELECT i::INT AS iter, round(max(abs(q - o)), 6) AS d_col FROM (SELECT i, q, lag(q) OVER (PARTITION BY p ORDER BY i) o FROM it) WHERE i > 0 GROUP BY 1")
@@ -279,7 +281,7 @@ h AS (SELECT y, r, p FROM (SELECT *, (v / sum(v) OVER (PARTITION BY y, r)) / (su
   SELECT i, y, r, f / avg(f) OVER (PARTITION BY y) f FROM (SELECT i, h.y, h.r, greatest(sum(q), 1e-12) f FROM h JOIN it ON it.p = h.p AND it.y = h.y WHERE i < 20 GROUP BY 1, 2, 3)) z ON z.r = h.r AND z.y = h.y GROUP BY 1, 2, 3))
 SELECT y AS year, p AS id, round(q, 6) AS complexity FROM it WHERE i = 20""")
 def fc_by_year(spark, d):
-    """Each year's network is solved in a task of its own."""
+    """The years' networks are solved side by side."""
     s = sales(spark, d).withColumn("year", F.year("l_shipdate"))
     v = s.groupBy("year", F.col("n_name").alias("row_id"), F.col("p_brand").alias("col_id")).agg(F.sum("value").alias("w"))
     rows, cols = v.groupBy("year", "row_id").agg(F.sum("w").alias("wr")), v.groupBy("year", "col_id").agg(F.sum("w").alias("wc"))
@@ -314,10 +316,11 @@ def sinkhorn_degree(spark, d):
     return rounded(sk.SinkhornScaler(margins="degree").fit_transform(flagship(spark, d)).select("row_id", "col_id", "w_scaled"), 9)
 
 
-@query("sinkhorn_by_joins", f"WITH RECURSIVE {m_sql()}, {sk_sql(4, *UNIFORM)} SELECT p AS id, round(v, 6) AS scale FROM it WHERE i = 4")
+@query("sinkhorn_by_joins", f"WITH RECURSIVE {m_sql()}, {sk_sql(200, *UNIFORM)} {FLOW}")
 def sinkhorn_by_joins(spark, d):
-    """Four iterations."""
-    return rounded(side(sk.SinkhornScaler(4, 0.0).fit(flagship(spark, d)).scales, "col", "scale", "scale"))
+    """The network laid out as cells, as if it were a large one; until the margins are met."""
+    with gr.spread_out():
+        return rounded(sk.SinkhornScaler().fit_transform(flagship(spark, d)).select("row_id", "col_id", "w_scaled"), 9)
 
 
 @query("sinkhorn_marginals", f"WITH RECURSIVE {m_sql()}, {sk_sql(200, *UNIFORM)} SELECT r AS id, round(sum(us.u * it.v), 6) AS mass FROM m JOIN us USING (r) JOIN it ON it.p = m.p WHERE it.i = 200 GROUP BY 1")

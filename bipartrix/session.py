@@ -36,4 +36,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = _local_folder()
         sc.setCheckpointDir(root)
-    return df.checkpoint()
+    out = df.checkpoint()
+    out._is_cut = True
+    return out
