@@ -66,6 +66,35 @@ def sums_before(df: DataFrame, order: list[Column], value: str, name: str) -> Da
     return own.join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + here).drop("_p", "_b")
 
 
+def quantiles(df: DataFrame, c: str, shares: list[float], names: list[str]) -> DataFrame:
+    """One row: exact quantiles of a number, interpolated between the two values around a rank; null without values.
+
+    Range partitions and their counts say in which of them a rank lies. Only those
+    are read again, as counts of their different values.
+    """
+    own = _in_order(df.select(F.col(c).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)"), [F.col("v")])
+    counts = sorted((r["_p"], r["n"]) for r in own.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
+    n, found = sum(x for _, x in counts), {}
+    for share in shares:
+        for rank in {int(share * (n - 1)), -int(-share * (n - 1) // 1)} if n else ():
+            before = 0
+            for p, size in counts:
+                if before <= rank < before + size:
+                    found[rank] = (p, rank - before)
+                before += size
+    here = own.where(F.col("_p").isin(sorted({p for p, _ in found.values()}))).groupBy("_p", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = cut_lineage(here.withColumn("upto", F.sum("n").over(Window.partitionBy("_p").orderBy("v"))))
+    value = {}
+    for rank, (p, at) in found.items():
+        value[rank] = upto.where((F.col("_p") == p) & (F.col("upto") > at)).agg(F.min("v")).first()[0]
+    row = []
+    for share in shares:
+        x = share * (n - 1)
+        lo, hi = int(x), -int(-x // 1)
+        row.append(value[lo] + (x - lo) * (value[hi] - value[lo]) if n else None)
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{x} double" for x in names))
+
+
 def dimension(df: DataFrame, label: str, name: str = "id") -> DataFrame:
     """(idx, name): distinct labels, numbered from 0 in their order."""
     labels = df.select(F.col(label).alias(name)).where(F.col(name).isNotNull()).distinct()

@@ -96,18 +96,18 @@ def nestedness(edges: DataFrame) -> DataFrame:
     """One row: ones, violations, nestedness = 1 - violations / (ones * n_rows).
 
     A violation is a zero below a one, in a matrix whose rows and columns are
-    sorted by falling degree (ties by id): rows after the one's that lack it.
+    sorted by falling degree (ties by id): rows after the one's that lack it. Of
+    the n - pos rows after a row's place, a column's ones see k (k - 1) / 2 ones
+    below them altogether, so that degrees of rows and columns are all it takes.
     """
     k = margin(edges, "row_id")
-    order = row_numbers(k.select("id", "degree"), [F.desc("degree"), F.col("id").asc()], "pos").select(F.col("id").alias("row_id"), "pos")
+    order = row_numbers(k.select("id", "degree"), [F.desc("degree"), F.col("id").asc()], "pos")
     n = F.broadcast(k.agg(F.count(F.lit(1)).alias("n")))
-    at = edges.join(order, "row_id")
-    w = Window.partitionBy("col_id")
-    ones_below = F.count(F.lit(1)).over(w) - F.row_number().over(w.orderBy("pos"))
-    zeros = at.select("pos", ones_below.alias("ones_below")).join(n).select("n", (F.col("n") - F.col("pos") - F.col("ones_below")).alias("z"))
-    return zeros.agg(F.count(F.lit(1)).alias("ones"), F.sum("z").alias("violations"), F.first("n").alias("_n")).select(
-        "ones", "violations", (1 - F.col("violations") / (F.col("ones") * F.col("_n"))).alias("nestedness")
-    )
+    below = order.join(n).agg(F.sum(F.col("degree") * (F.col("n") - F.col("pos"))).alias("below"), F.sum("degree").alias("ones"), F.first("n").alias("_n"))
+    c = F.col("degree")
+    both = margin(edges, "col_id").agg(F.sum((c * (c - 1) / 2).cast("long")).alias("both"))
+    out = below.join(both).withColumn("violations", F.col("below") - F.col("both"))
+    return out.select("ones", "violations", (1 - F.col("violations") / (F.col("ones") * F.col("_n"))).alias("nestedness"))
 
 
 def shared_product_ratio(edges: DataFrame, sides: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bipartrix.model import row_numbers, sums_before
+from bipartrix.model import quantiles, row_numbers, sums_before
 from bipartrix.operators.network import pearson
 
 
@@ -197,7 +197,8 @@ def community_stats(labels: DataFrame, scores: DataFrame, margins: DataFrame, to
 
 def collapse_check(scores: DataFrame, limit: float = 100.0) -> DataFrame:
     """One row: largest and median score, their ratio, and whether the ratio says that few rows hold everything."""
-    s = scores.where("score IS NOT NULL").agg(F.max("score").alias("most"), F.percentile("score", F.lit(0.5)).alias("median"), F.avg((F.col("score") > 1e-10).cast("double")).alias("positive_share"))
+    own = scores.where("score IS NOT NULL")
+    s = own.agg(F.max("score").alias("most"), F.avg((F.col("score") > 1e-10).cast("double")).alias("positive_share")).join(F.broadcast(quantiles(own, "score", [0.5], ["median"])))  # one row each
     ratio = F.when(F.col("median") > 0, F.col("most") / F.col("median"))
     return s.select("most", "median", "positive_share", ratio.alias("ratio"), (F.coalesce(ratio, F.lit(float("inf"))) > limit).alias("collapsed"))
 
@@ -205,3 +206,9 @@ def collapse_check(scores: DataFrame, limit: float = 100.0) -> DataFrame:
 def low_degree(margins: DataFrame, ids: DataFrame, below: int = 10) -> DataFrame:
     """(id, degree) of the entities of ``ids`` with fewer edges than ``below``, those without any included."""
     return ids.select("id").distinct().join(margins, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")).where(F.col("degree") < below)
+
+
+def describe(df: DataFrame, c: str, shares: dict[str, float]) -> DataFrame:
+    """One row: n, mean, sd (of a sample), least, the quantiles named by ``shares``, most of a number."""
+    x = df.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd"), F.min(c).alias("least"), F.max(c).alias("most"))
+    return x.join(F.broadcast(quantiles(df, c, [*shares.values()], [*shares]))).select("n", "mean", "sd", "least", *shares, "most")

@@ -588,7 +588,7 @@ def ols_residual_topk(spark, d):
 @query("describe_margins", f"WITH {m_sql('s_name')}, k AS (SELECT count(*)::DOUBLE d FROM m GROUP BY r) SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, min(d) AS least, round(quantile_cont(d, 0.3), 6) AS p30, round(quantile_cont(d, 0.5), 6) AS median, max(d) AS most FROM k")
 def describe_margins(spark, d):
     k = nw.margin(supplier_edges(spark, d), "row_id")
-    return rounded(k.agg(F.count(F.lit(1)).alias("n"), F.avg("strength").alias("mean"), F.stddev_samp("strength").alias("sd"), F.min("strength").alias("least"), F.percentile("strength", F.lit(0.3)).alias("p30"), F.percentile("strength", F.lit(0.5)).alias("median"), F.max("strength").alias("most")))
+    return rounded(rp.describe(k, "strength", {"p30": 0.3, "median": 0.5}))
 
 
 @query("histogram_log_value", f"WITH {m_sql('s_name')}, l AS (SELECT log10(v) x FROM f WHERE v > 0), e AS (SELECT min(x) lo, max(x) hi FROM l) SELECT least(floor((x - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM l, e GROUP BY 1")
@@ -792,9 +792,11 @@ def perturb_remove_edges(spark, d):
     return rd.remove_edges(flagship(spark, d), 0.2, 7)
 
 
-@query("generator_nested", "SELECT printf('r%04d', i) AS row_id, printf('c%04d', j) AS col_id, 1.0::DOUBLE AS w FROM range(20) a(i), range(30) b(j) WHERE j < least(30, floor((i + 1) * 30 / 20) + 5)")
+@query("generator_nested", """WITH n AS (SELECT (SELECT count(*) FROM nation) AS x, (SELECT count(DISTINCT p_brand) FROM part) AS y), g AS (SELECT i, unnest(range(least(y, floor((i + 1) * y / x) + 5)::BIGINT)) AS j FROM (SELECT x, y, unnest(range(x)) AS i FROM n))
+SELECT printf('r%04d', i) AS row_id, printf('c%04d', j) AS col_id, 1.0::DOUBLE AS w FROM g""")
 def generator_nested(spark, d):
-    return rd.nested_network(spark, 20, 30)
+    """As many rows as nations and columns as brands."""
+    return rd.nested_network(spark, t(spark, d, "nation").count(), t(spark, d, "part").select("p_brand").distinct().count())
 
 
 # --- further reports and generators ------------------------------------------------------
@@ -821,10 +823,11 @@ def _u(seed: int, *keys: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || {" || '|' || ".join(keys)}), 1, 8))::UBIGINT::DOUBLE / 4294967296.0)"
 
 
-@query("synthetic_users", f"""WITH g AS (SELECT i, j FROM range(40) a(i), range(60) b(j)), k AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY {_u(43, "i", "j")}, j) k, 5 + floor({_u(42, "i")} * 25) take, 1 + floor(ln(1 - {_u(44, "i", "j")}) / ln(0.7)) w FROM g)
+@query("synthetic_users", f"""WITH g AS (SELECT i, j FROM (SELECT unnest(range((SELECT count(*) FROM supplier))) AS i), (SELECT unnest(range((SELECT count(DISTINCT p_type) FROM part))) AS j)), k AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY {_u(43, "i", "j")}, j) k, 5 + floor({_u(42, "i")} * (least((SELECT count(DISTINCT p_type) FROM part), 30) - 5)) take, 1 + floor(ln(1 - {_u(44, "i", "j")}) / ln(0.7)) w FROM g)
 SELECT 'user_' || i AS row_id, 'word_' || j AS col_id, w::DOUBLE AS w FROM k WHERE k <= take""")
 def synthetic_users(spark, d):
-    return rd.synthetic_users(spark, 40, 60)
+    """As many users as suppliers and words as part types."""
+    return rd.synthetic_users(spark, t(spark, d, "supplier").count(), t(spark, d, "part").select("p_type").distinct().count())
 
 
 @query("kmeans_communities")

@@ -7,13 +7,16 @@ import io
 import math
 import warnings
 import zipfile
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bipartrix.functions import text as tx
-from bipartrix.model import EDGES, Bundle, bundle, row_numbers
+from bipartrix.model import EDGES, Bundle, bundle, quantiles, row_numbers
 from bipartrix.operators.network import mass_filter, rca_edges
 
 #: Other names of the trade columns.
@@ -265,15 +268,57 @@ def _named(df: DataFrame) -> DataFrame:
     return df.select(F.format_string("r%04d", F.col("i")).alias("row_id"), F.format_string("c%04d", F.col("j")).alias("col_id"), F.lit(1.0).alias("w"))
 
 
+def _runs(spark: SparkSession, rows: int, first: F.Column, last: F.Column) -> DataFrame:
+    """Row i has the columns from ``first`` up to but not ``last``."""
+    run = spark.range(rows).select(F.col("id").alias("i")).select("i", first.cast("long").alias("a"), last.cast("long").alias("b")).where("a < b")
+    return _named(run.select("i", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("j")))
+
+
+def _jumps(rng: np.random.Generator, n: int, p: float) -> np.ndarray:
+    """Of n places those taken, each with chance p: jumps of geometric lengths, so that the work goes with what is taken."""
+    if p >= 1:
+        return np.arange(n)
+    out, at = [], -1
+    while p > 0 and at < n:
+        step = rng.geometric(p, 16 + int(1.1 * p * (n - at)))
+        places = at + np.cumsum(step)
+        out.append(places[places < n])
+        at = int(places[-1])
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _sampled(spark: SparkSession, rows: int, segments: Callable[[int], list[tuple[int, int, float]]], seed: int, accept: Callable[[int, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """Edges by skip sampling: in each of a row's segments (first, last, chance) places are taken by jumps, and then kept with the chance that ``accept`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, cols = [], []
+            for i in batch.column(0).to_pylist():
+                rng = np.random.default_rng([seed, i])
+                own = np.concatenate([np.zeros(0, np.int64), *[a + _jumps(rng, b - a, p) for a, b, p in segments(i)]])
+                if accept is not None:
+                    own = own[rng.random(len(own)) < accept(i, own)]
+                at.append(np.full(len(own), i))
+                cols.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), pa.array(np.concatenate(cols))], ["i", "j"])
+
+    return _named(spark.range(rows).mapInArrow(run, "i long, j long"))
+
+
 def nested_network(spark: SparkSession, rows: int, cols: int, offset: int = 5) -> DataFrame:
     """Row i has the first floor((i + 1) cols / rows) + offset columns."""
-    return _named(_grid(spark, rows, cols).where(F.col("j") < F.least(F.lit(cols), F.floor((F.col("i") + 1) * cols / rows) + offset)))
+    return _runs(spark, rows, F.lit(0), F.least(F.lit(cols), F.floor((F.col("i") + 1) * cols / rows) + offset))
 
 
 def block_network(spark: SparkSession, rows: int, cols: int, blocks: int, p_in: float = 1.0, p_out: float = 0.0, seed: int = 42) -> DataFrame:
     """Equal diagonal blocks: edges with chance p_in inside and p_out outside of them."""
-    same = F.floor(F.col("i") * blocks / rows) == F.floor(F.col("j") * blocks / cols)
-    return _named(_grid(spark, rows, cols).where(uniform("i", "j", seed=seed) < F.when(same, p_in).otherwise(p_out)))
+
+    def segments(i: int) -> list[tuple[int, int, float]]:
+        b = i * blocks // rows
+        lo, hi = -(-b * cols // blocks), min(cols, -(-(b + 1) * cols // blocks))
+        return [(0, lo, p_out), (lo, hi, p_in), (hi, cols, p_out)]
+
+    return _sampled(spark, rows, segments, seed)
 
 
 def random_network(spark: SparkSession, rows: int, cols: int, p: float, seed: int = 42) -> DataFrame:
@@ -281,27 +326,50 @@ def random_network(spark: SparkSession, rows: int, cols: int, p: float, seed: in
 
 
 def core_periphery_network(spark: SparkSession, rows: int, cols: int, core: float = 0.3, p_core: float = 0.9, p_cross: float = 0.4, p_rim: float = 0.05, seed: int = 42) -> DataFrame:
-    inner = (F.col("i") < core * rows).cast("int") + (F.col("j") < core * cols).cast("int")
-    return _named(_grid(spark, rows, cols).where(uniform("i", "j", seed=seed) < F.when(inner == 2, p_core).when(inner == 1, p_cross).otherwise(p_rim)))
+    inner = math.ceil(core * cols)
+    return _sampled(spark, rows, lambda i: [(0, inner, p_core if i < core * rows else p_cross), (inner, cols, p_cross if i < core * rows else p_rim)], seed)
 
 
 def path_network(spark: SparkSession, n: int, width: int = 2) -> DataFrame:
     """Row i has columns i to i + width - 1: a one-dimensional chain."""
-    return _named(_grid(spark, n, n + width - 1).where((F.col("j") >= F.col("i")) & (F.col("j") < F.col("i") + width)))
+    return _runs(spark, n, F.col("i"), F.col("i") + width)
 
 
 def multi_scale_network(spark: SparkSession, rows: int, cols: int, blocks: int = 3, p_out: float = 0.05, seed: int = 42) -> DataFrame:
     """Diagonal blocks, each nested inside: a block's later rows have more of its columns; a few edges leave the blocks."""
-    bi, bj = F.floor(F.col("i") * blocks / rows), F.floor(F.col("j") * blocks / cols)
-    at_i, at_j = F.col("i") * blocks / rows - bi, F.col("j") * blocks / cols - bj
-    inside = (bi == bj) & (at_j <= at_i + 0.2)
-    return _named(_grid(spark, rows, cols).where(inside | (uniform("i", "j", seed=seed) < p_out)))
+
+    def segments(i: int) -> list[tuple[int, int, float]]:
+        b = i * blocks // rows
+        lo, end = -(-b * cols // blocks), min(cols, -(-(b + 1) * cols // blocks))
+        hi = min(end, cols * (5 * i * blocks + rows) // (5 * rows * blocks) + 1)  # up to a fifth of a block further
+        return [(0, lo, p_out), (lo, hi, 1.0), (hi, cols, p_out)]
+
+    return _sampled(spark, rows, segments, seed)
 
 
 def smooth_network(spark: SparkSession, rows: int, cols: int, width: float = 0.15, seed: int = 42) -> DataFrame:
-    """Edges with a chance that falls as a bell curve of ``width`` with the distance of row and column along one gradient."""
-    d = F.col("i") / max(rows - 1, 1) - F.col("j") / max(cols - 1, 1)
-    return _named(_grid(spark, rows, cols).where(uniform("i", "j", seed=seed) < F.exp(-d * d / (2 * width * width))))
+    """Edges with a chance that falls as a bell curve of ``width`` with the distance of row and column along one gradient.
+
+    Segments of a third of the width are sampled at their largest chance and thinned.
+    """
+    place = lambda i: i / max(rows - 1, 1)
+    chance = lambda d: np.exp(-d * d / (2 * width * width))
+    step = max(1, int(width * cols / 3))
+
+    def segments(i: int) -> list[tuple[int, int, float]]:
+        out = []
+        for a in range(0, cols, step):
+            b = min(cols, a + step)
+            ends = [place(i) - x / max(cols - 1, 1) for x in (a, b - 1)]
+            out.append((a, b, 1.0 if ends[0] * ends[1] <= 0 else float(chance(min(map(abs, ends))))))
+        return out
+
+    def accept(i: int, cols_taken: np.ndarray) -> np.ndarray:
+        start, end, chances = zip(*segments(i), strict=True)
+        most = np.repeat(chances, np.subtract(end, start))
+        return chance(place(i) - cols_taken / max(cols - 1, 1)) / most[cols_taken]
+
+    return _sampled(spark, rows, segments, seed, accept)
 
 
 def circle_points(spark: SparkSession, per_circle: int = 100, circles: int = 3, noise: float = 0.1, seed: int = 42) -> DataFrame:
@@ -331,7 +399,7 @@ def add_shortcuts(edges: DataFrame, chance: float, seed: int = 42, most: int = 3
     Columns are taken by falling degree, ties by id, so that the last ones are the rarest.
     """
     k = edges.groupBy("row_id").agg(F.count(F.lit(1)).alias("k"))
-    cut = F.broadcast(k.agg(F.percentile("k", F.lit(0.3)).alias("_p")))  # one row
+    cut = F.broadcast(quantiles(k, "k", [0.3], ["_p"]))  # one row
     poor = k.join(cut).where("k <= _p").where(uniform("row_id", seed=seed) < chance)
     poor = poor.select("row_id", (1 + F.floor(uniform("row_id", seed=seed + 1) * most)).alias("_take"))
     c = row_numbers(edges.groupBy("col_id").agg(F.count(F.lit(1)).alias("k")), [F.desc("k"), F.col("col_id").asc()], "_i", 0)

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from bipartrix.functions import text as tx
-from bipartrix.model import EDGES, bundle, dimension, edges_of, same_edges
+from bipartrix.model import EDGES, bundle, dimension, edges_of, quantiles, same_edges
 from bipartrix.operators import community as cm
 from bipartrix.operators import eci as ec
 from bipartrix.operators import fitness as ft
+from bipartrix.operators import metric
 from bipartrix.operators import network as nw
 from bipartrix.operators import reports as rp
 from bipartrix.operators import sinkhorn as sk
@@ -242,6 +243,65 @@ def test_generators(spark):
     assert grown.count() > rd.nested_network(spark, 20, 30).count() and grown.groupBy("row_id", "col_id").count().where("count > 1").count() == 0
 
 
+def test_skip_sampling_gives_the_stated_chances(spark):
+    """Degrees and blocks of generated edges against their chances, within five standard deviations."""
+
+    def share(df, lo, hi, a, b):
+        i, j = F.substring("row_id", 2, 9).cast("int"), F.substring("col_id", 2, 9).cast("int")
+        return df.where(i.between(lo, hi - 1) & j.between(a, b - 1)).count() / ((hi - lo) * (b - a))
+
+    near = lambda x, p, n: abs(x - p) <= 5 * math.sqrt(p * (1 - p) / n) + 1e-12
+    r = rd.random_network(spark, 200, 300, 0.1)
+    assert near(share(r, 0, 200, 0, 300), 0.1, 60_000)
+    k = [x.k for x in r.groupBy("row_id").agg(F.count(F.lit(1)).alias("k")).collect()]
+    assert abs(np.mean(k) - 30) < 2 and abs(np.var(k) - 27) < 14  # binomial
+    cols = [x.k for x in r.groupBy("col_id").agg(F.count(F.lit(1)).alias("k")).collect()]
+    assert len(cols) == 300 and abs(np.var(cols) - 18) < 8
+    b = rd.block_network(spark, 90, 120, 3, 0.6, 0.02)
+    assert near(share(b, 0, 30, 0, 40), 0.6, 1200) and near(share(b, 30, 60, 80, 120), 0.02, 1200)
+    whole = rd.block_network(spark, 8, 8, 2)
+    assert whole.count() == 32 and share(whole, 0, 4, 0, 4) == 1
+    c = rd.core_periphery_network(spark, 100, 100)
+    assert near(share(c, 0, 30, 0, 30), 0.9, 900) and near(share(c, 0, 30, 30, 100), 0.4, 2100) and near(share(c, 30, 100, 30, 100), 0.05, 4900)
+    m = {(x.row_id, x.col_id) for x in rd.multi_scale_network(spark, 30, 60, 3, 0.0).collect()}
+    assert m == {(f"r{i:04d}", f"c{j:04d}") for i in range(30) for j in range(60) if i // 10 == j // 20 and j <= 2 * i + 4}
+    s = rd.smooth_network(spark, 100, 100, 0.2)
+    assert near(share(s, 0, 100, 0, 100), np.mean([[math.exp(-(((i - j) / 99) ** 2) / 0.08) for j in range(100)] for i in range(100)]), 10_000)
+    assert same_edges(s, rd.smooth_network(spark, 100, 100, 0.2)).first().equal
+
+
+def test_quantiles(spark):
+    rng = random.Random(2)
+    for values in ([rng.gauss(0, 1) for _ in range(501)], [1.0] * 90 + [2.0] * 10, [3.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+        got = quantiles(df, "v", [0.0, 0.3, 0.5, 0.99, 1.0], list("abcde"))
+        assert np.allclose(list(got.first()), np.quantile(values, [0.0, 0.3, 0.5, 0.99, 1.0]), atol=1e-12)
+    assert list(quantiles(df.where("v IS NULL"), "v", [0.5], ["a"]).first()) == [None]
+    d = rp.describe(df, "v", {"half": 0.5}).first()
+    assert (d.n, d.mean, d.least, d.half, d.most) == (2, 1.5, 1.0, 1.5, 2.0)
+
+
+def test_range_join(spark):
+    """Equal to brute force, with repeated points, two lengths and odd rows; far points aren't compared."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(0, 20, (40, 3))
+    x = np.vstack([c + rng.normal(0, 0.5, (60, 3)) for c in centres] + [np.tile(centres[0], (30, 1))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None), (-2, [1.0, None, 0.0]), (-3, [0.0, 0.0]), (-4, [0.1, 0.0]), (5, x[5].tolist())]
+    p = spark.createDataFrame(rows, "id int, features array<double>")
+    for radius in (0.4, 2.5):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(metric, "POINTS_PER_PIVOT", 50)
+            patch.setattr(metric, "BLOCK_POINTS", 40)
+            got = sorted((min(r.a, r.b), max(r.a, r.b)) for r in metric.near_pairs(p, radius).collect())
+            formed = metric.pairs_formed(p, radius)
+        good = [(i, np.array(v)) for i, v in rows if v is not None and None not in v]
+        want = sorted((min(i, j), max(i, j)) for n, (i, v) in enumerate(good) for j, w in good[:n] if len(v) == len(w) and math.sqrt(((v - w) ** 2).sum()) <= radius)
+        assert got == want and len(want) > 500
+        assert formed < 0.25 * len(good) ** 2  # of the ordered pairs
+    with pytest.raises(ValueError):
+        metric.near_pairs(p, 0.0)
+
+
 def test_model(spark):
     raw = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0), (None, "x", 1.0), ("b", "y", 0.0)], "r string, c string, v double")
     assert [tuple(r) for r in edges_of(raw, "r", "c", "v").collect()] == [("a", "x", 3.0)]
