@@ -38,7 +38,7 @@ SIDES = ("row", "col")
 
 
 @contextmanager
-def spread_out(edges: int = 64, ids: int = 8) -> Iterator[None]:
+def spread_out(edges: int = 128, ids: int = 16) -> Iterator[None]:
     """Within it, networks of over so many edges are laid out in cells and blocks of about so many: large ones' way at any size."""
     global EDGES_PER_CELL, IDS_PER_BLOCK
     before = EDGES_PER_CELL, IDS_PER_BLOCK
