@@ -12,8 +12,10 @@ them (winnowing, Schleimer et al. 2003). Suffixes that agree on ``length`` bytes
 share a bucket, so the suffix order of each bucket decides every test: values of
 LPF below ``length`` only say that, for shorter matches may lie in other buckets.
 Neighbouring positions with the same anchor travel as one row, a run; runs with
-equal text (by two 64-bit hashes) are one class, counted before the shuffle.
-Only buckets that hold different classes are put in suffix order.
+equal text (by its BLAKE2b digest of 128 bits) are one class, counted before the
+shuffle. Only buckets that hold different classes are put in suffix order. The
+rolling hash picks anchors and buckets only: what it takes for equal meets, and is
+then told apart by bytes or digests.
 """
 
 from __future__ import annotations
@@ -35,21 +37,30 @@ PIECE = (1 << 19) - 1024
 #: Buckets with more classes than this are split by text instead of meeting in one task; so many runs are 3 MB of text.
 LARGE_BUCKET = 4096
 
-ANCHOR = "struct<key:bigint,hull:bigint,s:bigint,n:int,o:int,c:bigint>"
+ANCHOR = "struct<key:bigint,hull:bigint,more:bigint,s:bigint,n:int,o:int,c:bigint>"
+#: What names a class of runs with one text.
+CLASS = ["key", "o", "n", "hull", "more"]
 SPANS = "array<struct<s:bigint,e:bigint>>"
 
 
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """BLAKE2b of raw[start:end] as two 64-bit numbers each."""
+    view = memoryview(raw)
+    out = b"".join([hashlib.blake2b(view[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, np.int64).reshape(-1, 2)
+
+
 def runs_of(data: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """Runs of suffix positions with one anchor in the concatenated pieces data[bounds[i]:bounds[i + 1]].
 
     Returns piece, start, number of positions, offset of the start from the
-    anchor (0 or less), bucket key and hash of the run's text (its hull).
+    anchor (0 or less), bucket key and digest of the run's text (its hull).
     """
     w = length - k + 1
     none = np.zeros(0, np.int64)
     n = len(data) - length + 1
     if n < 1:
-        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), np.zeros((0, 2), np.int64)
     h = prefix_hash(data)
     at = np.arange(len(data) - k + 1)
     grams = span_hash(h, at, at + k)
@@ -62,7 +73,7 @@ def runs_of(data: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[
     inside = np.arange(n) + length <= bounds[piece + 1]
     starts = np.flatnonzero(inside & np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])]))
     last = np.flatnonzero(inside & np.concatenate([(anchor[1:] != anchor[:-1]) | ~inside[1:] | (piece[1:] != piece[:-1]), [True]]))
-    return piece[starts], starts, last - starts + 1, starts - anchor[starts], grams[anchor[starts]], span_hash(h, starts, last + length)
+    return piece[starts], starts, last - starts + 1, starts - anchor[starts], grams[anchor[starts]], digests(data.tobytes(), starts, last + length)
 
 
 def merge_spans(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +119,15 @@ def scan(docs: DataFrame, length: int, k: int, keep_first: bool) -> DataFrame:
                     out.append(([], []))
                     continue
                 s, n, o, key, hull = (np.concatenate(x) for x in zip(*runs, strict=True))
-                order = np.lexsort((s, n, o, hull, key))
+                order = np.lexsort((s, n, o, hull[:, 1], hull[:, 0], key))
                 s, n, o, key, hull = s[order], n[order], o[order], key[order], hull[order]
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (hull[1:] != hull[:-1]) | (o[1:] != o[:-1]) | (n[1:] != n[:-1])])
+                new = np.concatenate([[True], (key[1:] != key[:-1]) | (hull[1:] != hull[:-1]).any(1) | (o[1:] != o[:-1]) | (n[1:] != n[:-1])])
                 c = np.diff(np.append(np.flatnonzero(new), len(s)))
                 again = ~new if keep_first else np.repeat(c > 1, c)
                 spans = merge_spans(s[again], (s + n + length - 1)[again])
-                cols = key[new].view(np.int64), hull[new].view(np.int64), s[new], n[new], o[new], c
-                out.append(([dict(zip(("key", "hull", "s", "n", "o", "c"), r, strict=True)) for r in zip(*(x.tolist() for x in cols), strict=True)], [{"s": x, "e": y} for x, y in zip(*(z.tolist() for z in spans), strict=True)]))
-            anchor = pa.list_(pa.struct([("key", pa.int64()), ("hull", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("c", pa.int64())]))
+                cols = key[new].view(np.int64), hull[new, 0], hull[new, 1], s[new], n[new], o[new], c
+                out.append(([dict(zip(("key", "hull", "more", "s", "n", "o", "c"), r, strict=True)) for r in zip(*(x.tolist() for x in cols), strict=True)], [{"s": x, "e": y} for x, y in zip(*(z.tolist() for z in spans), strict=True)]))
+            anchor = pa.list_(pa.struct([("key", pa.int64()), ("hull", pa.int64()), ("more", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("o", pa.int32()), ("c", pa.int64())]))
             span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([x[0] for x in out], anchor), pa.array([x[1] for x in out], span)],
@@ -127,15 +138,14 @@ def scan(docs: DataFrame, length: int, k: int, keep_first: bool) -> DataFrame:
 
 
 def windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position in the row's run, hash of the ``length`` bytes from there) for all runs of a batch with columns n and ctx."""
+    """(row, position in the row's run, digest of the ``length`` bytes from there) for all runs of a batch with columns n and ctx."""
     n = batch.column("n").to_numpy().astype(np.int64)
     raw = batch.column("ctx").to_pylist()
     off = np.cumsum([0, *[len(x) for x in raw]])[:-1]
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    h = prefix_hash(np.frombuffer(b"".join(raw), np.uint8))
     at = off[row] + j
-    return row, j, span_hash(h, at, at + length)
+    return row, j, digests(b"".join(raw), at, at + length)
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
@@ -270,7 +280,7 @@ def _changes(b: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
 
 
 def large_buckets(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same by text: each suffix goes to its own 64-bit class in its bucket, and only counts and least positions are gathered."""
+    """The same by text: each suffix goes to the class of its first bytes' digest, and only counts and least positions are gathered."""
     kind = contexts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,14 +290,14 @@ def large_buckets(contexts: DataFrame, length: int, keep_first: bool) -> DataFra
                 row, j, h = windows(b, length)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("key").take(take), pa.array(b.column("o").to_numpy()[row] + j), pa.array(h.view(np.int64)), b.column("doc_id").take(take), b.column("th").take(take), pa.array(b.column("s").to_numpy()[row] + j)],
-                    ["key", "o", "h", "doc_id", "th", "s"],
+                    [b.column("key").take(take), pa.array(b.column("o").to_numpy()[row] + j), pa.array(h[:, 0]), pa.array(h[:, 1]), b.column("doc_id").take(take), b.column("th").take(take), pa.array(b.column("s").to_numpy()[row] + j)],
+                    ["key", "o", "h", "more", "doc_id", "th", "s"],
                 )
 
-    each = materialise(contexts.mapInArrow(run, f"key long, o long, h long, doc_id {kind}, th long, s long"), "lpf-large")
+    each = materialise(contexts.mapInArrow(run, f"key long, o long, h long, more long, doc_id {kind}, th long, s long"), "lpf-large")
     place = F.struct("doc_id", "th", "s")
-    met = each.groupBy("key", "o", "h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first")).where("m > 1")
-    out = each.join(met, ["key", "o", "h"])
+    met = each.groupBy("key", "o", "h", "more").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first")).where("m > 1")
+    out = each.join(met, ["key", "o", "h", "more"])
     if keep_first:
         out = out.where(~place.eqNullSafe(F.col("first")))
     return out.select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
@@ -310,22 +320,22 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 100, keep_f
     crowded = runs.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     runs = materialise(runs.join(crowded, "key", "left_semi"), "lpf-runs")
     who = F.struct("doc_id", "th", "s")
-    classes = materialise(runs.groupBy("key", "o", "n", "hull").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("rows"), F.min(who).alias("first")), "lpf-classes")
+    classes = materialise(runs.groupBy(*CLASS).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("rows"), F.min(who).alias("first")), "lpf-classes")
     # Whole runs that occur elsewhere as they are.
-    copies = runs.join(classes.where("rows > 1").select("key", "o", "n", "hull", "first"), ["key", "o", "n", "hull"])
+    copies = runs.join(classes.where("rows > 1").select(*CLASS, "first"), CLASS)
     if keep_first:
         copies = copies.where(~F.struct("doc_id", "th").eqNullSafe(F.struct("first.doc_id", "first.th")))
     spans = copies.select("doc_id", "th", "s", (F.col("s") + F.col("n") + length - 1).alias("e"))
     # Buckets of different classes: look at each position of one run of each class.
     mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).where("m > 1" if keep_first else "m > 1 AND least = 1").select("key", "m")
-    runs_at = classes.join(mixed, "key").select("key", "o", "n", "hull", "m", "first.*")
-    wanted = runs_at.groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "o", "n", "hull", "m", "s")).alias("runs"))
+    runs_at = classes.join(mixed, "key").select(*CLASS, "m", "first.*")
+    wanted = runs_at.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*CLASS, "m", "s")).alias("runs"))
     texts = docs.select(F.col("doc_id").alias("_d"), text_or_empty("text").alias("text")).withColumn("_t", F.xxhash64("text"))
     at = texts.join(wanted.hint("shuffle_hash"), F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_t") == F.col("th")))
     cut = at.select("doc_id", "th", F.encode("text", "UTF-8").alias("raw"), F.explode("runs").alias("r")).select(
-        "doc_id", "th", "r.key", "r.o", "r.n", "r.hull", "r.m", "r.s", F.expr(f"substring(raw, cast(r.s AS int) + 1, r.n + {length - 1})").alias("ctx")
+        "doc_id", "th", *[f"r.{c}" for c in CLASS], "r.m", "r.s", F.expr(f"substring(raw, cast(r.s AS int) + 1, r.n + {length - 1})").alias("ctx")
     )
-    contexts = materialise(cut.dropDuplicates(["key", "o", "n", "hull"]).select("key", "o", "n", "m", "s", "doc_id", "th", "ctx"), "lpf-contexts")
+    contexts = materialise(cut.dropDuplicates(CLASS).select("key", "o", "n", "m", "s", "doc_id", "th", "ctx"), "lpf-contexts")
     spans = spans.unionByName(small_buckets(contexts.where(F.col("m") <= LARGE_BUCKET), length, keep_first))
     spans = spans.unionByName(large_buckets(contexts.where(F.col("m") > LARGE_BUCKET), length, keep_first))
     per_doc = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("more"))

@@ -451,6 +451,22 @@ def test_repeated_passages(spark, monkeypatch, keep_first, large):
         assert cut.columns == d.columns and cut.count() == d.count()
 
 
+@pytest.mark.parametrize("large", [4096, 1])
+def test_texts_that_polynomial_hashes_take_for_equal(spark, monkeypatch, large):
+    """No string of 40 bytes in common, but Thue-Morse words and their complements in the same places."""
+    monkeypatch.setattr(suffix, "LARGE_BUCKET", large)
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(3)
+    tail = "".join(rng.choices("cdefgh", k=60))
+    rows = [(1, word + tail), (2, other + tail), (3, "x" + tail[:50])]
+    got = {r.doc_id: r for r in suffix.removal_digest(spark.createDataFrame(rows, "doc_id long, text string"), 40, 12).collect()}
+    for (i, t), gone in zip(rows, brute_spans(rows, 40, False), strict=True):
+        assert got[i].n_removed == int(gone.sum()) and got[i].kept_sha256 == hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~gone])).hexdigest()
+
+
 def test_longest_previous_factors():
     """LPF from suffix order, common prefixes and nearest smaller positions against its definition."""
     rng = np.random.default_rng(4)
