@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bipartrix.operators.grid import Program, Scalars, State, solve
 from bipartrix.operators.network import pearson
-from bipartrix.operators.spectra import MOST_TURNS, MOST_VECTORS, SETTLED, Subspace, spectrum, width_for
+from bipartrix.operators.spectra import MOST_TURNS, MOST_VECTORS, SETTLED, Subspace, spectrum, traces, width_for
 from bipartrix.session import cut_lineage
 
 
@@ -231,7 +231,19 @@ def cheeger_diagnosis(edges: DataFrame) -> DataFrame:
 
 
 def effective_rank(edges: DataFrame, t_max: int = 10) -> DataFrame:
-    """(t, rank): exp of the entropy of p_i ~ exp(-(1 - lambda_i) t), t from 0 to t_max, over the smaller side's eigenvalues."""
+    """(t, rank): exp of the entropy of p_i ~ exp(-(1 - lambda_i) t), t from 0 to t_max, over the smaller side's eigenvalues, up to MOST_VECTORS ids of it."""
     ev = eigenvalues(edges, MOST_VECTORS).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(t_max))))
     z = ev.withColumn("e", F.exp(-(1 - F.col("eigenvalue")) * F.col("t"))).groupBy("t").agg(F.sum("e").alias("z"), F.sum(F.col("e") * F.log("e")).alias("s"))
     return z.select("t", F.exp(F.log("z") - F.col("s") / F.col("z")).alias("rank"))
+
+
+def heat_traces(edges: DataFrame, t_max: int = 10, probes: int = 32, steps: int = 30) -> DataFrame:
+    """(t, trace, error, rank): the sum of exp(-(1 - lambda_i) t) over the smaller side's eigenvalues, the standard error of that estimate, and the effective rank.
+
+    For any number of ids: from random probes, without any eigenvalue.
+    """
+    heat = [(lambda x, t=t: np.exp(-(1 - x) * t)) for t in range(t_max + 1)]
+    own = [(lambda x, t=t: -(1 - x) * t * np.exp(-(1 - x) * t)) for t in range(t_max + 1)]
+    found = traces(edges, heat + own, probes, steps)
+    rows = [(t, z, e, float(np.exp(np.log(z) - s / z)) if z > 0 else None) for t, ((z, e), (s, _)) in enumerate(zip(found[: t_max + 1], found[t_max + 1 :], strict=True))]
+    return edges.sparkSession.createDataFrame(rows, "t int, trace double, error double, rank double")

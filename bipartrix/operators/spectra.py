@@ -9,6 +9,7 @@ there are no more ids than vectors, one turn is exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -126,3 +127,93 @@ def spectrum(edges: DataFrame, k: int, vectors: bool = False) -> Spectrum:
         return Spectrum(values, None, None, settled)
     sides = [found.where(F.col("side") == s).select("id", "k", F.col("x").alias("vector")) for s in ("row", "col")]
     return Spectrum(values, *(sides[::-1] if flipped else sides), settled)
+
+
+class Probes(Program):
+    """Lanczos steps of B^T B from random signs, a column for each probe: v, the one before, and w = B^T B v - beta * before.
+
+    The known leading vector is taken out of the signs first, which leaves less to chance.
+    """
+
+    opening = ("col",)
+
+    def __init__(self, probes: int, ids: int, seed: int):
+        self.probes, self.ids, self.seed = probes, ids, seed
+
+    def start(self, side: str, k: np.ndarray, extra: np.ndarray | None, first: int) -> State:
+        out = {"root": np.sqrt(k), "v": np.zeros((len(k), self.probes)), "w": np.zeros((len(k), self.probes))}
+        if side == "col":
+            out["w"] = np.random.default_rng([self.seed, first]).choice([-1.0, 1.0], (len(k), self.probes)) / np.sqrt(self.ids)
+        return out
+
+    def _next(self, state: State, scalars: Scalars) -> np.ndarray:
+        """The coming Lanczos vectors, of length 1."""
+        if "beta" not in scalars:
+            return (state["w"] - scalars["along"] * state["root"][:, None]) / np.sqrt(np.maximum(scalars["weight"], 1e-300))
+        left = state["w"] - scalars["alpha"][-1] * state["v"]
+        return np.where(scalars["live"], left / np.where(scalars["live"], scalars["beta"][-1], 1), 0.0)
+
+    def send(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        x = state["v"] if side == "row" or "weight" not in scalars else self._next(state, scalars)
+        return x / state["root"][:, None]
+
+    def update(self, side: str, sums: np.ndarray, state: State, scalars: Scalars) -> tuple[State, Scalars]:
+        w = sums / state["root"][:, None]
+        if side == "row":
+            return state | {"v": w}, {}
+        if "weight" not in scalars:
+            return state, {"signs": state["root"] @ state["w"], "roots": float(state["root"] @ state["root"])}
+        v = self._next(state, scalars)
+        before = scalars["beta"][-1] * state["v"] if "beta" in scalars else 0.0
+        return state | {"v": v, "w": w - before}, {"vw": (v * (w - before)).sum(0)}
+
+    def gather(self, side: str, stats: Scalars, scalars: Scalars) -> None:
+        if side == "row":
+            return
+        if "weight" not in scalars:
+            scalars["along"] = stats["signs"] / stats["roots"]
+            scalars["weight"] = np.maximum(1 - stats["signs"] ** 2 / stats["roots"], 0.0)
+            return
+        scalars.setdefault("alpha", []).append(stats["vw"])
+
+    def settle(self, side: str, state: State, scalars: Scalars) -> Scalars | None:
+        if side == "row" or "alpha" not in scalars:
+            return None
+        return {"left": ((state["w"] - scalars["alpha"][-1] * state["v"]) ** 2).sum(0)}
+
+    def changes(self, stats: dict[str, Scalars], scalars: Scalars) -> tuple[float, float]:
+        scalars.setdefault("beta", []).append(np.sqrt(stats["col"]["left"]))
+        scalars["live"] = scalars["beta"][-1] > 1e-10
+        return 1.0, 1.0
+
+    def value(self, side: str, state: State, scalars: Scalars) -> np.ndarray:
+        return np.zeros(len(state["root"]))
+
+    def notes(self, scalars: Scalars) -> list[float]:
+        return np.concatenate([scalars["weight"], *scalars["alpha"], *scalars["beta"]]).tolist()
+
+
+def traces(edges: DataFrame, functions: list[Callable[[np.ndarray], np.ndarray]], probes: int = 32, steps: int = 30, seed: int = 1) -> list[tuple[float, float]]:
+    """(estimate, its standard error) of the sum of each function over the smaller side's eigenvalues, by stochastic Lanczos quadrature.
+
+    Only vectors over ids are iterated, and they stay in the cluster; the driver
+    sees 2 * steps numbers for each probe.
+    """
+    e = cut_lineage(edges.select("row_id", "col_id", "w"))
+    n, m = e.agg(F.countDistinct("row_id"), F.countDistinct("col_id")).first()
+    if n < m:
+        e, m = transposed(e), n
+        e._is_cut = True
+    if not m:
+        return [(0.0, 0.0) for _ in functions]
+    steps = min(steps, m)
+    notes = solve(e, lambda: Probes(probes, m, seed), steps, None).where("side = 'log'").select("notes").first()[0]
+    weight = np.array(notes[:probes])
+    alpha, beta = np.array(notes[probes:]).reshape(2, steps, probes)
+    each = np.zeros((len(functions), probes))
+    for p in range(probes):
+        b = beta[:, p]  # a probe ends where nothing is left
+        end = next((i + 1 for i in range(steps) if b[i] <= 1e-10), steps)
+        theta, y = np.linalg.eigh(np.diag(alpha[:end, p]) + np.diag(b[: end - 1], 1) + np.diag(b[: end - 1], -1))
+        each[:, p] = [float(f(np.ones(1))[0] + m * weight[p] * (y[0] ** 2 * f(np.clip(theta, 0, 1))).sum()) for f in functions]
+    return [(float(x.mean()), float(x.std(ddof=1) / np.sqrt(probes)) if probes > 1 else np.inf) for x in each]

@@ -148,3 +148,47 @@ def test_communities_by_network(spark, m):
     twice = e.withColumn("net", F.explode(F.array(F.lit(1), F.lit(2))))
     for r in cm.detect_communities(twice, by=["net"]).collect():
         assert want[r.row_id] == r.community
+
+
+def test_swap_chain_keeps_degrees(spark, m):
+    """Every degree as before, no double edge, most edges moved; networks don't mix."""
+    rng = np.random.default_rng(9)
+    big = (rng.random((30, 40)) < 0.3).astype(float)
+    rows = [(g, f"r{i:02d}", f"c{j:02d}") for g, x in ((1, big), (2, m)) for i, j in zip(*np.nonzero(x), strict=True)]
+    before = spark.createDataFrame(rows, "net int, row_id string, col_id string")
+    after = cm.swap_chain(before, 3, by=["net"]).collect()
+    assert len(after) == len(set(after)) == len(rows)
+    for k in (1, 2):
+        count = lambda edges, k=k: {x: sum(e[0] == x[0] and e[k] == x[1] for e in edges) for x in {(e[0], e[k]) for e in edges}}
+        assert count(rows) == count([tuple(e) for e in after])
+    moved = {tuple(e) for e in after} - set(rows)
+    assert len([e for e in moved if e[0] == 1]) > 0.4 * big.sum()
+    alone = cm.swap_chain(before.where("net = 1").drop("net"), 2).collect()
+    assert len(set(alone)) == int(big.sum())
+
+
+def test_null_model_of_large_networks(e, monkeypatch):
+    """A nested network's gap is beyond that of most shuffles in either way of shuffling."""
+    small = cm.eigengap_null_model(e, 8, swaps_per_edge=2)
+    monkeypatch.setattr(cm, "NULL_MODEL_EDGES", 10)
+    for model in ("swaps", "permutation"):
+        got = cm.eigengap_null_model(e, 8, swaps_per_edge=2, model=model).first()
+        assert math.isclose(got.observed, small.first().observed, rel_tol=1e-9) and 0 <= got.p_value <= 1
+
+
+def test_heat_traces_from_probes(spark, e, m):
+    """Within 1 % of the dense values with as many steps as ids, and near it with few."""
+    rng = np.random.default_rng(5)
+    wide = (rng.random((150, 200)) < 0.1).astype(float)
+    wide[:, 0] = wide[0, :] = 1
+    for x, own, probes, steps, off in ((m, e, 400, 11, 0.01), (wide, edges(spark, wide), 64, 20, 0.01)):
+        lam = np.linalg.svd(x / np.sqrt(np.outer(x.sum(1), x.sum(0))), compute_uv=False) ** 2
+        for r in ec.heat_traces(own, 3, probes, steps).collect():
+            p = np.exp(-(1 - lam) * r.t)
+            assert abs(r.trace - p.sum()) <= max(off * p.sum(), 4 * r.error) and r.error < 0.02 * p.sum()
+            p /= p.sum()
+            assert abs(r.rank / math.exp(-(p * np.log(p)).sum()) - 1) < 0.02
+    with gr.spread_out(20, 4):
+        cells = ec.heat_traces(e, 1, 64, 3).collect()
+    dense = np.linalg.svd(m / np.sqrt(np.outer(m.sum(1), m.sum(0))), compute_uv=False) ** 2
+    assert abs(cells[1].trace - np.exp(dense - 1).sum()) <= max(0.02 * np.exp(dense - 1).sum(), 4 * cells[1].error)
