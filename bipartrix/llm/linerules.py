@@ -1,20 +1,25 @@
 """Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much text is rejected.
 
-Everything about a document is decided from that document alone, so the work is
-one pass over the input without a shuffle.
+Most rules look at a line alone. One is learned from the corpus: a line that many
+documents of a source hold between different neighbours is that site's footer or
+menu, in no list of phrases. How many neighbours a line has is counted once over
+all documents; copies of one document count as one, for their lines have the same
+neighbours.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from bipartrix.llm.common import only, slices
+from bipartrix.llm.common import materialise, only, slices
 
 SPACES = "\t\n\x0b\x0c\r "  # \x09-\x0D and \x20
 SYMBOLS = "#*$%&|<>"
@@ -81,6 +86,50 @@ def line_verdict(line: str, n_words: int, symbols_per_word: float = 0.5, caps_sh
     return None
 
 
+#: Numbers are alike in a line's key, so that pages and years don't tell footers apart.
+NUMBERS = re.compile(rb"[0-9]+")
+
+
+def line_key(line: bytes) -> int:
+    """64 bits of a line's words, lower-cased, whatever white space lies between them."""
+    return int.from_bytes(blake2b(NUMBERS.sub(b"0", b" ".join(line.lower().split())), digest_size=8).digest(), "little", signed=True)
+
+
+def _source(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
+def common_lines(docs: DataFrame, share: float = 0.02, least: int = 10) -> DataFrame:
+    """(src, common): for each source the keys of its footers and menus.
+
+    Those are lines with at least ``least`` different lines before them, in as
+    many documents as are ``share`` of the source's. A document's first line comes
+    after nothing, and a line that it holds twice counts once. There are at most
+    1 / share times as many of them as a document of the source has lines on average.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("lines")
+        for batch in slices(batches):
+            seen: set[tuple[str, int, int]] = set()
+            for src, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                before, own = 0, set()
+                for line in (text or b"").split(b"\n"):
+                    if line.strip():
+                        key = line_key(line)
+                        if key not in own:
+                            seen.add((src, key, before))
+                            own.add(key)
+                        before = key
+            src, key, before = zip(*seen, strict=True) if seen else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(key, pa.int64()), pa.array(before, pa.int64())], ["src", "line", "before"])
+
+    places = docs.select(_source(docs).alias("src"), "text").mapInArrow(run, "src string, line long, before long").distinct()
+    met = places.groupBy("src", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    size = docs.groupBy(_source(docs).alias("src")).agg(F.count(F.lit(1)).alias("docs"))
+    return met.join(size, "src").where(F.col("n") >= share * F.col("docs")).groupBy("src").agg(F.collect_set("line").alias("common"))
+
+
 class LineCleaner:
     """Base measures and the line-first verdict of one text.
 
@@ -90,7 +139,7 @@ class LineCleaner:
     def __init__(self, max_lost: float = 0.5, min_words: int = 10, max_repeat_pct: int = 20):
         self.max_lost, self.min_words, self.max_repeat_pct = max_lost, min_words, max_repeat_pct
 
-    def __call__(self, text: str | None, with_text: bool) -> tuple:
+    def __call__(self, text: str | None, with_text: bool, common: Set[int] = frozenset()) -> tuple:
         text = text or ""
         raw = text.encode("utf-8", "surrogatepass")
         words = raw.split()  # bytes split at exactly \x20 and \x09-\x0D
@@ -104,8 +153,9 @@ class LineCleaner:
         lost = removed = 0
         kept_lines = []
         for line in text.split("\n"):
-            k = len(line.encode("utf-8", "surrogatepass").split())
-            if k and line_verdict(line, k):
+            own = line.encode("utf-8", "surrogatepass")
+            k = len(own.split())
+            if k and (line_verdict(line, k) or (common and line_key(own) in common)):
                 lost += k
                 removed += 1
             elif with_text:
@@ -117,14 +167,16 @@ class LineCleaner:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines_removed long, n_words_removed long, clean_text string"
 
 
-def clean_lines(docs: DataFrame, cleaner: LineCleaner | None = None, with_text: bool = True) -> DataFrame:
+def clean_lines(docs: DataFrame, cleaner: LineCleaner | None = None, with_text: bool = True, share: float | None = 0.02, least: int = 10) -> DataFrame:
     """doc_id, the base measures, the verdict, what was removed, and the cleaned text (null without ``with_text``).
 
     One row for each row of ``docs``, also where doc_ids or texts repeat or are
-    null; each is judged by its own text alone, so that ties can't matter. Null
-    texts count as empty and fail for want of words. Very long texts are read
-    whole, line by line. Columns other than doc_id and text are ignored, and an
-    empty table gives no rows.
+    null. Lines fail by their own look or as common_lines() of their source, for
+    which ``share`` and ``least`` stand (no such rule with a null share; null
+    sources, or a table without that column, are one source). Null texts count as
+    empty and fail for want of words. Very long texts are read whole, line by line.
+    Columns other than doc_id, text and source are ignored, and an empty table
+    gives no rows.
     """
     cleaner = cleaner or LineCleaner()
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -133,9 +185,20 @@ def clean_lines(docs: DataFrame, cleaner: LineCleaner | None = None, with_text:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.string()]
         only("lines")
+        known: dict[str, frozenset[int]] = {}
         for batch in slices(batches):
-            rows = [cleaner(t.as_py(), with_text) for t in batch.column(1)]
+            for i, src in enumerate(batch.column(2).to_pylist()):
+                if src not in known:
+                    known[src] = frozenset(batch.column(3)[i].as_py() or ())
+            rows = [cleaner(t.as_py(), with_text, known[src]) for t, src in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names)
+            if len(known) > 1000:
+                known.clear()
 
-    return docs.select("doc_id", "text").mapInArrow(clean, f"doc_id {kind}, {SCHEMA}")
+    own = docs.select("doc_id", "text", _source(docs).alias("src"))
+    if share is None:
+        own = own.withColumn("common", F.lit(None).cast("array<long>"))
+    else:
+        own = own.join(materialise(common_lines(docs, share, least), "common-lines"), "src", "left").select("doc_id", "text", "src", "common")
+    return own.mapInArrow(clean, f"doc_id {kind}, {SCHEMA}")
