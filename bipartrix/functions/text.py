@@ -9,8 +9,16 @@ from bipartrix.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
-#: A short list of English function words.
-STOP_WORDS = "a about after all also an and any are as at be because been but by can could do does for from had has have he her his how if in into is it its just like may me more most my no not of on one only or other our out over she so some such than that the their them then there these they this to up us very was we were what when which who will with would you your".split()
+#: The default English stop words of Spark's StopWordsRemover, in its order.
+STOP_WORDS = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or
+because as until while of at by for with about against between into through during before after above below to from up down in out on off over under
+again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t
+can will just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've
+we've you've they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't shouldn't mustn't can't couldn't
+cannot could here's how's let's ought that's there's what's when's where's who's why's would
+""".split()
 
 
 def clean_comment(c: Column) -> Column:

@@ -19,6 +19,30 @@ def ranked(scores: DataFrame, score: str = "score", by: list[str] | None = None,
     return scores.withColumn(name, F.row_number().over(w))
 
 
+def places(scores: DataFrame, score: str = "score", by: list[str] | None = None, name: str = "place") -> DataFrame:
+    """0-based rank by falling score: the place of each id in that order."""
+    return ranked(scores, score, by, name).withColumn(name, F.col(name) - 1)
+
+
+def positive_log(df: DataFrame, c: str, name: str, base: float = 10.0) -> DataFrame:
+    """Rows whose value has a logarithm, with it: zeros, negative numbers, nulls and NaN go."""
+    x = F.col(c)
+    return df.where((x > 0) & ~F.isnan(x.cast("double"))).withColumn(name, F.log10(x) if base == 10 else F.log(x) / math.log(base))
+
+
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a number in all of the columns: no null, NaN or infinity."""
+    for c in columns:
+        x = F.col(c).cast("double")
+        df = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df
+
+
+def on_support(flow: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of a flow (row_id, col_id, ...) where the network has an edge; what rounding left elsewhere goes."""
+    return flow.join(edges.where("w <> 0").select("row_id", "col_id").distinct(), ["row_id", "col_id"], "left_semi")
+
+
 def compared(old: DataFrame, new: DataFrame, score: str = "score", missing_rank: int = 999) -> DataFrame:
     """(id, old_score, new_score, old_rank, new_rank, rank_change, change, change_pct) of two ranked periods, absent ids ranked ``missing_rank``."""
     a = ranked(old, score).select("id", F.col(score).alias("old_score"), F.col("rank").alias("old_rank"))

@@ -593,7 +593,18 @@ def describe_margins(spark, d):
 
 @query("histogram_log_value", f"WITH {m_sql('s_name')}, l AS (SELECT log10(v) x FROM f WHERE v > 0), e AS (SELECT min(x) lo, max(x) hi FROM l) SELECT least(floor((x - lo) / ((hi - lo) / 20)), 19)::INT AS bin, count(*) AS n FROM l, e GROUP BY 1")
 def histogram_log_value(spark, d):
-    return rp.histogram(trade(spark, d, "s_name").where("w > 0").select(F.log10("w").alias("x")), "x", 20).select("bin", "n")
+    return rp.histogram(rp.positive_log(trade(spark, d, "s_name"), "w", "x"), "x", 20).select("bin", "n")
+
+
+@query("zero_based_places", f"WITH {m_sql('s_name')}, k AS (SELECT r, count(*)::DOUBLE d FROM m GROUP BY r) SELECT r AS id, (row_number() OVER (ORDER BY d DESC, r) - 1)::INT AS place FROM k")
+def zero_based_places(spark, d):
+    return rp.places(nw.margin(supplier_edges(spark, d), "row_id"), "strength").select("id", "place")
+
+
+@query("flow_on_support", f"WITH {m_sql()} SELECT f.r AS row_id, f.p AS col_id, round(f.v, 6) AS w FROM f JOIN m ON m.r = f.r AND m.p = f.p")
+def flow_on_support(spark, d):
+    """Of all trade, what lies on the network's edges."""
+    return rounded(rp.on_support(trade(spark, d), flagship(spark, d)).select("row_id", "col_id", "w"))
 
 
 @query("conditional_counts", f"WITH {m_sql('s_name')}, k AS (SELECT r, count(*) d FROM m GROUP BY r) SELECT count(*) FILTER (d < 10) AS low, count(*) FILTER (d BETWEEN 10 AND 12) AS middle, count(*) FILTER (d > 12) AS high FROM k")
@@ -649,6 +660,11 @@ def name_lookup_default(spark, d):
     return j.select("n_name", F.coalesce("r_name", F.lit("Unknown")).alias("region"), F.coalesce("r_name", "n_name").alias("label"))
 
 
+@query("known_codes", "SELECT c AS country_code FROM (VALUES ('NATION_1'), ('NATION_99'), ('XXX')) v(c) WHERE c IN (SELECT n_name FROM nation)")
+def known_codes(spark, d):
+    return rd.known_codes(t(spark, d, "nation").select(F.col("n_name").alias("country_code")), ["NATION_1", "NATION_99", "XXX"])
+
+
 @query("missing_codes", "SELECT c AS country_code FROM (VALUES ('NATION_1'), ('NATION_99'), ('XXX')) v(c) WHERE c NOT IN (SELECT n_name FROM nation)")
 def missing_codes(spark, d):
     return rd.missing_codes(t(spark, d, "nation").select(F.col("n_name").alias("country_code")), ["NATION_1", "NATION_99", "XXX"])
@@ -712,6 +728,14 @@ def vocabulary(spark, d):
     return tx.vocabulary(tx.word_counts(t(spark, d, "documents"), "source", "text", []), 3, 500)
 
 
+STOPPED = ", ".join("'" + w.replace("'", "''") + "'" for w in tx.STOP_WORDS)
+
+
+@query("vocabulary_without_stop_words", f"WITH {TOK}, k AS (SELECT * FROM c WHERE word NOT IN ({STOPPED})) SELECT word, count(*) AS df, sum(n)::BIGINT AS total FROM k GROUP BY 1 HAVING count(*) >= 3")
+def vocabulary_without_stop_words(spark, d):
+    return tx.vocabulary(tx.word_counts(t(spark, d, "documents"), "source", "text"), 3)
+
+
 @query("user_word_edges", f"WITH {TOK}, {VOC} SELECT a AS row_id, word AS col_id, n::DOUBLE AS w FROM c WHERE word IN (SELECT word FROM v)")
 def user_word_edges(spark, d):
     return tx.user_word_edges(t(spark, d, "documents"), "source", "text", 3, 500, stop_words=[])

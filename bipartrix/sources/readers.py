@@ -120,6 +120,12 @@ def select_series(long: DataFrame, countries: list[str] | None = None, start: in
     return long if end is None else long.where(F.col("year") <= end)
 
 
+def known_codes(long: DataFrame, codes: list[str]) -> DataFrame:
+    """Of the codes asked for, those that the table has."""
+    asked = long.sparkSession.createDataFrame([(c,) for c in codes], "country_code string")
+    return asked.intersect(long.select("country_code"))
+
+
 def missing_codes(long: DataFrame, codes: list[str]) -> DataFrame:
     asked = long.sparkSession.createDataFrame([(c,) for c in codes], "country_code string")
     return asked.join(long.select("country_code").distinct(), "country_code", "left_anti")

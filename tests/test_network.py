@@ -281,6 +281,18 @@ def test_quantiles(spark):
     assert (d.n, d.mean, d.least, d.half, d.most) == (2, 1.5, 1.0, 1.5, 2.0)
 
 
+def test_masks_and_places(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert StopWordsRemover.loadDefaultStopWords("english") == tx.STOP_WORDS
+    df = spark.createDataFrame([("a", 10.0, 1.0), ("b", 0.0, 2.0), ("c", -1.0, None), ("d", None, 3.0), ("e", float("nan"), 4.0), ("f", 100.0, float("inf"))], "id string, x double, y double")
+    assert [(r.id, r.l) for r in rp.positive_log(df, "x", "l").orderBy("id").collect()] == [("a", 1.0), ("f", 2.0)]
+    assert [r.id for r in rp.complete(df, ["x", "y"]).orderBy("id").collect()] == ["a", "b"]
+    assert {r.id: r.place for r in rp.places(df.where("x > -5 AND NOT isnan(x)"), "x").collect()} == {"f": 0, "a": 1, "b": 2, "c": 3}
+    flow = spark.createDataFrame([("a", "x", 0.5), ("a", "y", 1e-17)], EDGES)
+    assert [r.col_id for r in rp.on_support(flow, spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.0)], EDGES)).collect()] == ["x"]
+
+
 def test_range_join(spark):
     """Equal to brute force, with repeated points, two lengths and odd rows; far points aren't compared."""
     rng = np.random.default_rng(3)
