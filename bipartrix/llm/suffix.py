@@ -13,7 +13,9 @@ share a bucket, so the suffix order of each bucket decides every test: values of
 LPF below ``length`` only say that, for shorter matches may lie in other buckets.
 Neighbouring positions with the same anchor travel as one row, a run; runs with
 equal text (by its BLAKE2b digest of 128 bits) are one class, counted before the
-shuffle. Only buckets that hold different classes are put in suffix order. The
+shuffle. Only buckets that hold different classes are put in suffix order; those
+with more classes than a task should order are dealt anew by shorter runs, and by
+the bytes that all strings of such a run share, until a run is one string. The
 rolling hash picks anchors and buckets only: what it takes for equal meets, and is
 then told apart by bytes or digests.
 """
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from bipartrix.llm.common import materialise, only, partitions, prefix_hash, release, slices, span_hash, text_or_empty
+from bipartrix.llm.common import is_empty, materialise, only, partitions, prefix_hash, release, slices, span_hash, text_or_empty
 
 #: Positions that are scanned at once; longer texts are scanned in pieces.
 PIECE = (1 << 19) - 1024
-#: Buckets with more classes than this are split by text instead of meeting in one task; so many runs are 3 MB of text.
+#: Buckets with more classes than this are dealt anew before they meet in one task; so many runs are 3 MB of text.
 LARGE_BUCKET = 4096
+#: Positions of the runs that they are dealt by, in turn.
+SHORTER = (32, 4, 1)
 
 ANCHOR = "struct<key:bigint,hull:bigint,more:bigint,s:bigint,n:int,o:int,c:bigint>"
 #: What names a class of runs with one text.
@@ -137,17 +141,6 @@ def scan(docs: DataFrame, length: int, k: int, keep_first: bool) -> DataFrame:
     return docs.select("doc_id", "text", text_hash()).mapInArrow(run, f"doc_id {kind}, th long, n_bytes long, sha256 string, anchors array<{ANCHOR}>, own {SPANS}")
 
 
-def windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position in the row's run, digest of the ``length`` bytes from there) for all runs of a batch with columns n and ctx."""
-    n = batch.column("n").to_numpy().astype(np.int64)
-    raw = batch.column("ctx").to_pylist()
-    off = np.cumsum([0, *[len(x) for x in raw]])[:-1]
-    row = np.repeat(np.arange(len(n)), n)
-    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    at = off[row] + j
-    return row, j, digests(b"".join(raw), at, at + length)
-
-
 def prefix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
     """(m, rank of each position's first m bytes in lexicographic order) for m = 1, 2, 4, ... 8, 16, ... and length.
 
@@ -279,28 +272,64 @@ def _changes(b: pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
     return out
 
 
-def large_buckets(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """The same by text: each suffix goes to the class of its first bytes' digest, and only counts and least positions are gathered."""
+def shorter_runs(contexts: DataFrame, length: int, block: int) -> DataFrame:
+    """The runs of some contexts cut at multiples of ``block`` from their anchor, in buckets of their own.
+
+    All strings of such a run share the bytes from its last possible start to the
+    end of its first possible string. Two strings that are equal lie equally far
+    from equal anchors, so they share those bytes too: their digest is the bucket.
+    """
     kind = contexts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 1000):
-                b = whole.slice(a, 1000)
-                row, j, h = windows(b, length)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("key").take(take), pa.array(b.column("o").to_numpy()[row] + j), pa.array(h[:, 0]), pa.array(h[:, 1]), b.column("doc_id").take(take), b.column("th").take(take), pa.array(b.column("s").to_numpy()[row] + j)],
-                    ["key", "o", "h", "more", "doc_id", "th", "s"],
-                )
-
-    each = materialise(contexts.mapInArrow(run, f"key long, o long, h long, more long, doc_id {kind}, th long, s long"), "lpf-large")
-    place = F.struct("doc_id", "th", "s")
-    met = each.groupBy("key", "o", "h", "more").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first")).where("m > 1")
-    out = each.join(met, ["key", "o", "h", "more"])
-    if keep_first:
-        out = out.where(~place.eqNullSafe(F.col("first")))
-    return out.select("doc_id", "th", "s", (F.col("s") + length).alias("e"))
+        only("suffix")
+        for b in slices(batches):
+            key, o, s, n = (b.column(c).to_numpy().astype(np.int64) for c in ("key", "o", "s", "n"))
+            raw = b.column("ctx").to_pylist()
+            row, at, size, names, texts = [], [], [], [], []
+            for r, text in enumerate(raw):
+                end = o[r] + n[r]
+                for j in range(o[r] // block, (end - 1) // block + 1):
+                    a, z = max(o[r], j * block), min(end, (j + 1) * block)
+                    core = text[(j + 1) * block - 1 - o[r] : j * block + length - o[r]]
+                    names.append(hashlib.blake2b(core, digest_size=8, key=(f"{key[r]} {j}").encode()).digest())
+                    texts.append(text[a - o[r] : z - o[r] + length - 1])
+                    row.append(r)
+                    at.append(a)
+                    size.append(z - a)
+            row, at, size = np.array(row, np.int64), np.array(at, np.int64), np.array(size, np.int64)
+            hull = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in texts]), np.int64).reshape(-1, 2)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.frombuffer(b"".join(names), np.int64)), pa.array(at), pa.array(size), pa.array(hull[:, 0]), pa.array(hull[:, 1]), pa.array(s[row] + at - o[row]), b.column("doc_id").take(take), b.column("th").take(take), pa.array(texts, pa.binary())],
+                ["key", "o", "n", "hull", "more", "s", "doc_id", "th", "ctx"],
+            )
+
+    return contexts.select("key", "o", "s", "n", "doc_id", "th", "ctx").mapInArrow(run, f"key long, o long, n long, hull long, more long, s long, doc_id {kind}, th long, ctx binary")
+
+
+def mixed_buckets(contexts: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(spans to remove from the runs of contexts with their bucket's number of classes m, the tables made for it)."""
+    spans, made = small_buckets(contexts.where(F.col("m") <= LARGE_BUCKET), length, keep_first), []
+    for block in SHORTER:
+        large = contexts.where(F.col("m") > LARGE_BUCKET)
+        if is_empty(large):
+            break
+        runs = materialise(shorter_runs(large, length, block), "lpf-shorter")
+        place = F.struct("doc_id", "th", "s")
+        classes = materialise(runs.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("rows"), F.min(place).alias("first")), "lpf-shorter-classes")
+        copies = runs.drop("ctx").join(classes.where("rows > 1").select(*CLASS, "first"), CLASS)
+        if keep_first:
+            copies = copies.where(~place.eqNullSafe(F.col("first")))
+        spans = spans.unionByName(copies.select("doc_id", "th", "s", (F.col("s") + F.col("n") + length - 1).alias("e")))
+        # One run of each class goes on, where its bucket has others.
+        several = classes.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "m")
+        first = classes.join(several, "key").select(*CLASS, "m", "first")
+        contexts = materialise(runs.join(first, CLASS).where(place.eqNullSafe(F.col("first"))).select("key", "o", "n", "m", "s", "doc_id", "th", "ctx"), "lpf-shorter-contexts")
+        made += [runs, classes, contexts]
+        last = block == SHORTER[-1]  # then a bucket's runs are equal, but for keys that clash
+        spans = spans.unionByName(small_buckets(contexts if last else contexts.where(F.col("m") <= LARGE_BUCKET), length, keep_first))
+    return spans, made
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 100, keep_first: bool = True) -> DataFrame:
@@ -336,8 +365,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 100, keep_f
         "doc_id", "th", *[f"r.{c}" for c in CLASS], "r.m", "r.s", F.expr(f"substring(raw, cast(r.s AS int) + 1, r.n + {length - 1})").alias("ctx")
     )
     contexts = materialise(cut.dropDuplicates(CLASS).select("key", "o", "n", "m", "s", "doc_id", "th", "ctx"), "lpf-contexts")
-    spans = spans.unionByName(small_buckets(contexts.where(F.col("m") <= LARGE_BUCKET), length, keep_first))
-    spans = spans.unionByName(large_buckets(contexts.where(F.col("m") > LARGE_BUCKET), length, keep_first))
+    mixed_spans, made = mixed_buckets(contexts, length, keep_first)
+    spans = spans.unionByName(mixed_spans)
     per_doc = spans.distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("more"))
     per_doc = per_doc.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "more")
     all_spans = found.drop("anchors").join(per_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
@@ -345,7 +374,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, anchor: int = 100, keep_f
         merge_batches, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, n_bytes long, sha256 string, spans {SPANS}, n_removed long, n_spans long"
     )
     out = materialise(whole, "lpf-found")
-    release(found, runs, classes, contexts)
+    release(found, runs, classes, contexts, *made)
     return out
 
 

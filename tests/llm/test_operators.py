@@ -467,6 +467,20 @@ def test_texts_that_polynomial_hashes_take_for_equal(spark, monkeypatch, large):
         assert got[i].n_removed == int(gone.sum()) and got[i].kept_sha256 == hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~gone])).hexdigest()
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_a_bucket_of_many_classes(spark, keep_first):
+    """10,000 texts with one passage between different neighbours: more classes in a bucket than a task orders."""
+    rng = random.Random(5)
+    passage = "".join(rng.choices("abcdefgh", k=50))
+    t = ["".join(rng.choices("stuvw", k=rng.randint(0, 30))) + passage + "".join(rng.choices("stuvw", k=30)) for _ in range(10_000)]
+    d = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    found = suffix.scan(d, 40, 12, keep_first).select(F.inline("anchors")).groupBy("key").agg(F.countDistinct("o", "n", "hull").alias("m")).agg(F.max("m")).first()[0]
+    assert found > suffix.LARGE_BUCKET
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.removal_digest(d, 40, 12, keep_first).collect()}
+    for i, gone in enumerate(brute_spans(list(enumerate(t)), 40, keep_first)):
+        assert got[i] == (int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()))
+
+
 def test_longest_previous_factors():
     """LPF from suffix order, common prefixes and nearest smaller positions against its definition."""
     rng = np.random.default_rng(4)
