@@ -10,15 +10,16 @@ bit-parallel edit distance of the item to any stretch of the document there.
 Before that, a bound without loss picks the windows worth embedding: with at
 most k edits, all but k of any chosen subset of the item's words are near each
 other in the document. Documents are judged one by one, so nothing is shuffled
-but the matches. Items are handled in blocks of bounded size.
+but the matches. The items lie in written blocks of bounded size, which tasks
+read: the driver holds the blocks' names, and one scan of the documents serves
+all blocks.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bipartrix.llm.common import holds, materialise, mix64, only, slices
+from bipartrix.llm import files
+from bipartrix.llm.common import holds, materialise, mix64, new_path, only, slices
 
 #: ASCII marks become spaces; A-Z is lowered by str.lower before.
 _MARKS = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
@@ -36,6 +38,10 @@ SEGMENT = 1 << 20
 TABLES_AT_ONCE = 6
 #: Bytes of item texts in one block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of document texts that a task holds while it goes through several blocks.
+HELD_BYTES = 64 << 20
+#: The share of items at the limit of edits that the tables are to meet.
+RECALL = 0.9
 PAD = -2
 #: Items of more words are embedded in pieces of at most as many.
 PIECE = 59
@@ -62,11 +68,10 @@ def pieces_of(n: int) -> list[tuple[int, int]]:
 class Walks:
     """CGK walks with sampled steps.
 
-    repeats tables of ``samples`` steps each. At the greatest distance allowed,
-    a walk pair differs in about half its steps, so one table agrees with
-    probability of about 1/4 and all 24 fail with about 1e-3. That holds for some
-    dozens of words; over longer windows walks that fell out of step rarely meet
-    again, so that longer items are embedded in pieces (see ``pieces_of``).
+    repeats tables of ``samples`` steps each; ``tables_for`` says how many meet
+    a target recall. Over windows of more than some dozens of words walks that
+    fell out of step rarely meet again, so that longer items are embedded in
+    pieces (see ``pieces_of``).
     """
 
     def __init__(self, repeats: int = 24, samples: int = 2, seed: int = 11):
@@ -92,6 +97,42 @@ class Walks:
         return key
 
 
+@functools.cache
+def tables_for(recall: float, similarity_pct: int, samples: int = 2, trials: int = 32, most: int = 256) -> int:
+    """Tables by which windows at the limit of edits meet with probability ``recall`` at least.
+
+    Draws windows of three lengths, with all their edits deletions, insertions or
+    replacements, and walks both sides. Of a pair that agrees in a share h of
+    many tables, t tables miss (1 - h) ** t; the mean of that over the pairs must
+    stay below 1 - recall in each class. The search also tries shifted starts, so
+    that this errs on the side of more tables. ``most`` is where it gives up.
+    """
+    rng, walks, worst = np.random.default_rng(5), Walks(most // 2, samples, seed=29), 1
+    for n in (12, 30, PIECE):
+        k = allowed_edits(n, similarity_pct)
+        whole = rng.integers(0, 1 << 40, (trials, 2 * n))
+        mine = walks.keys(whole.ravel(), np.arange(trials) * 2 * n, n)
+        for kind in ("delete", "insert", "replace"):
+            other = []
+            for row in whole:
+                at = np.sort(rng.choice(n, k, replace=False))
+                drawn = rng.integers(0, 1 << 40, k)
+                if kind == "delete":
+                    new = np.delete(row, at)
+                elif kind == "insert":
+                    new = np.insert(row, at, drawn)
+                else:
+                    new = row.copy()
+                    new[at] = drawn
+                other.append(new[:n])
+            hit = (walks.keys(np.concatenate(other), np.arange(trials) * n, n) == mine).mean(axis=0)
+            t = worst
+            while t < most and ((1 - hit) ** t).mean() > 1 - recall:
+                t += 1
+            worst = t
+    return worst
+
+
 def infix_distance(item: list[int], text: list[int], from_start: bool = False) -> tuple[int, int]:
     """Least edit distance of ``item`` to a stretch of ``text``, and the first end of such a stretch (Myers' bit vectors).
 
@@ -142,9 +183,7 @@ class Index:
         pairs.sort()
         self.posted = np.array([i for _, i in pairs], np.int64)
         self.first = np.searchsorted(np.array([w for w, _ in pairs], np.int64), np.arange(len(self.vocab) + 1))
-        one = np.zeros(1, np.int64)
-        # (offset, words, keys) of each piece
-        self.pieces = [[(a, z - a, walks.keys(np.array(ws[a:z], np.int64), one, z - a)[:, 0]) for a, z in pieces_of(len(ws))] if self.need[i] else [] for i, ws in enumerate(self.words)]
+        self.pieces: dict[int, list[tuple]] = {}
         self.span = max((len(ws) + 2 * k for ws, k in zip(self.words, self.edits, strict=True)), default=0)
 
     def search(self, text: str | None) -> list[tuple]:
@@ -194,10 +233,17 @@ class Index:
                     if self._verify(i, ids, self._meet(i, ids, part, few), base, best):
                         break
 
+    def _pieces(self, i: int) -> list[tuple]:
+        """(offset, words, keys) of each piece of an item, walked when a document first comes near the item."""
+        if i not in self.pieces:
+            ws, one = self.words[i], np.zeros(1, np.int64)
+            self.pieces[i] = [(a, z - a, self.walks.keys(np.array(ws[a:z], np.int64), one, z - a)[:, 0]) for a, z in pieces_of(len(ws))]
+        return self.pieces[i]
+
     def _meet(self, i: int, ids: np.ndarray, starts: np.ndarray, tables: slice) -> np.ndarray:
         """The starts at which a piece of the item agrees with the document in one of the tables."""
         met = np.zeros(len(starts), bool)
-        for offset, n, keys in self.pieces[i]:
+        for offset, n, keys in self._pieces(i):
             at = starts + offset
             own = np.flatnonzero((at >= 0) & (at < len(ids)))
             if len(own):
@@ -228,55 +274,98 @@ _last: dict = {}
 RESULT = "distance int, first_word long, item_words int"
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity_pct: int = 80, min_words: int = 5, walks: Walks | None = None) -> DataFrame:
+def write_items(items: DataFrame) -> list[tuple[str, int]]:
+    """Items as written blocks of about BLOCK_BYTES of text: (path, bytes of text) of each, which is all the driver gets.
+
+    Items without text are left out; a larger item is a block of its own.
+    """
+    folder = new_path(items.sparkSession, "decontam-items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+
+        def close() -> tuple[str, int]:
+            path, out = files.create(folder, "block", ".arrow")
+            with out, pa.ipc.new_stream(out, rows[0].schema) as sink:
+                for x in rows:
+                    sink.write_batch(x)
+            return path, held
+
+        done = []
+        for b in slices(batches, rows=100):
+            size = b.column(1).nbytes
+            if rows and held + size > BLOCK_BYTES:
+                done.append(close())
+                rows, held = [], 0
+            rows.append(pa.RecordBatch.from_arrays(b.columns, ["item_id", "text"]))
+            held += size
+        if held:
+            done.append(close())
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "bytes"])
+
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = items.where("text IS NOT NULL").select("item_id", "text").repartition(max(1, -(-size // BLOCK_BYTES)), "item_id", "text")
+    return [tuple(r) for r in dealt.mapInArrow(run, "path string, bytes long").collect()]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, similarity_pct: int = 80, min_words: int = 1, recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, distance, first_word, item_words, similarity): documents that hold an item's text.
 
     A document holds an item of n words if some stretch of it is within
     n * (100 - similarity_pct) / 100 word edits of the item, case and ASCII
-    marks aside. The best, then first, place of each pair is named. Null and
-    empty texts match nothing, nor do items of fewer than ``min_words`` words.
+    marks aside; items of so few words that this allows none are found as they
+    stand, all of them. The best, then first, place of each pair is named. Null
+    and empty texts match nothing, nor do items of fewer than ``min_words`` words.
     Repeated documents or items give repeated rows. Other columns are ignored.
+    ``recall`` is what the tables must reach at the limit of edits.
     """
-    walks = walks or Walks()
-    spark = docs.sparkSession
     kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (items, "item_id")))
-    items = items.where("text IS NOT NULL").select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    schema = f"doc_id {kind}, item_id {item_kind}, {RESULT}"
-    found = []
-    for n in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        rows = [tuple(r) for r in mine.orderBy("item_id", "text").collect()]  # about BLOCK_BYTES
-        if rows:
-            found.append(docs.select("doc_id", "text").mapInArrow(_searcher(rows, similarity_pct, min_words, walks, items.schema["item_id"].dataType), schema))
-    # Without any item there is no leak: an empty table of the same columns.
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    none = docs.limit(0).select("doc_id").crossJoin(items.limit(0).select("item_id")).select("*", *[F.lit(0).cast(k).alias(c) for c, k in (x.strip().split(" ") for x in RESULT.split(","))]) if not found else None
-    out = functools.reduce(DataFrame.unionByName, found) if found else none.select(*names)
-    return out.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
-
-
-def _searcher(rows: list[tuple], similarity_pct: int, min_words: int, walks: Walks, item_type):
+    walks = Walks(tables_for(recall, similarity_pct))
+    blocks = [path for path, _ in write_items(items)]
+    search = _searcher(blocks, similarity_pct, min_words, walks, items.schema["item_id"].dataType)
+    found = docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, {RESULT}")
+    return found.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
+
+
+def _in_turn(batches: Iterable[pa.RecordBatch], blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches to be searched together: one by one for a single block, else up to HELD_BYTES of them."""
+    held, size = [], 0
+    for b in slices(batches):
+        held.append(b)
+        size += b.column(1).nbytes
+        if blocks == 1 or size >= HELD_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _searcher(blocks: list[str], similarity_pct: int, min_words: int, walks: Walks, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(item_type)
 
-    name = uuid.uuid4().hex
+    def index_of(path: str) -> Index:
+        if _last.get("path") != path:  # a single block is read once by each Python worker, not by each task
+            _last.clear()
+            with files.open_input(path) as raw, pa.ipc.open_stream(raw) as stream:
+                rows = stream.read_all()
+            _last.update(path=path, index=Index(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), similarity_pct, min_words, walks))
+        return _last["index"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _last.get("name") != name:  # once for each Python worker, not for each task
-            _last.update(name=name, index=Index(rows, similarity_pct, min_words, walks))
         only("decontam")
         holds("decontam", _last.clear)
-        index = _last["index"]
-        for b in slices(batches):
-            found = [(i, *x) for i, t in enumerate(b.column(1)) for x in index.search(t.as_py())]
-            cols = list(zip(*found, strict=True)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], arrow), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
-                ["doc_id", "item_id", "distance", "first_word", "item_words"],
-            )
+        for together in _in_turn(batches, len(blocks)):
+            for path in blocks:
+                index = index_of(path)
+                for b in together:
+                    found = [(i, *x) for i, t in enumerate(b.column(1)) for x in index.search(t.as_py())]
+                    cols = list(zip(*found, strict=True)) if found else [[]] * 5
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], arrow), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
+                        ["doc_id", "item_id", "distance", "first_word", "item_words"],
+                    )
 
     return run
 
@@ -289,8 +378,12 @@ def without_leaks(docs: DataFrame, leaks: DataFrame) -> DataFrame:
     return docs.join(leaks.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
-def drop_leaking(docs: DataFrame, items: DataFrame, similarity_pct: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose own text holds no item; doc_id may repeat or be null."""
+def drop_leaking(docs: DataFrame, items: DataFrame, similarity_pct: int = 80, min_words: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose own text holds no item of ``min_words`` words; doc_id may repeat or be null.
+
+    Shorter items say nothing about a document that holds them: clean prose does,
+    too. ``find_leaks`` reports them; ``min_words=1`` drops such rows as well.
+    """
     rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-rows")
-    leaks = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), items, similarity_pct)
+    leaks = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), items, similarity_pct, min_words)
     return rows.join(leaks.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
