@@ -274,10 +274,11 @@ _last: dict = {}
 RESULT = "distance int, first_word long, item_words int"
 
 
-def write_items(items: DataFrame) -> list[tuple[str, int]]:
-    """Items as written blocks of about BLOCK_BYTES of text: (path, bytes of text) of each, which is all the driver gets.
+def write_items(items: DataFrame) -> list[list[str]]:
+    """Items in written files: the paths of each block of about BLOCK_BYTES of text, which is all the driver gets.
 
-    Items without text are left out; a larger item is a block of its own.
+    Items without text are left out; a larger item is a block of its own. The
+    blocks follow the bytes, whatever the partitions of ``items``.
     """
     folder = new_path(items.sparkSession, "decontam-items")
 
@@ -287,12 +288,11 @@ def write_items(items: DataFrame) -> list[tuple[str, int]]:
         def close() -> tuple[str, int]:
             path, out = files.create(folder, "block", ".arrow")
             with out, pa.ipc.new_stream(out, rows[0].schema) as sink:
-                for x in rows:
-                    sink.write_batch(x)
+                sink.write_table(pa.Table.from_batches(rows).combine_chunks())
             return path, held
 
         done = []
-        for b in slices(batches, rows=100):
+        for b in slices(batches, rows=1):
             size = b.column(1).nbytes
             if rows and held + size > BLOCK_BYTES:
                 done.append(close())
@@ -304,8 +304,15 @@ def write_items(items: DataFrame) -> list[tuple[str, int]]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "bytes"])
 
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = items.where("text IS NOT NULL").select("item_id", "text").repartition(max(1, -(-size // BLOCK_BYTES)), "item_id", "text")
-    return [tuple(r) for r in dealt.mapInArrow(run, "path string, bytes long").collect()]
+    own = items.where("text IS NOT NULL").select("item_id", "text").coalesce(max(1, -(-size // BLOCK_BYTES)))
+    blocks, room = [], 0
+    for path, n in own.mapInArrow(run, "path string, bytes long").collect():
+        if n > room:
+            blocks.append([])
+            room = BLOCK_BYTES
+        blocks[-1].append(path)
+        room -= n
+    return blocks
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, similarity_pct: int = 80, min_words: int = 1, recall: float = RECALL) -> DataFrame:
@@ -321,8 +328,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity_pct: int = 80, min_
     """
     kind, item_kind = (x.schema[c].dataType.simpleString() for x, c in ((docs, "doc_id"), (items, "item_id")))
     walks = Walks(tables_for(recall, similarity_pct))
-    blocks = [path for path, _ in write_items(items)]
-    search = _searcher(blocks, similarity_pct, min_words, walks, items.schema["item_id"].dataType)
+    search = _searcher(write_items(items), similarity_pct, min_words, walks, items.schema["item_id"].dataType)
     found = docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, {RESULT}")
     return found.withColumn("similarity", 1 - F.col("distance") / F.col("item_words"))
 
@@ -340,25 +346,27 @@ def _in_turn(batches: Iterable[pa.RecordBatch], blocks: int) -> Iterator[list[pa
         yield held
 
 
-def _searcher(blocks: list[str], similarity_pct: int, min_words: int, walks: Walks, item_type):
+def _searcher(blocks: list[list[str]], similarity_pct: int, min_words: int, walks: Walks, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(item_type)
 
-    def index_of(path: str) -> Index:
-        if _last.get("path") != path:  # a single block is read once by each Python worker, not by each task
+    def index_of(block: list[str]) -> Index:
+        if _last.get("block") != block:  # a single block is read once by each Python worker, not by each task
             _last.clear()
-            with files.open_input(path) as raw, pa.ipc.open_stream(raw) as stream:
-                rows = stream.read_all()
-            _last.update(path=path, index=Index(list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), similarity_pct, min_words, walks))
+            rows: list[tuple] = []
+            for path in block:
+                with files.open_input(path) as raw, pa.ipc.open_stream(raw) as stream:
+                    rows += zip(*(c.to_pylist() for c in stream.read_all().columns), strict=True)
+            _last.update(block=block, index=Index(rows, similarity_pct, min_words, walks))
         return _last["index"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("decontam")
         holds("decontam", _last.clear)
         for together in _in_turn(batches, len(blocks)):
-            for path in blocks:
-                index = index_of(path)
+            for block in blocks:
+                index = index_of(block)
                 for b in together:
                     found = [(i, *x) for i, t in enumerate(b.column(1)) for x in index.search(t.as_py())]
                     cols = list(zip(*found, strict=True)) if found else [[]] * 5

@@ -41,9 +41,14 @@ def test_blocks_and_what_a_task_holds_change_nothing(spark, prose, monkeypatch):
     want = sorted(map(tuple, whole.collect()))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1000)
     monkeypatch.setattr(decontam, "HELD_BYTES", 5000)
+    assert len(decontam.write_items(bench)) > 5 and len(decontam.write_items(bench.limit(0))) == 0
     parts = decontam.find_leaks(docs, bench)
     assert parts.schema == whole.schema
     assert sorted(map(tuple, parts.collect())) == want and len(want) >= 60
+    monkeypatch.undo()
+    dealt = bench.repartition(40)
+    assert len(decontam.write_items(dealt)) == 1
+    assert sorted(map(tuple, decontam.find_leaks(docs, dealt).collect())) == want
 
 
 def test_tables_follow_the_target():
