@@ -60,3 +60,12 @@ def test_aggregates_are_excluded_from_the_indicator_table(spark, sf):
     got = [r.country_code for r in registry.queries()["exclude_aggregates"](spark, sf).collect()]
     sql = f"SELECT DISTINCT n_name FROM '{sf}/orders.parquet' JOIN '{sf}/customer.parquet' ON o_custkey = c_custkey JOIN '{sf}/nation.parquet' ON c_nationkey = n_nationkey ORDER BY 1"
     assert sorted(got) == [r[0] for r in duckdb.sql(sql).fetchall()]
+
+
+def test_pairs_of_points_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(cm, "BLOCK_POINTS", 16)
+    pts = spark.createDataFrame([(i, [float(i % 7), i / 9]) for i in range(60)], "id int, features array<float>")
+    for got in (cm.affinity_rbf(pts, 1.0),):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan and got.rdd.getNumPartitions() == 16
+        assert got.count() == got.select("a", "b").distinct().count() == 3600
