@@ -65,7 +65,17 @@ def test_aggregates_are_excluded_from_the_indicator_table(spark, sf):
 def test_pairs_of_points_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(cm, "BLOCK_POINTS", 16)
     pts = spark.createDataFrame([(i, [float(i % 7), i / 9]) for i in range(60)], "id int, features array<float>")
-    for got in (cm.affinity_rbf(pts, 1.0),):
+    for got in (cm.affinity_rbf(pts, 1.0), cm.laplacian_rbf(pts, 1.0)):
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" in plan and "Exchange" not in plan and got.rdd.getNumPartitions() == 16
         assert got.count() == got.select("a", "b").distinct().count() == 3600
+
+
+def test_laplacian_of_odd_points(spark, monkeypatch):
+    """Repeated and null ids, features that are absent, hold a null or have another length: as from the table of pairs."""
+    monkeypatch.setattr(cm, "BLOCK_POINTS", 4)
+    odd = [(1, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (None, [0.2, 0.1]), (4, None), (5, [0.0]), (6, [None, 1.0]), (7, []), (8, [0.3, float("nan")])]
+    pts = spark.createDataFrame(odd + [(i, [i / 20, 1.0]) for i in range(10, 20)], "id int, features array<float>")
+    rows = lambda df: sorted((r.a, r.b, "-" if r.w is None else f"{r.w:.9f}") for r in df.collect())
+    assert rows(cm.laplacian_rbf(pts, 1.0)) == rows(cm.normalised_laplacian(cm.affinity_rbf(pts, 1.0)))
+    assert cm.laplacian_rbf(pts.limit(0), 1.0).count() == 0
