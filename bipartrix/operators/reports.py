@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bipartrix.model import quantiles, row_numbers, sums_before
 from bipartrix.operators.network import pearson
+from bipartrix.session import cut_lineage
 
 
 def ranked(scores: DataFrame, score: str = "score", by: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -56,7 +57,10 @@ def average_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
     """df with the rank by rising value of a column, ties sharing their mean rank.
 
     Values are counted first; the counts before each come from range partitions.
+    The table is written out, for ranks find its rows by their values: a sum made
+    anew may differ in its last bits.
     """
+    df = df if getattr(df, "_is_cut", False) else cut_lineage(df)
     n = df.groupBy(c).agg(F.count(F.lit(1)).alias("_k"))
     ranks = sums_before(n, [F.col(c).asc()], "_k", "_before").select(F.col(c).alias("_v"), (F.col("_before") + (F.col("_k") + 1) / 2).alias(name))
     return df.join(ranks, F.col(c) == F.col("_v")).drop("_v")
@@ -64,7 +68,7 @@ def average_ranks(df: DataFrame, c: str, name: str) -> DataFrame:
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, pearson, spearman of the rows where neither is null; null where a side doesn't vary."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_c"))
+    both = cut_lineage(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("_a"), F.col(b).alias("_c")))
     both = average_ranks(average_ranks(both, "_a", "_ra"), "_c", "_rb")
     return both.agg(F.count(F.lit(1)).alias("n"), pearson("_a", "_c").alias("pearson"), pearson("_ra", "_rb").alias("spearman"))
 
