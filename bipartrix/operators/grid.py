@@ -208,12 +208,11 @@ KEY = ["g", "p", "q", "s"]
 
 
 class Grid:
-    """Large networks g, side by side. Tables: cells (g, p, q, s, i, j, w), and for each side ids (g, id, k, b, o) and blocks (g, b, state)."""
+    """Large networks g, side by side. Tables: cells (g, p, q, s, i, j, w), and for each side ids (g, id, k, b, o) and blocks (g, b, state, ways: the cells that its vector goes to)."""
 
     def __init__(self, edges: DataFrame, extra: DataFrame | None, sizes: dict[int, dict[str, int]]):
         """edges: (g, row_id, col_id, w); extra: (g, side, id, t); sizes: ids of either side of each network."""
         self.spark, self.active = edges.sparkSession, sorted(sizes)
-        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.block = {side: {g: max(IDS_PER_BLOCK, -(-n[side] // MOST_BLOCKS)) for g, n in sizes.items()} for side in SIDES}
         self.ids = {side: self._ids(edges, extra, side) for side in SIDES}
         at = {side: self.ids[side].select("g", F.col("id").alias(f"{side}_id"), F.col("b").alias(b), F.col("o").alias(o)) for side, b, o in (("row", "p", "i"), ("col", "q", "j"))}
@@ -224,8 +223,9 @@ class Grid:
         self.index = cut_lineage(count.select("g", "p", "q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s")))
         dealt = placed.join(count, ["g", "p", "q"]).select("g", "p", "q", F.pmod(F.xxhash64("i", "j"), "n").cast("int").alias("s"), "i", "j", "w")
         packed = cut_lineage(dealt.groupBy(*KEY).applyInArrow(_pack, "g int, p int, q int, s int, i binary, j binary, w binary"))
-        # Kept as they are dealt: half-turns bring the vector to them.
-        self.cells = packed.repartition(self.parts, *KEY).sortWithinPartitions(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
+        # Kept as they are dealt: half-turns bring the vector to them. No more partitions than cells call for: each is a task of every half-turn.
+        parts = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 2 * self.index.count())
+        self.cells = packed.repartition(parts, *KEY).sortWithinPartitions(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
         self.cells.count()  # now, so that plans know how they are dealt
         self.done: dict[str, list[DataFrame]] = {side: [] for side in SIDES}
 
@@ -244,14 +244,16 @@ class Grid:
 
         def start(side: str) -> DataFrame:
             own = size[side]
+            b, c = ("p", "q") if side == "row" else ("q", "p")
+            ways = self.index.select("g", F.col(b).alias("b"), F.col(c).alias("c"), "s")
 
-            def f(key: tuple, t: pa.Table) -> pa.Table:
+            def f(key: tuple, t: pa.Table, to: pa.Table) -> pa.Table:
                 g, b = key[0].as_py(), key[1].as_py()
                 order = np.argsort(t.column("o").to_numpy())
                 k, x = (t.column(c).to_numpy()[order] for c in ("k", "t"))
-                return _block(g, b, program.start(side, k, None if np.isnan(x).all() else x, b * own[g]), {})
+                return _block(g, b, program.start(side, k, None if np.isnan(x).all() else x, b * own[g]), {}, np.stack([to.column(x).to_numpy() for x in ("c", "s")]).astype(np.int32).tobytes())
 
-            return cut_lineage(self.ids[side].groupBy("g", "b").applyInArrow(f, BLOCK))
+            return cut_lineage(self.ids[side].groupBy("g", "b").cogroup(ways.groupBy("g", "b")).applyInArrow(f, BLOCK))
 
         self.state = {side: start(side) for side in SIDES}
 
@@ -263,9 +265,11 @@ class Grid:
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for g, b, state in zip(*(batch.column(c).to_pylist() for c in ("g", "b", "state")), strict=True):
-                    x = program.send(other, pickle.loads(state), scalars[g])
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([b], pa.int32()), pa.array([pickle.dumps(x)], pa.binary())], ["g", "b", "x"])
+                for g, b, state, ways in zip(*(batch.column(c).to_pylist() for c in ("g", "b", "state", "ways")), strict=True):
+                    x = pickle.dumps(program.send(other, pickle.loads(state), scalars[g]))
+                    for c, s in np.frombuffer(ways, np.int32).reshape(2, -1).T.tolist():  # a copy a cell, one at a time
+                        at = {"g": g, theirs: b, own: c, "s": s}
+                        yield pa.RecordBatch.from_arrays([*(pa.array([at[k]], pa.int32()) for k in KEY), pa.array([x], pa.binary())], [*KEY, "x"])
 
         def partial(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = []
@@ -277,9 +281,7 @@ class Grid:
             g, b, y = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.table({"g": pa.array(g, pa.int32()), "b": pa.array(b, pa.int32()), "y": pa.array(y, pa.binary())})
 
-        vector = self.state[other].mapInArrow(send, "g int, b int, x binary")
-        index = self.index if len(self.active) == len(self.block[side]) else self.index.where(F.col("g").isin(self.active))
-        ship = index.join(vector.withColumnRenamed("b", theirs), ["g", theirs]).select(*KEY, "x")
+        ship = self.state[other].mapInArrow(send, "g int, p int, q int, s int, x binary")
         return self.cells.groupBy(*KEY).cogroup(ship.groupBy(*KEY)).applyInArrow(partial, "g int, b int, y binary")
 
     def half(self, side: str) -> dict[int, Scalars]:
@@ -287,16 +289,17 @@ class Grid:
 
         def update(key: tuple, t: pa.Table) -> pa.Table:
             g, b = key[0].as_py(), key[1].as_py()
-            state = pickle.loads(next(x for x in t.column("state").to_pylist() if x is not None))
+            state, ways = next((pickle.loads(x), way) for x, way in zip(t.column("state").to_pylist(), t.column("ways").to_pylist(), strict=True) if x is not None)
             n, sums = len(next(iter(state.values()))), None
             for y in t.column("y").to_pylist():
                 if y is not None:
                     y = pickle.loads(y)
                     sums = np.zeros((n, *y.shape[1:])) if sums is None else sums
                     sums[: len(y)] += y
-            return _block(g, b, *program.update(side, sums, state, scalars[g]))
+            return _block(g, b, *program.update(side, sums, state, scalars[g]), ways)
 
-        both = self.shipped(side).select("g", "b", "y", F.lit(None).cast("binary").alias("state")).unionByName(self.state[side].select("g", "b", F.lit(None).cast("binary").alias("y"), "state"))
+        none = F.lit(None).cast("binary")
+        both = self.shipped(side).select("g", "b", "y", none.alias("state"), none.alias("ways")).unionByName(self.state[side].select("g", "b", none.alias("y"), "state", "ways"))
         self.state[side] = cut_lineage(both.groupBy("g", "b").applyInArrow(update, BLOCK))
         return self._stats(self.state[side])
 
@@ -345,11 +348,12 @@ class Grid:
         return out[0].unionByName(out[1])
 
 
-BLOCK = "g int, b int, state binary, stats binary"
+BLOCK = "g int, b int, state binary, stats binary, ways binary"
 
 
-def _block(g: int, b: int, state: State, stats: Scalars) -> pa.Table:
-    return pa.table({"g": pa.array([g], pa.int32()), "b": pa.array([b], pa.int32()), "state": pa.array([pickle.dumps(state)], pa.binary()), "stats": pa.array([pickle.dumps(stats)], pa.binary())})
+def _block(g: int, b: int, state: State, stats: Scalars, ways: bytes = b"") -> pa.Table:
+    blobs = {"state": pickle.dumps(state), "stats": pickle.dumps(stats), "ways": ways}
+    return pa.table({"g": pa.array([g], pa.int32()), "b": pa.array([b], pa.int32())} | {k: pa.array([x], pa.binary()) for k, x in blobs.items()})
 
 
 def _pack(key: tuple, t: pa.Table) -> pa.Table:

@@ -110,6 +110,23 @@ def test_edges_stay_where_they_lie(e):
     assert vector >= 1  # the vector's side, and what the cells were dealt out by once
 
 
+def test_a_half_turn_has_tasks_for_its_cells(spark, e):
+    """Not for each shuffle partition, whose results would go to the driver in every half-turn; and the vector finds its cells without a join."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        with gr.spread_out(50, 8):
+            grid = gr.Grid(e.select(F.lit(0).alias("g"), "row_id", "col_id", "w"), None, {0: {"row": 11, "col": 14}})
+            grid.begin(ft.Fitness(), {0: {}})
+        cells, shipped = grid.index.count(), grid.shipped("row")
+        assert 1 < cells < 10 and grid.cells.count() == cells
+        assert shipped.rdd.getNumPartitions() <= 2 * cells
+        assert "Join" not in shipped._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[-1]
+        grid.cells.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_one_network_of_many_holds_most_edges(spark, m):
     """A large network in cells, small ones in a task each, and each stops at its own turn."""
     rng = np.random.default_rng(4)
