@@ -127,6 +127,16 @@ def test_a_half_turn_has_tasks_for_its_cells(spark, e):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_filtered_fitness_of_a_large_network(e):
+    """The filter and its nulls with the network in cells, as in one task."""
+    fit = lambda: {r.id: (r.score, r.kept) for r in ft.FitnessComplexity(10, 0.0, 3, 5).fit(e).fitness.collect()}
+    one = fit()
+    with gr.spread_out(20, 4):
+        cells = fit()
+    assert one.keys() == cells.keys() and {k for _, k in one.values()} == {True, False}
+    assert all(kept == cells[i][1] and (score is None and cells[i][0] is None or math.isclose(score, cells[i][0], rel_tol=1e-9)) for i, (score, kept) in one.items())
+
+
 def test_one_network_of_many_holds_most_edges(spark, m):
     """A large network in cells, small ones in a task each, and each stops at its own turn."""
     rng = np.random.default_rng(4)
