@@ -91,7 +91,11 @@ class FitnessComplexity:
         self.min_ubiquity, self.min_diversification, self.iterative_filter = min_ubiquity, min_diversification, iterative_filter
 
     def fit(self, edges: DataFrame, rows: DataFrame | None = None, cols: DataFrame | None = None) -> FitnessResult:
-        """rows and cols: optional (id) tables of entities that may have no edge."""
+        """rows and cols: optional (id) tables of entities that may have no edge.
+
+        The filter and the results read the edges several times: they are written out, not made anew.
+        """
+        edges = edges if getattr(edges, "_is_cut", False) else cut_lineage(edges)
         kept = edges
         if self.min_ubiquity > 1 or self.min_diversification > 1:
             kept = degree_filter(edges, self.min_diversification, self.min_ubiquity, self.iterative_filter)

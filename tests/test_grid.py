@@ -137,6 +137,21 @@ def test_filtered_fitness_of_a_large_network(e):
     assert all(kept == cells[i][1] and (score is None and cells[i][0] is None or math.isclose(score, cells[i][0], rel_tol=1e-9)) for i, (score, kept) in one.items())
 
 
+def test_filtered_fitness_makes_its_edges_once(spark, e):
+    """The filter and the result read them several times; made anew, sums near a threshold may fall on its other side."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    n = e.count()
+    fit = ft.FitnessComplexity(3, 0.0, 3, 5).fit(e.mapInArrow(count, EDGES))
+    rows, cols = fit.fitness.collect(), fit.complexity.collect()
+    assert len(rows) == 11 and len(cols) == 14 and made.value == n
+
+
 def test_one_network_of_many_holds_most_edges(spark, m):
     """A large network in cells, small ones in a task each, and each stops at its own turn."""
     rng = np.random.default_rng(4)
