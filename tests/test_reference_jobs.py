@@ -1,5 +1,7 @@
 """Queries that once did a part of their job now do all of it."""
 
+import math
+
 import duckdb
 import numpy as np
 
@@ -72,6 +74,31 @@ def test_pairs_of_points_are_not_shuffled(spark, monkeypatch):
         assert got.count() == got.select("a", "b").distinct().count() == 3600
 
 
+def test_a_written_pair_takes_some_bytes(spark, sf, tmp_path, monkeypatch):
+    """Both ways of a pair stand close together, so that compression finds the second; the pairs of many tiles and blocks are all there."""
+    monkeypatch.setattr(cm, "BLOCK_POINTS", 512)
+    d, out = sf.replace("sf0.001", "sf0.1"), str(tmp_path / "out")
+    registry.queries()["affinity_rbf"](spark, d).write.parquet(out)
+    ids, x = zip(*duckdb.sql(f"SELECT vec_id, embedding::DOUBLE[] FROM '{d}/embeddings.parquet' ORDER BY 1").fetchall(), strict=True)
+    x, got = np.array(x), duckdb.sql(f"SELECT a, b, w FROM '{out}/*.parquet' ORDER BY 1, 2").fetchnumpy()
+    assert (got["a"] == np.repeat(ids, len(ids))).all() and (got["b"] == np.tile(ids, len(ids))).all()
+    want = np.exp(-np.array([((x - v) ** 2).sum(1) for v in x]) / 2)
+    assert np.abs(got["w"] - want.ravel()).max() < 5.001e-7
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * len(ids) ** 2
+
+
+def test_affinities_of_odd_points(spark, monkeypatch):
+    """Absent, empty and short features, nulls in them, repeated ids, and points so far out that products of them would cancel."""
+    monkeypatch.setattr(cm, "BLOCK_POINTS", 4)
+    rows = [(1, [0.0, 0.0]), (1, [1.0, 0.0]), (None, [0.2, 0.1]), (4, None), (5, [0.5]), (6, [None, 1.0]), (7, []), (8, [1.5]), (9, None)]
+    rows += [(i, [1e8 + i / 8, 3.0]) for i in range(10, 20)] + [(i, [i / 20, 1.0]) for i in range(20, 30)]
+    plain = lambda x: x is not None and x and None not in x
+    weight = lambda x, y: math.exp(-sum((u - v) ** 2 for u, v in zip(x, y, strict=True)) / 2) if plain(x) and plain(y) and len(x) == len(y) else None
+    told = lambda pairs: sorted((str(a), str(b), "-" if w is None else f"{w:.9f}") for a, b, w in pairs)
+    got = cm.affinity_rbf(spark.createDataFrame(rows, "id int, features array<double>"), 1.0)
+    assert told(got.collect()) == told((a, b, weight(x, y)) for a, x in rows for b, y in rows)
+
+
 def test_laplacian_of_odd_points(spark, monkeypatch):
     """Repeated and null ids, features that are absent, hold a null or have another length: as from the table of pairs."""
     monkeypatch.setattr(cm, "BLOCK_POINTS", 4)
