@@ -87,6 +87,18 @@ def test_a_written_pair_takes_some_bytes(spark, sf, tmp_path, monkeypatch):
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * len(ids) ** 2
 
 
+def test_tasks_send_a_pair_once(spark, sf, monkeypatch):
+    """A weight and an id for both ways of a pair, rounded before: Spark only lays them out."""
+    monkeypatch.setattr(cm, "BLOCK_POINTS", 64)
+    for name in ("laplacian_normalised", "affinity_rbf"):
+        got = registry.queries()[name](spark, sf)
+        n, plan = len(got.collect()), got._jdf.queryExecution().executedPlan()
+        assert "round(" not in plan.toString()
+        while plan.nodeName() != "MapInArrow":
+            plan = plan.children().apply(0)
+        assert plan.metrics().apply("pythonDataReceived").value() < 12 * n
+
+
 def test_affinities_of_odd_points(spark, monkeypatch):
     """Absent, empty and short features, nulls in them, repeated ids, and points so far out that products of them would cancel."""
     monkeypatch.setattr(cm, "BLOCK_POINTS", 4)
